@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import decontaminate, exact, lines, mixing
+from tributary.llm import decontaminate, exact, lines, mixing, pii, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
 
+def op2_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_read(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -27,6 +31,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("th")
 
 
+def op5_scan_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan_pii(_read(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup_report(_read(spark, sf_dir, "documents"))
 
@@ -34,8 +42,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_scan_secrets": op2_scan_secrets,
         "op3_line_dedup": op3_line_dedup,
         "op4_decontaminate": op4_decontaminate,
+        "op5_scan_pii": op5_scan_pii,
         "op10_exact_dedup": op10_exact_dedup,
     }
 

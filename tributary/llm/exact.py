@@ -142,7 +142,8 @@ def same_bytes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Digests of pairs(digest, a, b: doc_ids) whose two documents have the same normalised bytes."""
     ids = pairs.select("digest", F.explode(F.array_distinct(F.array("a", "b"))).alias("doc_id")).filter(F.col("doc_id").isNotNull()).alias("p")
     read = docs.select("doc_id", normal_text(docs).alias("normal")).alias("d")
-    met = read.join(ids, F.col("d.doc_id") == F.col("p.doc_id")).select("p.digest", "d.normal").filter(F.unhex(F.sha2("normal", 256)) == F.col("digest"))
+    # merged at every size: a plan that broadcasts small inputs alone would say nothing about large ones
+    met = read.join(ids.hint("merge"), F.col("d.doc_id") == F.col("p.doc_id")).select("p.digest", "d.normal").filter(F.unhex(F.sha2("normal", 256)) == F.col("digest"))
     return met.groupBy("digest").agg((F.min("normal") == F.max("normal")).alias("same")).filter("same").select("digest")
 
 

@@ -164,7 +164,8 @@ def find_groups(docs: DataFrame, *, snapshot: Column | None = None) -> tuple[Dat
     proven = proven.unionByName(pairs.filter("a is null or b is null").select("digest")).distinct()
     both = pairs.join(proven, "digest", "left_semi").select("digest", (F.col("rows") + F.col("old_rows")).alias("rows"), F.least("first", "old_first").alias("first"))
     alone = old.unionByName(new).join(both, "digest", "left_anti")
-    return rows, alone.unionByName(both)
+    # written, so that what joins it starts from exchanges, which adaptive execution can split where a group is hot
+    return rows, Table(alone.unionByName(both), "groups").df
 
 
 def dedup_report(docs: DataFrame, *, snapshot: Column | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import decontaminate, exact, lines, mixing, pii, secrets
+from tributary.llm import decontaminate, exact, lines, mixing, ngram_join, pii, secrets, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op5_scan_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_pii(_read(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components_report(_read(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup_report(_read(spark, sf_dir, "documents"))
 
@@ -46,6 +54,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_decontaminate": op4_decontaminate,
         "op5_scan_pii": op5_scan_pii,
+        "op7_ngram_join": op7_ngram_join,
+        "op8_toxicity": op8_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
     }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import decontaminate, exact, lines, mixing, ngram_join, pii, repeats, secrets, toxicity
+from tributary.llm import decontaminate, exact, lines, mixing, ngram_join, pages, pii, repeats, secrets, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_scan_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_pii(_read(spark, sf_dir, "documents"))
 
 
+def op6_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(_read(spark, sf_dir, "pages"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components_report(_read(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_decontaminate": op4_decontaminate,
         "op5_scan_pii": op5_scan_pii,
+        "op6_extract_text": op6_extract_text,
         "op7_ngram_join": op7_ngram_join,
         "op8_toxicity": op8_toxicity,
         "op9_remove_repeats": op9_remove_repeats,

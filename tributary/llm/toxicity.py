@@ -20,6 +20,7 @@ empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from tributary.llm.common import IS_SPACE, bytes_of, columns, slices
 
 #: Labelled documents that the classifier learns from at most: toxic, clean.
-SAMPLE = (2000, 8000)
+SAMPLE = (1200, 4800)
 THRESHOLD = 0.7
 LANDMARKS = 128
 SPAN, DECAY = 6, 0.7
@@ -41,7 +42,7 @@ LENGTH = 26
 CACHE_WORDS = 400_000
 
 _GAPS = [(a, b, DECAY ** (b + 1)) for b in range(2, SPAN) for a in range(1, b)]
-_LEET = str.maketrans("013457@$", "oleastas")
+_LEET = str.maketrans("013457@$", "oieastas")
 _CODES = np.zeros(0x250, np.int64)
 for _c in range(0x250):
     if chr(_c).isalpha():
@@ -50,18 +51,16 @@ OPEN, CLOSE = 62, 63
 FEATURES = 64**3
 
 
+_THRICE = re.compile(r"(.)\1{2,}")
+
+
 def plain_word(word: str) -> str:
-    """Letters alone; digits that stand for letters become them, thrice repeated letters one."""
+    """Letters alone; digits that stand for letters become them, thrice repeated letters two."""
     if not word.isalpha():
         if any(c.isalpha() for c in word):
             word = word.translate(_LEET)
         word = "".join(c for c in word if c.isalpha())
-    out = []
-    for c in word:
-        if len(out) > 1 and out[-1] == c and out[-2] == c:
-            continue
-        out.append(c)
-    return "".join(out)
+    return _THRICE.sub(r"\1\1", word)
 
 
 def spaced_out(words: list[str]) -> list[str]:
@@ -79,12 +78,12 @@ def spaced_out(words: list[str]) -> list[str]:
 
 def coded(words: list[str]) -> np.ndarray:
     """Letter codes of each word between its end marks, padded with 0. Words are at most LENGTH - 2 long."""
+    most = LENGTH - 2
+    points = np.array(words, f"U{most}").view(np.uint32).reshape(len(words), most).astype(np.int64)
     out = np.zeros((len(words), LENGTH), np.int64)
-    for i, w in enumerate(words):
-        codes = np.frombuffer(w.encode("utf-32-le"), np.uint32)
-        out[i, 0] = OPEN
-        out[i, 1 : len(codes) + 1] = np.where(codes < 0x250, _CODES[np.minimum(codes, 0x24F)], 27 + (codes % 33))
-        out[i, len(codes) + 1] = CLOSE
+    out[:, 0] = OPEN
+    out[:, 1:-1] = np.where(points < 0x250, _CODES[np.minimum(points, 0x24F)], 27 + points % 33)
+    out[np.arange(len(words)), (points > 0).sum(1) + 1] = CLOSE
     return out
 
 
@@ -113,7 +112,7 @@ def folded_margin(codes: np.ndarray, fold: np.ndarray, bias: float) -> np.ndarra
 class Model:
     fold: np.ndarray
     bias: float
-    top: np.ndarray  # of a document: intercept, best margin (cut at 1), log of summed positive margins
+    top: np.ndarray  # of a document: intercept, best margin (what is beyond 0.6 tells no more), log of summed high margins
 
     def parts(self, word: str) -> list[str]:
         """A long word in pieces that overlap by half."""
@@ -135,7 +134,7 @@ class Model:
 
     @staticmethod
     def traits(best: np.ndarray, mass: np.ndarray) -> np.ndarray:
-        return np.stack([np.ones(len(best)), np.clip(best, -1.5, 1.0), np.log1p(mass)], 1)
+        return np.stack([np.ones(len(best)), 5 * np.clip(best, -0.6, 0.6), 0.3 * np.log1p(mass)], 1)
 
     def score(self, best: np.ndarray, mass: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.traits(best, mass) @ self.top, -30, 30)))
@@ -207,83 +206,94 @@ class Landmarks:
         return out
 
 
-def fit(bags: list[set[str]], toxic: np.ndarray) -> Model | None:
+def fit(bags: list[list[str]], toxic: np.ndarray) -> Model | None:
     """bags: the raw words of each labelled document."""
     if len(bags) == 0 or not toxic.any() or toxic.all():
         return None
     blank = Model(np.zeros(FEATURES), 0.0, np.zeros(3))
-    plainly: dict[str, list[str]] = {}
-    for w in set().union(*bags):
-        p = plain_word(w)
-        plainly[w] = blank.parts(p) if len(p) > 1 else []
-    own = first_of_copies(bags)
-    bags, toxic = [bags[i] for i in own], toxic[own]
-    plain = [{x for w in bag for x in plainly[w]} for bag in bags]
-    held, clean = Counter(), Counter()
-    for bag, t in zip(plain, toxic):
-        (held if t else clean).update(bag)
+    number: dict[str, int] = {}
+    pieces: dict[str, list[int]] = {}
+    plain = []
+    for bag in bags:
+        ids: list[int] = []
+        for w in bag:
+            if w not in pieces:
+                p = plain_word(w)
+                pieces[w] = [number.setdefault(x, len(number)) for x in blank.parts(p)] if len(p) > 1 else []
+            ids += pieces[w]
+        plain.append(np.unique(np.array(ids, np.int64)))
+    del pieces
+    words = list(number)
+    order = np.array([zlib.crc32(w.encode()) for w in words], np.int64)  # a fixed order that spelling doesn't show
+    own = first_of_copies(plain, order)
+    plain, toxic = [plain[i] for i in own], toxic[own]
     n_t, n_c = int(toxic.sum()), int((~toxic).sum())
     if not n_t or not n_c:
         return None
+    none = [np.zeros(0, np.int64)]
+    held = np.bincount(np.concatenate([p for p, t in zip(plain, toxic) if t] + none), minlength=len(words))
+    clean = np.bincount(np.concatenate([p for p, t in zip(plain, toxic) if not t] + none), minlength=len(words))
     share = n_t / (n_t + n_c)
-    lift = lambda w: ((held[w] + 0.1) / n_t) / ((clean[w] + 0.5) / n_c)
-
-    def surprise(w: str) -> float:
-        """Twice the log likelihood ratio of the word's toxic share against the overall one."""
-        a, b = held[w], clean[w]
-        return 2 * (a * np.log(a / ((a + b) * share)) + (b * np.log(b / ((a + b) * (1 - share))) if b else 0.0))
-
-    positive = sorted((w for w in held if held[w] >= 3 and lift(w) >= 15 and surprise(w) >= 25), key=lambda w: (-held[w], w))[:600]
-    if not positive:
-        positive = sorted(held, key=lambda w: (-lift(w), -held[w], w))[:5]
-    known = set(positive)
-    pool = sorted((w for w in clean if w not in known and lift(w) < 4), key=lambda w: (hash_of(w), w))
-    often = sorted(pool, key=lambda w: (-clean[w], w))[:800]
-    negative = list(dict.fromkeys([*often, *pool[:2000]]))
+    lift = ((held + 0.1) / n_t) / ((clean + 0.5) / n_c)
+    with np.errstate(divide="ignore", invalid="ignore"):  # twice the log likelihood ratio of a word's toxic share
+        both = held + clean
+        surprise = 2 * (np.where(held, held * np.log(held / (both * share)), 0) + np.where(clean, clean * np.log(clean / (both * (1 - share))), 0))
+    positive = np.flatnonzero((held >= 3) & (lift >= 15) & (surprise >= 25))
+    positive = positive[np.lexsort((order[positive], -held[positive]))][:600]
+    if not len(positive):
+        positive = np.lexsort((order, -held, -lift))[:5]
+    pool = np.flatnonzero((clean > 0) & (lift < 4))
+    pool = np.setdiff1d(pool, positive)
+    pool = pool[np.argsort(order[pool], kind="stable")]
+    often = pool[np.argsort(-clean[pool], kind="stable")][:800]
+    negative = list(dict.fromkeys([*often.tolist(), *pool[:2000].tolist()]))
     pool = pool[:60_000]
-    model = None
+    spelt = lambda ids: [words[i] for i in ids]
+    mass = np.minimum(held[positive], 50).astype(float)
     for turn in range(3):
         spread = positive[:: max(1, len(positive) * 2 // LANDMARKS)][: LANDMARKS // 2]
-        marks = Landmarks(list(dict.fromkeys([*positive[: LANDMARKS // 4], *spread, *negative[-(LANDMARKS // 4) :], *often[: LANDMARKS // 4]])))
-        words = [*positive, *negative]
-        y = np.where(np.arange(len(words)) < len(positive), 1.0, -1.0)
-        x = np.concatenate([np.ones((len(words), 1)), marks.features(words)], 1)
-        mass = np.array([min(held[w], 50) for w in positive] + [1.0] * len(negative))
-        cost = np.where(y > 0, mass / mass[: len(positive)].sum() * len(negative), 1.0)
+        chosen = dict.fromkeys([*positive[: LANDMARKS // 4].tolist(), *spread.tolist(), *negative[-(LANDMARKS // 4) :], *often[: LANDMARKS // 4].tolist()])
+        marks = Landmarks(spelt(chosen))
+        learnt = [*spelt(positive), *spelt(negative), *(bent := stretched(spelt(positive[:60])))]
+        y = np.where((np.arange(len(learnt)) < len(positive)) | (np.arange(len(learnt)) >= len(positive) + len(negative)), 1.0, -1.0)
+        x = np.concatenate([np.ones((len(learnt), 1)), marks.features(learnt)], 1)
+        cost = np.concatenate([mass / mass.sum() * max(1, len(negative)), np.ones(len(negative)), np.full(len(bent), 0.5)])
         w = _newton(x, y, cost * 4, True, 1.0)
         model = Model(marks.fold(w[1:]), float(w[0]), np.zeros(3))
-        if turn == 2:
-            break
-        margin = np.array(folded_margin(coded(pool), model.fold, model.bias)) if pool else np.zeros(0)
-        hard = [pool[i] for i in np.argsort(-margin)[:600]]
-        negative = list(dict.fromkeys([*negative, *hard]))
-    rows = [summary(model.margins(list(bag))) for bag in bags]
+        if turn < 2 and len(pool):
+            hard = pool[np.argsort(-folded_margin(coded(spelt(pool)), model.fold, model.bias), kind="stable")[:600]]
+            negative = list(dict.fromkeys([*negative, *hard.tolist()]))
+    margin = np.concatenate([folded_margin(coded(words[k : k + 20_000]), model.fold, model.bias) for k in range(0, len(words), 20_000)])
+    rows = [summary(margin[p].tolist()) for p in plain]
     x = Model.traits(*(np.array(v, float) for v in zip(*rows)))
     model.top = _newton(x, toxic.astype(float), np.ones(len(x)), False, 0.05)
     return model
 
 
-def first_of_copies(bags: list[set[str]]) -> list[int]:
-    """Bags that aren't near copies of an earlier one: half of its eight least word hashes met together before."""
-    frequent = Counter(w for bag in bags for w in bag)
-    met: dict[int, list[int]] = {}
+def stretched(words: list[str]) -> list[str]:
+    """Words with a letter put in, at each inner place in turn: what the kernel's gaps are for."""
+    out = []
+    for k, w in enumerate(words):
+        if 5 <= len(w) < LENGTH - 3:
+            out += [w[:i] + "xzqjkv"[(i + k) % 6] + w[i:] for i in range(1, len(w))]
+    return out
+
+
+def first_of_copies(bags: list[np.ndarray], order: np.ndarray) -> list[int]:
+    """Bags that aren't near copies of an earlier one: half of its eight least words in `order` were least there, too."""
+    met: dict[int, int] = {}
     out = []
     for i, bag in enumerate(bags):
-        least = sorted(hash_of(w) for w in bag if frequent[w] <= max(2, len(bags) // 20))[:8]
-        with_earlier = Counter(j for h in least for j in met.get(h, ()))
-        if least and with_earlier and with_earlier.most_common(1)[0][1] * 2 >= len(least):
+        least = bag[np.argsort(order[bag], kind="stable")[:8]].tolist()
+        with_earlier = Counter(met[h] for h in least if h in met)
+        if with_earlier and with_earlier.most_common(1)[0][1] * 2 >= len(least):
             continue
         for h in least:
-            met.setdefault(h, []).append(i)
+            met.setdefault(h, i)
         out.append(i)
     return out
 
 
-def hash_of(word: str) -> int:
-    """A fixed order of words that their spelling doesn't show."""
-    return zlib.crc32(word.encode())
-
-
 def summary(margins: list[float]) -> tuple[float, float]:
     return (max(margins, default=-2.0), sum(m for m in margins if m > 0.5))
 
@@ -307,7 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = sorted(read.mapInArrow(bags, f"doc_id {kind}, words string, is_toxic boolean").collect(), key=lambda r: (r[0], r[1]))
-    return fit([set(r[1].split()) for r in rows], np.array([r[2] for r in rows], bool))
+    return fit([r[1].split() for r in rows], np.array([r[2] for r in rows], bool))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -247,7 +247,6 @@ def fit(bags: list[list[str]], toxic: np.ndarray) -> Model | None:
     pool = pool[np.argsort(order[pool], kind="stable")]
     often = pool[np.argsort(-clean[pool], kind="stable")][:800]
     negative = list(dict.fromkeys([*often.tolist(), *pool[:2000].tolist()]))
-    pool = pool[:60_000]
     spelt = lambda ids: [words[i] for i in ids]
     mass = np.minimum(held[positive], 50).astype(float)
     for turn in range(3):
@@ -261,15 +260,19 @@ def fit(bags: list[list[str]], toxic: np.ndarray) -> Model | None:
         w = _newton(x, y, cost * 4, True, 1.0)
         model = Model(marks.fold(w[1:]), float(w[0]), np.zeros(3))
         if turn < 2 and len(pool):
-            hard = pool[np.argsort(-folded_margin(coded(spelt(pool)), model.fold, model.bias), kind="stable")[:600]]
+            hard = pool[np.argsort(-margins_of(spelt(pool), model), kind="stable")[:600]]
             negative = list(dict.fromkeys([*negative, *hard.tolist()]))
-    margin = np.concatenate([folded_margin(coded(words[k : k + 20_000]), model.fold, model.bias) for k in range(0, len(words), 20_000)])
+    margin = margins_of(words, model)
     rows = [summary(margin[p].tolist()) for p in plain]
     x = Model.traits(*(np.array(v, float) for v in zip(*rows)))
     model.top = _newton(x, toxic.astype(float), np.ones(len(x)), False, 0.05)
     return model
 
 
+def margins_of(words: list[str], model: Model) -> np.ndarray:
+    return np.concatenate([folded_margin(coded(words[k : k + 20_000]), model.fold, model.bias) for k in range(0, len(words), 20_000)])
+
+
 def stretched(words: list[str]) -> list[str]:
     """Words with a letter put in, at each inner place in turn: what the kernel's gaps are for."""
     out = []

@@ -42,7 +42,9 @@ RARE = 24
 SMALL = 6
 MOST_BITS = 30
 PART_BYTES = 16 << 20
-FLUSH = 4_000_000
+FLUSH = 2_000_000
+#: Bytes of text that are worked on at once.
+SLICE = 2 << 20
 TOKEN_BYTES = 5
 
 U = np.uint64
@@ -121,7 +123,7 @@ def first_scan(docs: DataFrame, words: int, bits: int, part_bits: int) -> DataFr
         names = ["kind", "doc_id", "n", "node", "part", "packed"]
         id_type = None
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, most=SLICE):
                 ids, texts = columns(rows, "doc_id", "text")
                 id_type = ids.type
                 tokens, at = token_sets(texts, words)
@@ -242,7 +244,7 @@ def second_scan(docs: DataFrame, words: int, percent: int, marks: bytes, bits: i
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "sigs", "nodes", "sizes", "shares"])
 
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, most=SLICE):
                 (texts,) = columns(rows, "text")
                 tokens, at = token_sets(texts, words)
                 if not len(tokens):
@@ -335,27 +337,35 @@ def id_bits(ids: DataFrame, bits: int = 24) -> bytes:
 
 
 def read_sets(docs: DataFrame, wanted: DataFrame, words: int, bits: int = 24) -> DataFrame:
-    """node, tokens (TOKEN_BYTES each, sorted) of wanted(doc_id, node)."""
-    shared = docs.sparkSession.sparkContext.broadcast(id_bits(wanted, bits))
+    """node, tokens (TOKEN_BYTES each, sorted), is_hub of wanted(doc_id, is_hub), and of a few more that share their bits.
+
+    The bit tables choose the documents while they are read, so no text moves; a set says itself which node it is.
+    """
+    ids = [id_bits(wanted, bits), id_bits(wanted.filter("is_hub"), bits)]
+    shared = docs.sparkSession.sparkContext.broadcast(ids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.frombuffer(shared.value, np.uint8)
+        marks, hubs = (np.frombuffer(x, np.uint8) for x in shared.value)
+        met: set[int] = set()
+        on = lambda table, s: (table[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
         for batch in batches:
             (slot,) = columns(batch, "slot")
             s = slot.to_numpy(zero_copy_only=False).astype(np.int64)
             s = np.where(s > 0, s - 1, (1 << bits))  # bit positions count from 1, 0 standing for itself
-            keep = (marks[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
+            keep = on(marks, s)
             if not keep.any():
                 continue
-            for rows in slices(batch.filter(pa.array(keep))):
-                ids, texts = columns(rows, "doc_id", "text")
+            chosen = batch.select(["text"]).append_column("is_hub", pa.array(on(hubs, s))).filter(pa.array(keep))
+            for rows in slices(chosen, most=SLICE):
+                texts, is_hub = columns(rows, "text", "is_hub")
                 tokens, at = token_sets(texts, words)
+                node = node_names(tokens, at)
                 low = np.ascontiguousarray((tokens >> U(24)).view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES])
-                yield pa.RecordBatch.from_arrays([ids, pa.array([low[at[i] : at[i + 1]].tobytes() for i in range(len(ids))], pa.binary())], ["doc_id", "tokens"])
+                new = [i for i in range(len(node)) if at[i + 1] > at[i] and not (node[i] in met or met.add(node[i]))]
+                sets = [low[at[i] : at[i + 1]].tobytes() for i in new]
+                yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(sets, pa.binary()), is_hub.take(pa.array(new, pa.int64()))], ["node", "tokens", "is_hub"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("slot")).mapInArrow(work, f"doc_id {kind}, tokens binary")
-    return sets.join(wanted.hint("merge"), "doc_id").select("node", "tokens").dropDuplicates(["node"])
+    return docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("slot")).mapInArrow(work, "node long, tokens binary, is_hub boolean")
 
 
 def _unpack(raw: bytes) -> np.ndarray:
@@ -382,7 +392,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep))
 
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")).hint("merge"), "b")
-    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a")
+    both = with_b.join(sets.filter("is_hub").select(F.col("node").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a")
     return both.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
@@ -414,21 +424,23 @@ def join_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCEN
     found = Table(pairs_of(second_scan(docs, words, percent, marks, bits, part_bits), percent, part_bits), "pairs").df
     tested = Table(found.filter("kind = 0").select("a", "b").distinct(), "tested").df
     names = Table(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "names").df
-    links = Table(_linked(docs, tested, names, words, percent), "linked").df
+    links = _linked(docs, tested, names, words, percent)
     labels = components(links)
     lists = found.filter("kind = 1").select("a", "b", "size").distinct()
     rest = Table(across(lists, labels, tested, percent), "rest").df
     if not rest.isEmpty():
-        more = Table(_linked(docs, rest, names, words, percent), "linked").df
-        labels = components(links.unionByName(more))
+        labels = components(links.unionByName(_linked(docs, rest, names, words, percent)))
     return rows, labels
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, names: DataFrame, words: int, percent: int) -> DataFrame:
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = Table(names.join(nodes, "node"), "wanted").df
-    sets = Table(read_sets(docs, wanted, words), "sets").df
-    return verify(pairs, sets, percent)
+    nodes = pairs.select(F.col("a").alias("node"), F.lit(True).alias("is_hub")).unionByName(pairs.select(F.col("b").alias("node"), F.lit(False).alias("is_hub")))
+    nodes = nodes.groupBy("node").agg(F.bool_or("is_hub").alias("is_hub"))
+    wanted = Table(names.join(nodes, "node").select("doc_id", "is_hub"), "wanted").df
+    sets = Table(read_sets(docs, wanted, words), "sets")
+    links = Table(verify(pairs, sets.df, percent).distinct(), "linked").df
+    sets.drop()
+    return links
 
 
 def components_report(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, rare: int = RARE) -> DataFrame:

@@ -34,9 +34,9 @@ from tributary.llm.ngram_join import cut, expand, id_bits, power, squeeze
 
 WINDOW = 50
 ANCHOR = 24
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 FLUSH = 3_000_000
-CUTS = 60_000
+CUTS = 20_000
 PART_BYTES = 16 << 20
 MOST_BITS = 30
 HASH_BITS = 48
@@ -217,7 +217,7 @@ def covered_windows(docs: DataFrame, wanted: bytes, marks: bytes, bits: int, par
                 j = np.arange(width)
                 cuts = np.where((j >= back - left[e][:, None]) & (j < back + right[e][:, None].astype(np.int64)), cuts, np.uint8(0))
                 held.append((h[e], ids[of[e]], ths[of[e]], place[e].astype(np.int64), left[e], right[e], cuts))
-                if sum(len(x[0]) for x in held) >= 4 * CUTS:
+                if sum(len(x[0]) for x in held) >= 6 * CUTS:
                     yield from flush()
         if held:
             yield from flush()
@@ -256,7 +256,9 @@ def _inflate(raw: bytes) -> bytes:
 
 
 def _cut_names(cuts: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    total = (_TABLE[cuts] * _power(cuts.shape[1])).sum(1, dtype=U)
+    total = np.zeros(len(cuts), U)
+    for j, weight in enumerate(_power(cuts.shape[1])):  # a column at a time, as a table of words for all bytes is large
+        total += _TABLE[cuts[:, j]] * weight
     return mix64(total + left.astype(U) * U(131) + right.astype(U) * U(65537))
 
 
@@ -307,7 +309,7 @@ def _settled(held: list[bytes], part: int, part_bits: int, window: int) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (doc, th, at, mask)], ["doc_id", "th", "at", "mask"])
 
 
-def _chunks(h: np.ndarray, most: int = 100_000) -> Iterator[slice]:
+def _chunks(h: np.ndarray, most: int = 20_000) -> Iterator[slice]:
     """Runs of whole groups of about `most` entries."""
     a = 0
     while a < len(h):

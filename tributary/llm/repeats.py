@@ -37,7 +37,7 @@ ANCHOR = 24
 BLOCK = 1 << 20
 FLUSH = 3_000_000
 CUTS = 20_000
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 MOST_BITS = 30
 HASH_BITS = 48
 U = np.uint64

@@ -52,7 +52,8 @@ def _shape(df: DataFrame, kind: Column | str, title: Column, evidence: Column, c
 
 def flagged(records: DataFrame, config: Config) -> DataFrame:
     """One row a flag with its cell: record_id, who, field, issue, raw, value, conflicts, lineage, label, type, values."""
-    who = F.coalesce(F.col("employee_number"), F.btrim(F.concat_ws(" ", "cells.firstName.value", "cells.lastName.value")))
+    names = [F.col(f"cells.{k}.value") for k in ("firstName", "lastName") if k in config.by_key]
+    who = F.coalesce(F.col("employee_number"), F.btrim(F.concat_ws(" ", *names, F.lit(""))))
     flags = records.select("record_id", who.alias("who"), F.explode("flags").alias("flag"))
     flags = flags.select("record_id", "who", F.split("flag", ":")[0].alias("field"), F.split("flag", ":")[1].alias("issue"))
     cells = long_records(records, config)

@@ -1,19 +1,347 @@
-"""Queries of the reconciliation engine and the SQL they are held against."""
+"""Queries of the reconciliation engine on the star-schema tables, and the SQL they are held against.
+
+Each applies the engine's own operators or Column functions to whole tables; the other module states the same in SQL.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tributary.config import KIND_LABELS, Config, Field
+from tributary.functions import clean, dates, text
+from tributary.operators import duplicates, escalations, mapping, merge, profile, sink, store
+from tributary.plans.oracle import ORACLES
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part types as headers."""
+    odd = F.concat(F.lit("  "), F.replace(F.col("p_type"), F.lit(" "), F.lit("_/")), F.lit("&R.D "))
+    return _read(spark, sf_dir, "part").select("p_partkey", text.normalize_header(odd).alias("normal"))
+
+
+def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared tokens of a part's name and type."""
+    p = _read(spark, sf_dir, "part")
+    a, b = F.array_distinct(text.tokens(F.col("p_name"))), F.array_distinct(text.tokens(F.concat(F.col("p_type"), F.lit(" "), F.col("p_brand"))))
+    return p.select("p_partkey", F.size(a).cast("long").alias("n_tokens"), F.size(F.array_intersect(a, b)).cast("long").alias("n_shared"))
+
+
+def header_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three regions most like each nation in name; regions are five rows."""
+    n, r = _read(spark, sf_dir, "nation"), F.broadcast(_read(spark, sf_dir, "region"))
+    met = n.join(r, F.lit(True)).withColumn("score", F.round(text.similarity(F.col("n_name"), F.col("r_name")), 9))
+    by = Window.partitionBy("n_nationkey").orderBy(F.col("score").desc(), "r_regionkey")
+    ranked = met.withColumn("rank", F.row_number().over(by)).withColumn("lead", F.round(F.col("score") - F.coalesce(F.lead("score").over(by), F.lit(0.0)), 9))
+    return ranked.filter("rank <= 3").select("n_nationkey", "r_regionkey", "score", F.col("rank").cast("long").alias("rank"), "lead")
+
+
+def title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shouted part names with a particle and initials."""
+    p = _read(spark, sf_dir, "part")
+    return p.select("p_partkey", text.title_case(F.concat(F.lit(" j.r.  VAN "), F.upper("p_name"), F.lit(" "))).alias("titled"))
+
+
+def _names() -> Column:
+    n = F.col("c_custkey")
+    tail = F.element_at(F.split("c_name", "[#]"), -1)
+    return F.when(n % 4 == 0, F.concat(F.lit("NAIR"), tail, F.lit(", arun"))).when(n % 4 == 1, F.concat(F.lit("Dr. maria del "), F.col("c_mktsegment"))).when(n % 4 == 2, F.lit("  pooja ")).otherwise(F.concat(F.lit("Mrs  Ana  "), F.lower("c_mktsegment"), F.lit(" SATO")))
+
+
+def name_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in four styles."""
+    c = _read(spark, sf_dir, "customer").select("c_custkey", text.split_person_name(_names()).alias("s"))
+    return c.select("c_custkey", F.col("s.first").alias("first_name"), F.col("s.last").alias("last_name"))
+
+
+def blank_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that count as nothing, by event type."""
+    k = F.col("event_id") % 8
+    v = F.when(k == 0, " - ").when(k == 1, "N/A").when(k == 2, "na").when(k == 3, "NULL").when(k == 4, "Null").when(k == 5, "").otherwise(F.col("event_type"))
+    return _read(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(text.is_blank(v)).alias("n_blank"), F.count(F.lit(1)).alias("n"))
+
+
+def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances with marks, currency words and non-numbers around them."""
+    k = F.col("c_custkey") % 5
+    cents = F.round(F.col("c_acctbal") * 100).cast("long")
+    v = F.when(k == 0, F.concat(F.lit("₹ "), cents.cast("string"))).when(k == 1, F.concat(F.lit("INR "), cents.cast("string"))).when(k == 2, F.concat(cents.cast("string"), F.lit(".5"))).when(k == 3, F.concat(F.lit("$1,"), F.lpad((F.abs(cents) % 1000).cast("string"), 3, "0"))).otherwise(F.concat(cents.cast("string"), F.lit("d")))
+    return _read(spark, sf_dir, "customer").select("c_custkey", text.parse_number(v).alias("number"))
+
+
+def money_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices grouped the Indian way."""
+    return _read(spark, sf_dir, "orders").select("o_orderkey", text.money(F.floor("o_totalprice").cast("long")).alias("shown"))
+
+
+def _mails() -> Column:
+    k = F.col("c_custkey") % 4
+    who = F.concat(F.lit(" User"), F.col("c_custkey").cast("string"))
+    return F.when(k == 0, F.concat(who, F.lit("@GMAIL.com "))).when(k == 1, F.concat(who, F.lit("@corp.example"))).when(k == 2, who).otherwise(F.concat(who, F.lit("@Yahoo.com")))
+
+
+def email_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D9, D10, E6d: addresses with their issue."""
+    got = clean.clean_value("email", _mails())
+    c = _read(spark, sf_dir, "customer").select("c_custkey", got.alias("x"), text.email_domain(_mails()).alias("domain"))
+    return c.select("c_custkey", F.col("x.value").alias("value"), F.col("x.confidence").alias("confidence"), F.coalesce("x.issue", F.lit("")).alias("issue"), "domain")
+
+
+def phone_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of several lengths."""
+    k, key = F.col("c_custkey") % 5, F.col("c_custkey").cast("string")
+    v = F.when(k == 0, F.concat(F.lit("+91 98"), F.lpad(key, 8, "0"))).when(k == 1, F.concat(F.lit("98-"), F.lpad(key, 8, "0"))).when(k == 2, F.concat(F.lit("098"), F.lpad(key, 8, "0"))).when(k == 3, F.concat(F.lit("(1)44 98"), F.lpad(key, 8, "0"))).otherwise(key)
+    return _read(spark, sf_dir, "customer").select("c_custkey", clean.clean_phone(v).alias("phone"), text.looks_phone(v).alias("looks_phone"))
+
+
+def employee_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixed ids."""
+    k, key = F.col("c_custkey") % 4, F.col("c_custkey").cast("string")
+    v = F.when(k == 0, F.concat(F.lit("apx-"), key)).when(k == 1, F.concat(F.lit(" APX_"), key, F.lit("b"))).when(k == 2, F.concat(key, F.lit(".0"))).otherwise(F.concat(F.lit("APX"), key))
+    return _read(spark, sf_dir, "customer").select("c_custkey", clean.canonical_id(v).alias("id"))
+
+
+def date_parse_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates written in six ways, one of them two-fold."""
+    k, d = F.col("o_orderkey") % 6, F.col("o_orderdate")
+    v = (
+        F.when(k == 0, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(k == 1, F.date_format(d, "dd/MM/yyyy"))
+        .when(k == 2, F.date_format(d, "MM-dd-yy"))
+        .when(k == 3, F.date_format(d, "d-MMM-yyyy"))
+        .when(k == 4, F.date_format(d, "MMM d, yyyy"))
+        .otherwise(F.concat(F.date_format(d, "yyyy"), F.lit("-02-30")))
+    )
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", dates.parse_date(v).alias("p"))
+    return o.select("o_orderkey", F.col("p.status").alias("status"), F.coalesce("p.iso", F.lit("")).alias("iso"), F.coalesce("p.dmy", F.lit("")).alias("dmy"), F.coalesce("p.mdy", F.lit("")).alias("mdy"))
+
+
+EVENTS = Config(
+    fields=(Field("event", "Event", "enum", values=("click", "view", "buy")),),
+    enum_synonyms={"event": {"purchase": "buy", "search": "view"}},
+)
+
+
+def enum_map_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E6g, I3: event types against a closed list."""
+    e = _read(spark, sf_dir, "events").select(clean.clean_value("event", F.concat(F.upper("event_type"), F.lit(" ")), EVENTS).alias("x"))
+    return e.groupBy(F.col("x.value").alias("value"), F.coalesce("x.issue", F.lit("")).alias("issue")).agg(F.count(F.lit(1)).alias("n"), F.max("x.confidence").alias("confidence"))
+
+
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _read(spark, sf_dir, "customer").withColumn("row_idx", F.col("c_custkey"))
+    cells = profile.long_cells(c, 0, "customer", columns=["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+    s = _read(spark, sf_dir, "supplier").withColumn("row_idx", F.col("s_suppkey"))
+    return profile.profile_columns(cells.unionByName(profile.long_cells(s, 1, "supplier", columns=["s_suppkey", "s_name", "s_nationkey"])))
+
+
+def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles and inferred types of seven columns."""
+    p = _profile(spark, sf_dir)
+    return p.select("file_name", "header", "rows", "present", F.round("null_rate", 9).alias("null_rate"), "unique_count", F.array_join("samples", "|").alias("samples"), "inferred")
+
+
+def map_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings of the profiled columns. Beyond plain SQL; tests hold it against a plain implementation."""
+    m = mapping.propose(_profile(spark, sf_dir))
+    return m.select("file_name", "header", F.coalesce("target", F.lit("")).alias("target"), F.round("confidence", 9).alias("confidence"), F.round("margin", 9).alias("margin"), "status", "reason", F.array_join(F.transform("candidates", lambda c: c["field"]), ",").alias("candidates"))
+
+
+def map_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions by score and lead, and columns that claim one field."""
+    c = _read(spark, sf_dir, "customer")
+    score = (F.col("c_custkey") * 37 % 100) / 100
+    margin = (F.col("c_custkey") * 11 % 40) / 100
+    status, target, reason = mapping.decide(score, margin, F.col("c_mktsegment"), Config())
+    m = c.select(F.lit(0).alias("file_ord"), F.concat(F.lit("f"), (F.col("c_custkey") % 50).cast("string")).alias("file_name"), F.col("c_custkey").cast("int").alias("col_ord"), F.col("c_name").alias("header"), target.alias("target"), score.alias("confidence"), margin.alias("margin"), status.alias("status"), reason.alias("reason"), F.expr("cast(array() as array<struct<field:string,score:double>>)").alias("candidates"))
+    return mapping.compete(m).select("col_ord", F.coalesce("target", F.lit("")).alias("target"), "status", "reason")
+
+
+MERGE = Config(
+    fields=(Field("employeeNumber", "Id", required=True), Field("name", "Name"), Field("ctcAnnual", "Amount", "number"), Field("currency", "Currency", "enum", values=("INR", "USD")), Field("workLocation", "Segment")),
+    id_prefix="apx",
+)
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> list[merge.Source]:
+    c = _read(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    a = c.select(F.concat(F.lit("APX-"), key.cast("string")).alias("id"), F.floor("c_acctbal").cast("long").cast("string").alias("amount"), F.lower("c_mktsegment").alias("place"), key.alias("row_idx"))
+    b = c.filter(key % 2 == 0).select(key.cast("string").alias("no"), (F.floor("c_acctbal") + F.when(key % 6 == 0, 1).otherwise(0)).cast("long").cast("string").alias("pay"), F.when(key % 4 == 0, F.concat("c_mktsegment", F.lit(" plant"))).otherwise("other").alias("site"), key.alias("row_idx"))
+    return [
+        merge.Source(a, 0, "a", (("id", "employeeNumber"), ("amount", "ctcAnnual"), ("place", "workLocation"))),
+        merge.Source(b, 1, "b", (("no", "employeeNumber"), ("pay", "ctcAnnual"), ("site", "workLocation"))),
+    ]
+
+
+def merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two extracts of one people, with conflicts, containment and defaults."""
+    r = merge.merge_sources(_sources(spark, sf_dir), MERGE)
+    v = lambda f: F.coalesce(F.col(f"cells.{f}.value"), F.lit("")).alias(f)
+    return r.select(v("employeeNumber"), v("ctcAnnual"), v("workLocation"), v("currency"), F.array_join(F.array_sort("flags"), ",").alias("flags"), F.array_join("cells.ctcAnnual.conflicts", ",").alias("alternatives"), F.size("row_ids").cast("long").alias("n_rows"), F.col("n_transforms").cast("long").alias("n_transforms"))
+
+
+def conflict_escalations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conflicts of the merged records by kind and field."""
+    e = escalations.conflicts(merge.merge_sources(_sources(spark, sf_dir), MERGE), MERGE)
+    return e.groupBy(text.labelled(F.col("kind"), KIND_LABELS).alias("label"), "field").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("options")).alias("n_options"), F.max("confidence").alias("confidence"))
+
+
+def exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of each repeated line key, in a total order."""
+    line = _read(spark, sf_dir, "lineitem")
+    order = [F.col(c) for c in ("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")]
+    first = store.latest(line, ["l_orderkey", "l_linenumber"], order)
+    return first.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """suppliers and customers alike in name that share a number; two equi-joins, no product."""
+    p = _read(spark, sf_dir, "part")
+    people = p.select(F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("id"), F.element_at(F.split("p_name", " "), 1).alias("first"), F.element_at(F.split("p_name", " "), -1).alias("last"), F.concat("p_brand", F.lit("-"), "p_size", F.lit("-"), "p_type").alias("phone"), F.concat(F.lit("d"), F.round("p_retailprice", 2).cast("string")).alias("dob"), F.col("p_brand").alias("number"))
+    return duplicates.fuzzy_pairs(people)
+
+
+def missing_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without what they need, but for those of open pairs."""
+    fields = (Field("employeeNumber", "Id", required=True), Field("email", "Mail", "email", required=True), Field("status", "Segment", required=True))
+    c, k = _read(spark, sf_dir, "customer"), F.col("c_custkey")
+    cell = lambda v: F.struct(v.alias("value"))
+    none = F.lit(None).cast("string")
+    r = c.select(k.cast("string").alias("record_id"), k.cast("string").alias("employee_number"), F.struct(cell(k.cast("string")).alias("employeeNumber"), cell(F.when(k % 7 != 0, F.lit("x@y.z"))).alias("email"), cell(F.when(k % 5 == 0, F.lit("")).when(k % 11 == 0, none).otherwise(F.col("c_mktsegment"))).alias("status")).alias("cells"), (k % 13 == 0).alias("excluded"))
+    skip = c.filter(k % 3 == 0).select(k.cast("string").alias("record_id"))
+    e = escalations.validate(r, skip, Config(fields=fields))
+    return e.select("record_id", "field", F.get("evidence", F.lit(0)).alias("evidence"), "confidence")
+
+
+def date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that ship before their order, by priority."""
+    o, line = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority"), _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
+    late = line.join(o, line.l_orderkey == o.o_orderkey).filter(F.date_format("o_orderdate", "yyyy-MM-dd") > F.date_format("l_shipdate", "yyyy-MM-dd"))
+    return late.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+def required_without_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required fields that the profiled columns don't feed."""
+    m = mapping.propose(_profile(spark, sf_dir))
+    return escalations.required_without_source(m).select("kind", "field", "confidence", F.size("options").cast("long").alias("n_options"))
+
+
+def skip_set_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without orders, an anti join."""
+    c, o = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "orders")
+    return c.select("c_custkey", "c_mktsegment").join(o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+def escalation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open ones by kind, with labels."""
+    kinds = list(KIND_LABELS)
+    e = _read(spark, sf_dir, "orders").select(F.get(F.array(*[F.lit(k) for k in kinds]), (F.col("o_orderkey") % len(kinds)).cast("int")).alias("kind"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("status"))
+    return escalations.summary(e)
+
+
+def _pushed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c, k = _read(spark, sf_dir, "customer"), F.col("c_custkey")
+    number = F.when(k % 9 == 0, k - 1).otherwise(k).cast("string")
+    r = c.select(F.lpad(k.cast("string"), 12, "0").alias("record_id"), number.alias("employee_number"), F.when(k % 10 == 3, "failed").alias("push_status"), (k % 17 == 0).alias("excluded"), F.when(k % 7 == 0, F.lit("")).otherwise(F.col("c_mktsegment")).alias("segment"))
+    target = c.filter(k % 10 == 5).select(k.cast("string").alias("employee_number"))
+    calls = c.filter(k % 10 == 3).select(F.lpad(k.cast("string"), 12, "0").alias("record_id"), number.alias("employee_number"), F.lit(422).alias("status"))
+    return r, target, calls
+
+
+def push_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A push of all customers to a target that holds some."""
+    r, target, calls = _pushed(spark, sf_dir)
+    out = sink.push(r, ["segment"], target, calls)
+    return out.select("record_id", "employee_number", F.col("attempt").cast("long").alias("attempt"), "status", "ok")
+
+
+def push_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending records' push by status."""
+    r, target, calls = _pushed(spark, sf_dir)
+    return sink.outcome(sink.push(sink.pending(r, True), ["segment"], target, calls))
+
+
+def rollback_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: what the target holds after a batch is taken back."""
+    c, k = _read(spark, sf_dir, "customer"), F.col("c_custkey")
+    r = c.select(k.cast("string").alias("record_id"), k.cast("string").alias("employee_number"), F.when(k % 3 == 0, "success").otherwise("failed").alias("push_status"))
+    _, left, _ = sink.rollback(r, c.filter(k % 2 == 0).select(k.cast("string").alias("employee_number"), "c_mktsegment"))
+    return left.select("employee_number", "c_mktsegment")
+
+
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: the last order of each customer."""
+    o = store.latest(_read(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
+    return o.select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+def recent_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H4: the twelve newest jobs; the limit is the feature."""
+    o = _read(spark, sf_dir, "orders")
+    jobs = o.select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("client_name"), F.col("o_orderstatus").alias("status"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("created_at"))
+    return store.recent_jobs(jobs)
+
+
+def event_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H6: the log's last eighty events; the limit is the feature."""
+    e = _read(spark, sf_dir, "events").withColumn("seq", F.col("event_id"))
+    return store.recent_events(e).select("event_id", "event_type")
+
+
+def currency_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with a pay and no currency."""
+    c = _read(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    pay, currency = F.when(k % 3 != 0, F.floor("c_acctbal").cast("long").cast("string")), F.when(k % 4 == 0, F.lit("usd"))
+    s = merge.Source(c.select(k.cast("string").alias("id"), pay.alias("pay"), currency.alias("cur"), k.alias("row_idx")), 0, "a", (("id", "employeeNumber"), ("pay", "ctcAnnual"), ("cur", "currency")))
+    r = merge.merge_sources([s], MERGE)
+    return r.select(F.col("employee_number").cast("long").alias("c_custkey"), F.coalesce("cells.currency.value", F.lit("")).alias("currency"), F.col("cells.currency.confidence").alias("confidence"))
+
+
+def delta_rule_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix rule shows if three rows have it."""
+    s = _read(spark, sf_dir, "supplier")
+    cells = profile.long_cells(s.select(F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("apx-"), F.col("s_suppkey").cast("string"))).otherwise("x").alias("id"), F.col("s_suppkey").alias("row_idx")), 0, "s")
+    return escalations.delta_rules(cells).select("title", "applies_to", "origin")
+
+
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: documents to text and back."""
+    e = _read(spark, sf_dir, "events")
+    back = F.from_json(F.to_json(F.from_json("props", "k long")), "k long")
+    return e.select("event_id", back["k"].alias("k"))
+
+
+def clean_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged records without a flag."""
+    r = escalations.clean_records(merge.merge_sources(_sources(spark, sf_dir), MERGE))
+    return r.select(F.col("employee_number").alias("employeeNumber"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return merge_sources(spark, sf_dir)
+
+
+ALL: tuple[Query, ...] = (
+    normalize_text, token_overlap, header_similarity_topk, title_case, name_split, blank_filter, number_parse, money_format, email_clean,
+    phone_clean, employee_id, date_parse_mixed, enum_map_unknown, profile_columns, map_columns, map_decision, merge_sources, conflict_escalations,
+    exact_dedupe, fuzzy_pairs, missing_required, date_order, required_without_source, skip_set_validation, escalation_summary, push_status,
+    push_outcome, rollback_net, upsert_latest, recent_topk, event_ring, currency_default, delta_rule_threshold, json_roundtrip, clean_records,
+)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {q.__name__: q for q in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -46,6 +46,9 @@ FLUSH = 2_000_000
 #: Bytes of text that are worked on at once.
 SLICE = 2 << 20
 TOKEN_BYTES = 5
+#: Words of parity bits of each set.
+BITS = 8
+_BITS = [f"w{k}" for k in range(BITS)]
 
 U = np.uint64
 
@@ -81,6 +84,22 @@ def node_names(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix64(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(U) * U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def parities(tokens: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """64 * BITS bits of each set, in words: the parity of its tokens in each bit. Of two sets no more bits differ than
+    tokens do."""
+    n, wide = len(at) - 1, 64 * BITS
+    of = np.repeat(np.arange(n), np.diff(at))
+    odd = np.bincount(of * wide + (mix64(tokens) % U(wide)).astype(np.int64), minlength=n * wide) & 1
+    words = np.packbits(odd.astype(np.uint8).reshape(n, wide), axis=1, bitorder="little").view(np.int64)
+    return [np.ascontiguousarray(words[:, k]) for k in range(BITS)]
+
+
+def near(x: str, y: str, x_size: Column, y_size: Column, percent: int) -> Column:
+    """False for sets whose parities differ in more bits than the tokens of linked sets of these sizes can."""
+    differ = sum((F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in _BITS), F.lit(0))
+    return differ * (100 + percent) <= (x_size + y_size) * (100 - percent)
+
+
 def squeeze(values: np.ndarray) -> bytes:
     """Bytes of integers, plane by plane, deflated; of sorted ones pass the differences."""
     return zlib.compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
@@ -118,9 +137,9 @@ def first_scan(docs: DataFrame, words: int, bits: int, part_bits: int) -> DataFr
             parts = [p for p in range(1 << part_bits) if edge[p + 1] > edge[p]]
             packed = [squeeze(np.diff(slots[edge[p] : edge[p + 1]], prepend=U(p) << U(bits - part_bits)).astype(np.uint32)) for p in parts]
             none = pa.nulls(len(parts))
-            return pa.RecordBatch.from_arrays([pa.array([1] * len(parts), pa.int32()), none.cast(id_type), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array([1] * len(parts), pa.int32()), none.cast(id_type), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(parts, pa.int32()), pa.array(packed, pa.binary()), *[none.cast(pa.int64())] * BITS], names)
 
-        names = ["kind", "doc_id", "n", "node", "part", "packed"]
+        names = ["kind", "doc_id", "n", "node", "part", "packed", *_BITS]
         id_type = None
         for batch in batches:
             for rows in slices(batch, most=SLICE):
@@ -128,7 +147,7 @@ def first_scan(docs: DataFrame, words: int, bits: int, part_bits: int) -> DataFr
                 id_type = ids.type
                 tokens, at = token_sets(texts, words)
                 none = pa.nulls(len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), ids, pa.array(np.diff(at)), pa.array(node_names(tokens, at)), none.cast(pa.int32()), none.cast(pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), ids, pa.array(np.diff(at)), pa.array(node_names(tokens, at)), none.cast(pa.int32()), none.cast(pa.binary()), *map(pa.array, parities(tokens, at))], names)
                 held.append(tokens >> U(64 - bits))
                 if sum(map(len, held)) >= FLUSH:
                     yield flush()
@@ -136,7 +155,7 @@ def first_scan(docs: DataFrame, words: int, bits: int, part_bits: int) -> DataFr
             yield flush()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(work, f"kind int, doc_id {kind}, n long, node long, part int, packed binary")
+    return docs.mapInArrow(work, f"kind int, doc_id {kind}, n long, node long, part int, packed binary, " + ", ".join(f"{b} long" for b in _BITS))
 
 
 def frequent_slots(packed: DataFrame, bits: int, part_bits: int, rare: int) -> bytes:
@@ -396,22 +415,32 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def across(lists: DataFrame, labels: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one member list in different components that fit by size and were not tested."""
+def across(lists: DataFrame, labels: DataFrame, tested: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one member list in different components that can link by size and parity and were not tested."""
     member = lists.join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", "b", "size", F.coalesce("label", "b").alias("label"))
     member = Table(member, "members").df
     mixed = member.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("a")
-    open_ = Table(member.join(mixed, "a", "left_semi"), "open").df
+    bits = names.select(F.col("node").alias("b"), *_BITS)
+    open_ = Table(member.join(mixed, "a", "left_semi").join(bits, "b"), "open").df
     major = open_.groupBy("a", "label").count().groupBy("a").agg(F.max(F.struct("count", "label")).alias("m")).select("a", F.col("m.label").alias("major"))
     tagged = open_.join(major, "a")
-    minor = tagged.filter(F.col("label") != F.col("major")).select("a", F.col("b").alias("x"), F.col("size").alias("xs"), F.col("label").alias("xl"))
-    every = tagged.select("a", F.col("b").alias("y"), F.col("size").alias("ys"), F.col("label").alias("yl"), F.col("major"))
+    side = lambda p: [F.col("b").alias(p), F.col("size").alias(f"{p}s"), F.col("label").alias(f"{p}l"), *[F.col(w).alias(f"{p}_{w}") for w in _BITS]]
+    minor = tagged.filter(F.col("label") != F.col("major")).select("a", *side("x"))
+    every = tagged.select("a", *side("y"), "major")
     fit = (F.col("xl") != F.col("yl")) & (100 * F.least("xs", "ys") >= percent * F.greatest("xs", "ys")) & ((F.col("yl") == F.col("major")) | (F.col("x") < F.col("y")))
-    pairs = minor.join(every, "a").filter(fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    fit = fit & near("x_", "y_", F.col("xs"), F.col("ys"), percent)
+    pairs = minor.join(every, (minor["a"] == every["a"]) & fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
+def likely(pairs: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+    """Pairs that can link by parity."""
+    side = lambda k, p: names.select(F.col("node").alias(k), F.col("n").alias(f"{p}n"), *[F.col(w).alias(f"{p}_{w}") for w in _BITS])
+    met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return met.filter(near("x_", "y_", F.col("xn"), F.col("yn"), percent)).select("a", "b")
+
+
 def join_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n, node), (labels: node, label), of which a node without a link has none."""
     docs = docs.select("doc_id", text_of(docs).alias("text"))
@@ -419,18 +448,18 @@ def join_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCEN
     bits = min(MOST_BITS, max(20, power(total // 6 + 1)))
     part_bits = min(17, bits - 4, max(6, power(total // PART_BYTES + 1)))
     first = Table(first_scan(docs, words, bits, part_bits), "scan").df
-    rows = first.filter("kind = 0").select("doc_id", "n", "node")
+    rows = first.filter("kind = 0").select("doc_id", "n", "node", *_BITS)
     marks = frequent_slots(first.filter("kind = 1"), bits, part_bits, rare)
     found = Table(pairs_of(second_scan(docs, words, percent, marks, bits, part_bits), percent, part_bits), "pairs").df
     tested = Table(found.filter("kind = 0").select("a", "b").distinct(), "tested").df
-    names = Table(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "names").df
-    links = _linked(docs, tested, names, words, percent)
+    names = Table(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in _BITS]), "names").df
+    links = _linked(docs, Table(likely(tested, names, percent), "likely").df, names, words, percent)
     labels = components(links)
     lists = found.filter("kind = 1").select("a", "b", "size").distinct()
-    rest = Table(across(lists, labels, tested, percent), "rest").df
+    rest = Table(across(lists, labels, tested, names, percent), "rest").df
     if not rest.isEmpty():
         labels = components(links.unionByName(_linked(docs, rest, names, words, percent)))
-    return rows, labels
+    return rows.drop(*_BITS), labels
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, names: DataFrame, words: int, percent: int) -> DataFrame:

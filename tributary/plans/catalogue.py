@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tributary.config import KIND_LABELS, Config, Field
 from tributary.functions import clean, dates, text
+from tributary.functions.cut import cut
 from tributary.operators import duplicates, escalations, mapping, merge, profile, sink, store
 from tributary.plans.oracle import ORACLES
 
@@ -191,7 +192,7 @@ def merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conflict_escalations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conflicts of the merged records by kind and field."""
-    e = escalations.conflicts(merge.merge_sources(_sources(spark, sf_dir), MERGE), MERGE)
+    e = escalations.conflicts(cut(merge.merge_sources(_sources(spark, sf_dir), MERGE), "records"), MERGE)
     return e.groupBy(text.labelled(F.col("kind"), KIND_LABELS).alias("label"), "field").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("options")).alias("n_options"), F.max("confidence").alias("confidence"))
 
 

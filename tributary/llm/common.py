@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -175,3 +176,12 @@ def ascii_set(chars: str) -> np.ndarray:
 
 
 IS_SPACE = ascii_set(SPACES)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on between tasks, and allocators keep what large arrays left."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return

@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import _TABLE, Table, _power, bytes_of, columns, mix64, slices, text_of
+from tributary.llm.common import _TABLE, Table, _power, bytes_of, columns, give_back, mix64, slices, text_of
 from tributary.llm.ngram_join import cut, expand, id_bits, power, squeeze
 
 WINDOW = 50
 ANCHOR = 24
-BLOCK = 1 << 20
-FLUSH = 3_000_000
-CUTS = 20_000
+BLOCK = 500_000
+FLUSH = 1_500_000
+CUTS = 12_000
 PART_BYTES = 4 << 20
 MOST_BITS = 30
 HASH_BITS = 48
@@ -158,6 +158,7 @@ def _texts(batches: Iterator[pa.RecordBatch], wanted: bytes) -> Iterator[tuple[p
         for rows in slices(batch.filter(pa.array(keep)) if not keep.all() else batch, most=BLOCK):
             (texts,) = columns(rows, "text")
             yield rows, *bytes_of(texts)
+        give_back()
 
 
 def covered_windows(docs: DataFrame, wanted: bytes, marks: bytes, bits: int, part_bits: int, window: int) -> DataFrame:
@@ -238,6 +239,7 @@ def covered_windows(docs: DataFrame, wanted: bytes, marks: bytes, bits: int, par
                 held.append(packed[int(i)].as_py())
         if held:
             yield _settled(held, part, part_bits, window)
+        give_back()
 
     sent = docs.mapInArrow(gather, "kind int, part int, packed binary, doc_id long, th long, at long, mask long")
     return sent.repartition(1 << part_bits, "part").sortWithinPartitions("part").mapInArrow(settle, "doc_id long, th long, at long, mask long")

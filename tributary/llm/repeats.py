@@ -34,9 +34,9 @@ from tributary.llm.ngram_join import cut, expand, id_bits, power, squeeze
 
 WINDOW = 50
 ANCHOR = 24
-BLOCK = 500_000
+BLOCK = 300_000
 FLUSH = 1_500_000
-CUTS = 12_000
+CUTS = 8_000
 PART_BYTES = 4 << 20
 MOST_BITS = 30
 HASH_BITS = 48
@@ -235,6 +235,7 @@ def covered_windows(docs: DataFrame, wanted: bytes, marks: bytes, bits: int, par
                 if p != part and held:
                     yield _settled(held, part, part_bits, window)
                     held = []
+                    give_back()
                 part = p
                 held.append(packed[int(i)].as_py())
         if held:
@@ -311,7 +312,7 @@ def _settled(held: list[bytes], part: int, part_bits: int, window: int) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (doc, th, at, mask)], ["doc_id", "th", "at", "mask"])
 
 
-def _chunks(h: np.ndarray, most: int = 20_000) -> Iterator[slice]:
+def _chunks(h: np.ndarray, most: int = 10_000) -> Iterator[slice]:
     """Runs of whole groups of about `most` entries."""
     a = 0
     while a < len(h):

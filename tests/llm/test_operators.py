@@ -130,6 +130,15 @@ def test_pages(spark):
     assert {r["page_id"]: r["text"] for r in joined} == got
 
 
+def test_pages_templates_reach_into_articles(spark):
+    body = lambda i: f"<html><body><div>Site</div><article><h1>T {i}</h1><p>text {i}</p><p>Thanks for reading us</p></article></body></html>"
+    teaser = "<html><body><div>the text</div><div class='related'><article>teaser</article></div></body></html>"
+    only = "<html><body><div>Site</div><div>the text</div><article><p>Thanks for reading us</p></article></body></html>"
+    rows = [*[(i, f"http://a.b/{i}", body(i)) for i in range(10)], (20, "http://c.d/", teaser), (21, "http://a.b/x", only)]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "T 3\ntext 3" and got[20] == "the text" and got[21] == "the text"
+
+
 @pytest.mark.parametrize("rare", [24, 0])
 def test_ngram_join(spark, corpus, rare):
     want = ngram_join.brute_force([(d, t) for d, t, _ in corpus])

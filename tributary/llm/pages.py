@@ -5,8 +5,9 @@ a host, each token has an occurrence vector (how often each page holds it), kept
 is shuffled. Tokens with equal vectors form an equivalence class. Classes that nearly all distinct pages of the host
 hold, once each, are valid; they nest by the order in which their tokens stand, and together are the host's template.
 What a page has between template tokens are its slots: blocks of text that are no template token, outside elements
-that by name are menus, headers, footers, sidebars, notices, adverts, forms or comments. Where a page marks its article,
-the slots within are the text, and text within it is never taken for template.
+that by name are menus, headers, footers, sidebars, notices, adverts, forms or comments. Template text goes inside articles
+as outside. One tag rule remains: where slots within marked articles that are no noise hold text, slots outside are
+left out.
 
 Templates are broadcast only if they are few (BROADCAST_TOKENS over all hosts); else pages meet them in a join on the
 host, which adaptive execution splits where a host is hot.
@@ -116,9 +117,7 @@ def occurrences(source: str) -> dict[int, tuple[int, int, bool]]:
     """token: how often the page holds it, where first, and whether it is text."""
     count: Counter = Counter()
     first: dict[int, tuple[int, bool]] = {}
-    for i, (kind, path, _, inside, what) in enumerate(read_page(source)):
-        if kind == "text" and inside:
-            continue
+    for i, (kind, path, _, _, what) in enumerate(read_page(source)):
         t = token_of(kind, path, what)
         count[t] += 1
         first.setdefault(t, (i, kind == "text"))
@@ -174,16 +173,10 @@ def deduce_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_sha
 def main_text(source: str | None, template: frozenset[int] | set[int]) -> str:
     """The blocks that fill the template's slots, one to a line."""
     marked, other = [], []
-    found_article = False
     for kind, path, noise, inside, what in read_page(source or ""):
-        found_article |= inside
-        if kind == "tag" or noise:
-            continue
-        if inside:
-            marked.append(what)
-        elif token_of(kind, path, what) not in template:
-            other.append(what)
-    return "\n".join(marked if found_article else other)
+        if kind == "text" and not noise and token_of(kind, path, what) not in template:
+            (marked if inside else other).append(what)
+    return "\n".join(marked or other)
 
 
 def extract(pages: DataFrame, *, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:

@@ -139,6 +139,15 @@ def test_pages_templates_reach_into_articles(spark):
     assert got[3] == "T 3\ntext 3" and got[20] == "the text" and got[21] == "the text"
 
 
+def test_pages_names_of_wrappers():
+    text = lambda s: pages.main_text(s, frozenset())
+    for opens in ("<body class='single no-sidebar'>", "<body class='comments-open'>", "<body class='sidebar'>", "<div class='layout with-sidebar'>", "<div id='header-and-content'>"):
+        assert text(f"{opens}<div>the text</div>") == "the text" == text(f"{opens}<article>the text</article>")
+    assert text("<div class='header'><article>the text</article></div><p>end") == "the text\nend"
+    assert text("<div>the text</div><div class='related'><article>teaser</article></div>") == "the text"
+    assert text("<div>t</div><div class='site-footer'>a</div><div class='x ad'>b</div><div id='sidebar-left'>c</div><div aria-label='Main navigation'>d</div>") == "t"
+
+
 @pytest.mark.parametrize("rare", [24, 0])
 def test_ngram_join(spark, corpus, rare):
     want = ngram_join.brute_force([(d, t) for d, t, _ in corpus])

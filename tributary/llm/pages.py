@@ -5,9 +5,10 @@ a host, each token has an occurrence vector (how often each page holds it), kept
 is shuffled. Tokens with equal vectors form an equivalence class. Classes that nearly all distinct pages of the host
 hold, once each, are valid; they nest by the order in which their tokens stand, and together are the host's template.
 What a page has between template tokens are its slots: blocks of text that are no template token, outside elements
-that by name are menus, headers, footers, sidebars, notices, adverts, forms or comments. Template text goes inside articles
-as outside. One tag rule remains: where slots within marked articles that are no noise hold text, slots outside are
-left out.
+that by name are menus, headers, footers, sidebars, notices, adverts, forms or comments. A name is judged whole, that of the
+body never counts, and names around all of a page's articles don't count where they would drop most of its text.
+Template text goes inside articles as outside. One tag rule remains: where slots within marked articles that are no
+noise hold text, slots outside are left out.
 
 Templates are broadcast only if they are few (BROADCAST_TOKENS over all hosts); else pages meet them in a join on the
 host, which adaptive execution splits where a host is hot.
@@ -22,6 +23,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -38,7 +40,7 @@ PIECE = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""",
     re.S | re.I,
 )
-NAMED = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+NAMED = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 
 # Elements by what they do to text.
@@ -53,24 +55,67 @@ NOISE_NAMES = frozenset(
     "footer header masthead menu modal nav navbar navigation newsletter notice overlay pagination pager popup promo promotion related replies "
     "respond share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar topbar widget".split()
 )
+#: Words that leave a compound name what its other words make it: "site-footer" and "sidebar-left" are noise, "no-sidebar" isn't.
+PLACES = frozenset("bar block bottom box global left link links list main page primary right secondary section site slot top".split())
 ARTICLE_NAMES = frozenset("articlebody main".split())
 
 
-def _is_noise(name: str, words: list[str], in_article: bool) -> bool:
-    if name in NOISE or name == "header" and not in_article:
-        return True
-    return any(w in NOISE_NAMES and not (in_article and w == "header") for w in words)
-
-
-def read_page(source: str) -> Iterator[tuple[str, str, bool, bool, str]]:
+def _is_name_noise(names: list[str], in_article: bool) -> bool:
+    """Whether a name as a whole means noise: all its words do, but for those of place."""
+    for name in names:
+        words = [w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()]
+        telling = [w for w in words if w in NOISE_NAMES and not (in_article and w == "header")]
+        if telling and all(w in NOISE_NAMES or w in PLACES for w in words):
+            return True
+    return False
+
+
+class Holder(NamedTuple):
+    name: str
+    path: str
+    parent: int
+    by_tag: bool
+    by_name: bool  # noise by a name word
+    inside: bool
+
+
+def _settled(holders: list[Holder], items: list[tuple[str, int, str]]) -> tuple[list[bool], list[bool]]:
+    """Of each holder whether it is noise and whether its text rules out text outside articles.
+
+    Where names alone would drop all articles and more text than stays, names of elements around articles don't count.
+    """
+
+    def noise_but(spared: set[int]) -> list[bool]:
+        noise = [False]
+        for k, h in enumerate(holders[1:], 1):
+            noise.append(h.name != "body" and (noise[h.parent] or h.by_tag or h.by_name and k not in spared))
+        return noise
+
+    noise, inside = noise_but(set()), [h.inside for h in holders]
+    marks = [k for k, h in enumerate(holders) if h.inside and not holders[h.parent].inside]
+    if marks and all(noise[k] for k in marks):
+        spared: set[int] = set()
+        for k in marks:
+            while (k := holders[k].parent) > 0:
+                spared.add(k)
+        less = noise_but(spared)
+        won = sum(len(what) for kind, k, what in items if kind == "text" and noise[k] and not less[k] and inside[k])
+        if won > sum(len(what) for kind, k, what in items if kind == "text" and not noise[k]):
+            return less, [False] * len(holders)
+    return noise, inside
+
+
+def read_page(source: str) -> list[tuple[str, str, bool, bool, str]]:
     """("tag" or "text", path, noise, in an article, tag or block of text), in page order."""
-    holders: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    holders, stack = [Holder("", "", 0, False, False, False)], [0]
+    items: list[tuple[str, int, str]] = []
     held: list[str] = []
 
-    def block() -> str:
+    def block() -> None:
         text = WHITE.sub(" ", html.unescape("".join(held))).strip(" ")
         held.clear()
-        return text
+        if text:
+            items.append(("text", stack[-1], text))
 
     at = 0
     for m in PIECE.finditer(source):
@@ -83,26 +128,28 @@ def read_page(source: str) -> Iterator[tuple[str, str, bool, bool, str]]:
             held.append(" ")
             continue
         if name in BLOCKS:
-            _, path, noise, inside = holders[-1]
-            if text := block():
-                yield "text", path, noise, inside, text
+            block()
             if name in HOLDERS:
                 if m[2]:
-                    for k in range(len(holders) - 1, 0, -1):
-                        if holders[k][0] == name:
-                            del holders[k:]
+                    for k in range(len(stack) - 1, 0, -1):
+                        if holders[stack[k]].name == name:
+                            del stack[k:]
                             break
                 elif not m[4].endswith("/"):
-                    words = re.split(r"[^a-z0-9]+", " ".join("".join(x) for x in NAMED.findall(m[4])).lower()) if m[4] else []
-                    inner = inside or name in ("article", "main") or any(w in ARTICLE_NAMES for w in words)
-                    path = f"{path}/{name}" + "".join(f".{w}" for w in words if w and not w.isdigit())
-                    noise = noise or _is_noise(name, words, inside)
-                    holders.append((name, path, noise, inner))
-            yield "tag", holders[-1][1], noise, inside, ("/" if m[2] else "") + name
+                    up = holders[stack[-1]]
+                    given = [(x[0].lower(), "".join(x[1:]).lower()) for x in NAMED.findall(m[4])] if m[4] else []
+                    words = re.split(r"[^a-z0-9]+", " ".join(value for _, value in given))
+                    names = [x for kind, value in given for x in ([value] if kind == "aria-label" else value.split())]
+                    inner = up.inside or name in ("article", "main") or any(w in ARTICLE_NAMES for w in words)
+                    path = f"{up.path}/{name}" + "".join(f".{w}" for w in words if w and not w.isdigit())
+                    by_tag = name in NOISE or name == "header" and not up.inside
+                    holders.append(Holder(name, path, stack[-1], by_tag, _is_name_noise(names, up.inside), inner))
+                    stack.append(len(holders) - 1)
+            items.append(("tag", stack[-1], ("/" if m[2] else "") + name))
     held.append(source[at:])
-    _, path, noise, inside = holders[-1]
-    if text := block():
-        yield "text", path, noise, inside, text
+    block()
+    noise, inside = _settled(holders, items)
+    return [(kind, holders[k].path, noise[k], inside[k], what) for kind, k, what in items]
 
 
 def _hash(*parts: str) -> int:

@@ -155,6 +155,14 @@ def test_ngram_join(spark, corpus, rare):
     assert got == want
 
 
+def test_hub_after_its_copy(spark):
+    text = "a b c d e f g"
+    docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string").coalesce(1)
+    wanted = spark.createDataFrame([(0, False), (39, True), (38, True)], "doc_id long, is_hub boolean")  # copies of one set, the first not as hub
+    sets = ngram_join.read_sets(docs, wanted, 5).collect()
+    assert [r["is_hub"] for r in sets] == [False, True] and len({r["node"] for r in sets}) == 1
+
+
 def test_toxicity():
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("aeinrst", k=rng.randint(3, 7)))

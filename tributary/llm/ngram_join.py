@@ -358,14 +358,15 @@ def id_bits(ids: DataFrame, bits: int = 24) -> bytes:
 def read_sets(docs: DataFrame, wanted: DataFrame, words: int, bits: int = 24) -> DataFrame:
     """node, tokens (TOKEN_BYTES each, sorted), is_hub of wanted(doc_id, is_hub), and of a few more that share their bits.
 
-    The bit tables choose the documents while they are read, so no text moves; a set says itself which node it is.
+    The bit tables choose the documents while they are read, so no text moves; a set says itself which node it is. A node
+    that a copy brought in without the hub's bit comes again when a document with that bit turns up.
     """
     ids = [id_bits(wanted, bits), id_bits(wanted.filter("is_hub"), bits)]
     shared = docs.sparkSession.sparkContext.broadcast(ids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, hubs = (np.frombuffer(x, np.uint8) for x in shared.value)
-        met: set[int] = set()
+        met: dict[int, bool] = {}  # whether the node went out as hub
         on = lambda table, s: (table[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
         for batch in batches:
             (slot,) = columns(batch, "slot")
@@ -380,7 +381,11 @@ def read_sets(docs: DataFrame, wanted: DataFrame, words: int, bits: int = 24) ->
                 tokens, at = token_sets(texts, words)
                 node = node_names(tokens, at)
                 low = np.ascontiguousarray((tokens >> U(24)).view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES])
-                new = [i for i in range(len(node)) if at[i + 1] > at[i] and not (node[i] in met or met.add(node[i]))]
+                new = []
+                for i, (name, hub) in enumerate(zip(node.tolist(), is_hub.to_pylist())):
+                    if at[i + 1] > at[i] and (name not in met or hub and not met[name]):
+                        met[name] = hub
+                        new.append(i)
                 sets = [low[at[i] : at[i + 1]].tobytes() for i in new]
                 yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(sets, pa.binary()), is_hub.take(pa.array(new, pa.int64()))], ["node", "tokens", "is_hub"])
 

@@ -93,6 +93,15 @@ def test_pii(spark):
     assert {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in rows} == {1: (3, 1, 1, 1), 2: (0, 0, 0, 0), 3: (0, 0, 0, 0)}
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 6, 12, 20, 200])
+def test_a_cue_reaches_every_mention(n):
+    later = lambda i: "Novak went there again." if i % 3 == 2 else "we think that Novak saw it."
+    text = "The note says contact Novak at once. " + " ".join(later(i) for i in range(1, n))
+    assert [text[a:b] for _, a, b in pii.find(text)[1]] == ["Novak"] * n
+    text = "the end and the name The " + "the one. The next. " * n
+    assert len(pii.find(text)[1]) <= 2
+
+
 def test_lines(spark, corpus):
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
     split = {d: (t or "").split("\n") for d, t, _ in corpus}

@@ -1,9 +1,13 @@
 """Personal data: patterns for the plain kinds, and a skip-chain conditional random field for names near them.
 
-The field has a label (name or other) for each token. Neighbours share a chain potential; capitalised tokens that are
-equal, or alike in their first letters, share a skip potential with the one before them in the document, however far.
-Loopy message passing makes labels agree across the document, so a name that a cue gives away once is found wherever
-it returns. Its node weights are trained here on generated sentences; it runs on documents that hold a cue, as without
+The field has a label (name or other) for each token. Neighbours share a chain potential; all mentions of a capitalised
+token share a skip potential with one hidden node, however far apart they are, so edges stay linear. That node takes
+over what speaks for or against a name at its mentions: once one of them leans to `name`, the disjunction of their
+features, else the best of them; what chains tell it counts as their mean. So mentions without a cue don't outvote
+one. Tokens alike in their first letters are tied more weakly,
+by these nodes. Loopy message passing makes labels agree across the document, so a name that a cue gives away once is
+found wherever it returns. A token found more often in lower case than capitalised is no name by its hidden node: it
+has a skip edge to its previous mention only, as one cue before "The" would else label each. Its node weights are trained here on generated sentences; it runs on documents that hold a cue, as without
 one no node leans to `name` and the outcome is known.
 
 Defined results: a null text counts as empty and has no span; failing matches are dropped without another try inside
@@ -13,6 +17,7 @@ them; a document of any length takes time in proportion to its tokens.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -82,6 +87,8 @@ TOKEN = re.compile(r"[^\W\d_]+")
 CUES = frozenset("name named contact mr mrs ms dr prof attn signed sincerely regards".split())
 CUE_NEEDLES = [w.encode() for w in sorted(CUES)]
 CHAIN, SKIP_SAME, SKIP_ALIKE = 0.6, 1.6, 0.8
+#: Between a mention and its token's hidden node: beyond what any chain can tell a mention.
+TIE = 12.0
 ROUNDS = 8
 
 
@@ -128,8 +135,9 @@ def weights() -> np.ndarray:
     return w
 
 
-def pass_messages(node: np.ndarray, edges: np.ndarray, strength: np.ndarray) -> np.ndarray:
-    """Log odds of `name` at each node after loopy sum-product rounds over edges (m, 2) that favour equal labels."""
+def pass_messages(node: np.ndarray, edges: np.ndarray, strength: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Log odds of `name` at each node after loopy sum-product rounds over edges (m, 2) that favour equal labels; share:
+    what a message to the second node of an edge counts for there."""
     if not len(edges):
         return node
     a, b = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
@@ -137,12 +145,13 @@ def pass_messages(node: np.ndarray, edges: np.ndarray, strength: np.ndarray) ->
     m = len(edges)
     back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
     message = np.zeros(2 * m)
+    counts = np.concatenate([share, np.ones(m)])
     for _ in range(ROUNDS):
-        belief = node + np.bincount(b, message, len(node))
-        into = belief[a] - message[back]
+        belief = node + np.bincount(b, counts * message, len(node))
+        into = belief[a] - (counts * message)[back]
         new = 2 * np.arctanh(np.clip(t * np.tanh(np.clip(into, -20, 20) / 2), -0.999999, 0.999999))
         message = 0.5 * message + 0.5 * new
-    return node + np.bincount(b, message, len(node))
+    return node + np.bincount(b, counts * message, len(node))
 
 
 def names(text: str, base: list[Span]) -> list[Span]:
@@ -163,28 +172,45 @@ def names(text: str, base: list[Span]) -> list[Span]:
             parts.update(p for p in re.split(r"[^a-z]+", text[a : text.index("@", a)].lower()) if len(p) > 2)
     if parts:
         address = np.array([w.lower() in parts for w in words])
-    node = features(words, opens, list(near), list(address)) @ weights()
+    seen = features(words, opens, list(near), list(address))
+    node = seen @ weights()
     node[covered] = -20
-    cap = [w[:1].isupper() and w[1:].islower() and not c for w, c in zip(words, covered)]
-    edges, strength = [], []
-    last: dict[str, int] = {}
-    for i, w in enumerate(words):
-        if not cap[i]:
-            continue
-        if i and cap[i - 1] and not opens[i]:
-            edges.append((i - 1, i))
-            strength.append(CHAIN)
-        same, alike = f"={w}", f"~{w[:4]}"
-        if same in last:
-            edges.append((last[same], i))
-            strength.append(SKIP_SAME)
-        elif len(w) >= 6 and alike in last:
-            edges.append((last[alike], i))
-            strength.append(SKIP_ALIKE)
-        last[same] = last[alike] = i
     if not (node > 0).any():
         return []
-    odds = pass_messages(node, np.array(edges, np.int64).reshape(-1, 2), np.array(strength))
+    cap = [w[:1].isupper() and w[1:].islower() and not c for w, c in zip(words, covered)]
+    edges, strength, share = [], [], []
+
+    def tie(a: int, b: int, with_: float, counts: float = 1.0) -> None:
+        edges.append((a, b))
+        strength.append(with_)
+        share.append(counts)
+
+    mentions: dict[str, list[int]] = {}
+    for i, w in enumerate(words):
+        if cap[i]:
+            if i and cap[i - 1] and not opens[i]:
+                tie(i - 1, i, CHAIN)
+            mentions.setdefault(w, []).append(i)
+    lower = Counter(w for w in words if w.islower())
+    hidden: list[float] = []
+    like: dict[str, int] = {}
+    for w, at_ in mentions.items():
+        if lower[w.lower()] > len(at_):
+            for i, j in zip(at_, at_[1:]):
+                tie(i, j, SKIP_SAME)
+            own = at_[0]
+        elif len(at_) > 1:
+            own = len(words) + len(hidden)
+            best = float(node[at_].max())
+            hidden.append(float(seen[at_].max(0) @ weights()) if best > 0 else best)
+            node[at_] = 0
+            for i in at_:
+                tie(i, own, TIE, 1 / len(at_))
+        else:
+            own = at_[0]
+        if len(w) >= 6 and (first := like.setdefault(w[:4], own)) != own:
+            tie(first, own, SKIP_ALIKE)
+    odds = pass_messages(np.append(node, hidden), np.array(edges, np.int64).reshape(-1, 2), np.array(strength), np.array(share))[: len(words)]
     out: list[Span] = []
     for i in np.flatnonzero(odds > 0):
         if out and i and odds[i - 1] > 0 and out[-1][2] == end[i - 1] and text[end[i - 1] : at[i]].isspace():

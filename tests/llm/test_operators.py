@@ -189,6 +189,13 @@ def test_toxicity():
     assert toxicity.spaced_out("a b l o c k head".split()) == ["ablock"] and toxicity.fit(bags, np.zeros(240, bool)) is None
 
 
+def test_spaced_letters_are_looked_for():
+    texts = ["i d i o t", "i  d  i  o  t", "i d\ni d", "é d é o é t", "say: i\u00a0d\u00a0i\u00a0o", "an i d", "", "a b c", "d e", "plain words", "ï\t\td ï o", "x\x1cy\x1cz\x1cw"]
+    data = [t.encode() for t in texts]
+    look = toxicity.has_single_words(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert look.tolist() == [bool(toxicity.spaced_out(t.lower().split())) for t in texts]
+
+
 def test_toxicity_rows(spark, corpus):
     docs = frame(spark, corpus)
     none = toxicity.score_documents(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import IS_SPACE, bytes_of, columns, slices
+from tributary.llm.common import IS_SPACE, bytes_of, columns, runs, slices
 
 #: Labelled documents that the classifier learns from at most: toxic, clean.
 SAMPLE = (1200, 4800)
@@ -323,6 +323,35 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
     return fit([r[1].split() for r in rows], np.array([r[2] for r in rows], bool))
 
 
+def has_single_words(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each text whether four words in a row can be of one character, as spaced_out() joins them.
+
+    Words are those of str.split(), characters those of UTF-8; texts with white space beyond ASCII always count.
+    """
+    texts = len(starts) - 1
+    blank = IS_SPACE[data] | ((data >= 28) & (data <= 31))  # what str.split() takes for white space
+    first = ~blank & ((data < 128) | (data >= 192))  # where characters begin
+    a, b = runs(~blank, starts)
+    count = np.concatenate([[0], np.cumsum(first)])
+    single = count[b] - count[a] == 1
+    owner = np.searchsorted(starts, a, "right") - 1
+    look = np.zeros(texts, bool)
+    if len(a) > 3:
+        four = single[:-3] & single[1:-2] & single[2:-1] & single[3:] & (owner[:-3] == owner[3:])
+        look[owner[:-3][four]] = True
+    return look | (np.bincount(np.searchsorted(starts, np.flatnonzero(wide_space(data)), "right") - 1, minlength=texts) > 0)
+
+
+def wide_space(data: np.ndarray) -> np.ndarray:
+    """Where a character that can be white space beyond ASCII begins: U+0085, U+00A0, U+1680, U+2000 to U+206F, U+3000."""
+    if len(data) < 2:
+        return np.zeros(len(data), bool)
+    out = np.zeros(len(data), bool)
+    x, y = data[:-1], data[1:]
+    out[:-1] = (x == 0xC2) & ((y == 0x85) | (y == 0xA0)) | (x == 0xE1) & (y == 0x9A) | (x == 0xE2) & ((y == 0x80) | (y == 0x81)) | (x == 0xE3) & (y == 0x80)
+    return out
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of docs and toxicity_score."""
     if model is None:
@@ -336,12 +365,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             for rows in slices(batch):
                 (texts,) = columns(rows, "text")
                 data, starts = bytes_of(texts)
-                space = IS_SPACE[data]
-                single = np.zeros(len(data) + 4, bool)
-                if len(data) > 2:
-                    single[: len(data) - 2] = space[:-2] & ~space[1:-1] & space[2:]
-                look = np.zeros(len(texts), bool)
-                look[np.clip(np.searchsorted(starts, np.flatnonzero(single[:-4] & single[2:-2]), "right") - 1, 0, len(texts) - 1)] = True
+                look = has_single_words(data, starts)
                 bags = [document_words(t or "", bool(q)) for t, q in zip(texts.to_pylist(), look)]
                 if len(cache) > CACHE_WORDS:
                     cache = {}

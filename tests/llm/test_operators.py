@@ -130,6 +130,14 @@ def test_decontaminate(spark, corpus, piece):
     assert decontaminate.remove_spans("One, two three four.", [(1, 3)]) == "One,  four."
 
 
+@pytest.mark.parametrize("piece", [1 << 20, 60])
+def test_decontaminate_keeps_repeated_rows(spark, corpus, piece):
+    rows = [corpus[0], corpus[0], (None, corpus[0][1], "s"), (None, corpus[0][1], "s"), corpus[9]]
+    bench = spark.createDataFrame([(k, corpus[k][1]) for k in (0, 20, 30)], "item_id long, text string")
+    got = decontaminate.judge(frame(spark, rows), bench, piece=piece).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["0", "0", "9", "None", "None"] and len({r["n_hit"] for r in got if r["doc_id"] != 9}) == 1
+
+
 def test_pages(spark):
     body = lambda i: f"<html><head><title>t</title></head><body><header>Site</header><div class='menu'>Home</div><div class='box'><p>Made by us</p><p>text {i} &amp; more<br>x</p></div><div id='comments'><p>no</p></div><script>var a='</p>'</script><footer>f</footer>"
     rows = [(i, f"http://a.b/{i}", body(i)) for i in range(10)] + [(20, None, None), (21, "http://c.d/", "<p>One  two<p>three<form>x</form>"), (22, "http://c.d/", "<nav>n</nav><article><h1>T</h1><p>a&nbsp;b</p><aside>s</aside></article><p>out")]

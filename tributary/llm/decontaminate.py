@@ -141,7 +141,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, piece:
     for more in frames[1:]:
         union = union.unionByName(more)
     merged = union.groupBy("doc_id", "th").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return merged.select("doc_id", "th", "n_words", _joined("all").alias("spans"), "items")
+    merged = merged.select("doc_id", "th", "n_words", _joined("all").alias("spans"), "items").alias("m")
+    rows = docs.select(F.col("doc_id").alias("k_id"), F.xxhash64(F.col("text").cast("string")).alias("k_th"))  # repeated rows each stay
+    return rows.join(merged, F.col("k_id").eqNullSafe(F.col("m.doc_id")) & (F.col("k_th") == F.col("m.th"))).select("m.*")
 
 
 def _joined(name: str):

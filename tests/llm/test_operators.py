@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm import brute
 from tributary.llm import decontaminate, exact, lines, mixing, ngram_join, pages, pii, repeats, secrets, toxicity
+from tributary.llm.components import components
 
 SCHEMA = "doc_id long, text string, source string, size long, kept string, digest string"
 
@@ -121,7 +123,7 @@ def test_lines(spark, corpus):
 def test_decontaminate(spark, corpus, piece):
     items = [(1, corpus[0][1]), (2, "a b"), (3, None), (4, "..."), (5, corpus[0][1]), (10, corpus[20][1][:60])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = decontaminate.brute_force([(d, t) for d, t, _ in corpus], items)
+    want = brute.contamination([(d, t) for d, t, _ in corpus], items)
     got = decontaminate.judge(frame(spark, corpus), bench, piece=piece).collect()
     assert {r["doc_id"]: tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in got} == want
     kept = {r["doc_id"] for r in decontaminate.clean_documents(frame(spark, corpus), bench).collect()}
@@ -167,11 +169,66 @@ def test_pages_names_of_wrappers():
 
 @pytest.mark.parametrize("rare", [24, 0])
 def test_ngram_join(spark, corpus, rare):
-    want = ngram_join.brute_force([(d, t) for d, t, _ in corpus])
+    want = brute.components([(d, t) for d, t, _ in corpus])
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.components_report(frame(spark, corpus), rare=rare).collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("hot", [90, 400])
+def test_ngram_join_hot_groups(spark, hot, monkeypatch):
+    """Near copies that link in chains or not at all, more of them than a block holds, with repeated rows and null ids."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 64)
+    rng = random.Random(hot)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = []
+    for _ in range(2):
+        base = [word() for _ in range(60)]
+        for i in range(hot):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 6])):
+                w[rng.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w)))
+    rows += [rows[5], rows[5], (5, rows[hot + 7][1] + " x y z"), (None, rows[3][1]), (None, "alone in the wide world"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for rare in (24, 2):
+        got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.components_report(docs, rare=rare).collect())
+        want = brute.components([(k, t) for k, (_, t) in enumerate(rows)])
+        ids = {}
+        for k, (n, c) in want.items():
+            if n and rows[k][0] is not None:
+                ids[c] = min(ids.get(c, 1 << 40), rows[k][0])
+        assert got == sorted((str(rows[k][0]), n, str(ids.get(c, None) if n else rows[k][0])) for k, (n, c) in want.items())
+
+
+def test_one_of_each_judges_texts_not_ids(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text), (2, text), (2, "nothing of the kind at all here"), (None, text), (3, None), (3, None)]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == sorted((str(d), str(t)) for d, t in (rows[0], rows[2], rows[4], rows[5]))
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    for links in ([], [(1, 1)], [(i, i + 1) for i in range(300)], [(0, i) for i in range(1, 200)], [(rng.randrange(150), rng.randrange(150)) for _ in range(120)]):
+        up = {v: v for e in links for v in e if e[0] != e[1]}
+        for _ in up:
+            for a, b in links:
+                if a != b:
+                    up[a] = up[b] = min(up[a], up[b])
+        got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert got == up
+
+
+def test_parities_bound_what_differs():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 100, 130, 4000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 2**63, len(s) // 3 + 1).astype(np.uint64)])) for s in sets]
+    bits = ngram_join.parities(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])).to_pylist()
+    pairs = [(i, j) for i in range(8) for j in range(8)]
+    far = ngram_join.differing([bits[i] for i, _ in pairs], [bits[j] for _, j in pairs])
+    assert all(d <= len(np.setxor1d(sets[i], sets[j])) and (i != j or d == 0) for (i, j), d in zip(pairs, far))
+
+
 def test_hub_after_its_copy(spark):
     text = "a b c d e f g"
     docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string").coalesce(1)
@@ -216,7 +273,7 @@ def test_repeats(spark, corpus):
     base = "".join(rng.choices("abcdefgh éñ", k=900))
     more = [(500 + i, "".join(rng.choices("xyz ", k=rng.randint(0, 60))) + base[(a := rng.randint(0, 800)) : a + rng.randint(10, 200)], "s") for i in range(30)]
     rows = [*corpus, *more, (600, "a" * 200, "s"), (601, "a" * 120, "s")]
-    want = repeats.brute_force([(d, t) for d, t, _ in rows])
+    want = brute.repeats([(d, t) for d, t, _ in rows])
     got = {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in repeats.remove_repeats(frame(spark, rows)).collect()}
     assert got == want
 

@@ -77,6 +77,20 @@ def lower_az(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+#: Rows whose ids are broadcast at most; beyond that documents meet them in a join.
+BROADCAST_ROWS = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs whose doc_id and hash of the text aren't among gone(doc_id, th), with all columns, nulls being
+    equal. Few ids are broadcast, so that no text moves; many are shuffled to the documents."""
+    side = gone.select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"))
+    side = F.broadcast(side) if gone.count() <= most else side.hint("merge")
+    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("k_id"), F.xxhash64(text_of(docs)).alias("k_th"))
+    left = row.join(side, F.col("k_id").eqNullSafe(F.col("g_id")) & (F.col("k_th") == F.col("g_th")), "left_anti")
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
 

@@ -187,24 +187,3 @@ def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str:
         out.append(raw[at : a[x]])
         at = b[y - 1]
     return b"".join([*out, raw[at:]]).decode()
-
-
-def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> dict:
-    """doc_id: (n_words, n_hit, n_items, items_sha256, contaminated), by plain search. For tests."""
-    import re
-
-    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: chr(ord(m[0]) + 32), t or ""))
-    out = {}
-    for doc, text in docs:
-        w = words(text)
-        hit, ids = set(), set()
-        for item, t in items:
-            v = words(t)
-            n = min(window, len(v))
-            ways = {tuple(v[k : k + n]) for k in range(len(v) - n + 1)} if n else set()
-            for i in range(len(w) - n + 1 if n else 0):
-                if tuple(w[i : i + n]) in ways:
-                    hit.update(range(i, i + n))
-                    ids.add(str(item))
-        out[doc] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
-    return out

@@ -13,13 +13,15 @@ near the lower bound of its power also indexes itself by the next lower one, so
 common.
 
 Sets that are equal are one node. Signatures travel packed, sorted and cut into parts by their leading bits; a part's
-groups of up to SMALL nodes give all pairs, larger ones give two stars and keep their member list. Pairs are verified on
-whole sets, links joined to components, and member lists whose nodes lie in several components are then compared across
-components in full, which makes the result exact without all pairs of any group.
+groups of up to SMALL nodes give all pairs, larger ones give two stars and keep their member list. Pairs are ruled out by
+size and by parity bits, verified on whole sets, and links joined to components. Nodes of a member list that lie in
+several components are then compared by their bits, block by block; of what may still link a spanning forest is verified,
+and so on in rounds until no untested pair of a list can link. So the result is exact without all pairs of any group.
 
 Defined results: a null text or one without words has size 0 and links with nothing; fewer than `words` words form one
 shingle; repeated rows are equal documents; a null doc_id keeps its size and a null component unless it links; an empty
-table gives an empty result. Hashes have 64 bits; verification compares 40 of each token's.
+table gives an empty result; texts of any length are read whole; other columns, whatever their names, play no part.
+Hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import IS_SPACE, Table, bytes_of, columns, lower_bytes, mix64, range_hashes, runs, slices, text_of
+from tributary.llm.common import IS_SPACE, Table, bytes_of, columns, give_back, lower_bytes, mix64, range_hashes, runs, slices, text_of, without
 from tributary.llm.components import components
 from tributary.llm.decontaminate import roll
 
@@ -41,14 +43,19 @@ WORDS, PERCENT = 5, 80
 RARE = 24
 SMALL = 6
 MOST_BITS = 30
+MOST_PART_BITS = 20
+#: Tasks that parts are dealt to, at most; a task takes its parts one by one.
+MOST_TASKS = 1 << 15
 PART_BYTES = 16 << 20
 FLUSH = 2_000_000
 #: Bytes of text that are worked on at once.
 SLICE = 2 << 20
-TOKEN_BYTES = 5
-#: Words of parity bits of each set.
-BITS = 8
-_BITS = [f"w{k}" for k in range(BITS)]
+#: Bits of a table of ids or nodes, at most: 128 MB.
+MOST_ID_BITS = 30
+#: Members of a list that are compared in one task with as many others.
+BLOCK = 1000
+#: Pairs of a node that one round tests besides those that tie it to others; eight times as many in each later round.
+QUOTA = 8
 
 U = np.uint64
 
@@ -84,20 +91,33 @@ def node_names(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix64(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(U) * U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def parities(tokens: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """64 * BITS bits of each set, in words: the parity of its tokens in each bit. Of two sets no more bits differ than
-    tokens do."""
-    n, wide = len(at) - 1, 64 * BITS
-    of = np.repeat(np.arange(n), np.diff(at))
-    odd = np.bincount(of * wide + (mix64(tokens) % U(wide)).astype(np.int64), minlength=n * wide) & 1
-    words = np.packbits(odd.astype(np.uint8).reshape(n, wide), axis=1, bitorder="little").view(np.int64)
-    return [np.ascontiguousarray(words[:, k]) for k in range(BITS)]
+def parities(tokens: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Bits of each set: the parity of its tokens in each of 4 to 8 buckets a token. Of two sets no more bits differ than
+    tokens do, once the wider one's bits are folded to the other's number."""
+    n = np.diff(at)
+    wide = np.array([max(512, 4 << power(int(k))) for k in n], np.int64)
+    base = np.concatenate([[0], np.cumsum(wide)])
+    of = np.repeat(np.arange(len(n)), n)
+    odd = np.bincount(base[of] + (mix64(tokens) & (wide[of] - 1).astype(U)).astype(np.int64), minlength=base[-1]) & 1
+    raw = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((base // 8).astype(np.int32)), pa.py_buffer(raw)])
+
+
+def fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """Rows of parity words, folded to `width` words."""
+    return bits if bits.shape[1] == width else np.bitwise_xor.reduce(bits.reshape(len(bits), -1, width), axis=1)
 
 
-def near(x: str, y: str, x_size: Column, y_size: Column, percent: int) -> Column:
-    """False for sets whose parities differ in more bits than the tokens of linked sets of these sizes can."""
-    differ = sum((F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in _BITS), F.lit(0))
-    return differ * (100 + percent) <= (x_size + y_size) * (100 - percent)
+def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """How many parity bits of each x and y differ."""
+    sizes = np.array([[len(a), len(b)] for a, b in zip(x, y)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(x), np.int64)
+    for p, q in np.unique(sizes, axis=0):
+        of = np.flatnonzero((sizes == (p, q)).all(1))
+        left, right = (np.frombuffer(b"".join(side[i] for i in of), U).reshape(len(of), -1) for side in (x, y))
+        width = min(p, q) // 8
+        out[of] = np.bitwise_count(fold(left, width) ^ fold(right, width)).sum(1)
+    return out
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -125,37 +145,39 @@ def power(n: int) -> int:
 
 
 def first_scan(docs: DataFrame, words: int, bits: int, part_bits: int) -> DataFrame:
-    """kind 0: doc_id, n, node; kind 1: part, packed slots of FLUSH tokens or so."""
+    """kind 0: doc_id, th, n, node, parity; kind 1: part, packed slots of FLUSH tokens or so."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
+        def out(kind: int, many: int, **have: pa.Array) -> pa.RecordBatch:
+            whole = {"kind": pa.array(np.full(many, kind, np.int32))} | {name: have.get(name, pa.nulls(many, t)) for name, t in types.items()}
+            return pa.RecordBatch.from_arrays(list(whole.values()), list(whole))
+
         def flush() -> pa.RecordBatch:
             slots = np.sort(np.concatenate(held))
             held.clear()
             edge = cut(slots, part_bits, bits)
-            parts = [p for p in range(1 << part_bits) if edge[p + 1] > edge[p]]
+            parts = np.flatnonzero(np.diff(edge)).tolist()
             packed = [squeeze(np.diff(slots[edge[p] : edge[p + 1]], prepend=U(p) << U(bits - part_bits)).astype(np.uint32)) for p in parts]
-            none = pa.nulls(len(parts))
-            return pa.RecordBatch.from_arrays([pa.array([1] * len(parts), pa.int32()), none.cast(id_type), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(parts, pa.int32()), pa.array(packed, pa.binary()), *[none.cast(pa.int64())] * BITS], names)
+            return out(1, len(parts), part=pa.array(parts, pa.int32()), packed=pa.array(packed, pa.binary()))
 
-        names = ["kind", "doc_id", "n", "node", "part", "packed", *_BITS]
-        id_type = None
+        types: dict[str, pa.DataType] = {}
         for batch in batches:
             for rows in slices(batch, most=SLICE):
-                ids, texts = columns(rows, "doc_id", "text")
-                id_type = ids.type
+                ids, ths, texts = columns(rows, "doc_id", "th", "text")
+                types = {"doc_id": ids.type, "th": pa.int64(), "n": pa.int64(), "node": pa.int64(), "parity": pa.binary(), "part": pa.int32(), "packed": pa.binary()}
                 tokens, at = token_sets(texts, words)
-                none = pa.nulls(len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), ids, pa.array(np.diff(at)), pa.array(node_names(tokens, at)), none.cast(pa.int32()), none.cast(pa.binary()), *map(pa.array, parities(tokens, at))], names)
+                yield out(0, len(ids), doc_id=ids, th=ths, n=pa.array(np.diff(at)), node=pa.array(node_names(tokens, at)), parity=parities(tokens, at))
                 held.append(tokens >> U(64 - bits))
                 if sum(map(len, held)) >= FLUSH:
                     yield flush()
         if sum(map(len, held)):
             yield flush()
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(work, f"kind int, doc_id {kind}, n long, node long, part int, packed binary, " + ", ".join(f"{b} long" for b in _BITS))
+    return docs.mapInArrow(work, f"kind int, doc_id {kind}, th long, n long, node long, parity binary, part int, packed binary")
 
 
 def frequent_slots(packed: DataFrame, bits: int, part_bits: int, rare: int) -> bytes:
@@ -180,7 +202,7 @@ def frequent_slots(packed: DataFrame, bits: int, part_bits: int, rare: int) -> b
         if part is not None:
             yield done()
 
-    dealt = packed.select("part", "packed").repartition(1 << part_bits, "part").sortWithinPartitions("part")
+    dealt = packed.select("part", "packed").repartition(min(1 << part_bits, MOST_TASKS), "part").sortWithinPartitions("part")
     marks = {r[0]: r[1] for r in dealt.mapInArrow(work, "part int, marks binary").collect()}
     return b"".join(marks.get(p, bytes(room // 8)) for p in range(1 << part_bits))
 
@@ -310,7 +332,7 @@ def pairs_of(packed: DataFrame, percent: int, part_bits: int) -> DataFrame:
                 continue
             seen.add(name)
             lists.append((members, name))
-            for hub in (f, f + int(np.argmin(mix64(node[f : f + m].view(U) ^ sig[f])))):
+            for hub in (f, f + int(np.argmin(mix64(node[f : f + m].view(U))))):  # the same ones for lists that differ little
                 others = members[members != hub]
                 left.append(np.minimum(others, hub) if hub != f else np.full(len(others), hub))
                 right.append(np.maximum(others, hub) if hub != f else others)
@@ -336,17 +358,17 @@ def pairs_of(packed: DataFrame, percent: int, part_bits: int) -> DataFrame:
         if rows:
             yield from groups(rows, part)
 
-    dealt = packed.repartition(1 << part_bits, "part").sortWithinPartitions("part")
+    dealt = packed.repartition(min(1 << part_bits, MOST_TASKS), "part").sortWithinPartitions("part")
     return dealt.mapInArrow(work, "kind int, a long, b long, size long")
 
 
 # --- verification ---
 
 
-def id_bits(ids: DataFrame, bits: int = 24) -> bytes:
-    """One bit for each of 2**bits hashes of doc_id: 2 MB, whatever the data."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
-    rows = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
+def bit_table(values: DataFrame, bits: int) -> bytes:
+    """One bit for each of 2**bits hashes of the one column: MOST_ID_BITS bound it, whatever the data."""
+    slot = F.pmod(F.xxhash64(F.col(values.columns[0])), F.lit(1 << bits))
+    rows = values.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
     width = 4096
     out = bytearray((1 << bits) // 8 + width)
     for k, m in rows:
@@ -355,47 +377,66 @@ def id_bits(ids: DataFrame, bits: int = 24) -> bytes:
     return bytes(out)
 
 
-def read_sets(docs: DataFrame, wanted: DataFrame, words: int, bits: int = 24) -> DataFrame:
-    """node, tokens (TOKEN_BYTES each, sorted), is_hub of wanted(doc_id, is_hub), and of a few more that share their bits.
+def bits_for(n: int) -> int:
+    """So many that a sixteenth is set, or MOST_ID_BITS."""
+    return min(MOST_ID_BITS, max(16, power(16 * n + 1)))
+
+
+def is_marked(table: np.ndarray, slot: pa.Array) -> np.ndarray:
+    s = slot.to_numpy(zero_copy_only=False).astype(np.int64)
+    s = np.where(s > 0, s - 1, 8 * (len(table) - 4096))  # bit positions count from 1, 0 standing for itself
+    return (table[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
+
+
+def slot_of(name: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(1 << bits)).alias("slot")
+
+
+def only_marked(rows: DataFrame, name: str, table: bytes, bits: int) -> DataFrame:
+    """The rows whose column's bit is set: all that the table was made of and a few others, without a shuffle."""
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            yield batch.drop_columns(["slot"]).filter(pa.array(is_marked(marks, batch.column("slot"))))
+
+    return rows.select("*", slot_of(name, bits)).mapInArrow(work, rows.schema)
+
+
+def read_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """node, tokens (sorted), is_hub of wanted(doc_id, is_hub), and of a few more that share their bits.
 
     The bit tables choose the documents while they are read, so no text moves; a set says itself which node it is. A node
     that a copy brought in without the hub's bit comes again when a document with that bit turns up.
     """
-    ids = [id_bits(wanted, bits), id_bits(wanted.filter("is_hub"), bits)]
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
+    bits = bits_for(wanted.count())
+    tables = [bit_table(wanted.select("doc_id"), bits), bit_table(wanted.filter("is_hub").select("doc_id"), bits)]
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, hubs = (np.frombuffer(x, np.uint8) for x in shared.value)
         met: dict[int, bool] = {}  # whether the node went out as hub
-        on = lambda table, s: (table[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
         for batch in batches:
             (slot,) = columns(batch, "slot")
-            s = slot.to_numpy(zero_copy_only=False).astype(np.int64)
-            s = np.where(s > 0, s - 1, (1 << bits))  # bit positions count from 1, 0 standing for itself
-            keep = on(marks, s)
+            keep = is_marked(marks, slot)
             if not keep.any():
                 continue
-            chosen = batch.select(["text"]).append_column("is_hub", pa.array(on(hubs, s))).filter(pa.array(keep))
+            chosen = batch.select(["text"]).append_column("is_hub", pa.array(is_marked(hubs, slot))).filter(pa.array(keep))
             for rows in slices(chosen, most=SLICE):
                 texts, is_hub = columns(rows, "text", "is_hub")
                 tokens, at = token_sets(texts, words)
                 node = node_names(tokens, at)
-                low = np.ascontiguousarray((tokens >> U(24)).view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES])
                 new = []
                 for i, (name, hub) in enumerate(zip(node.tolist(), is_hub.to_pylist())):
                     if at[i + 1] > at[i] and (name not in met or hub and not met[name]):
                         met[name] = hub
                         new.append(i)
-                sets = [low[at[i] : at[i + 1]].tobytes() for i in new]
+                sets = [tokens[at[i] : at[i + 1]].tobytes() for i in new]
                 yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(sets, pa.binary()), is_hub.take(pa.array(new, pa.int64()))], ["node", "tokens", "is_hub"])
+        give_back()
 
-    return docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("slot")).mapInArrow(work, "node long, tokens binary, is_hub boolean")
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // TOKEN_BYTES, 8), np.uint8)
-    out[:, :TOKEN_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, TOKEN_BYTES)
-    return out.view(U).ravel()
+    return docs.select("text", slot_of("doc_id", bits)).mapInArrow(work, "node long, tokens binary, is_hub boolean")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -408,8 +449,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = np.zeros(len(a), bool)
             for i in range(len(a)):
                 if a[i].as_py() != last:
-                    last, hub = a[i].as_py(), np.unique(_unpack(x[i].as_py()))
-                other = np.unique(_unpack(y[i].as_py()))
+                    last, hub = a[i].as_py(), np.frombuffer(x[i].as_py(), U)
+                other = np.frombuffer(y[i].as_py(), U)
                 at = np.minimum(np.searchsorted(hub, other), len(hub) - 1)
                 common = int((hub[at] == other).sum())
                 keep[i] = 100 * common >= percent * (len(hub) + len(other) - common)
@@ -420,51 +461,150 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def across(lists: DataFrame, labels: DataFrame, tested: DataFrame, names: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one member list in different components that can link by size and parity and were not tested."""
-    member = lists.join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", "b", "size", F.coalesce("label", "b").alias("label"))
+def likely(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) that can link by size and parity."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x_n, y_n = (c.to_numpy() for c in columns(batch, "xn", "yn"))
+                x, y = (c.to_pylist() for c in columns(batch, "x", "y"))
+                yield batch.select(["a", "b"]).filter(pa.array(differing(x, y) * (100 + percent) <= (x_n + y_n) * (100 - percent)))
+
+    side = lambda k, p: bits.select(F.col("node").alias(k), F.col("n").alias(f"{p}n"), F.col("parity").alias(p))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "xn", "yn", "x", "y").mapInArrow(work, "a long, b long")
+
+
+def _open_pairs(rows: pa.Table, percent: int, quota: int, done: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of one block of a list: pairs of minor nodes with nodes of other components that can link and weren't tested.
+
+    Of what hangs together by such pairs a spanning forest comes out, and `quota` more pairs a node.
+    """
+    node, n, label = (rows.column(c).to_numpy() for c in ("node", "n", "label"))
+    minor, block = rows.column("minor").to_numpy(zero_copy_only=False), rows.column("block").to_numpy()
+    failed = rows.column("failed").to_pylist()
+    raw = rows.column("parity").to_pylist()
+    wide = np.array([len(r) // 8 for r in raw])
+    tables = {}
+    for w in np.unique(wide).tolist():
+        table = np.zeros((len(node), w), U)
+        for v in (w, 2 * w, 4 * w):
+            of = np.flatnonzero(wide == v)
+            if len(of):
+                table[of] = fold(np.frombuffer(b"".join(raw[i] for i in of), U).reshape(len(of), v), w)
+        tables[w] = table
+    order = np.flatnonzero(minor)
+    order = order[np.argsort(mix64(node[order].view(U)))]
+    turn = np.full(len(node), len(node))
+    turn[order] = np.arange(len(order))
+    apart = len(np.unique(block)) > 1  # pairs within one block are compared where that block stands alone
+    up = {v: v for v in label.tolist()}
+
+    def root(v: int) -> int:
+        while up[v] != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    out = []
+    for x in order.tolist():
+        y = np.flatnonzero((label != label[x]) & (turn > turn[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
+        if apart:
+            y = y[block[y] != block[x]]
+        far = np.zeros(len(y), np.int64)
+        for w in np.unique(np.minimum(wide[y], wide[x])).tolist():
+            of = np.minimum(wide[y], wide[x]) == w
+            far[of] = np.bitwise_count(tables[w][y[of]] ^ tables[w][x]).sum(1)
+        y = y[far * (100 + percent) <= (n[y] + n[x]) * (100 - percent)]
+        more = quota
+        for j in y.tolist():
+            pair = (int(node[x]), int(node[j]))
+            if pair in done or pair[1] in (failed[x] or ()) or pair[0] in (failed[j] or ()):
+                continue
+            u, v = root(int(label[x])), root(int(label[j]))
+            if u == v and more <= 0:
+                continue
+            more -= u == v
+            up[u] = v
+            done.add(pair)
+            out.append(pair)
+    return out
+
+
+def across(lists: DataFrame, labels: DataFrame, bits: DataFrame, failed: DataFrame, percent: int, quota: int) -> DataFrame:
+    """Pairs of one member list in different components that can link by size and parity and weren't tested: none if all
+    such pairs were. Lists of more than BLOCK members are compared block by block, in as many tasks."""
+    member = lists.join(labels, "node", "left").select("list", "node", F.coalesce("label", "node").alias("label"))
     member = Table(member, "members").df
-    mixed = member.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("a")
-    bits = names.select(F.col("node").alias("b"), *_BITS)
-    open_ = Table(member.join(mixed, "a", "left_semi").join(bits, "b"), "open").df
-    major = open_.groupBy("a", "label").count().groupBy("a").agg(F.max(F.struct("count", "label")).alias("m")).select("a", F.col("m.label").alias("major"))
-    tagged = open_.join(major, "a")
-    side = lambda p: [F.col("b").alias(p), F.col("size").alias(f"{p}s"), F.col("label").alias(f"{p}l"), *[F.col(w).alias(f"{p}_{w}") for w in _BITS]]
-    minor = tagged.filter(F.col("label") != F.col("major")).select("a", *side("x"))
-    every = tagged.select("a", *side("y"), "major")
-    fit = (F.col("xl") != F.col("yl")) & (100 * F.least("xs", "ys") >= percent * F.greatest("xs", "ys")) & ((F.col("yl") == F.col("major")) | (F.col("x") < F.col("y")))
-    fit = fit & near("x_", "y_", F.col("xs"), F.col("ys"), percent)
-    pairs = minor.join(every, (minor["a"] == every["a"]) & fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(done, ["a", "b"], "left_anti")
-
-
-def likely(pairs: DataFrame, names: DataFrame, percent: int) -> DataFrame:
-    """Pairs that can link by parity."""
-    side = lambda k, p: names.select(F.col("node").alias(k), F.col("n").alias(f"{p}n"), *[F.col(w).alias(f"{p}_{w}") for w in _BITS])
-    met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    return met.filter(near("x_", "y_", F.col("xn"), F.col("yn"), percent)).select("a", "b")
+    shares = member.groupBy("list", "label").agg(F.count(F.lit(1)).alias("k"))
+    mixed = shares.groupBy("list").agg(F.count(F.lit(1)).alias("labels"), F.sum("k").alias("many"), F.max(F.struct("k", "label")).alias("m")).filter("labels > 1")
+    mixed = Table(mixed.select("list", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"), F.col("m.label").alias("major")), "mixed").df
+    tried = failed.groupBy(F.col("b").alias("node")).agg(F.collect_list("a").alias("failed"))
+    told = Table(bits.join(tried, "node", "left"), "told").df
+    open_ = member.join(mixed, "list").join(told, "node")
+    open_ = open_.select("list", "node", "n", "label", (F.col("label") != F.col("major")).alias("minor"), "parity", "failed", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.xxhash64("list", F.least("block", "other"), F.greatest("block", "other"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        done: set[tuple[int, int]] = set()
+
+        def settled() -> pa.RecordBatch:
+            found = _open_pairs(pa.Table.from_batches(held), percent, quota, done)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("key").to_numpy()
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for i, j in zip(edges, edges[1:]):
+                if held and keys[i] != last:
+                    yield settled()
+                last = keys[i]
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield settled()
+
+    dealt = open_.withColumn("key", key).repartition("key").sortWithinPartitions("key")
+    return dealt.drop("list", "blocks", "other").mapInArrow(work, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def join_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, n, node), (labels: node, label), of which a node without a link has none."""
+    """(documents: doc_id, th, n, node), (labels: node, label), of which a node without a link has none."""
     docs = docs.select("doc_id", text_of(docs).alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(20, power(total // 6 + 1)))
-    part_bits = min(17, bits - 4, max(6, power(total // PART_BYTES + 1)))
+    part_bits = min(MOST_PART_BITS, bits - 4, max(6, power(total // PART_BYTES + 1)))
     first = Table(first_scan(docs, words, bits, part_bits), "scan").df
-    rows = first.filter("kind = 0").select("doc_id", "n", "node", *_BITS)
+    rows = first.filter("kind = 0").select("doc_id", "th", "n", "node")
     marks = frequent_slots(first.filter("kind = 1"), bits, part_bits, rare)
     found = Table(pairs_of(second_scan(docs, words, percent, marks, bits, part_bits), percent, part_bits), "pairs").df
     tested = Table(found.filter("kind = 0").select("a", "b").distinct(), "tested").df
-    names = Table(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in _BITS]), "names").df
-    links = _linked(docs, Table(likely(tested, names, percent), "likely").df, names, words, percent)
-    labels = components(links)
-    lists = found.filter("kind = 1").select("a", "b", "size").distinct()
-    rest = Table(across(lists, labels, tested, names, percent), "rest").df
-    if not rest.isEmpty():
-        labels = components(links.unionByName(_linked(docs, rest, names, words, percent)))
-    return rows.drop(*_BITS), labels
+    lists = Table(found.filter("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node")).distinct(), "lists").df
+    names = Table(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "names").df
+    nodes = Table(tested.select(F.col("a").alias("node")).unionByName(tested.select(F.col("b").alias("node"))).unionByName(lists.select("node")).distinct(), "nodes").df
+    size = bits_for(nodes.count())
+    told = only_marked(first.filter("kind = 0").select("node", "n", "parity"), "node", bit_table(nodes, size), size)
+    parity = Table(told.groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity")), "parity").df
+    pairs = Table(likely(tested, parity, percent), "likely").df
+    links = _linked(docs, pairs, names, words, percent)
+    failed = Table(pairs.join(links, ["a", "b"], "left_anti"), "failed").df
+    labels, quota = components(links), QUOTA
+    while True:
+        pairs = Table(across(lists, labels, parity, failed, percent, quota), "rest").df
+        if pairs.isEmpty():
+            return rows, labels
+        new = _linked(docs, pairs, names, words, percent)
+        failed = Table(failed.unionByName(pairs.join(new, ["a", "b"], "left_anti")), "failed").df
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = components(links)
+        quota *= 8
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, names: DataFrame, words: int, percent: int) -> DataFrame:
@@ -477,47 +617,28 @@ def _linked(docs: DataFrame, pairs: DataFrame, names: DataFrame, words: int, per
     return links
 
 
-def components_report(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+def _report(docs: DataFrame, words: int, percent: int, rare: int) -> DataFrame:
+    """doc_id, th, n, least: the (doc_id, th) that is smallest in the document's component, null ids after all others."""
     rows, labels = join_documents(docs, words=words, percent=percent, rare=rare)
-    own = rows.join(labels, "node", "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("label"))
+    own = rows.join(labels, "node", "left").select("doc_id", "th", "n", F.coalesce("label", "node").alias("label"))
     own = Table(own, "own").df
-    least = Table(own.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least")), "least").df
-    met = own.join(least, "label", "left")
-    return met.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = own.filter("n > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("least"))
+    least = Table(least.select("label", F.col("least.doc_id").alias("least_id"), F.col("least.th").alias("least_th")), "least").df
+    return own.join(least, "label", "left")
+
+
+def components_report(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
+    """doc_id, n_shingles, component_id."""
+    met = _report(docs, words, percent, rare)
+    return met.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Of each component the document with the smallest doc_id, with all columns; documents without words all stay."""
-    names = docs.columns
-    report = components_report(docs, words=words, percent=percent)
-    gone = report.filter("doc_id <> component_id").select(F.col("doc_id").alias("k_id"))
-    left = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("k_id")).join(gone, "k_id", "left_anti")
-    return left.select(*[F.col("row")[c].alias(c) for c in names])
-
-
-def brute_force(docs: list[tuple], words: int = WORDS, percent: int = PERCENT) -> dict:
-    """doc_id: (n_shingles, component_id), from all pairs. For tests."""
-    import re
-
-    sets = {}
-    for d, t in docs:
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: chr(ord(m[0]) + 32), t or ""))
-        sets[d] = {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} or ({tuple(w)} if w else set())
-    up = {d: d for d in sets}
-
-    def root(d):
-        while up[d] != d:
-            d = up[d]
-        return d
-
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            x, y = sets[a], sets[b]
-            if x and y and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                both = len(x & y)
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    u, v = sorted((root(a), root(b)))
-                    up[v] = u
-    return {d: (len(s), root(d)) for d, s in sets.items()}
+    """Of each component the document with the smallest doc_id, with all columns; documents without words all stay.
+
+    A document is its doc_id and its text: of one id with two texts only that goes which is another's near copy. Rows that
+    repeat both stay or go together.
+    """
+    met = _report(docs, words, percent, RARE).filter("n > 0")
+    gone = met.filter(~(F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("th") == F.col("least_th")))).select("doc_id", "th")
+    return without(docs, Table(gone.distinct(), "gone").df)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.common import _TABLE, Table, _power, bytes_of, columns, give_back, mix64, slices, text_of
-from tributary.llm.ngram_join import cut, expand, id_bits, power, squeeze
+from tributary.llm.ngram_join import bit_table, cut, expand, power, squeeze
 
 WINDOW = 50
 ANCHOR = 24
@@ -347,7 +347,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, with_text: bool = F
     total = first.agg(F.sum("n")).first()[0] or 0
     bits = min(MOST_BITS, max(20, power(total // 8 + 1)))
     part_bits = min(17, bits - 4, max(6, power(total // PART_BYTES + 1)))
-    wanted = id_bits(first.select("doc_id"))
+    wanted = bit_table(first.select("doc_id"), 24)
     slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 24)).alias("slot")
     read = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), slot, "text")
     marks = repeated_anchors(read, wanted, bits, part_bits, window)
@@ -381,24 +381,3 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, with_text: bool = F
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).alias("d")
     met = d.join(cuts.hint("merge"), (F.col("d.doc_id").cast("long") == F.col("c.doc_id")) & (F.col("d.th") == F.col("c.th")), "left").select("d.doc_id", "d.text", "c.at", "c.mask", "c.copy")
     return met.mapInArrow(apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
-
-
-def brute_force(docs: list[tuple], window: int = WINDOW) -> dict:
-    """doc_id: (n_bytes, n_removed, n_spans, kept_sha256), by a table of all windows. For tests."""
-    first: dict[bytes, int] = {}
-    raws = {d: (t or "").encode() for d, t in docs}
-    for d in sorted(raws):
-        for i in range(len(raws[d]) - window + 1):
-            first.setdefault(raws[d][i : i + window], d)
-    out = {}
-    for d, raw in raws.items():
-        gone = np.zeros(len(raw) + 1, np.int64)
-        for i in range(len(raw) - window + 1):
-            if first[raw[i : i + window]] < d:
-                gone[i] += 1
-                gone[i + window] -= 1
-        off = np.cumsum(gone[:-1]) > 0
-        kept = bytes(np.frombuffer(raw, np.uint8)[~off])
-        spans = int((off & ~np.concatenate([[False], off[:-1]])).sum()) if len(off) else 0
-        out[d] = (len(raw), int(off.sum()), spans, hashlib.sha256(kept).hexdigest())
-    return out

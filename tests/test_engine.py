@@ -124,7 +124,77 @@ def test_push_and_rollback(spark):
     again = sink.push(sink.pending(after, True).filter("record_id = 'r1'"), ["f"], target, calls.select("record_id", "employee_number", "status"))
     assert again.first()["status"] == 201 and again.first()["attempt"] == 2
     gone, left, undone = sink.rollback(after, target.unionByName(spark.createDataFrame([("18",), ("9",)], "employee_number string")))
-    assert gone.count() == 2 and [x[0] for x in left.collect()] == ["5"] and undone.filter("push_status = 'rolled_back'").count() == 2
+    assert {(x["status"], x["method"]) for x in gone.collect()} == {(204, "DELETE")} and gone.count() == 2 and left.isEmpty() and undone.filter("push_status = 'rolled_back'").count() == 2
+
+
+def _open(spark, rows):
+    """Escalations (id, record, field, command type, drop id) whose one option is that command."""
+    command = "named_struct('type', t, 'record_id', r, 'mapping_id', cast(null as string), 'field', f, 'value', 'v', 'keep_id', k, 'drop_id', d)"
+    df = spark.createDataFrame(rows, "escalation_id string, r string, f string, t string, k string, d string")
+    return df.selectExpr("escalation_id", "r as record_id", "f as field", "'x' as kind", "'open' as status", f"array(named_struct('id', 'o', 'label', 'o', 'apply', {command})) as options")
+
+
+def test_decisions_are_folded_in_order(spark):
+    rows = [
+        ("e1", "a", "f", "set_field", None, None), ("e2", "a", "f", "accept_value", None, None), ("e3", "a", "g", "set_field", None, None),
+        ("e4", "b", "employeeNumber", "merge_records", "c", "b"), ("e5", "b", "f", "set_field", None, None),
+        ("e6", "c", "f", "set_field", None, None), ("e7", "c", "g", "set_field", None, None), ("e8", "d", None, "merge_records", "d", "c"),
+        ("e9", None, None, "set_field", None, None),
+    ]
+    esc = _open(spark, rows)
+    say = lambda *x: spark.createDataFrame([(e, "o", no, at) for e, no, at in x], "escalation_id string, choice string, reject boolean, at long")
+    status = lambda d: {r["escalation_id"]: r["status"] for r in decisions.close(esc, decisions.resolve(esc, d)).collect()}
+    counted = lambda d: sorted(r["escalation_id"] for r in decisions.resolve(esc, d).collect())
+    first = say(("e2", False, 2), ("e1", False, 1), ("e1", False, 9), ("e9", False, 3))
+    assert counted(first) == ["e1", "e9"] and status(first)["e2"] == "resolved" and status(first)["e3"] == "open"
+    assert status(say(("e4", False, 1)))["e5"] == "resolved"  # the one that goes is the escalation's own record
+    no = say(("e1", True, 1), ("e3", False, 2))
+    assert counted(no) == ["e1", "e3"] and status(no)["e2"] == "resolved"  # out since the rejection, closed by what follows
+    assert status(say(("e1", True, 1)))["e2"] == "open"
+    away = say(("e8", False, 1), ("e6", False, 2), ("e7", False, 3))
+    assert counted(away) == ["e6", "e8"]  # c went into d, so the first decision on c closes the rest
+    assert counted(say(("e6", False, 1), ("e7", False, 2), ("e8", False, 3))) == ["e6", "e7", "e8"]
+
+
+def test_job_life(spark, result, tmp_path):
+    from tributary.plans.job import Job
+
+    job = Job.of("job_000042", result)
+    with pytest.raises(ValueError):
+        job.push(1)
+    choices = result.escalations.select("escalation_id", F.when(F.col("field") == "email", "clear").alias("choice"), F.lit(False).alias("reject"), F.col("confidence").cast("long").alias("at"))
+    job = job.decided(choices)
+    assert job.status == "ready_to_push" and job.audit.count() >= 4 and job.events.count() == result.escalations.count()
+    pushed = job.push(5)
+    assert pushed.status == "partial_failure" and pushed.counts()["pushed"] + pushed.counts()["failed"] == 3
+    log = {r["employee_number"]: r for r in pushed.log.collect()}
+    assert all((r["status"] == 201) == r["ok"] == (r["error"] is None) for r in log.values()) and all(r["status"] in (201, 422) for r in log.values())
+    assert pushed.target.count() == pushed.counts()["pushed"] and {r["batch_id"] for r in pushed.target.collect()} <= {"batch_000042"}
+    assert pushed.audit.filter("actor = 'target'").count() == 3
+    pushed.save(f"file://{tmp_path}")
+    again = Job.load(spark, f"file://{tmp_path}", "job_000042").push(6, retry_failed=True)
+    assert again.log.count() == 3 + pushed.counts()["failed"] and again.log.agg(F.max("attempt")).first()[0] == 2
+    back = again.rollback(7)
+    assert back.status == "rolled_back" and back.target.isEmpty() and back.counts()["pushed"] == 0
+    assert back.audit.filter("action = 'batch.rollback'").count() == 1 and back.recent_events(1).first()["step"] == "rollback"
+    assert Job.load(spark, f"file://{tmp_path}", "nothing") is None
+
+
+def test_a_run_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    sources = lambda: [("hr.csv", records(spark, *HR)), ("empty.csv", records(spark, ["a"], [])), ("pay.csv", records(spark, *PAY))]
+    folder = f"file://{tmp_path}"
+    with monkeypatch.context() as m:
+        m.setattr(duplicates, "record_pairs", lambda r: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(RuntimeError):
+            pipeline.run(sources(), folder=folder)
+    written = (tmp_path / "records" / "_SUCCESS").stat().st_mtime_ns
+    done = pipeline.run(sources(), folder=folder, helper=lambda c, p: 1 / 0)
+    assert (tmp_path / "records" / "_SUCCESS").stat().st_mtime_ns == written and done.escalations.count() == 7
+
+
+def test_a_failing_helper_changes_nothing(spark, result):
+    with pytest.warns(UserWarning):
+        assert mapping.assist(result.mappings, result.profiles, lambda c, p: 1 / 0) is result.mappings
 
 
 def test_store(spark, tmp_path):

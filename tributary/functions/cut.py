@@ -2,20 +2,62 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local master's own temporary folder, which all its
+    tasks see; on a cluster that would split a table over machines, so it is an error there."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='tributary-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, files = _files(spark, path)
+    files.delete(where, True)
+
+
+def _tidy() -> None:
+    for spark, path in _written:
+        try:
+            delete(spark, path)
+        except Exception:  # the session may have ended before the interpreter did
+            return
+
+
+atexit.register(_tidy)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """The frame, written and read again: what follows neither plans nor computes what came before. It survives the loss
-    of executors, as it lies in the folder that spark.checkpoint.dir names (a temporary one only where that is unset)."""
+    of executors, as it lies in the folder that spark.checkpoint.dir names, and goes when the interpreter ends."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tributary-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tributary-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tributary-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """The table at path if it was written whole before, else the frame, written there."""
+    spark = df.sparkSession
+    where, files = _files(spark, f"{path}/_SUCCESS")
+    if not files.exists(where):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,7 +9,19 @@ from pyspark.sql import functions as F
 
 from tributary.functions.text import W, js_trim
 
+# Month names by their first three letters, and the four forms of dates.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+PLAIN = r"^(\d{4})-(\d{2})-(\d{2})"
+NAMED = r"^(\d{1,2})[- ]([A-Za-z]{3,9})[- ,](\d{2,4})$"
+AMERICAN = rf"^([A-Za-z]{{3,9}}){W}+(\d{{1,2}}),?{W}+(\d{{2,4}})$"
+NUMERIC = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})$"
+# The sentences that say how a date was read.
+GOOD = {"P": "ISO-8601", "N": "day-month-year with month name", "A": "month-name date"}
+BAD = {"P": "ISO date is not a real calendar day", "N": "Named-month date is not a real calendar day", "A": "Named-month date is not a real calendar day"}
+DAY_FIRST, MONTH_FIRST = "DMY (day > 12, unambiguous)", "MDY (second part > 12, unambiguous)"
+OPEN, SAME, NO_DAY, UNKNOWN = "day and month are interchangeable", "numeric date", "numeric date is not a real calendar day", "unrecognised date format"
+#: Between the parts of a date whose form is known.
+MARK = "\x01"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -17,24 +29,28 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def is_day(y: Column, m: Column, d: Column, first: int, last: int) -> Column:
+    """Whether the calendar has the day, in the years allowed. False for nulls; nothing throws in ANSI mode."""
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    days = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    return F.coalesce(y.between(first, last) & m.between(1, 12) & (d >= 1) & (d <= days), F.lit(False))
+
+
 def iso(y: Column, m: Column, d: Column, first: int = 1940, last: int = 2035) -> Column:
-    """yyyy-MM-dd of a day that the calendar has, in the years allowed; else null. Nothing throws in ANSI mode."""
-    text = F.format_string("%04d-%02d-%02d", y, m, d)
-    return F.when(y.between(first, last), bind(text, lambda t: F.when(F.try_to_date(t, "yyyy-MM-dd").isNotNull(), t)))
+    """yyyy-MM-dd of such a day, else null."""
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return F.when(is_day(y, m, d, first, last), F.concat_ws("-", y.cast("string"), two(m), two(d)))
 
 
 def year_of(y: Column) -> Column:
     return y + F.when(y >= 100, 0).when(y >= 30, 1900).otherwise(2000)
 
 
-PLAIN = r"^(\d{4})-(\d{2})-(\d{2})"
-NAMED = r"^(\d{1,2})[- ]([A-Za-z]{3,9})[- ,](\d{2,4})$"
-AMERICAN = rf"^([A-Za-z]{{3,9}}){W}+(\d{{1,2}}),?{W}+(\d{{2,4}})$"
-NUMERIC = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})$"
-
-
 def parse_date(c: Column, first: int = 1940, last: int = 2035) -> Column:
-    """struct<status: ok, ambiguous, invalid or empty; iso; reason; dmy; mdy>."""
+    """struct<status: ok, ambiguous, invalid or empty; iso; reason; dmy; mdy>.
+
+    Each form writes a date as its letter and three parts, in one pass a form; all else works on those parts.
+    """
     none = F.lit(None).cast("string")
 
     def out(status: Column | str, value: Column, reason: Column | str, x: Column = none, z: Column = none) -> Column:
@@ -42,51 +58,47 @@ def parse_date(c: Column, first: int = 1940, last: int = 2035) -> Column:
         return F.struct(lit(status).alias("status"), value.alias("iso"), lit(reason).alias("reason"), x.alias("dmy"), z.alias("mdy"))
 
     def month(word: Column) -> Column:
-        return F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(word, 1, 3))).cast("int")
-
-    def one_reading(s: Column) -> Column:
-        """Year, month and day of the three forms that have but one reading."""
-        kind = F.when(s.rlike(PLAIN), 0).when(s.rlike(NAMED), 1).when(s.rlike(AMERICAN), 2)
-        pattern = F.when(s.rlike(PLAIN), PLAIN).when(s.rlike(NAMED), NAMED).otherwise(AMERICAN)
-        groups = F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.call_function("regexp_extract", s, pattern, k))
-
-        def of(p: Column) -> Column:
-            g, k = p["g"], p["k"]
-            number = lambda i: F.get(g, F.lit(i)).try_cast("int")
-            y = F.when(k == 0, number(0)).otherwise(year_of(number(2)))
-            m = F.when(k == 0, number(1)).when(k == 1, month(F.get(g, F.lit(1)))).otherwise(month(F.get(g, F.lit(0))))
-            d = F.when(k == 1, number(0)).when(k == 2, number(1)).otherwise(number(2))
-            good = F.when(k == 0, "ISO-8601").when(k == 1, "day-month-year with month name").otherwise("month-name date")
-            bad = F.when(k == 0, "ISO date is not a real calendar day").otherwise("Named-month date is not a real calendar day")
-            return bind(iso(y, m, d, first, last), lambda v: out(F.when(v.isNull(), "invalid").otherwise("ok"), v, F.when(v.isNull(), bad).otherwise(good)))
-
-        return bind(F.struct(groups.alias("g"), kind.alias("k")), of)
-
-    def two_readings(s: Column) -> Column:
-        part = lambda k: F.regexp_extract(s, NUMERIC, k).try_cast("int")
-
-        def read(p: Column) -> Column:
-            both = F.struct(iso(p["y"], p["b"], p["a"], first, last).alias("dmy"), iso(p["y"], p["a"], p["b"], first, last).alias("mdy"), p["a"].alias("a"), p["b"].alias("b"))
-            return bind(both, decide)
-
+        at = F.instr(F.lit("".join(MONTHS)), F.lower(F.substring(word, 1, 3)))
+        return F.when((F.length(word) >= 3) & (at % 3 == 1), ((at + 2) / 3).cast("int"))
+
+    def one_reading(p: Column) -> Column:
+        kind, number = p["k"], lambda x: x.try_cast("int")
+        y = F.when(kind == "P", number(p["a"])).otherwise(year_of(number(p["c"])))
+        m = F.when(kind == "P", number(p["b"])).when(kind == "N", month(p["b"])).otherwise(month(p["a"]))
+        d = F.when(kind == "P", number(p["c"])).when(kind == "N", number(p["a"])).otherwise(number(p["b"]))
+        say = lambda words: F.when(kind == "P", words["P"]).when(kind == "N", words["N"]).otherwise(words["A"])
+        day = F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+        return bind(day, lambda x: F.when(is_day(x["y"], x["m"], x["d"], first, last), out("ok", iso(x["y"], x["m"], x["d"], first, last), say(GOOD))).otherwise(out("invalid", none, say(BAD))))
+
+    def two_readings(p: Column) -> Column:
         def decide(r: Column) -> Column:
             d, m = r["dmy"], r["mdy"]
             return (
-                F.when((r["a"] > 12) & d.isNotNull(), out("ok", d, "DMY (day > 12, unambiguous)"))
-                .when((r["b"] > 12) & m.isNotNull(), out("ok", m, "MDY (second part > 12, unambiguous)"))
-                .when(d.isNotNull() & m.isNotNull() & (d != m), out("ambiguous", none, "day and month are interchangeable", d, m))
-                .when(d.isNotNull(), out("ok", d, "numeric date"))
-                .otherwise(out("invalid", none, "numeric date is not a real calendar day"))
+                F.when((r["a"] > 12) & d.isNotNull(), out("ok", d, DAY_FIRST))
+                .when((r["b"] > 12) & m.isNotNull(), out("ok", m, MONTH_FIRST))
+                .when(d.isNotNull() & m.isNotNull() & (d != m), out("ambiguous", none, OPEN, d, m))
+                .when(d.isNotNull(), out("ok", d, SAME))
+                .otherwise(out("invalid", none, NO_DAY))
             )
 
-        return bind(F.struct(part(1).alias("a"), part(2).alias("b"), year_of(part(3)).alias("y")), read)
+        def read(n: Column) -> Column:
+            both = F.struct(iso(n["y"], n["b"], n["a"], first, last).alias("dmy"), iso(n["y"], n["a"], n["b"], first, last).alias("mdy"), n["a"].alias("a"), n["b"].alias("b"))
+            return bind(both, decide)
+
+        return bind(F.struct(p["a"].cast("int").alias("a"), p["b"].cast("int").alias("b"), year_of(p["c"].cast("int")).alias("y")), read)
 
-    def read(s: Column) -> Column:
+    def read(parts: Column) -> Column:
+        at = lambda i: F.get(parts, F.lit(i))
+        p = F.struct(*[at(i).alias(n) for i, n in enumerate("kabc")])
+        known = F.size(parts) > 3
         return (
-            F.when(s == "", out("empty", none, ""))
-            .when(s.rlike(NUMERIC), two_readings(s))
-            .when(s.rlike(PLAIN) | s.rlike(NAMED) | s.rlike(AMERICAN), one_reading(s))
-            .otherwise(out("invalid", none, "unrecognised date format"))
+            F.when(at(0) == "", out("empty", none, ""))
+            .when(known & (at(0) == "D"), bind(p, two_readings))
+            .when(known, bind(p, one_reading))
+            .otherwise(out("invalid", none, UNKNOWN))
         )
 
-    return bind(js_trim(c), read)
+    text = F.translate(js_trim(c), MARK, "?")
+    for letter, pattern in (("D", NUMERIC), ("P", PLAIN), ("N", NAMED), ("A", AMERICAN)):
+        text = F.regexp_replace(text, pattern, f"{letter}{MARK}$1{MARK}$2{MARK}$3{MARK}")
+    return bind(F.split(text, MARK), read)

@@ -12,8 +12,12 @@ PARTICLES = ("da", "de", "del", "van", "von", "bin", "binti")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+#: The same characters, one by one.
+WHITE = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{W}+|{W}+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def one_space(c: Column) -> Column:

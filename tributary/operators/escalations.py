@@ -87,7 +87,7 @@ def value_issues(records: DataFrame, config: Config | None = None) -> DataFrame:
     allowed = F.transform("values", lambda v: setting(v, F.replace(v, F.lit("_"), F.lit(" ")), v))
     first = F.when((field == "gender") & raw.rlike("(?i)trans"), options(setting("other", "Map to other", F.lit("other")))).when((field == "status") & raw.rlike("(?i)abscond"), options(setting("term", "terminated, noted as a delta", F.lit("terminated")))).otherwise(options())
     enums = F.concat(first, allowed, options(exclude))
-    mails = options(option("accept", "Accept this address", command("accept_value", record_id=rid, field=field)), setting("clear", "Clear the address", F.lit("")), exclude)
+    mails = options(option("accept", "Accept this address", command("accept_value", record_id=rid, field=field)), setting("clear", "Clear the address", _none()), exclude)
     issue = F.col("issue")
     kind = F.when(issue == "ambiguous_date", "value_ambiguous_date").when(issue == "unknown_enum", "value_unknown_enum").otherwise("validation_failed")
     confidence = F.when(issue == "ambiguous_date", 0.55).when(issue == "unknown_enum", 0.4).when(issue == "personal_email", 0.35).otherwise(0.2)
@@ -119,7 +119,8 @@ def validate(records: DataFrame, skip: DataFrame | None = None, config: Config |
         live = live.join(skip, "record_id", "left_anti")
     who = F.coalesce(F.col("employee_number"), F.col("record_id"))
     lacks = [F.when(F.coalesce(F.col(f"cells.{f.key}.value"), F.lit("")) == "", F.struct(F.lit(f.key).alias("field"), F.lit(f.label).alias("label"))) for f in config.fields if f.required]
-    gaps = live.select("record_id", who.alias("who"), F.filter(F.array(*lacks), lambda x: x.isNotNull()).alias("gaps")).filter(F.size("gaps") > 0)
+    lacks = F.array(*lacks) if lacks else F.expr("cast(array() as array<struct<field:string,label:string>>)")
+    gaps = live.select("record_id", who.alias("who"), F.filter(lacks, lambda x: x.isNotNull()).alias("gaps")).filter(F.size("gaps") > 0)
     exclude = options(option("exclude", "Exclude record", command("exclude_record", record_id=F.col("record_id"))))
     labels = F.array_join(F.transform("gaps", lambda g: g["label"]), ", ")
     out = _shape(gaps, "validation_failed", F.concat(F.lit("Missing required · "), F.col("who")), F.array(F.concat(F.lit("Missing: "), labels)), 0.2, exclude, F.get("gaps", F.lit(0))["field"], F.col("record_id"))

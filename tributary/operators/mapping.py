@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.config import FULL_NAME, Config
+from tributary.functions.cut import cut
 from tributary.functions.text import is_blank, looks_email, looks_phone, normalize_header, parse_number, similarity_normal, tokens
 from tributary.operators.profile import date_like
 
@@ -136,8 +138,15 @@ def uncertain(mappings: DataFrame, most: int = 12) -> DataFrame:
 
 
 def assist(mappings: DataFrame, profiles: DataFrame, helper: Callable[[DataFrame, DataFrame], DataFrame] | None, config: Config | None = None) -> DataFrame:
-    """helper(columns, profiles) runs on the driver and returns file_ord, col_ord, target, confidence; none by default."""
-    return mappings if helper is None else apply_updates(mappings, helper(uncertain(mappings), profiles), config)
+    """helper(columns, profiles) runs on the driver and returns file_ord, col_ord, target, confidence; none by default. One
+    that fails leaves the mappings as they are: `assist` is a step that a run can do without."""
+    if helper is None:
+        return mappings
+    try:
+        return apply_updates(mappings, cut(helper(uncertain(mappings), profiles), "assisted"), config)
+    except Exception as error:
+        warnings.warn(f"the mapping helper failed: {error}", stacklevel=2)
+        return mappings
 
 
 def apply_updates(mappings: DataFrame, updates: DataFrame, config: Config | None = None) -> DataFrame:
@@ -145,7 +154,7 @@ def apply_updates(mappings: DataFrame, updates: DataFrame, config: Config | None
     config = config or Config()
     known = [*config.by_key, FULL_NAME]
     u = updates.filter(F.col("target").isin(*known) | F.col("target").isNull()).select("file_ord", "col_ord", F.col("target").alias("new_target"), F.col("confidence").alias("new_confidence"))
-    met = mappings.join(F.broadcast(u), ["file_ord", "col_ord"], "left")
+    met = mappings.join(u, ["file_ord", "col_ord"], "left")
     open_ = (F.col("status") != "auto") & F.col("new_target").isNotNull()
     sure, likely = open_ & (F.col("new_confidence") >= config.policy.auto_min), open_ & (F.col("new_confidence") >= config.policy.ignore_below)
     return met.select(

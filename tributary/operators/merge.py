@@ -2,7 +2,8 @@
 
 The first fold happens inside each row, over the columns that feed one field, with no shuffle. Rows then meet by key (the
 canonical employee number, else the lower-cased mail address, else a key of their own) and each field is folded again in
-the order (file, row). Cleaning never happens inside a fold: every contribution is cleaned as a column first.
+the order (file, row). Cleaning never happens inside a fold: every column is cleaned once, as a plain column, and a field's
+state carries the cleaned form of the raw value that it holds.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.config import FULL_NAME, Config
-from tributary.functions.clean import canonical_id, clean_value
+from tributary.functions.clean import CLEAN, canonical_id, clean_value
 from tributary.functions.text import is_blank, split_person_name
 
 LINEAGE = "struct<file_name:string,column:string,row:int>"
-STATE = f"struct<raw:string,value:string,confidence:double,lineage:array<{LINEAGE}>,transform:string,conflicts:array<string>,flags:array<string>,n:int>"
+CELL = f"struct<raw:string,value:string,confidence:double,lineage:array<{LINEAGE}>,transform:string,conflicts:array<string>,flags:array<string>,n:int>"
+#: A cell while it is folded: with its raw value's cleaned form, so that nothing is cleaned twice.
+STATE = f"{CELL[:-1]},clean:{CLEAN}>"
+ITEM = f"struct<field:string,raw:string,clean:{CLEAN},lineage:{LINEAGE}>"
 
 
 @dataclass(frozen=True)
@@ -33,12 +37,13 @@ class Source:
 
 def empty_state() -> Column:
     none = F.lit(None)
-    return F.struct(none.alias("raw"), none.alias("value"), F.lit(1.0).alias("confidence"), F.expr("array()").alias("lineage"), none.alias("transform"), F.expr("array()").alias("conflicts"), F.expr("array()").alias("flags"), F.lit(0).alias("n")).cast(STATE)
+    return F.struct(none.alias("raw"), none.alias("value"), F.lit(1.0).alias("confidence"), F.expr("array()").alias("lineage"), none.alias("transform"), F.expr("array()").alias("conflicts"), F.expr("array()").alias("flags"), F.lit(0).alias("n"), none.alias("clean")).cast(STATE)
 
 
-def _state(raw, value, confidence, lineage, transform, conflicts, flags, n) -> Column:
-    names = ("raw", "value", "confidence", "lineage", "transform", "conflicts", "flags", "n")
-    return F.struct(*[c.alias(k) for c, k in zip((raw, value, confidence, lineage, transform, conflicts, flags, n), names)]).cast(STATE)
+def _state(raw, value, confidence, lineage, transform, conflicts, flags, n, clean=None) -> Column:
+    names = ("raw", "value", "confidence", "lineage", "transform", "conflicts", "flags", "n", "clean")
+    given = (raw, value, confidence, lineage, transform, conflicts, flags, n, clean)
+    return F.struct(*[c.alias(k) for c, k in zip(given, names) if c is not None]).cast(STATE if clean is not None else CELL)
 
 
 def absorb(config: Config):
@@ -67,60 +72,53 @@ def absorb(config: Config):
         within = within & F.lit(p.containment_keeps_longer)
         keep = (a["raw"], a["value"])
         return (
-            F.when(a["value"].isNull() | (a["value"] == ""), _state(x["raw"], value, clean["confidence"], F.array(x["lineage"]), clean["transform"], no_conflicts, issue, n))
-            .when(a["value"] == value, _state(*keep, sure, seen, a["transform"], a["conflicts"], a["flags"], n))
-            .when(is_number, _state(*keep, a["confidence"], seen, a["transform"], more, conflict, n))
-            .when(within & (F.length(value) > F.length(a["value"])), _state(x["raw"], value, sure, seen, F.lit("kept longer form"), no_conflicts, a["flags"], n + 1))
-            .when(within, _state(*keep, a["confidence"], seen, a["transform"], a["conflicts"], a["flags"], n + 1))
-            .otherwise(_state(*keep, a["confidence"], seen, a["transform"], a["conflicts"], conflict, n))
+            F.when(a["value"].isNull() | (a["value"] == ""), _state(x["raw"], value, clean["confidence"], F.array(x["lineage"]), clean["transform"], no_conflicts, issue, n, clean))
+            .when(a["value"] == value, _state(*keep, sure, seen, a["transform"], a["conflicts"], a["flags"], n, a["clean"]))
+            .when(is_number, _state(*keep, a["confidence"], seen, a["transform"], more, conflict, n, a["clean"]))
+            .when(within & (F.length(value) > F.length(a["value"])), _state(x["raw"], value, sure, seen, F.lit("kept longer form"), no_conflicts, a["flags"], n + 1, clean))
+            .when(within, _state(*keep, a["confidence"], seen, a["transform"], a["conflicts"], a["flags"], n + 1, a["clean"]))
+            .otherwise(_state(*keep, a["confidence"], seen, a["transform"], a["conflicts"], conflict, n, a["clean"]))
         )
 
     return step
 
 
-def _cleaned(items: Column, config: Config) -> Column:
-    """Items (field, raw, lineage) with their cleaned values; one chain of conditions serves all fields."""
-
-    def clean(x: Column) -> Column:
-        chain = F
-        for f in config.fields:
-            chain = chain.when(x["field"] == f.key, clean_value(f.key, x["raw"], config))
-        return F.struct(x["field"].alias("field"), x["raw"].alias("raw"), chain.alias("clean"), x["lineage"].alias("lineage"))
-
-    return F.transform(items, clean)
-
-
 def fold_rows(source: Source, config: Config | None = None) -> DataFrame:
     """file_ord, row_idx, row_id, key, states (field and state of what the row has), extra_flags, extra_n. No shuffle."""
     config = config or Config()
     df = source.df
     known = set(config.by_key)
-    pieces, singles, splits = [], [], []
     base = df.select(F.col(source.row).cast("int").alias("row_idx"), *[df[f"`{c}`"].cast("string").alias(f"c{i}") for i, (c, _) in enumerate(source.mapping)])
-    item = lambda key, raw, lineage: F.struct(F.lit(key).alias("field"), raw.alias("raw"), lineage.alias("lineage"))
-    halves = []
+    names = [i for i, (_, target) in enumerate(source.mapping) if target == FULL_NAME]
+    base = base.select("*", *[F.when(~is_blank(F.col(f"c{i}")), split_person_name(F.col(f"c{i}"))).alias(f"s{i}") for i in names])
+    # each mapped column is cleaned once, as a plain column, before it enters an array
+    wanted: list[tuple[str, Column, Column]] = []
     for i, (column, target) in enumerate(source.mapping):
-        raw = F.col(f"c{i}")
         lineage = F.struct(F.lit(source.file_name).alias("file_name"), F.lit(column).alias("column"), (F.col("row_idx") + 2).alias("row"))
         if target == FULL_NAME:
-            halves.append(F.when(~is_blank(raw), split_person_name(raw)).alias(f"s{i}"))
-            split = F.col(f"s{i}")
-            splits.append(split)
-            for key, part in (("firstName", split["first"]), ("lastName", F.nullif(split["last"], F.lit("")))):
-                if key in known:
-                    pieces.append(F.when(part.isNotNull(), item(key, part, lineage)))
+            wanted += [(key, part, lineage) for key, part in (("firstName", F.col(f"s{i}.first")), ("lastName", F.nullif(F.col(f"s{i}.last"), F.lit("")))) if key in known]
         elif target in known:
-            pieces.append(F.when(~is_blank(raw), item(target, raw, lineage)))
+            wanted.append((target, F.when(~is_blank(F.col(f"c{i}")), F.col(f"c{i}")), lineage))
+    raws = base.select("*", *[raw.alias(f"r{k}") for k, (_, raw, _) in enumerate(wanted)])
+    cleaned = raws.select("*", *[F.when(F.col(f"r{k}").isNotNull(), clean_value(key, F.col(f"r{k}"), config)).alias(f"k{k}") for k, (key, _, _) in enumerate(wanted)])
     none = F.expr("cast(array() as array<string>)")
-    for s in splits:
-        singles.append(F.when(s.isNotNull() & (s["last"] == ""), F.array(F.lit("lastName:missing_from_split"))).otherwise(none))
-    items = F.filter(F.array(*pieces), lambda x: x.isNotNull()) if pieces else F.expr(f"cast(array() as array<struct<field:string,raw:string,lineage:{LINEAGE}>>)")
-    rows = base.select("*", *halves).select("row_idx", items.alias("items"), (F.concat(*singles) if singles else none).alias("extra_flags"), sum((F.when(s.isNotNull(), 1).otherwise(0) for s in splits), F.lit(0)).cast("int").alias("extra_n"))
-    rows = rows.withColumn("items", _cleaned(F.col("items"), config))
-    step = absorb(config)
-    fields = F.array_distinct(F.transform("items", lambda x: x["field"]))
-    states = F.transform(fields, lambda f: F.struct(f.alias("field"), F.aggregate(F.filter("items", lambda x: x["field"] == f), empty_state(), step).alias("state")))
-    folded = rows.select(F.lit(source.file_ord).alias("file_ord"), "row_idx", F.concat(F.lit(f"{source.file_name}:"), F.col("row_idx").cast("string")).alias("row_id"), states.alias("states"), "extra_flags", "extra_n")
+    step, states = absorb(config), []
+    for key in dict.fromkeys(key for key, _, _ in wanted):
+        items = [F.struct(F.lit(key).alias("field"), F.col(f"r{k}").alias("raw"), F.col(f"k{k}").alias("clean"), lineage.alias("lineage")).cast(ITEM) for k, (field, _, lineage) in enumerate(wanted) if field == key]
+        if len(items) == 1:  # the fold's first step is all there is
+            k = next(k for k, (field, _, _) in enumerate(wanted) if field == key)
+            clean, there = F.col(f"k{k}"), F.col(f"r{k}").isNotNull()
+            flags = F.when(clean["issue"].isNull(), none).otherwise(F.array(F.concat(F.lit(f"{key}:"), clean["issue"])))
+            state = _state(F.col(f"r{k}"), clean["value"], clean["confidence"], F.array(wanted[k][2]), clean["transform"], none, flags, F.when(clean["transform"].isNotNull() & clean["value"].isNotNull(), 1).otherwise(0), clean)
+        else:
+            there = F.coalesce(*[F.col(f"r{k}") for k, (field, _, _) in enumerate(wanted) if field == key]).isNotNull()
+            state = F.aggregate(F.filter(F.array(*items), lambda x: x["raw"].isNotNull()), empty_state(), step)
+        states.append(F.when(there, F.struct(F.lit(key).alias("field"), state.alias("state"))))
+    have = F.filter(F.array(*states), lambda x: x.isNotNull()) if states else F.expr(f"cast(array() as array<struct<field:string,state:{STATE}>>)")
+    singles = [F.when(F.col(f"s{i}").isNotNull() & (F.col(f"s{i}.last") == ""), F.array(F.lit("lastName:missing_from_split"))).otherwise(none) for i in names]
+    extra_n = sum((F.when(F.col(f"s{i}").isNotNull(), 1).otherwise(0) for i in names), F.lit(0)).cast("int")
+    row_id = F.concat(F.lit(f"{source.file_name}:"), F.col("row_idx").cast("string"))
+    folded = cleaned.select(F.lit(source.file_ord).alias("file_ord"), "row_idx", row_id.alias("row_id"), have.alias("states"), (F.concat(*singles) if singles else none).alias("extra_flags"), extra_n.alias("extra_n"))
     of = lambda key: F.get(F.filter("states", lambda s: s["field"] == key), F.lit(0))["state"]["value"]
     number, mail = of("employeeNumber"), of("email")
     key = (
@@ -147,7 +145,7 @@ def merge_sources(sources: list[Source], config: Config | None = None) -> DataFr
 
     def contribution(s: Column) -> Column:
         state = s["state"]
-        return F.struct(s["field"].alias("field"), F.coalesce(state["raw"], state["value"], F.lit("")).alias("raw"), F.get(state["lineage"], F.lit(0)).alias("lineage"))
+        return F.struct(s["field"].alias("field"), F.coalesce(state["raw"], state["value"], F.lit("")).alias("raw"), state["clean"].alias("clean"), F.get(state["lineage"], F.lit(0)).alias("lineage"))
 
     comes = F.filter(F.flatten(F.transform(later, lambda r: r["states"])), lambda s: s["state"]["raw"].isNotNull() | s["state"]["value"].isNotNull())
     of_rows = F.flatten(F.transform("rows", lambda r: F.concat(F.flatten(F.transform(r["states"], lambda s: s["state"]["flags"])), r["extra_flags"])))
@@ -161,7 +159,6 @@ def merge_sources(sources: list[Source], config: Config | None = None) -> DataFr
         of_rows.alias("row_flags"),
         n_rows.alias("row_n"),
     )
-    out = out.withColumn("comes", _cleaned(F.col("comes"), config))
     step = absorb(config)
 
     def final(f: Column) -> Column:
@@ -173,7 +170,7 @@ def merge_sources(sources: list[Source], config: Config | None = None) -> DataFr
     out = out.withColumn("states", F.map_from_entries(F.transform(every, final)))
     n = F.col("row_n") + F.aggregate(F.map_values("states"), F.lit(0), lambda a, s: a + s["n"])
     flags = F.array_distinct(F.concat(F.flatten(F.transform(F.map_values("states"), lambda s: s["flags"])), F.col("row_flags")))
-    out = out.select("key", "seq", "row_ids", F.struct(*[F.col("states")[f.key].alias(f.key) for f in config.fields]).alias("cells"), flags.alias("flags"), n.alias("n_transforms"))
+    out = out.select("key", "seq", "row_ids", F.struct(*[F.col("states")[f.key].dropFields("clean").alias(f.key) for f in config.fields]).alias("cells"), flags.alias("flags"), n.alias("n_transforms"))
     return default_currency(out, config)
 
 

@@ -42,7 +42,7 @@ def push(records: DataFrame, required: list[str], target: DataFrame, calls: Data
     r = r.withColumn("alone", alone)
     passes_before = F.coalesce(F.max(F.when(F.col("alone") == 201, 1)).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
     status = F.when((F.col("alone") == 201) & passes_before & ~was_failed, 409).otherwise(F.col("alone"))
-    return r.select("record_id", F.col("number").alias("employee_number"), "attempt", status.alias("status"), (status == 201).alias("ok"), F.lit("POST").alias("method"))
+    return r.select("record_id", F.col("number").alias("employee_number"), "attempt", status.alias("status"), (status == 201).alias("ok"), F.lit("POST").alias("method"), "excluded")
 
 
 def pending(records: DataFrame, retry_failed: bool) -> DataFrame:
@@ -62,12 +62,26 @@ def target_after(target: DataFrame, payload: DataFrame, calls: DataFrame) -> Dat
 
 
 def rollback(records: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(calls: a DELETE for each success, target without them, records)."""
+    """(calls: a DELETE for each success, the job's target without any row, records)."""
     done = records.filter("push_status = 'success'")
     number = F.coalesce("employee_number", "record_id")
-    calls = done.select("record_id", number.alias("employee_number"), F.lit("DELETE").alias("method"), F.lit(200).alias("status"), F.lit(True).alias("ok"))
-    left = target.join(calls.select("employee_number"), "employee_number", "left_anti")
-    return calls, left, records.withColumn("push_status", F.when(F.col("push_status") == "success", "rolled_back").otherwise(F.col("push_status")))
+    calls = done.select("record_id", number.alias("employee_number"), F.lit(1).cast("long").alias("attempt"), F.lit(204).alias("status"), F.lit(True).alias("ok"), F.lit("DELETE").alias("method"), F.lit(False).alias("excluded"))
+    return calls, target.limit(0), records.withColumn("push_status", F.when(F.col("push_status") == "success", "rolled_back").otherwise(F.col("push_status")))
+
+
+def told(calls: DataFrame, payload: DataFrame, required: list[str], batch_id: str) -> DataFrame:
+    """The call log's rows: each call with its path, body and error. payload(record_id and one column a field)."""
+    fields = [c for c in payload.columns if c not in ("record_id", "employee_number")]
+    lacks = F.array_join(F.filter(F.array(*[F.when(F.coalesce(F.col(f).cast("string"), F.lit("")) == "", F.lit(f)) for f in required]), lambda x: x.isNotNull()), ", ")
+    # fields may be named as the log's columns are, so that they become text before they meet it
+    said = payload.select("record_id", lacks.alias("lacks"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("payload"))
+    met = calls.join(said, "record_id", "left")
+    status, deleted = F.col("status"), F.col("method") == "DELETE"
+    # the wording is free; tests and users go by status
+    error = F.when(status == 422, F.concat(F.lit("422 missing "), "lacks")).when(status == 503, "503 target is busy, try again").when((status == 409) & F.col("excluded"), "409 record is excluded").when(status == 409, "409 employee exists already")
+    body = F.when(deleted, F.to_json(F.struct(F.col("employee_number").alias("employeeNumber"), F.lit(batch_id).alias("batchId")))).otherwise(F.col("payload"))
+    path = F.when(deleted, F.concat(F.lit("/api/v1/employee/"), F.url_encode("employee_number"))).otherwise("/api/v1/employee")
+    return met.select("record_id", "employee_number", "attempt", "method", path.alias("path"), "status", "ok", error.alias("error"), body.alias("body"), F.lit(batch_id).alias("batch_id"))
 
 
 def outcome(calls: DataFrame) -> DataFrame:

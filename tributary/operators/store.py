@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tributary.functions.cut import cut
+
 JOBS = "id string, client_name string, status string, created_at long, updated_at long, data string"
 
 
@@ -16,7 +18,7 @@ class JobStore:
         """Upsert: partitions of these ids are replaced, created_at of known jobs stays."""
         known = self.all().select("id", F.col("created_at").alias("first_at"))
         rows = jobs.join(known, "id", "left").withColumn("created_at", F.coalesce("first_at", "created_at")).drop("first_at")
-        rows = self.spark.createDataFrame(rows.collect(), rows.schema)  # a few jobs; read before their partitions are replaced
+        rows = cut(rows, "jobs")  # read before their partitions are replaced
         rows.withColumn("job", F.col("id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job").parquet(f"{self.path}/jobs")
 
     def all(self) -> DataFrame:
@@ -52,3 +54,10 @@ def snapshot(job: DataFrame) -> DataFrame:
 def recent_events(events: DataFrame, most: int = 80) -> DataFrame:
     """The log's last events by (ts, seq): a ring buffer at read time."""
     return events.orderBy(F.col("ts").desc(), F.col("seq").desc()).limit(most)
+
+
+def tail(rows: DataFrame, most: int, order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """The last `most` rows in order, newest first, with their rank from the end."""
+    last = rows.orderBy(*[F.col(c).desc() for c in order]).limit(most)
+    by = Window.orderBy(*[F.col(c).desc() for c in order])  # `most` rows
+    return last.withColumn("rank", F.row_number().over(by).cast("long"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tributary.config import KIND_LABELS, Config, Field
 from tributary.functions import clean, dates, text
 from tributary.functions.cut import cut
-from tributary.operators import duplicates, escalations, mapping, merge, profile, sink, store
+from tributary.operators import decisions, duplicates, escalations, mapping, merge, profile, sink, store, trail
 from tributary.plans.oracle import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,7 +205,7 @@ def exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """suppliers and customers alike in name that share a number; two equi-joins, no product."""
+    """parts alike in name that share a number; two equi-joins, no product."""
     p = _read(spark, sf_dir, "part")
     people = p.select(F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("id"), F.element_at(F.split("p_name", " "), 1).alias("first"), F.element_at(F.split("p_name", " "), -1).alias("last"), F.concat("p_brand", F.lit("-"), "p_size", F.lit("-"), "p_type").alias("phone"), F.concat(F.lit("d"), F.round("p_retailprice", 2).cast("string")).alias("dob"), F.col("p_brand").alias("number"))
     return duplicates.fuzzy_pairs(people)
@@ -224,10 +224,13 @@ def missing_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that ship before their order, by priority."""
+    """Lines that ship before their order, by priority, as people who joined before their birth."""
     o, line = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority"), _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
-    late = line.join(o, line.l_orderkey == o.o_orderkey).filter(F.date_format("o_orderdate", "yyyy-MM-dd") > F.date_format("l_shipdate", "yyyy-MM-dd"))
-    return late.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    met = line.join(o, line.l_orderkey == o.o_orderkey)
+    cell = lambda c: F.struct(F.date_format(c, "yyyy-MM-dd").alias("value"))
+    r = met.select(F.col("o_orderpriority").alias("record_id"), F.lit("x").alias("employee_number"), F.struct(cell("o_orderdate").alias("dateOfBirth"), cell("l_shipdate").alias("dateOfJoining")).alias("cells"))
+    late = escalations.validate(r, None, Config(fields=(Field("dateOfBirth", "Born", "date"), Field("dateOfJoining", "Joined", "date"))))
+    return late.groupBy(F.col("record_id").alias("o_orderpriority")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def required_without_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,9 +240,12 @@ def required_without_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skip_set_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without orders, an anti join."""
+    """Customers without a mail address, but for those of open pairs: the two ends of each finished order."""
     c, o = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "orders")
-    return c.select("c_custkey", "c_mktsegment").join(o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    skip = escalations.skip_set(o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").cast("string").alias("keep_id"), (F.col("o_custkey") + 1).cast("string").alias("drop_id")))
+    r = c.select(F.col("c_custkey").cast("string").alias("record_id"), F.col("c_custkey").cast("string").alias("employee_number"), F.struct(F.struct(F.lit("").alias("value")).alias("email")).alias("cells"))
+    found = escalations.validate(r, skip, Config(fields=(Field("email", "Mail", "email", required=True),)))
+    return found.select(F.col("record_id").cast("long").alias("c_custkey"), F.get("evidence", F.lit(0)).alias("evidence"))
 
 
 def escalation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,11 +278,109 @@ def push_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rollback_net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K3: what the target holds after a batch is taken back."""
+    """K3: what the job's target holds and how its records stand after its batch is taken back."""
     c, k = _read(spark, sf_dir, "customer"), F.col("c_custkey")
     r = c.select(k.cast("string").alias("record_id"), k.cast("string").alias("employee_number"), F.when(k % 3 == 0, "success").otherwise("failed").alias("push_status"))
-    _, left, _ = sink.rollback(r, c.filter(k % 2 == 0).select(k.cast("string").alias("employee_number"), "c_mktsegment"))
-    return left.select("employee_number", "c_mktsegment")
+    _, left, after = sink.rollback(r, c.filter(k % 3 == 0).select(k.cast("string").alias("employee_number"), "c_mktsegment"))
+    held = left.agg(F.count(F.lit(1)).alias("n")).select(F.lit("in the target").alias("what"), "n")
+    return held.unionByName(after.groupBy(F.col("push_status").alias("what")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def rollback_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: the calls that take a batch back, as the log has them."""
+    c, k = _read(spark, sf_dir, "customer"), F.col("c_custkey")
+    number = F.when(k % 6 != 0, F.concat(F.lit("a b/"), k.cast("string")))
+    r = c.select(F.lpad(k.cast("string"), 12, "0").alias("record_id"), number.alias("employee_number"), F.when(k % 3 == 0, "success").otherwise("failed").alias("push_status"))
+    calls, _, _ = sink.rollback(r, c.select("c_mktsegment"))
+    log = sink.told(calls, c.select(F.lpad(k.cast("string"), 12, "0").alias("record_id"), number.alias("employee_number"), F.col("c_mktsegment").alias("segment")), ["segment"], "batch_7")
+    return log.select("record_id", "method", "path", "status", "ok", "body")
+
+
+def push_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, K2: a push's calls with what they say, and the audit rows they leave."""
+    r, target, calls = _pushed(spark, sf_dir)
+    log = sink.told(sink.push(r, ["segment"], target, calls), r.select("record_id", "employee_number", "segment"), ["segment"], "batch_7")
+    audit = trail.of_calls(cut(log, "log"), 5)
+    return audit.groupBy("action", "why", F.coalesce("after", F.lit("")).alias("after")).agg(F.count(F.lit(1)).alias("n"), F.min("subject").alias("first_subject"))
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as escalations of their customers, and decisions on every second one."""
+    o, k = _read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    rid = F.col("o_custkey").cast("string")
+    act = F.when(k % 7 == 0, escalations.command("exclude_record", record_id=rid)).when(k % 11 == 0, escalations.command("merge_records", keep_id=F.concat(F.lit("x"), rid), drop_id=rid)).otherwise(escalations.command("set_field", record_id=rid, field=F.lit("f"), value=F.lit("v")))
+    accept = escalations.command("accept_value", record_id=rid, field=F.lit("f"))
+    e = o.select(F.lpad(k.cast("string"), 12, "0").alias("escalation_id"), F.when(k % 13 != 0, rid).alias("record_id"), F.when(k % 3 == 0, "a").when(k % 3 == 1, "b").alias("field"), F.lit("conflict_cross_file").alias("kind"), F.when(k % 5 == 0, "resolved").otherwise("open").alias("status"), escalations.options(escalations.option("act", "Act", act), escalations.option("accept", "Accept", accept)).alias("options"))
+    d = o.filter(k % 2 == 0).select(F.lpad(k.cast("string"), 12, "0").alias("escalation_id"), F.when(k % 4 == 0, "accept").alias("choice"), (k % 10 == 4).alias("reject"), F.unix_date(F.col("o_orderdate").cast("date")).cast("long").alias("at"))
+    return e, d
+
+
+def resolve_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which decisions count, folded in their order."""
+    done = decisions.resolve(*_decided(spark, sf_dir))
+    return done.select("escalation_id", "status", F.col("command.type").alias("command"), "at", "whole")
+
+
+def close_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is open, decided or closed along with others after all decisions."""
+    e, d = _decided(spark, sf_dir)
+    after = decisions.close(e, decisions.resolve(e, d))
+    return after.groupBy("status", F.coalesce("field", F.lit("")).alias("field")).agg(F.count(F.lit(1)).alias("n"), F.min("escalation_id").alias("first_id"))
+
+
+PEOPLE = Config(fields=(Field("employeeNumber", "Id", required=True), Field("firstName", "First"), Field("email", "Mail", "email")))
+
+
+def merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every four customers the third merges into the second and then the second into the first, the fourth
+    is corrected, and corrections fall before, between and after merges."""
+    c, k = _read(spark, sf_dir, "customer"), F.col("c_custkey")
+    state = lambda v: F.struct(v.cast("string").alias("raw"), v.cast("string").alias("value"), F.lit(0.5).alias("confidence"), F.expr(f"cast(array() as array<{merge.LINEAGE}>)").alias("lineage"), F.lit(None).cast("string").alias("transform"), F.expr("cast(array() as array<string>)").alias("conflicts"), F.expr("cast(array() as array<string>)").alias("flags"), F.lit(0).alias("n"))
+    first = F.when(k % 4 == 2, F.col("c_mktsegment"))
+    mail = F.when(k % 4 == 1, F.col("c_name")).when(k % 4 == 2, F.lit("two"))
+    r = c.select(k.cast("string").alias("record_id"), k.cast("string").alias("employee_number"), F.array(F.concat(F.lit("r"), k.cast("string"))).alias("row_ids"), F.struct(state(k).alias("employeeNumber"), state(first).alias("firstName"), state(mail).alias("email")).alias("cells"), F.array(F.lit("email:conflict"), F.lit("firstName:duplicate")).alias("flags"), F.lit(0).alias("n_transforms"))
+    key = lambda d: (k + d).cast("string")
+    none = F.lit(None).cast("string")
+    row = lambda when, at, command, name: c.filter(when).select(F.concat(F.lit(name), k.cast("string")).alias("escalation_id"), none.alias("record_id"), none.alias("field"), F.lit("k").alias("kind"), F.lit("resolved").alias("status"), command.alias("command"), F.lit(at).cast("long").alias("at"), F.lit(False).alias("whole"))
+    cmd = escalations.command
+    done = (
+        row(k % 4 == 1, 2, cmd("merge_records", keep_id=key(0), drop_id=key(1)), "m")
+        .unionByName(row(k % 4 == 1, 4, cmd("merge_records", keep_id=key(-1), drop_id=key(0)), "n"))
+        .unionByName(row(k % 8 == 2, 1, cmd("set_field", record_id=key(0), field=F.lit("firstName"), value=F.lit("early")), "a"))
+        .unionByName(row(k % 16 == 1, 3, cmd("set_field", record_id=key(0), field=F.lit("email"), value=none), "b"))
+        .unionByName(row(k % 4 == 0, 5, cmd("accept_value", record_id=key(0), field=F.lit("email")), "c"))
+        .unionByName(row(k % 4 == 3, 1, cmd("exclude_record", record_id=key(0)), "d"))
+    )
+    out = decisions.apply(r, done, PEOPLE)
+    return out.select(F.col("record_id").cast("long").alias("c_custkey"), *[F.coalesce(f"cells.{f}.value", F.lit("")).alias(f) for f in ("firstName", "email")], F.array_join(F.array_sort("row_ids"), ",").alias("row_ids"), "excluded", F.array_join("flags", ",").alias("flags"))
+
+
+def dispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One value a kind of field, cleaned by the dispatcher, with what blanks and unknown fields give."""
+    c, k = _read(spark, sf_dir, "customer"), F.col("c_custkey")
+    key = k.cast("string")
+    values = {"employeeNumber": F.concat(F.lit("APX-"), key), "firstName": F.lower("c_mktsegment"), "phone": F.concat(F.lit("98"), F.lpad(key, 8, "0")), "dateOfBirth": F.concat(F.lit("2001-01-"), F.lpad((k % 40).cast("string"), 2, "0")), "managerEmployeeNumber": F.concat(F.lit("apx"), key), "workLocation": F.lower("c_mktsegment"), "panNumber": F.concat(F.lit("abcde"), F.lpad((k % 10000).cast("string"), 4, "0"), F.when(k % 2 == 0, "f").otherwise("")), "costCode": F.concat(F.lit(" "), key, F.lit(" "))}
+    out = None
+    for name, value in values.items():
+        one = c.select("c_custkey", F.lit(name).alias("field"), clean.clean_value(name, F.when(k % 9 == 0, " n/a ").otherwise(value)).alias("x"))
+        out = one if out is None else out.unionByName(one)
+    return out.select("c_custkey", "field", F.coalesce("x.value", F.lit("")).alias("value"), F.col("x.confidence").alias("confidence"), F.coalesce("x.issue", F.lit("")).alias("issue"))
+
+
+def value_issue_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Escalations of flagged values with their options."""
+    c, k = _read(spark, sf_dir, "customer"), F.col("c_custkey")
+    key = k.cast("string")
+    born = F.concat(F.lpad((k % 12 + 1).cast("string"), 2, "0"), F.lit("/"), F.lpad((k % 11 + 1).cast("string"), 2, "0"), F.lit("/90"))
+    s = merge.Source(c.select(key.alias("id"), F.when(k % 4 == 0, F.lit("absconding")).otherwise("active").alias("st"), F.concat(key, F.when(k % 3 == 0, "@gmail.com").when(k % 3 == 1, "@x.in").otherwise("")).alias("mail"), born.alias("born"), k.alias("row_idx")), 0, "a", (("id", "employeeNumber"), ("st", "status"), ("mail", "email"), ("born", "dateOfBirth")))
+    e = escalations.value_issues(cut(merge.merge_sources([s]), "records"))
+    return e.groupBy("kind", "field", F.array_join(F.transform("options", lambda o: o["id"]), ",").alias("options"), "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tail_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5: a log's last rows, newest first; the limit is the feature."""
+    e = _read(spark, sf_dir, "events").withColumn("seq", F.col("event_id"))
+    return store.tail(e, 30).select("event_id", "rank")
 
 
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,7 +440,7 @@ ALL: tuple[Query, ...] = (
     normalize_text, token_overlap, header_similarity_topk, title_case, name_split, blank_filter, number_parse, money_format, email_clean,
     phone_clean, employee_id, date_parse_mixed, enum_map_unknown, profile_columns, map_columns, map_decision, merge_sources, conflict_escalations,
     exact_dedupe, fuzzy_pairs, missing_required, date_order, required_without_source, skip_set_validation, escalation_summary, push_status,
-    push_outcome, rollback_net, upsert_latest, recent_topk, event_ring, currency_default, delta_rule_threshold, json_roundtrip, clean_records,
+    push_outcome, push_log, rollback_net, rollback_calls, resolve_decisions, close_related, merge_pairs, dispatched, value_issue_options, tail_views, upsert_latest, recent_topk, event_ring, currency_default, delta_rule_threshold, json_roundtrip, clean_records,
 )
 
 

@@ -56,6 +56,18 @@ _LABELS = """(VALUES (0, 'mapping_ambiguous', 'Ambiguous mapping'), (1, 'mapping
   (3, 'value_ambiguous_date', 'Ambiguous date'), (4, 'value_unknown_enum', 'Unknown enum value'), (5, 'conflict_cross_file', 'Cross-file conflict'),
   (6, 'duplicate_fuzzy', 'Possible duplicate'), (7, 'validation_failed', 'Validation failed')) AS l(i, kind, label)"""
 
+_DECIDED = """
+esc AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS escalation_id, o_orderkey AS k, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS r,
+    CASE o_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS f, CASE WHEN o_orderkey % 5 = 0 THEN 'resolved' ELSE 'open' END AS was,
+    CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS "at" FROM orders),
+made AS (SELECT *, k % 10 = 4 AS no, CASE WHEN k % 10 = 4 THEN 'reject_record' WHEN k % 4 = 0 THEN 'accept_value' WHEN k % 7 = 0 THEN 'exclude_record' WHEN k % 11 = 0 THEN 'merge_records' ELSE 'set_field' END AS command
+    FROM esc WHERE was = 'open' AND k % 2 = 0),
+behind AS (SELECT *, r IS NOT NULL AND coalesce(sum(CASE WHEN no THEN 0 ELSE 1 END) OVER (PARTITION BY r, f ORDER BY "at", escalation_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS closed FROM made),
+turns AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY "at", escalation_id) AS n FROM behind WHERE NOT closed),
+outs AS (SELECT *, min(CASE WHEN r IS NOT NULL AND (no OR command IN ('exclude_record', 'merge_records')) THEN n END) OVER (PARTITION BY r) AS fst FROM turns),
+ends AS (SELECT *, min(CASE WHEN NOT no AND n >= fst THEN n END) OVER (PARTITION BY r) AS en FROM outs),
+counts AS (SELECT escalation_id, r, coalesce(f, '') AS f, CASE WHEN no THEN 'rejected' ELSE 'resolved' END AS status, command, "at", r IS NOT NULL AND coalesce(n = en, false) AS whole FROM ends WHERE r IS NULL OR en IS NULL OR n <= en)
+"""
 ORACLES: dict[str, str] = {
     "normalize_text": f"SELECT p_partkey, {_NORMAL.format("'  ' || replace(p_type, ' ', '_/') || '&R.D '")} AS normal FROM part",
     "token_overlap": f"""
@@ -132,11 +144,63 @@ SELECT CAST(k AS VARCHAR) AS record_id, CASE WHEN no_mail THEN 'email' ELSE 'sta
        'Missing: ' || CASE WHEN no_mail AND no_status THEN 'Mail, Segment' WHEN no_mail THEN 'Mail' ELSE 'Segment' END AS evidence, CAST(0.2 AS DOUBLE) AS confidence
 FROM r WHERE no_mail OR no_status""",
     "date_order": "SELECT o_orderpriority, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE strftime(o_orderdate, '%Y-%m-%d') > strftime(l_shipdate, '%Y-%m-%d') GROUP BY o_orderpriority",
-    "skip_set_validation": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
+    "skip_set_validation": "SELECT c_custkey, 'Missing: Mail' AS evidence FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F' AND (o_custkey = c_custkey OR o_custkey + 1 = c_custkey))",
     "escalation_summary": f"SELECT kind, count(*) AS n, label FROM orders JOIN {_LABELS} ON o_orderkey % 8 = i WHERE o_orderstatus = 'O' GROUP BY kind, label",
     "push_status": f"WITH {_PUSH.format(where='')} SELECT record_id, employee_number, attempt, status, status = 201 AS ok FROM calls",
     "push_outcome": f"WITH {_PUSH.format(where='WHERE c_custkey % 10 = 3 AND c_custkey % 17 <> 0')} SELECT status, count(*) AS n FROM calls GROUP BY status",
-    "rollback_net": "SELECT CAST(c_custkey AS VARCHAR) AS employee_number, c_mktsegment FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0",
+    "rollback_net": """
+SELECT 'in the target' AS what, CAST(0 AS BIGINT) AS n
+UNION ALL SELECT CASE WHEN c_custkey % 3 = 0 THEN 'rolled_back' ELSE 'failed' END, count(*) FROM customer GROUP BY 1""",
+    "rollback_calls": """
+SELECT lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS record_id, 'DELETE' AS method,
+       '/api/v1/employee/' || CASE WHEN c_custkey % 6 <> 0 THEN 'a+b%2F' || c_custkey ELSE lpad(CAST(c_custkey AS VARCHAR), 12, '0') END AS path, 204 AS status, true AS ok,
+       '{"employeeNumber":"' || CASE WHEN c_custkey % 6 <> 0 THEN 'a b/' || c_custkey ELSE lpad(CAST(c_custkey AS VARCHAR), 12, '0') END || '","batchId":"batch_7"}' AS body
+FROM customer WHERE c_custkey % 3 = 0""",
+    "push_log": f"""
+WITH {_PUSH.format(where='')},
+said AS (SELECT c.*, CASE WHEN status = 201 THEN 'push.ok' ELSE 'push.fail' END AS action,
+  CASE WHEN status = 201 THEN 'POST /api/v1/employee → 201' WHEN status = 422 THEN '422 missing segment' WHEN status = 503 THEN '503 target is busy, try again' WHEN excluded THEN '409 record is excluded' ELSE '409 employee exists already' END AS why,
+  CASE WHEN status = 201 THEN 'created' ELSE CAST(status AS VARCHAR) END AS after FROM calls c JOIN base b USING (record_id))
+SELECT action, why, after, count(*) AS n, min(employee_number) AS first_subject FROM said GROUP BY ALL""",
+    "resolve_decisions": f'WITH {_DECIDED} SELECT escalation_id, status, command, "at", whole FROM counts',
+    "close_related": f"""
+WITH {_DECIDED},
+settled AS (SELECT r, f, bool_or(whole) AS whole FROM counts WHERE status <> 'rejected' AND r IS NOT NULL GROUP BY r, f),
+after AS (SELECT e.*, CASE WHEN c.status IS NOT NULL THEN c.status WHEN e.was = 'open' AND EXISTS (SELECT 1 FROM settled s WHERE s.r = e.r AND (s.f = coalesce(e.f, '') OR s.whole)) THEN 'resolved' ELSE e.was END AS now
+  FROM esc e LEFT JOIN counts c USING (escalation_id))
+SELECT now AS status, coalesce(f, '') AS field, count(*) AS n, min(escalation_id) AS first_id FROM after GROUP BY ALL""",
+    "merge_pairs": """
+WITH c AS (SELECT c_custkey AS k, c_custkey % 4 AS q, c_name, c_mktsegment FROM customer),
+two AS (SELECT k, CASE WHEN k % 8 = 2 THEN 'early' ELSE c_mktsegment END AS f FROM c WHERE q = 2),
+one AS (SELECT c.k, two.k IS NOT NULL AS took, coalesce(two.f, '') AS f, CASE WHEN c.k % 16 = 1 THEN '' ELSE c_name END AS m FROM c LEFT JOIN two ON two.k = c.k + 1 WHERE q = 1),
+zero AS (SELECT c.k, one.k IS NOT NULL AS took, coalesce(one.took, false) AS both_took, coalesce(one.f, '') AS f, coalesce(one.m, '') AS m FROM c LEFT JOIN one ON one.k = c.k + 1 WHERE q = 0),
+rows_ AS (
+  SELECT k AS c_custkey, f AS "firstName", m AS email, array_to_string(list_sort(['r' || k] || CASE WHEN took THEN ['r' || (k + 1)] ELSE [] END || CASE WHEN both_took THEN ['r' || (k + 2)] ELSE [] END), ',') AS row_ids, false AS excluded, CASE WHEN took THEN '' ELSE 'firstName:duplicate' END AS flags FROM zero
+  UNION ALL SELECT k, f, m, array_to_string(list_sort(['r' || k] || CASE WHEN took THEN ['r' || (k + 1)] ELSE [] END), ','), true, '' FROM one
+  UNION ALL SELECT k, f, 'two', 'r' || k, true, '' FROM two
+  UNION ALL SELECT k, '', '', 'r' || k, true, '' FROM c WHERE q = 3)
+SELECT * FROM rows_""",
+    "dispatched": r"""
+WITH c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS s, c_custkey % 9 = 0 AS blank, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) AS seg FROM customer),
+v AS (
+  SELECT k, blank, 'employeeNumber' AS field, s AS value, 0.96 AS confidence, '' AS issue FROM c
+  UNION ALL SELECT k, blank, 'firstName', seg, 0.95, '' FROM c
+  UNION ALL SELECT k, blank, 'phone', '+9198' || lpad(s, 8, '0'), 0.93, '' FROM c
+  UNION ALL SELECT k, blank, 'dateOfBirth', '2001-01-' || lpad(CAST(k % 40 AS VARCHAR), 2, '0'), CASE WHEN k % 40 BETWEEN 1 AND 31 THEN 0.98 ELSE 0.2 END, CASE WHEN k % 40 BETWEEN 1 AND 31 THEN '' ELSE 'invalid' END FROM c
+  UNION ALL SELECT k, blank, 'managerEmployeeNumber', s, 0.9, '' FROM c
+  UNION ALL SELECT k, blank, 'workLocation', seg, 0.9, '' FROM c
+  UNION ALL SELECT k, blank, 'panNumber', 'ABCDE' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') || CASE WHEN k % 2 = 0 THEN 'F' ELSE '' END, CASE WHEN k % 2 = 0 THEN 0.96 ELSE 0.4 END, CASE WHEN k % 2 = 0 THEN '' ELSE 'invalid' END FROM c
+  UNION ALL SELECT k, blank, 'costCode', s, 0.8, '' FROM c)
+SELECT k AS c_custkey, field, CASE WHEN blank THEN '' ELSE value END AS value, CAST(CASE WHEN blank THEN 1.0 ELSE confidence END AS DOUBLE) AS confidence, CASE WHEN blank THEN '' ELSE issue END AS issue FROM v""",
+    "value_issue_options": """
+WITH c AS (SELECT c_custkey AS k, c_custkey % 12 + 1 AS a, c_custkey % 11 + 1 AS b FROM customer),
+e AS (
+  SELECT 'value_unknown_enum' AS kind, 'status' AS field, 'term,active,inactive,on_notice,terminated,exclude' AS options, 0.4 AS confidence FROM c WHERE k % 4 = 0
+  UNION ALL SELECT 'validation_failed', 'email', 'accept,clear,exclude', 0.35 FROM c WHERE k % 3 = 0
+  UNION ALL SELECT 'validation_failed', 'email', 'exclude', 0.2 FROM c WHERE k % 3 = 2
+  UNION ALL SELECT 'value_ambiguous_date', 'dateOfBirth', 'dmy,mdy', 0.55 FROM c WHERE a <> b)
+SELECT kind, field, options, CAST(confidence AS DOUBLE) AS confidence, count(*) AS n FROM e GROUP BY ALL""",
+    "tail_views": "SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rank FROM events ORDER BY ts DESC, event_id DESC LIMIT 30",
     "upsert_latest": "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1",
     "recent_topk": "SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, 'c' || o_custkey AS client_name, o_orderstatus AS status, CAST(epoch(o_orderdate) AS BIGINT) AS created_at FROM orders ORDER BY o_orderdate DESC, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') LIMIT 12",
     "event_ring": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 80",

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.config import FULL_NAME, Config
-from tributary.functions.cut import cut
+from tributary.functions.cut import cut, kept
 from tributary.operators import decisions, duplicates, escalations, mapping, merge, profile
+from tributary.sources.delimited import usable
 
 STEPS = ("ingest", "profile", "map", "ai_assist", "transform", "reconcile", "validate", "summarize")
 
@@ -42,30 +43,39 @@ class Result:
 
     def decided(self, choices: DataFrame) -> Result:
         """After decisions(escalation_id, choice, reject, at)."""
-        done = cut(decisions.resolve(self.escalations, choices), "decisions")
+        return self.after(cut(decisions.resolve(self.escalations, choices), "decisions"))
+
+    def after(self, done: DataFrame) -> Result:
+        """After decisions that count."""
         return replace(
             self,
             records=cut(decisions.apply(self.records, done, self.config), "records"),
-            mappings=decisions.set_mappings(self.mappings, done),
-            escalations=decisions.close(self.escalations, done),
+            mappings=cut(decisions.set_mappings(self.mappings, done), "mappings"),
+            escalations=cut(decisions.close(self.escalations, done), "escalations"),
             rules=self.rules.unionByName(decisions.human_rules(done)),
         )
 
 
-def run(sources: list[tuple[str, DataFrame]], config: Config | None = None, helper: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> Result:
-    """sources: (file name, frame of string columns with row_idx), in order."""
+def run(sources: list[tuple[str, DataFrame]], config: Config | None = None, helper: Callable[[DataFrame, DataFrame], DataFrame] | None = None, folder: str | None = None) -> Result:
+    """sources: (file name, frame of string columns with row_idx), in order; files without rows are left out.
+
+    With a folder every step's table stays there: a run that was stopped goes on behind its last whole step.
+    """
     config = config or Config()
+    alive = usable([df for _, df in sources])
+    sources = [(name, df) for name, df in sources if any(df is x for x in alive)]
+    step = (lambda df, name: kept(df, f"{folder.rstrip('/')}/{name}")) if folder else cut
     cells = None
     for i, (name, df) in enumerate(sources):
         one = profile.long_cells(df, i, name)
         cells = one if cells is None else cells.unionByName(one)
-    profiles = cut(profile.profile_columns(cells, config.policy.samples), "profiles")
-    mappings = mapping.assist(mapping.propose(profiles, config), profiles, helper, config)
+    profiles = step(profile.profile_columns(cells, config.policy.samples), "profiles")
+    mappings = step(mapping.assist(mapping.propose(profiles, config), profiles, helper, config), "mappings")
     rows = mappings.collect()  # one row a source column
     mappings = mappings.sparkSession.createDataFrame(rows, mappings.schema)
-    records = cut(merge_mapped(sources, rows, config), "records")
-    pairs = cut(duplicates.record_pairs(records), "pairs")
-    found = cut(escalations.numbered(
+    records = step(merge_mapped(sources, rows, config), "records")
+    pairs = step(duplicates.record_pairs(records), "pairs")
+    found = step(escalations.numbered(
         escalations.duplicates(pairs),
         escalations.conflicts(records, config),
         escalations.value_issues(records, config),
@@ -73,7 +83,7 @@ def run(sources: list[tuple[str, DataFrame]], config: Config | None = None, help
         escalations.of_mappings(mappings),
         escalations.required_without_source(mappings, config),
     ), "escalations")
-    return Result(profiles, mappings, records, pairs, found, escalations.delta_rules(cells, config), config)
+    return Result(profiles, mappings, records, pairs, found, step(escalations.delta_rules(cells, config), "rules"), config)
 
 
 def merge_mapped(sources: list[tuple[str, DataFrame]], mappings: list, config: Config) -> DataFrame:

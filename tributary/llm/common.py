@@ -199,3 +199,39 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         return
+
+
+def power(n: int) -> int:
+    return max(0, int(n - 1).bit_length())
+
+
+#: Bits of a table of ids or hashes, at most: 128 MB.
+MOST_ID_BITS = 30
+
+
+def bit_table(values: DataFrame, bits: int, hashed: bool = False) -> bytes:
+    """One bit for each of 2**bits hashes of the one column (or of its values, if they are such hashes): MOST_ID_BITS bound
+    it, whatever the data. is_marked reads it by slot; if hashed, bits stand where the values say."""
+    slot = F.col(values.columns[0]) + 1 if hashed else F.pmod(F.xxhash64(F.col(values.columns[0])), F.lit(1 << bits))
+    rows = values.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
+    width = 4096
+    out = bytearray((1 << bits) // 8 + width)
+    for k, m in rows:
+        at = (k - 1) * width if k > 0 else (1 << bits) // 8
+        out[at : at + width] = m
+    return bytes(out)
+
+
+def bits_for(n: int) -> int:
+    """So many that a sixteenth is set, or MOST_ID_BITS."""
+    return min(MOST_ID_BITS, max(16, power(16 * n + 1)))
+
+
+def is_marked(table: np.ndarray, slot: pa.Array) -> np.ndarray:
+    s = slot.to_numpy(zero_copy_only=False).astype(np.int64)
+    s = np.where(s > 0, s - 1, 8 * (len(table) - 4096))  # bit positions count from 1, 0 standing for itself
+    return (table[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
+
+
+def slot_of(name: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(1 << bits)).alias("slot")

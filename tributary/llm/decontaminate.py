@@ -1,17 +1,19 @@
 """Benchmark decontamination: a broadcast set of normalised test n-grams, scanned for in all training windows.
 
-The benchmark is cut into pieces of bounded size; each piece's windows are broadcast and all documents scanned, so the
-broadcast stays bounded however large the benchmark is (one piece is the usual case). Windows of a document are found by
-rolling hashes over a whole batch at once, looked up in the sorted set, and every hit is verified word by word.
+Windows of a document are found by rolling hashes over a whole batch at once. A benchmark of up to PIECE_BYTES is broadcast
+as arrays that are built once: hashes are looked up in the sorted set, and every hit is verified word by word. Of a larger
+one a bit table of bounded size is broadcast, which the same single scan screens documents by; windows that it lets through
+meet the benchmark's in a join on their words. Both give the same rows.
 
 Defined results: a null text has no words; an item without words has no window; item rows with equal ids count once,
 items with equal texts each by their own id, a null item_id not at all; an empty benchmark leaves all documents clean;
-an empty documents table gives an empty result.
+repeated document rows each give a row, also where the id is null; an empty documents table gives an empty result; texts
+of any length are read whole; other columns, whatever their names, play no part, and clean_documents returns them as they
+are.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import ascii_set, bytes_of, columns, lower_bytes, mix64, range_hashes, runs, slices
+from tributary.llm.common import Table, ascii_set, bit_table, bits_for, bytes_of, columns, lower_bytes, mix64, range_hashes, runs, slices, text_of, without
 
 WINDOW = 13
-#: Bytes of benchmark text whose windows are broadcast at once.
+#: Bytes of benchmark text whose windows are broadcast at most.
 PIECE_BYTES = 2 << 20
 
 IS_WORD = np.ones(256, bool)
@@ -46,104 +48,170 @@ def roll(h: np.ndarray, n: int) -> np.ndarray:
     return mix64(out + np.uint64(n))
 
 
+def window_starts(before: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, first words) of all windows of items, by length; before: words before each item, and of all."""
+    count = np.diff(before)
+    length = np.minimum(count, window)
+    for n in np.unique(length[length > 0]).tolist():
+        of = np.flatnonzero(length == n)
+        many = count[of] - n + 1
+        yield n, np.repeat(before[:-1][of] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+
+
 class Windows:
-    """Windows of items: by length, the sorted hashes, their words and items."""
+    """Windows of items: by length, their sorted hashes and first words; the items' words, to verify hits by."""
 
     def __init__(self, items: list[tuple[object, str]], window: int):
-        found: dict[int, dict[tuple[bytes, ...], set]] = {}
-        for item, text in items:
-            data, starts = bytes_of(pa.array([text], pa.string()))
-            data = lower_bytes(data)
-            a, b, _ = words_of(data, starts)
-            raw = data.tobytes()
-            words = [raw[x:y] for x, y in zip(a, b)]
-            n = min(window, len(words))
-            for k in range(len(words) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(tuple(words[k : k + n]), set()).add(item)
+        self.items = [item for item, _ in items]
+        data, starts = bytes_of(pa.array([text for _, text in items], pa.string()))
+        data = lower_bytes(data)
+        self.a, self.b, self.before = words_of(data, starts)
+        self.raw = data.tobytes()
+        h = range_hashes(data, self.a, self.b)
         self.by_length = []
-        for n, ways in sorted(found.items()):
-            keys = list(ways)
-            joined = b"\n".join(w for key in keys for w in key)
-            ends = np.cumsum([len(w) + 1 for key in keys for w in key]) - 1
-            first = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
-            h = range_hashes(np.frombuffer(joined, np.uint8), first, ends).reshape(len(keys), n)
-            whole = np.array([roll(row, n)[0] for row in h], np.uint64)
+        for n, first in window_starts(self.before, window):
+            whole = roll(h, n)[first]
             order = np.argsort(whole, kind="stable")
-            self.by_length.append((n, whole[order], h[order], [keys[i] for i in order], [sorted(ways[keys[i]], key=str) for i in order]))
+            self.by_length.append((n, whole[order], first[order]))
+
+    def words(self, first: int, n: int) -> list[bytes]:
+        return [self.raw[x:y] for x, y in zip(self.a[first : first + n].tolist(), self.b[first : first + n].tolist())]
 
     def hits(self, h: np.ndarray, before: np.ndarray, word) -> Iterator[tuple[int, int, list]]:
         """(first word, length, items) of every verified occurrence within a text; word(i) gives the i-th word's bytes."""
-        for n, whole, parts, keys, items in self.by_length:
-            rolled = roll(h, n)
-            if not len(rolled):
-                continue
-            at = np.minimum(np.searchsorted(whole, rolled), len(whole) - 1)
-            near = np.flatnonzero(whole[at] == rolled)
-            inside = np.searchsorted(before, near, "right") == np.searchsorted(before, near + n - 1, "right")
-            for i in near[inside]:
-                k = at[i]
-                while k < len(whole) and whole[k] == rolled[i]:  # windows whose hashes collide stand side by side
-                    if (parts[k] == h[i : i + n]).all() and all(word(i + j) == w for j, w in enumerate(keys[k])):
-                        yield int(i), n, items[k]
-                    k += 1
-
-
-def _pieces(benchmark: DataFrame, piece: int) -> Iterator[DataFrame]:
-    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-2 * size // piece)) if size > piece else 1
-    for k in range(n):
-        yield items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        for n, whole, first in self.by_length:
+            near, at = looked_up(h, n, before, whole)
+            for i, k in zip(near.tolist(), at.tolist()):
+                have = [word(i + j) for j in range(n)]
+                end = int(np.searchsorted(whole, whole[k], "right"))  # windows whose hashes are equal stand side by side
+                found = [int(x) for x in first[k:end] if self.words(int(x), n) == have]
+                if found:
+                    yield i, n, [self.items[int(np.searchsorted(self.before, x, "right")) - 1] for x in found]
+
+
+def inside(h: np.ndarray, n: int, before: np.ndarray) -> np.ndarray:
+    """First words of all runs of n words within one text; before: words before each text but the first."""
+    first = np.arange(max(0, len(h) - n + 1))
+    return first[np.searchsorted(before, first, "right") == np.searchsorted(before, first + n - 1, "right")]
+
+
+def looked_up(h: np.ndarray, n: int, before: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of a text's runs of n words whose hash is in the sorted set, and where there."""
+    rolled = roll(h, n)
+    if not len(rolled):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(whole, rolled), len(whole) - 1)
+    near = np.flatnonzero(whole[at] == rolled)
+    near = near[np.searchsorted(before, near, "right") == np.searchsorted(before, near + n - 1, "right")]
+    return near, at[near]
+
+
+def _spans(hit: np.ndarray, before: np.ndarray, n: int) -> list[list[dict]]:
+    """Of each text the runs of hit words; hit: how many more or fewer windows cover a word than the one before it."""
+    first, last = runs(np.cumsum(hit[:-1]) > 0, before)
+    owner = np.searchsorted(before[1:], first, "right")
+    spans: list[list] = [[] for _ in range(n)]
+    for d, x, y in zip(owner, first - before[owner], last - before[owner]):
+        spans[d].append({"first": int(x), "last": int(y)})
+    return spans
+
+
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", text_of(docs).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
+
+
+def _scan_broadcast(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    kind = items.schema["item_id"].dataType.simpleString()
+    item_type = pa.int64() if kind in ("bigint", "int", "smallint", "tinyint") else pa.string()
+    shared = docs.sparkSession.sparkContext.broadcast(Windows([(r[0], r[1]) for r in items.collect()], window))  # PIECE_BYTES at most
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ways = shared.value
+        for batch in batches:
+            for rows in slices(batch):
+                ids, ths, texts = columns(rows, "doc_id", "th", "text")
+                data, starts = bytes_of(texts)
+                data = lower_bytes(data)
+                a, b, before = words_of(data, starts)
+                hit = np.zeros(len(a) + 1, np.int32)
+                found: list[set] = [set() for _ in range(len(ids))]
+                for i, n, items in ways.hits(range_hashes(data, a, b), before[1:-1], lambda k: data[a[k] : b[k]].tobytes()):
+                    hit[i] += 1
+                    hit[i + n] -= 1
+                    found[int(np.searchsorted(before[1:], i, "right"))].update(items)
+                out = [ids, ths, pa.array(np.diff(before), pa.int64()), pa.array(_spans(hit, before, len(ids)), SPANS), pa.array([sorted(x, key=str) for x in found], pa.list_(item_type))]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "th", "n_words", "spans", "items"])
+
+    name = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(find, f"doc_id {name}, th long, n_words long, spans array<struct<first:long,last:long>>, items array<{'long' if item_type == pa.int64() else 'string'}>")
+
+
+def _item_windows(items: DataFrame, window: int) -> DataFrame:
+    """item_id, n, h, words: each window of each item, its words joined by spaces."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch):
+                ids, texts = columns(rows, "item_id", "text")
+                data, starts = bytes_of(texts)
+                data = lower_bytes(data)
+                a, b, before = words_of(data, starts)
+                h = range_hashes(data, a, b)
+                raw = data.tobytes()
+                for n, first in window_starts(before, window):
+                    joined = [b" ".join(raw[a[k] : b[k]] for k in range(x, x + n)).decode() for x in first.tolist()]
+                    own = ids.take(pa.array(np.searchsorted(before, first, "right") - 1))
+                    yield pa.RecordBatch.from_arrays([own, pa.array(np.full(len(first), n, np.int32)), pa.array(roll(h, n)[first].view(np.int64)), pa.array(joined, pa.string())], ["item_id", "n", "h", "words"])
+
+    kind = items.schema["item_id"].dataType.simpleString()
+    return items.mapInArrow(cut, f"item_id {kind}, n int, h long, words string")
+
+
+def _scan_joined(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    ways = Table(_item_windows(items, window).groupBy("n", "h", "words").agg(F.collect_set("item_id").alias("items")), "windows").df
+    lengths = [r[0] for r in ways.select("n").distinct().collect()]  # `window` of them at most
+    bits = bits_for(ways.count())
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(ways.select(F.shiftrightunsigned("h", 64 - bits).alias("h")), bits, hashed=True))
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            for rows in slices(batch):
+                uids, ids, ths, texts = columns(rows, "uid", "doc_id", "th", "text")
+                data, starts = bytes_of(texts)
+                data = lower_bytes(data)
+                a, b, before = words_of(data, starts)
+                h = range_hashes(data, a, b)
+                raw = data.tobytes()
+                found: list[list] = [[] for _ in range(len(ids))]
+                for n in lengths:
+                    first = inside(h, n, before[1:-1])
+                    slot = (roll(h, n)[first] >> np.uint64(64 - bits)).astype(np.int64)
+                    first = first[(marks[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
+                    for x, d in zip(first.tolist(), (np.searchsorted(before, first, "right") - 1).tolist()):
+                        found[d].append({"first": x - int(before[d]), "n": n, "words": b" ".join(raw[a[k] : b[k]] for k in range(x, x + n)).decode()})
+                kind = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int32()), ("words", pa.string())]))
+                yield pa.RecordBatch.from_arrays([uids, ids, ths, pa.array(np.diff(before), pa.int64()), pa.array(found, kind)], ["uid", "doc_id", "th", "n_words", "found"])
+
+    name = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "th", "text").mapInArrow(screen, f"uid long, doc_id {name}, th long, n_words long, found array<struct<first:long,n:int,words:string>>")
+    rows = Table(rows, "screened").df  # written, as uids must not change
+    hits = rows.select("uid", F.explode("found").alias("w")).select("uid", "w.first", "w.n", "w.words").join(ways.select("n", "words", "items"), ["n", "words"])
+    hits = hits.select("uid", F.struct("first", (F.col("first") + F.col("n")).alias("last")).alias("span"), "items")
+    hits = hits.groupBy("uid").agg(F.array_sort(F.collect_list("span")).alias("all"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    met = rows.drop("found").join(hits.select("uid", _joined("all").alias("spans"), "items"), "uid", "left")
+    empty = lambda c: F.coalesce(c, F.expr(f"cast(array() as {hits.schema['items'].dataType.simpleString() if c == 'items' else 'array<struct<first:bigint,last:bigint>>'})"))
+    return met.select("doc_id", "th", "n_words", empty("spans").alias("spans"), empty("items").alias("items"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, piece: int = PIECE_BYTES) -> DataFrame:
     """doc_id, th, n_words, spans (array of first word, last word + 1 of hit runs), items (array of item_id)."""
-    spark = docs.sparkSession
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    name = docs.schema["doc_id"].dataType.simpleString()
-    frames = []
-    many = False
-    for part in _pieces(benchmark, piece):
-        many = bool(frames)
-        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
-
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ways = Windows(shared.value, window)
-            for batch in batches:
-                for rows in slices(batch):
-                    ids, ths, texts = columns(rows, "doc_id", "th", "text")
-                    data, starts = bytes_of(texts)
-                    data = lower_bytes(data)
-                    a, b, before = words_of(data, starts)
-                    h = range_hashes(data, a, b)
-                    hit = np.zeros(len(a) + 1, np.int32)
-                    items: list[set] = [set() for _ in range(len(ids))]
-                    of = before[1:]
-                    for i, n, found in ways.hits(h, before[1:-1], lambda k: data[a[k] : b[k]].tobytes()):
-                        hit[i] += 1
-                        hit[i + n] -= 1
-                        items[int(np.searchsorted(of, i, "right"))].update(found)
-                    covered = np.cumsum(hit[:-1]) > 0
-                    first, last = runs(covered, before)
-                    owner = np.searchsorted(of, first, "right")
-                    spans: list[list] = [[] for _ in range(len(ids))]
-                    for d, x, y in zip(owner, first - before[owner], last - before[owner]):
-                        spans[d].append({"first": int(x), "last": int(y)})
-                    out = [ids, ths, pa.array(np.diff(before), pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array([sorted(x, key=str) for x in items], pa.list_(item_type))]
-                    yield pa.RecordBatch.from_arrays(out, ["doc_id", "th", "n_words", "spans", "items"])
-
-        item_type = pa.int64() if kind in ("bigint", "int", "smallint", "tinyint") else pa.string()
-        text = F.col("text").cast("string")
-        frames.append(docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(find, f"doc_id {name}, th long, n_words long, spans array<struct<first:long,last:long>>, items array<{'long' if item_type == pa.int64() else 'string'}>"))
-    if not many:
-        return frames[0]
-    union = frames[0]
-    for more in frames[1:]:
-        union = union.unionByName(more)
-    merged = union.groupBy("doc_id", "th").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    merged = merged.select("doc_id", "th", "n_words", _joined("all").alias("spans"), "items").alias("m")
-    rows = docs.select(F.col("doc_id").alias("k_id"), F.xxhash64(F.col("text").cast("string")).alias("k_th"))  # repeated rows each stay
-    return rows.join(merged, F.col("k_id").eqNullSafe(F.col("m.doc_id")) & (F.col("k_th") == F.col("m.th"))).select("m.*")
+    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", F.col("text").cast("string").alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return (_scan_broadcast if size <= piece else _scan_joined)(_read(docs), items, window)
 
 
 def _joined(name: str):
@@ -170,12 +238,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, piece:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, piece: int = PIECE_BYTES) -> DataFrame:
-    """The documents that are not contaminated, with all columns. One scan: rows pass through with their texts."""
-    spark, names = docs.sparkSession, docs.columns
-    bad = judge(docs, benchmark, window=window, piece=piece).filter("contaminated").select("doc_id", "th").distinct().alias("b")
-    d = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("k_id"), F.xxhash64(F.col("text").cast("string")).alias("k_th")).alias("d")
-    left = d.join(bad, F.col("d.k_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d.k_th") == F.col("b.th")), "left_anti")
-    return left.select(*[F.col("row")[c].alias(c) for c in names])
+    """The documents that are not contaminated, with all columns."""
+    bad = judge(docs, benchmark, window=window, piece=piece).filter("contaminated").select("doc_id", "th").distinct()
+    return without(docs, Table(bad, "contaminated").df)
 
 
 def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import IS_SPACE, Table, bytes_of, columns, give_back, lower_bytes, mix64, range_hashes, runs, slices, text_of, without
+from tributary.llm.common import IS_SPACE, Table, bit_table, bits_for, bytes_of, columns, give_back, is_marked, lower_bytes, mix64, power, range_hashes, runs, slices, slot_of, text_of, without
 from tributary.llm.components import components
 from tributary.llm.decontaminate import roll
 
@@ -50,8 +50,6 @@ PART_BYTES = 16 << 20
 FLUSH = 2_000_000
 #: Bytes of text that are worked on at once.
 SLICE = 2 << 20
-#: Bits of a table of ids or nodes, at most: 128 MB.
-MOST_ID_BITS = 30
 #: Members of a list that are compared in one task with as many others.
 BLOCK = 1000
 #: Pairs of a node that one round tests besides those that tie it to others; eight times as many in each later round.
@@ -137,10 +135,6 @@ def cut(sorted_values: np.ndarray, parts_bits: int, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(sorted_values, edges), len(sorted_values))
 
 
-def power(n: int) -> int:
-    return max(0, int(n - 1).bit_length())
-
-
 # --- the first scan: sizes, names and slot counts ---
 
 
@@ -365,33 +359,6 @@ def pairs_of(packed: DataFrame, percent: int, part_bits: int) -> DataFrame:
 # --- verification ---
 
 
-def bit_table(values: DataFrame, bits: int) -> bytes:
-    """One bit for each of 2**bits hashes of the one column: MOST_ID_BITS bound it, whatever the data."""
-    slot = F.pmod(F.xxhash64(F.col(values.columns[0])), F.lit(1 << bits))
-    rows = values.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
-    width = 4096
-    out = bytearray((1 << bits) // 8 + width)
-    for k, m in rows:
-        at = (k - 1) * width if k > 0 else (1 << bits) // 8
-        out[at : at + width] = m
-    return bytes(out)
-
-
-def bits_for(n: int) -> int:
-    """So many that a sixteenth is set, or MOST_ID_BITS."""
-    return min(MOST_ID_BITS, max(16, power(16 * n + 1)))
-
-
-def is_marked(table: np.ndarray, slot: pa.Array) -> np.ndarray:
-    s = slot.to_numpy(zero_copy_only=False).astype(np.int64)
-    s = np.where(s > 0, s - 1, 8 * (len(table) - 4096))  # bit positions count from 1, 0 standing for itself
-    return (table[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
-
-
-def slot_of(name: str, bits: int) -> Column:
-    return F.pmod(F.xxhash64(name), F.lit(1 << bits)).alias("slot")
-
-
 def only_marked(rows: DataFrame, name: str, table: bytes, bits: int) -> DataFrame:
     """The rows whose column's bit is set: all that the table was made of and a few others, without a shuffle."""
     shared = rows.sparkSession.sparkContext.broadcast(table)

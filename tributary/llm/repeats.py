@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import _TABLE, Table, _power, bytes_of, columns, give_back, mix64, slices, text_of
-from tributary.llm.ngram_join import bit_table, cut, expand, power, squeeze
+from tributary.llm.common import _TABLE, Table, _power, bit_table, bytes_of, columns, give_back, mix64, power, slices, text_of
+from tributary.llm.ngram_join import cut, expand, squeeze
 
 WINDOW = 50
 ANCHOR = 24

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -335,3 +336,47 @@ def test_pipeline(spark, corpus, tmp_path):
     mixed = corpus_pipeline.run(spark, d)
     assert {r["doc_id"] for r in mixed.collect()} == {r["doc_id"] for r in now.collect()}
     assert F.col("taken") is not None and mixed.filter("taken > 2 * size").isEmpty()
+
+
+def test_pages_are_read_in_time_that_grows_with_them():
+    for source in ("<a " * 400_000, "<a '" * 200_001 + ">", "<div>" * 100_000 + "</section>" * 100_000 + "t", "<!--" * 300_000, "<script>" * 200_000, "<div class='sidebar'><article>" * 30_000 + "t"):
+        began = time.perf_counter()
+        pages.main_text(source, frozenset())
+        assert time.perf_counter() - began < 20
+
+
+def test_pages_broken_markup():
+    text = lambda s: pages.main_text(s, frozenset())
+    assert text("a < b <p>c <i x='>'>d</i> <b y=\">e</b> f") == "a < b\nc d e f"
+    assert text("<p>one<!-- two <p>three") == "one" and text("x<script>y</SCRIPT >z<style>w") == "xz"
+    assert text("</div></article>t<article>u</section></div>v") == "u v".replace(" ", "\n") or text("</div></article>t<article>u</section></div>v") == "uv"
+
+
+def test_pages_slots_without_names(spark):
+    """What varies outside the element that holds most of the text is no main text, whatever names say or don't."""
+    words = lambda i, n: " ".join(f"w{(i * 31 + k * k) % 997}" for k in range(n))
+    body = lambda i: f"<html><body><div>Site</div><section>ad {i}</section><main><h1>T {i}</h1><p>{words(i, 60)}</p><div class='ad-free has-sidebar'>{words(i + 1, 9)}</div><table class='html-tags'><tr><td>c {i}</table></main><dl>seen {i} times</dl></body></html>"
+    plain = lambda i: re.sub(r"</?main>", lambda m: m[0].replace("main", "blockquote"), re.sub(r" class='[^']*'", "", body(i)))
+    rows = [*[(i, "http://a.b/", body(i)) for i in range(10)], *[(i, "http://c.d/", plain(i)) for i in range(20, 30)], (29, "http://c.d/", plain(29)), (40, "http://c.d/", plain(29))]
+    got = pages.extract(spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, host int")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        i = min(r["page_id"], 29)
+        assert r["text"] == f"T {i}\n{words(i, 60)}\n{words(i + 1, 9)}\nc {i}" and r["n_chars"] == len(r["text"])
+
+
+def test_occurrence_vectors(spark):
+    """Templates of a small host against classes by plain comparison."""
+    rows = [(i, "h", f"<body><p>a</p><p>b</p>{'<p>c</p>' if i % 2 else ''}<p>t{i}</p>" + "<p>d</p>" * (1 + i % 3) + "</body>") for i in range(12)]
+    counts = {}
+    for i, _, source in rows:
+        for t, n in pages.occurrences(source).items():
+            counts.setdefault(t, {})[i] = n
+    vectors = {}
+    for t, v in counts.items():
+        if len(v) >= 0.8 * len(rows) and set(v.values()) == {1}:
+            vectors.setdefault(tuple(sorted(v.items())), set()).add(t)
+    want = {t for c in vectors.values() if len(c) > 1 for t in c}
+    read = spark.createDataFrame(rows, "page_id long, host string, html string").select("page_id", "host", "html")
+    got = {r["token"] & (2**64 - 1) for r in pages.deduce_templates(read.unionByName(read)).collect()}
+    assert got == want and len(want) > 3

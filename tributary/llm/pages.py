@@ -2,19 +2,23 @@
 
 A page is read as tokens: tags with the path of elements they stand in, and blocks of text with theirs. Over all pages of
 a host, each token has an occurrence vector (how often each page holds it), kept as a hash that is combined before it
-is shuffled. Tokens with equal vectors form an equivalence class. Classes that nearly all distinct pages of the host
-hold, once each, are valid; they nest by the order in which their tokens stand, and together are the host's template.
-What a page has between template tokens are its slots: blocks of text that are no template token, outside elements
-that by name are menus, headers, footers, sidebars, notices, adverts, forms or comments. A name is judged whole, that of the
-body never counts, and names around all of a page's articles don't count where they would drop most of its text.
-Template text goes inside articles as outside. One tag rule remains: where slots within marked articles that are no
-noise hold text, slots outside are left out.
+is shuffled. Tokens with equal vectors form an equivalence class. Classes of two tokens or more that nearly all distinct
+pages of the host hold, once each, are valid; together they are the host's template, whose elements nest as pages nest
+them. What a page has between template tokens are its slots: blocks of text that are no template token.
+
+The main text fills the slots within the innermost template element that holds most of a page's slot text. A marked
+article or main element that holds as much takes its place; it alone decides where a host has too few pages for a
+template, and where there is neither, all slots count. Elements that by tag or name are menus, headers, footers, sidebars,
+notices, adverts, forms or comments give no text. A name is judged whole and never that of a body, main or article; names
+around all of a page's articles don't count where they would drop most of its text.
 
 Templates are broadcast only if they are few (BROADCAST_TOKENS over all hosts); else pages meet them in a join on the
 host, which adaptive execution splits where a host is hot.
 
 Defined results: null or empty html gives the empty text; a null url is a host of its own; pages that repeat count once
-in a template; an empty table gives an empty result; other columns play no part.
+in a template and each give their text; a tag whose quotes never close ends at its first ">", as all tags after it do;
+a "<" that no ">" follows is text; a comment or element never closed reaches to the end; the time to read a page grows with its
+length alone; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -36,10 +40,8 @@ from tributary.llm.common import Table, columns
 LEAST_PAGES, LEAST_SHARE = 8, 0.8
 BROADCAST_TOKENS = 200_000
 
-PIECE = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""",
-    re.S | re.I,
-)
+OPENS = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/><]*))")
+QUIET = re.compile(r"[^\"'>]*")
 NAMED = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -48,6 +50,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+#: Elements whose content is no text.
+RAW = frozenset("script style noscript template svg iframe textarea select object canvas".split())
 HOLDERS = frozenset("article aside blockquote body center dd details dialog div dl fieldset figure footer form head header hgroup main menu nav ol section table td title ul".split())
 NOISE = frozenset("aside dialog fieldset footer form head menu nav title".split())
 NOISE_NAMES = frozenset(
@@ -70,17 +74,65 @@ def _is_name_noise(names: list[str], in_article: bool) -> bool:
     return False
 
 
+def pieces(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closes, attributes) of each piece of markup; the name of what isn't a tag is empty."""
+    at, quoted, last = 0, True, source.rfind(">")
+    while m := OPENS.search(source, at):
+        start, end = m.start(), m.end()
+        if m[1]:
+            close = source.find("-->", end)
+            at = close + 3 if close >= 0 else len(source)
+            yield start, at, "", False, ""
+            continue
+        if start > last:
+            return
+        if not m[3]:
+            at = source.find(">", end) + 1
+            yield start, at, "", False, ""
+            continue
+        k = end
+        while quoted:
+            k = QUIET.match(source, k).end()
+            if k == len(source):
+                quoted = False
+            elif source[k] == ">":
+                break
+            else:
+                k = source.find(source[k], k + 1) + 1
+                quoted = k > 0
+        if not quoted:
+            k = source.find(">", end)
+            if k < 0:
+                return
+        name, at = m[3].lower(), k + 1
+        if name in RAW and not m[2] and source[k - 1] != "/":
+            close = re.compile(rf"</{name}\s*>", re.I).search(source, at)
+            at = close.end() if close else len(source)
+            yield start, at, "", False, ""
+        else:
+            yield start, at, name, bool(m[2]), source[end:k]
+
+
 class Holder(NamedTuple):
     name: str
-    path: str
+    path: int
     parent: int
     by_tag: bool
     by_name: bool  # noise by a name word
     inside: bool
 
 
+class Page(NamedTuple):
+    holders: list[Holder]
+    #: ("tag" or "text", holder, tag or block of text), in page order.
+    items: list[tuple[str, int, str]]
+    noise: list[bool]
+    #: Whether a holder is in a marked article.
+    inside: list[bool]
+
+
 def _settled(holders: list[Holder], items: list[tuple[str, int, str]]) -> tuple[list[bool], list[bool]]:
-    """Of each holder whether it is noise and whether its text rules out text outside articles.
+    """Of each holder whether it is noise and whether it counts as within a marked article.
 
     Where names alone would drop all articles and more text than stays, names of elements around articles don't count.
     """
@@ -96,7 +148,7 @@ def _settled(holders: list[Holder], items: list[tuple[str, int, str]]) -> tuple[
     if marks and all(noise[k] for k in marks):
         spared: set[int] = set()
         for k in marks:
-            while (k := holders[k].parent) > 0:
+            while (k := holders[k].parent) > 0 and k not in spared:
                 spared.add(k)
         less = noise_but(spared)
         won = sum(len(what) for kind, k, what in items if kind == "text" and noise[k] and not less[k] and inside[k])
@@ -105,9 +157,9 @@ def _settled(holders: list[Holder], items: list[tuple[str, int, str]]) -> tuple[
     return noise, inside
 
 
-def read_page(source: str) -> list[tuple[str, str, bool, bool, str]]:
-    """("tag" or "text", path, noise, in an article, tag or block of text), in page order."""
-    holders, stack = [Holder("", "", 0, False, False, False)], [0]
+def read_page(source: str) -> Page:
+    holders, stack = [Holder("", 0, 0, False, False, False)], [0]
+    open_: Counter = Counter()
     items: list[tuple[str, int, str]] = []
     held: list[str] = []
 
@@ -118,10 +170,9 @@ def read_page(source: str) -> list[tuple[str, str, bool, bool, str]]:
             items.append(("text", stack[-1], text))
 
     at = 0
-    for m in PIECE.finditer(source):
-        held.append(source[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
+    for start, end, name, closes, given in pieces(source):
+        held.append(source[at:start])
+        at = end
         if not name:
             continue
         if name == "br":
@@ -130,45 +181,42 @@ def read_page(source: str) -> list[tuple[str, str, bool, bool, str]]:
         if name in BLOCKS:
             block()
             if name in HOLDERS:
-                if m[2]:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if holders[stack[k]].name == name:
-                            del stack[k:]
+                if closes:
+                    while open_[name]:
+                        last = holders[stack.pop()].name
+                        open_[last] -= 1
+                        if last == name:
                             break
-                elif not m[4].endswith("/"):
+                elif not given.endswith("/"):
                     up = holders[stack[-1]]
-                    given = [(x[0].lower(), "".join(x[1:]).lower()) for x in NAMED.findall(m[4])] if m[4] else []
-                    words = re.split(r"[^a-z0-9]+", " ".join(value for _, value in given))
-                    names = [x for kind, value in given for x in ([value] if kind == "aria-label" else value.split())]
-                    inner = up.inside or name in ("article", "main") or any(w in ARTICLE_NAMES for w in words)
-                    path = f"{up.path}/{name}" + "".join(f".{w}" for w in words if w and not w.isdigit())
+                    said = [(x[0].lower(), "".join(x[1:]).lower()) for x in NAMED.findall(given)] if given else []
+                    words = re.split(r"[^a-z0-9]+", " ".join(value for _, value in said))
+                    names = [x for kind, value in said for x in ([value] if kind == "aria-label" else value.split())]
+                    marked = name in ("article", "main")
+                    inner = up.inside or marked or any(w in ARTICLE_NAMES for w in words)
+                    path = _hash(str(up.path), name, *(w for w in words if w and not w.isdigit()))
                     by_tag = name in NOISE or name == "header" and not up.inside
-                    holders.append(Holder(name, path, stack[-1], by_tag, _is_name_noise(names, up.inside), inner))
+                    holders.append(Holder(name, path, stack[-1], by_tag, not marked and _is_name_noise(names, up.inside), inner))
                     stack.append(len(holders) - 1)
-            items.append(("tag", stack[-1], ("/" if m[2] else "") + name))
+                    open_[name] += 1
+            items.append(("tag", stack[-1], ("/" if closes else "") + name))
     held.append(source[at:])
     block()
-    noise, inside = _settled(holders, items)
-    return [(kind, holders[k].path, noise[k], inside[k], what) for kind, k, what in items]
+    return Page(holders, items, *_settled(holders, items))
 
 
 def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"))
 
 
-def token_of(kind: str, path: str, what: str) -> int:
-    return _hash(kind, path, what)
+def token_of(kind: str, path: int, what: str) -> int:
+    return _hash(kind, str(path), what)
 
 
-def occurrences(source: str) -> dict[int, tuple[int, int, bool]]:
-    """token: how often the page holds it, where first, and whether it is text."""
-    count: Counter = Counter()
-    first: dict[int, tuple[int, bool]] = {}
-    for i, (kind, path, _, _, what) in enumerate(read_page(source)):
-        t = token_of(kind, path, what)
-        count[t] += 1
-        first.setdefault(t, (i, kind == "text"))
-    return {t: (n, *first[t]) for t, n in count.items()}
+def occurrences(source: str) -> dict[int, int]:
+    """token: how often the page holds it."""
+    page = read_page(source)
+    return Counter(token_of(kind, page.holders[k].path, what) for kind, k, what in page.items)
 
 
 def _host() -> Column:
@@ -179,51 +227,67 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _once(pages: DataFrame, most: int) -> DataFrame:
+    """host, html: each page of a host once. Only pages that repeat are shuffled, if their hashes are few enough to be
+    broadcast; else all meet them."""
+    keyed = pages.select("host", "html", F.xxhash64("html").alias("h"))
+    again = Table(keyed.groupBy("host", "h").count().filter("count > 1").select("host", "h"), "again").df
+    side = F.broadcast(again) if again.count() <= most else again.hint("merge")
+    alone = keyed.join(side, ["host", "h"], "left_anti")
+    return alone.unionByName(keyed.join(side, ["host", "h"], "left_semi").dropDuplicates(["host", "h"])).select("host", "html")
+
+
 def deduce_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host, token, place, depth: the text tokens of each host's template, by place and by how deep their class nests."""
+    """host, token: the template tokens of each host, tags and blocks of text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "token", "vector", "pages", "once", "place", "is_text"]
         for batch in batches:
             found: dict[tuple[str, int], list] = {}
             for host, source in zip(*(c.to_pylist() for c in columns(batch, "host", "html"))):
-                page = _hash(source)
-                for t, (n, at, is_text) in occurrences(source).items():
-                    entry = found.setdefault((host, t), [0, 0, 0, at, is_text])
-                    entry[0] ^= _hash(str(page), str(n))
+                page = str(_hash(source))
+                for t, n in occurrences(source).items():
+                    entry = found.setdefault((host, t), [0, 0, 0])
+                    entry[0] ^= _hash(page, str(n))
                     entry[1] += 1
                     entry[2] += n == 1
-                    entry[3] = min(entry[3], at)
-            rows = [(h, _signed(t), _signed(v), n, once, at, text) for (h, t), (v, n, once, at, text) in found.items()]
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names)
-
-    distinct = pages.groupBy("host", F.xxhash64("html").alias("h")).agg(F.min("page_id").alias("page_id"))
-    once = pages.join(distinct.select("page_id").distinct(), "page_id", "left_semi").select("host", "html")
-    total = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    rows = once.mapInArrow(work, "host string, token long, vector long, pages long, once long, place long, is_text boolean")
-    tokens = rows.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("once").alias("once"), F.min("place").alias("place"), F.max("is_text").alias("is_text"))
-    common = tokens.join(total, "host").filter((F.col("total") >= least_pages) & (F.col("pages") >= least_share * F.col("total")) & (F.col("once") == F.col("pages")))
+            rows = [(h, _signed(t), _signed(v), n, once) for (h, t), (v, n, once) in found.items()]
+            kinds = (pa.string(), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], ["host", "token", "vector", "pages", "once"])
+
+    distinct = _once(pages, BROADCAST_TOKENS)
+    total = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") >= least_pages)
+    rows = distinct.mapInArrow(work, "host string, token long, vector long, pages long, once long")
+    tokens = rows.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("once").alias("once"))
+    common = tokens.filter("once = pages").join(total, "host").filter(F.col("pages") >= least_share * F.col("total"))
     common = Table(common, "tokens").df  # one row for each token that nearly every page of a host has
-    classes = common.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size"), F.min("place").alias("opens"), F.max("place").alias("closes"))
-    valid = classes.filter("size > 1")
-    outer = valid.select("host", F.col("opens").alias("o"), F.col("closes").alias("c"), F.col("vector").alias("v"))
-    nested = (
-        valid.join(outer, "host")
-        .filter((F.col("v") == F.col("vector")) | ((F.col("o") < F.col("opens")) & (F.col("c") > F.col("closes"))))
-        .groupBy("host", "vector")
-        .agg((F.count(F.lit(1)) - 1).alias("depth"))
-    )
-    return common.join(nested, ["host", "vector"]).filter("is_text").select("host", "token", "place", "depth")
+    valid = common.groupBy("host", "vector").count().filter("count > 1")
+    return common.join(valid, ["host", "vector"], "left_semi").select("host", "token")
 
 
 def main_text(source: str | None, template: frozenset[int] | set[int]) -> str:
     """The blocks that fill the template's slots, one to a line."""
-    marked, other = [], []
-    for kind, path, noise, inside, what in read_page(source or ""):
-        if kind == "text" and not noise and token_of(kind, path, what) not in template:
-            (marked if inside else other).append(what)
-    return "\n".join(marked or other)
+    page = read_page(source or "")
+    holders, slots, built = page.holders, [], [False] * len(page.holders)
+    size = [0] * len(holders)
+    for kind, k, what in page.items:
+        is_template = token_of(kind, holders[k].path, what) in template if template else False
+        if kind == "tag":
+            built[k] |= is_template and not what.startswith("/") and what == holders[k].name
+        elif not page.noise[k] and not is_template:
+            slots.append((k, what))
+            size[k] += len(what)
+    whole = sum(size)
+    marked = sum(n for n, inside in zip(size, page.inside) if inside)
+    for k in range(len(holders) - 1, 0, -1):
+        size[holders[k].parent] += size[k]
+    # the innermost template element with most of the text: holders stand in page order, so the last such one is innermost
+    within = next((k for k in range(len(holders) - 1, 0, -1) if built[k] and 2 * size[k] > whole), 0)
+    if marked and (2 * marked > whole or not within):
+        return "\n".join(what for k, what in slots if page.inside[k])
+    held = [k == within for k in range(len(holders))]
+    for k in range(1, len(holders)):
+        held[k] |= held[holders[k].parent]
+    return "\n".join(what for k, what in slots if held[k])
 
 
 def extract(pages: DataFrame, *, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:

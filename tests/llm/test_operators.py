@@ -255,6 +255,67 @@ def test_toxicity():
     assert toxicity.spaced_out("a b l o c k head".split()) == ["ablock"] and toxicity.fit(bags, np.zeros(240, bool)) is None
 
 
+def test_long_documents_are_no_copies():
+    """Documents of one small vocabulary hold the same words, but they aren't copies; near copies and empty ones are."""
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choices([f"w{k}" for k in range(60)], k=400))
+    texts = [text() for _ in range(30)]
+    near = texts[0].split()
+    near[7] = near[200] = "other"
+    assert toxicity.first_of_copies([toxicity.sketch(t) for t in [*texts, " ".join(near), texts[3], "", "a b"]]) == [*range(30), 32, 33]
+
+
+def test_margins_are_the_kernel_sum():
+    """The folded machine against its kernel, summed triple by triple."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(2, 9))) for _ in range(30)]
+
+    def explicit(word):
+        codes = toxicity.coded([word])[0].tolist()
+        out = {}
+        for i in range(len(codes)):
+            for j in range(i + 1, len(codes)):
+                for k in range(j + 1, min(len(codes), i + toxicity.SPAN)):
+                    if codes[k]:
+                        t = (codes[i], codes[j], codes[k])
+                        out[t] = out.get(t, 0) + toxicity.DECAY ** (k - i + 1)
+        return out
+
+    def kernel(x, y):
+        a, b = explicit(x), explicit(y)
+        size = lambda c, w: float(toxicity.norms(toxicity.coded([w]))[0])
+        return sum(v * b.get(t, 0) for t, v in a.items()) / (size(a, x) * size(b, y))
+
+    marks = toxicity.Landmarks(words[:12])
+    w = np.array([rng.gauss(0, 1) for _ in range(marks.white.shape[1])])
+    got = toxicity.folded_margin(toxicity.coded(words), marks.fold(w), 0.25)
+    want = [np.array([kernel(x, m) for m in words[:12]]) @ (marks.white @ w) + 0.25 for x in words]
+    assert np.allclose(got, want, atol=1e-4) and np.allclose(marks.features(words) @ w + 0.25, want, atol=1e-4)
+
+
+def test_toxicity_trains_and_rejects(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("aeinrst", k=rng.randint(3, 7)))
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 4 == 0
+        w = [word() for _ in range(40)]
+        if bad:
+            w[rng.randrange(40)] = rng.choice(["blockhead", "dumbbell", "numskull"])
+        rows.append((i, " ".join(w), "s"))
+        labels.append((i, int(bad)))
+    extra = [(None, "you blo*ckhead", "s"), (None, None, "s"), (0, rows[0][1], "s")]
+    given = spark.createDataFrame([*labels, *labels[:9], (1, 1), (2, None), (None, 1), (9999, 1)], "doc_id long, toxic int")
+    got = toxicity.score_documents(frame(spark, [*rows, *extra]), given).collect()
+    assert len(got) == len(rows) + 3
+    held = [r for r in got if r["held_out"] and r["doc_id"] is not None]
+    assert all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held) and len(held) > 150
+    assert sorted(r["predicted"] for r in got if r["doc_id"] is None) == [0, 1]
+    docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, source string, toxicity_score double")
+    kept = toxicity.clean_documents(docs, given)
+    assert kept.columns == docs.columns and {r["toxicity_score"] for r in kept.collect()} == {0.5} and abs(kept.count() - 450) <= 1
+
+
 def test_spaced_letters_are_looked_for():
     texts = ["i d i o t", "i  d  i  o  t", "i d\ni d", "é d é o é t", "say: i\u00a0d\u00a0i\u00a0o", "an i d", "", "a b c", "d e", "plain words", "ï\t\td ï o", "x\x1cy\x1cz\x1cw"]
     data = [t.encode() for t in texts]

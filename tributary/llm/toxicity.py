@@ -3,8 +3,8 @@
 A word's kernel features are its letter triples in order, of span SPAN at most, weighted DECAY**span, so that inserted
 or left-out letters dim a match but don't end it; word ends count as letters. Words are learnt from labelled documents
 as bags: words that toxic documents hold far more often than clean ones are positive, words of clean documents are
-negative, hard ones first. Near copies among the labelled documents count once, else whatever they repeat would look
-telling. Kernel values against landmark words,
+negative, hard ones first. Near copies among the labelled documents, told by their least shingle hashes, count once, else
+whatever they repeat would look telling. Kernel values against landmark words,
 whitened by the landmarks' own kernel, feed a linear machine with squared hinge loss. As the kernel is a product of
 explicit features, the machine folds back into one weight per triple, which is what is broadcast (1 MB, whatever the
 data). A document's score is a logistic function of its words' margins.
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,12 @@ from tributary.llm.common import IS_SPACE, bytes_of, columns, runs, slices
 SAMPLE = (1200, 4800)
 THRESHOLD = 0.7
 LANDMARKS = 128
+#: Times that words of clean documents which the machine gets wrong are added to what it learns from, at most.
+TURNS = 4
 SPAN, DECAY = 6, 0.7
 LENGTH = 26
+#: Shingle hashes of a labelled document that near copies are told by.
+SKETCH = 32
 CACHE_WORDS = 400_000
 
 _GAPS = [(a, b, DECAY ** (b + 1)) for b in range(2, SPAN) for a in range(1, b)]
@@ -206,8 +211,8 @@ class Landmarks:
         return out
 
 
-def fit(bags: list[list[str]], toxic: np.ndarray) -> Model | None:
-    """bags: the raw words of each labelled document."""
+def fit(bags: list[list[str]], toxic: np.ndarray, sketches: list[list[int]] | None = None) -> Model | None:
+    """bags: the raw words of each labelled document; sketches: what near copies are told by."""
     if len(bags) == 0 or not toxic.any() or toxic.all():
         return None
     blank = Model(np.zeros(FEATURES), 0.0, np.zeros(3))
@@ -225,8 +230,9 @@ def fit(bags: list[list[str]], toxic: np.ndarray) -> Model | None:
     del pieces
     words = list(number)
     order = np.array([zlib.crc32(w.encode()) for w in words], np.int64)  # a fixed order that spelling doesn't show
-    own = first_of_copies(plain, order)
-    plain, toxic = [plain[i] for i in own], toxic[own]
+    if sketches is not None:
+        own = first_of_copies(sketches)
+        plain, toxic = [plain[i] for i in own], toxic[own]
     n_t, n_c = int(toxic.sum()), int((~toxic).sum())
     if not n_t or not n_c:
         return None
@@ -238,7 +244,8 @@ def fit(bags: list[list[str]], toxic: np.ndarray) -> Model | None:
     with np.errstate(divide="ignore", invalid="ignore"):  # twice the log likelihood ratio of a word's toxic share
         both = held + clean
         surprise = 2 * (np.where(held, held * np.log(held / (both * share)), 0) + np.where(clean, clean * np.log(clean / (both * (1 - share))), 0))
-    positive = np.flatnonzero((held >= 3) & (lift >= 15) & (surprise >= 25))
+    # of a large sample more is asked, as words that pass by chance grow with its vocabulary
+    positive = np.flatnonzero((held >= 3) & (lift >= 15) & (surprise >= 25 * max(1, n_t / 600)))
     positive = positive[np.lexsort((order[positive], -held[positive]))][:600]
     if not len(positive):
         positive = np.lexsort((order, -held, -lift))[:5]
@@ -249,18 +256,22 @@ def fit(bags: list[list[str]], toxic: np.ndarray) -> Model | None:
     negative = list(dict.fromkeys([*often.tolist(), *pool[:2000].tolist()]))
     spelt = lambda ids: [words[i] for i in ids]
     mass = np.minimum(held[positive], 50).astype(float)
-    for turn in range(3):
+    for turn in range(TURNS):
         spread = positive[:: max(1, len(positive) * 2 // LANDMARKS)][: LANDMARKS // 2]
         chosen = dict.fromkeys([*positive[: LANDMARKS // 4].tolist(), *spread.tolist(), *negative[-(LANDMARKS // 4) :], *often[: LANDMARKS // 4].tolist()])
         marks = Landmarks(spelt(chosen))
         learnt = [*spelt(positive), *spelt(negative), *(bent := stretched(spelt(positive[:60])))]
         y = np.where((np.arange(len(learnt)) < len(positive)) | (np.arange(len(learnt)) >= len(positive) + len(negative)), 1.0, -1.0)
         x = np.concatenate([np.ones((len(learnt), 1)), marks.features(learnt)], 1)
-        cost = np.concatenate([mass / mass.sum() * max(1, len(negative)), np.ones(len(negative)), np.full(len(bent), 0.5)])
+        seen = 1 + np.log1p(clean[negative])
+        cost = np.concatenate([mass / mass.sum() * max(1, seen.sum()), seen, np.full(len(bent), 0.5)])
         w = _newton(x, y, cost * 4, True, 1.0)
         model = Model(marks.fold(w[1:]), float(w[0]), np.zeros(3))
-        if turn < 2 and len(pool):
-            hard = pool[np.argsort(-margins_of(spelt(pool), model), kind="stable")[:600]]
+        if len(pool):
+            margin = margins_of(spelt(pool), model)
+            if turn and margin.max() < 0:  # no word of clean documents is on the wrong side
+                break
+            hard = pool[np.argsort(-margin, kind="stable")[:600]]
             negative = list(dict.fromkeys([*negative, *hard.tolist()]))
     margin = margins_of(words, model)
     rows = [summary(margin[p].tolist()) for p in plain]
@@ -282,14 +293,22 @@ def stretched(words: list[str]) -> list[str]:
     return out
 
 
-def first_of_copies(bags: list[np.ndarray], order: np.ndarray) -> list[int]:
-    """Bags that aren't near copies of an earlier one: half of its eight least words in `order` were least there, too."""
+def sketch(text: str) -> list[int]:
+    """The SKETCH least hashes of a text's shingles of five words; of fewer words the text's own hash."""
+    words = text.lower().split()
+    hashes = {xxhash.xxh64_intdigest("\x00".join(words[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 4))}
+    return sorted(hashes)[:SKETCH]
+
+
+def first_of_copies(sketches: list[list[int]]) -> list[int]:
+    """Texts that aren't near copies of an earlier one: an eighth of their least hashes were least there, too."""
     met: dict[int, int] = {}
     out = []
-    for i, bag in enumerate(bags):
-        least = bag[np.argsort(order[bag], kind="stable")[:8]].tolist()
+    for i, least in enumerate(sketches):
+        if not least:
+            continue
         with_earlier = Counter(met[h] for h in least if h in met)
-        if with_earlier and with_earlier.most_common(1)[0][1] * 2 >= len(least):
+        if with_earlier and with_earlier.most_common(1)[0][1] * 8 >= len(least):
             continue
         for h in least:
             met.setdefault(h, i)
@@ -316,11 +335,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, toxic, ids = columns(batch, "text", "is_toxic", "doc_id")
-            yield pa.RecordBatch.from_arrays([ids, pa.array([" ".join(sorted(document_words(t, True))) for t in texts.to_pylist()], pa.string()), toxic], ["doc_id", "words", "is_toxic"])
+            read = texts.to_pylist()
+            words = pa.array([" ".join(sorted(document_words(t, True))) for t in read], pa.string())
+            least = pa.array([[h - (1 << 64) if h >> 63 else h for h in sketch(t)] for t in read], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, words, toxic, least], ["doc_id", "words", "is_toxic", "least"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sorted(read.mapInArrow(bags, f"doc_id {kind}, words string, is_toxic boolean").collect(), key=lambda r: (r[0], r[1]))
-    return fit([r[1].split() for r in rows], np.array([r[2] for r in rows], bool))
+    rows = sorted(read.mapInArrow(bags, f"doc_id {kind}, words string, is_toxic boolean, least array<long>").collect(), key=lambda r: (r[0], r[1]))
+    return fit([r[1].split() for r in rows], np.array([r[2] for r in rows], bool), [r[3] for r in rows])
 
 
 def has_single_words(data: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -374,6 +374,32 @@ def test_exact(spark, corpus):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(min(g) for g in groups.values()) and kept.columns == frame(spark, []).columns
 
 
+def test_exact_against_a_stored_snapshot(spark, tmp_path):
+    earlier = spark.createDataFrame([(k, f"text {k}") for k in range(300)] + [(None, "no id")], "doc_id long, text string")
+    exact.build_snapshot(earlier, f"file://{tmp_path}/snap")
+    batch = spark.createDataFrame([(1000, "text \t 7"), (1001, "new"), (1002, "new"), (1001, "new"), (1003, None), (None, "no  id"), (None, "lone")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), str(r["keep_id"]), r["known"], r["kept"]) for r in exact.dedup_against(batch, earlier, f"file://{tmp_path}/snap").collect())
+    assert got == sorted([("1000", "7", True, False), ("1001", "1001", False, True), ("1001", "1001", False, False), ("1002", "1001", False, False), ("1003", "1003", False, True), ("None", "None", True, False), ("None", "None", False, True)])
+
+
+def test_exact_null_ids_and_texts_that_differ_in_space(spark):
+    rows = [(None, "a b", "s"), (None, "a b", "s"), (1, "a  b", "s"), (1, "a b", "s"), (1, "a b", "s"), (2, "c", "s"), (2, "d", "s"), (None, "e", "s"), (None, "e", "s")]
+    kept = exact.dedup_documents(frame(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), " ".join(r["text"].split())) for r in kept) == [("1", "a b"), ("2", "c"), ("2", "d"), ("None", "e")]
+    assert sum(r["kept"] for r in exact.dedup_report(frame(spark, rows)).collect()) == 4
+
+
+def test_repeats_of_documents_named_by_strings(spark):
+    base = "".join(random.Random(2).choices("abcdefgh ", k=300))
+    rows = [("d10", base[:200]), ("d2", base[100:]), ("d1", base[50:250]), (None, base), ("x", None)]
+    names = sorted(d for d, _ in rows if d)
+    want = {names[k]: v for k, v in brute.repeats([(names.index(d), t) for d, t in rows if d]).items()}
+    got = {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got.pop(None)[:2] == (300, 0) and got == want
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string"), window=90)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")

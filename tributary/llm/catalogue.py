@@ -74,5 +74,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": mixing.ORACLE.replace("{documents}", "documents"),
         "op3_line_dedup": lines.ORACLE,
+        "op4_decontaminate": decontaminate.ORACLE,
+        "op7_ngram_join": ngram_join.ORACLE,
+        "op9_remove_repeats": repeats.ORACLE,
         "op10_exact_dedup": exact.ORACLE,
     }

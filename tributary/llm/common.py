@@ -2,61 +2,28 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.functions.cut import delete, written
+
 #: [\x20\x09-\x0D], the white space of every contract, as a Java character class body.
 SPACE = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tributary-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _tidy() -> None:
-    for spark, path in _written:
-        try:
-            delete(spark, path)
-        except Exception:  # the session may have ended before the interpreter did
-            return
-
-
-atexit.register(_tidy)
-
-
 class Table:
     """A table written to the shared folder: it cuts lineage and survives the loss of any executor."""
 
     def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_folder(self.spark)}/tributary-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        _written.append((self.spark, self.path))
-        self.schema = df.schema
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = written(df, name)
 
     @property
     def df(self) -> DataFrame:
@@ -235,3 +202,15 @@ def is_marked(table: np.ndarray, slot: pa.Array) -> np.ndarray:
 
 def slot_of(name: str, bits: int) -> Column:
     return F.pmod(F.xxhash64(name), F.lit(1 << bits)).alias("slot")
+
+
+def only_marked(rows: DataFrame, name: str, table: bytes, bits: int) -> DataFrame:
+    """The rows whose column's bit is set: all that the table was made of and a few others, without a shuffle."""
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            yield batch.drop_columns(["slot"]).filter(pa.array(is_marked(marks, batch.column("slot"))))
+
+    return rows.select("*", slot_of(name, bits)).mapInArrow(work, rows.schema)

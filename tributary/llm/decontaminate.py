@@ -252,3 +252,19 @@ def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str:
         out.append(raw[at : a[x]])
         at = b[y - 1]
     return b"".join([*out, raw[at:]]).decode()
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+i AS (SELECT DISTINCT item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS w FROM (SELECT *, least(13, len(ws)) AS n FROM b WHERE len(ws) > 0), unnest(range(1, len(ws) - n + 2)) AS r(k)),
+lengths AS (SELECT DISTINCT n FROM i),
+dw AS (SELECT doc_id, n, k, array_to_string(ws[k:k + n - 1], ' ') AS w FROM d, lengths, unnest(range(1, len(ws) - n + 2)) AS r(k)),
+hits AS (SELECT doc_id, k, dw.n, item_id FROM dw JOIN i ON dw.n = i.n AND dw.w = i.w),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(k, k + n)) AS r(p) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

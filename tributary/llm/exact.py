@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import SPACE, Table, mix64, text_of
+from tributary.llm.common import SPACE, Table, bit_table, bits_for, mix64, only_marked, text_of, without
 
 #: Digests of a snapshot in a filter's bucket at most, about.
 BUCKET_KEYS = 200_000
@@ -95,12 +95,12 @@ def normal_text(docs: DataFrame) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, uid (which tells repeated rows apart), digest: SHA-256 of the normalised text."""
-    return docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.unhex(F.sha2(normal_text(docs), 256)).alias("digest"))
+    """doc_id, uid (which tells repeated rows apart), th (a hash of the text as it is), digest: SHA-256 of the normalised text."""
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.xxhash64(text_of(docs)).alias("th"), F.unhex(F.sha2(normal_text(docs), 256)).alias("digest"))
 
 
 def _first() -> Column:
-    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid", "th"))
 
 
 def groups(batch: DataFrame) -> DataFrame:
@@ -139,11 +139,14 @@ def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 
 
 def same_bytes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Digests of pairs(digest, a, b: doc_ids) whose two documents have the same normalised bytes."""
-    ids = pairs.select("digest", F.explode(F.array_distinct(F.array("a", "b"))).alias("doc_id")).filter(F.col("doc_id").isNotNull()).alias("p")
-    read = docs.select("doc_id", normal_text(docs).alias("normal")).alias("d")
+    """Digests of pairs(digest, a, b: doc_ids) whose two documents have the same normalised bytes. A bit table of their ids
+    chooses the documents while they are read, so that no other text moves."""
+    ids = Table(pairs.select("digest", F.explode(F.array_distinct(F.array("a", "b"))).alias("id")).filter(F.col("id").isNotNull()), "ids").df
+    bits = bits_for(ids.count())
+    few = only_marked(docs.select("doc_id", text_of(docs).alias("text")), "doc_id", bit_table(ids.select("id"), bits), bits)
+    read = few.select("doc_id", normal_text(few).alias("normal"))
     # merged at every size: a plan that broadcasts small inputs alone would say nothing about large ones
-    met = read.join(ids.hint("merge"), F.col("d.doc_id") == F.col("p.doc_id")).select("p.digest", "d.normal").filter(F.unhex(F.sha2("normal", 256)) == F.col("digest"))
+    met = read.join(ids.hint("merge"), F.col("doc_id") == F.col("id")).select("digest", "normal").filter(F.unhex(F.sha2("normal", 256)) == F.col("digest"))
     return met.groupBy("digest").agg((F.min("normal") == F.max("normal")).alias("same")).filter("same").select("digest")
 
 
@@ -153,7 +156,7 @@ def find_groups(docs: DataFrame, *, snapshot: Column | None = None) -> tuple[Dat
     rows = Table(digests(docs).withColumn("old", F.coalesce(taken, F.lit(False))), "digests").df
     old = Table(groups(rows.filter("old")), "snapshot").df
     new = Table(groups(rows.filter("not old")), "batch").df
-    buckets = max(LEAST_BUCKETS, -(-old.count() // BUCKET_KEYS))
+    buckets = max(LEAST_BUCKETS, -(-max(old.count(), new.count()) // BUCKET_KEYS))
     filters = Table(build_filters(old, buckets), "fuse").df
     maybe = screen(new, filters, buckets)
     pairs = maybe.join(new, "digest").select("digest", F.col("first.doc_id").alias("a"), "rows", "first")
@@ -178,17 +181,49 @@ def dedup_report(docs: DataFrame, *, snapshot: Column | None = None) -> DataFram
 
 
 def dedup_documents(docs: DataFrame, *, snapshot: Column | None = None) -> DataFrame:
-    """The rows of docs that stay, with all columns."""
-    names = docs.columns
+    """The rows of docs that stay, with all columns. Only ids and hashes of what goes move, if they are few."""
     rows, found = find_groups(docs, snapshot=snapshot)
-    stay = found.select("digest", F.col("first.doc_id").alias("keep_id")).alias("g")
-    d = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("k_id"), F.unhex(F.sha2(normal_text(docs), 256)).alias("k_digest")).alias("d")
-    met = d.join(stay, F.col("d.k_id").eqNullSafe(F.col("g.keep_id")) & (F.col("d.k_digest") == F.col("g.digest"))).select("d.row", "d.k_digest")
-    # one row of each digest is left, but for repeated rows
-    repeated = rows.groupBy("doc_id", "digest").count().filter("count > 1").select(F.col("digest").alias("k_digest")).distinct()
-    plain = met.join(repeated, "k_digest", "left_anti").select("row")
-    once = met.join(repeated, "k_digest", "left_semi").groupBy("k_digest").agg(F.first("row").alias("row")).select("row")
-    return plain.unionByName(once).select(*[F.col("row")[c].alias(c) for c in names])
+    r, g = rows.alias("r"), found.alias("g")
+    first = F.col("r.doc_id").eqNullSafe(F.col("g.first.doc_id")) & (F.col("r.th") == F.col("g.first.th"))
+    met = Table(r.join(g, F.col("r.digest") == F.col("g.digest")).select("r.doc_id", "r.th", first.alias("stays")), "met").df
+    # of rows that repeat both id and text one stays
+    again = Table(met.filter("stays").groupBy("doc_id", "th").count().filter("count > 1").select("doc_id", "th"), "again").df
+    alone = without(docs, Table(met.filter("not stays").select("doc_id", "th").unionByName(again).distinct(), "gone").df)
+    if again.isEmpty():
+        return alone
+    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("k_id"), F.xxhash64(text_of(docs)).alias("k_th"))
+    once = row.join(again, F.col("k_id").eqNullSafe(F.col("doc_id")) & (F.col("k_th") == F.col("th")), "left_semi").groupBy("k_id", "k_th").agg(F.first("row").alias("row"))
+    return alone.unionByName(once.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+
+
+def build_snapshot(docs: DataFrame, path: str) -> None:
+    """Writes a snapshot of docs(doc_id, text): its groups, and a filter for each bucket of their digests."""
+    spark = docs.sparkSession
+    groups(digests(docs)).write.parquet(f"{path}/groups")
+    made = spark.read.parquet(f"{path}/groups")
+    build_filters(made, max(LEAST_BUCKETS, -(-made.count() // BUCKET_KEYS))).write.parquet(f"{path}/filters")
+    spark.createDataFrame([(max(LEAST_BUCKETS, -(-made.count() // BUCKET_KEYS)),)], "buckets int").write.parquet(f"{path}/buckets")
+
+
+def dedup_against(batch: DataFrame, earlier: DataFrame, path: str) -> DataFrame:
+    """doc_id, keep_id, known (an equal text is in the snapshot), kept, one row per row of the batch.
+
+    earlier(doc_id, text): the snapshot's documents, of which only those that the filters point to are read whole. Ids of
+    both tables are of one kind. Groups in the batch that the snapshot doesn't know keep their own first row.
+    """
+    spark = batch.sparkSession
+    old, buckets = spark.read.parquet(f"{path}/groups"), spark.read.parquet(f"{path}/buckets").first()["buckets"]
+    rows = Table(digests(batch), "digests").df
+    new = Table(groups(rows), "batch").df
+    maybe = screen(new, spark.read.parquet(f"{path}/filters"), buckets)
+    pairs = maybe.join(new, "digest").select("digest", F.col("first.doc_id").alias("a")).join(old.select("digest", F.col("first.doc_id").alias("b")), "digest")
+    pairs = Table(pairs, "positives").df
+    texts = batch.select("doc_id", text_of(batch).alias("text")).unionByName(earlier.select("doc_id", text_of(earlier).alias("text")))
+    proven = same_bytes(texts, pairs).unionByName(pairs.filter("a is null or b is null").select("digest")).distinct()
+    known = pairs.join(proven, "digest", "left_semi").select("digest", F.col("b").alias("known_id"), F.lit(True).alias("known"))
+    g = Table(new.join(known, "digest", "left").select("digest", "first", "known_id", F.coalesce("known", F.lit(False)).alias("known")), "groups").df.alias("g")
+    met = rows.alias("r").join(g, F.col("r.digest") == F.col("g.digest"))
+    return met.select("r.doc_id", F.when(F.col("g.known"), F.col("g.known_id")).otherwise(F.col("g.first.doc_id")).alias("keep_id"), "g.known", (~F.col("g.known") & (F.col("r.uid") == F.col("g.first.uid"))).alias("kept"))
 
 
 ORACLE = r"""

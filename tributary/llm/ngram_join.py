@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import IS_SPACE, Table, bit_table, bits_for, bytes_of, columns, give_back, is_marked, lower_bytes, mix64, power, range_hashes, runs, slices, slot_of, text_of, without
+from tributary.llm.common import IS_SPACE, Table, bit_table, bits_for, bytes_of, columns, give_back, is_marked, lower_bytes, mix64, only_marked, power, range_hashes, runs, slices, slot_of, text_of, without
 from tributary.llm.components import components
 from tributary.llm.decontaminate import roll
 
@@ -359,18 +359,6 @@ def pairs_of(packed: DataFrame, percent: int, part_bits: int) -> DataFrame:
 # --- verification ---
 
 
-def only_marked(rows: DataFrame, name: str, table: bytes, bits: int) -> DataFrame:
-    """The rows whose column's bit is set: all that the table was made of and a few others, without a shuffle."""
-    shared = rows.sparkSession.sparkContext.broadcast(table)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            yield batch.drop_columns(["slot"]).filter(pa.array(is_marked(marks, batch.column("slot"))))
-
-    return rows.select("*", slot_of(name, bits)).mapInArrow(work, rows.schema)
-
-
 def read_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node, tokens (sorted), is_hub of wanted(doc_id, is_hub), and of a few more that share their bits.
 
@@ -609,3 +597,18 @@ def one_of_each(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT)
     met = _report(docs, words, percent, RARE).filter("n > 0")
     gone = met.filter(~(F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("th") == F.col("least_th")))).select("doc_id", "th")
     return without(docs, Table(gone.distinct(), "gone").df)
+
+
+ORACLE = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+x AS (SELECT doc_id, unnest(sh) AS t FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS v, b AS u FROM ends UNION SELECT r.v, e.b FROM reach r JOIN ends e ON r.u = e.a)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(u), n.doc_id)) AS component_id FROM n LEFT JOIN reach ON v = n.doc_id GROUP BY n.doc_id, n.n
+"""

@@ -16,7 +16,8 @@ Nothing is sampled: a false mark costs a cut, never a result, and every window h
 
 Defined results: a null text counts as empty; texts under WINDOW bytes lose nothing; rows that repeat one doc_id aren't
 earlier than each other; a null doc_id is neither earlier nor later than any, so its row loses and gives nothing; an
-empty table gives an empty result.
+empty table gives an empty result; ids may be of any type that sorts; texts of any length are read whole; other columns,
+whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -184,7 +185,7 @@ def covered_windows(docs: DataFrame, wanted: bytes, marks: bytes, bits: int, par
             same = later.copy()
             same[later] = (cuts[later] == cuts[first[later]]).all(1)
             if same.any():
-                yield out(pa.array(np.full(int(same.sum()), 1, np.int32)), pa.array((h[same] & U((1 << part_bits) - 1)).astype(np.int32)), None, doc[same], th[same], at[same], _all_windows(left[same], right[same], window))
+                yield out(pa.array(np.full(int(same.sum()), 1, np.int32)), pa.array((mix64(doc[same].view(U)) & U((1 << part_bits) - 1)).astype(np.int32)), None, doc[same], th[same], at[same], _all_windows(left[same], right[same], window))
             go = ~same
             h, doc, th, at, left, right, cuts = (x[go] for x in (h, doc, th, at, left, right, cuts))
             edge = cut(h, part_bits, HASH_BITS)
@@ -336,6 +337,10 @@ def removed_runs(at: np.ndarray, mask: np.ndarray, window: int) -> list[tuple[in
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, if with_text)."""
+    if not ANCHOR < window <= ANCHOR + 61:
+        raise ValueError(f"window must be from {ANCHOR + 1} to {ANCHOR + 61} bytes")
+    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        return _by_rank(docs, window, with_text)
     text = text_of(docs)
     docs = docs.select("doc_id", text.alias("text"))
     rows = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.xxhash64("text").alias("th"), F.octet_length("text").cast("long").alias("n"))
@@ -381,3 +386,26 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, with_text: bool = F
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).alias("d")
     met = d.join(cuts.hint("merge"), (F.col("d.doc_id").cast("long") == F.col("c.doc_id")) & (F.col("d.th") == F.col("c.th")), "left").select("d.doc_id", "d.text", "c.at", "c.mask", "c.copy")
     return met.mapInArrow(apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
+
+
+def _by_rank(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
+    """For ids that are no integers: each gets a number that sorts as it does."""
+    ids = docs.select("doc_id").filter("doc_id is not null").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ranks = Table(ids.select(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("rank")), "ranks").df
+    ranked = docs.select(F.col("doc_id").alias("id"), text_of(docs).alias("text")).join(ranks, "id", "left").select(F.col("rank").alias("doc_id"), "text")
+    found = remove_repeats(Table(ranked, "ranked").df, window=window, with_text=with_text)
+    names = [c for c in found.columns if c != "doc_id"]
+    return found.withColumnRenamed("doc_id", "rank").join(ranks, "rank", "left").select(F.col("id").alias("doc_id"), *names)
+
+
+ORACLE = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS (SELECT doc_id, i, substr(x, 2 * i - 1, 100) AS w FROM h, unnest(range(1, length(x) // 2 - 48)) AS r(i)),
+firsts AS (SELECT w, min(doc_id) AS f FROM windows GROUP BY w),
+bad AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS opens FROM windows JOIN firsts USING (w) WHERE f < doc_id),
+numbered AS (SELECT doc_id, i, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM bad),
+spans AS (SELECT doc_id, g, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY ALL),
+pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS s FROM spans),
+kept AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(x, 2 * s - 1, 2 * (a - s)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) - 1) AS k FROM pieces JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256 FROM h LEFT JOIN kept USING (doc_id)
+"""

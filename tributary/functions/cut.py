@@ -44,14 +44,19 @@ def _tidy() -> None:
 atexit.register(_tidy)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written and read again: what follows neither plans nor computes what came before. It survives the loss
-    of executors, as it lies in the folder that spark.checkpoint.dir names, and goes when the interpreter ends."""
+def written(df: DataFrame, name: str) -> str:
+    """Where the frame now lies as a table; it goes when the interpreter ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tributary-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """The frame, written and read again: what follows neither plans nor computes what came before. It survives the loss
+    of executors, as it lies in the folder that spark.checkpoint.dir names."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
 
 
 def kept(df: DataFrame, path: str) -> DataFrame:

@@ -73,3 +73,35 @@ def repeats(docs, window=50):
         spans = int((off & ~np.concatenate([[False], off[:-1]])).sum()) if len(off) else 0
         out[d] = (len(raw), int(off.sum()), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def secret_spans(text):
+    """Base spans by the contract's own patterns."""
+    assign = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    out = [("assign", m.start(), m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+    out += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    return out + [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+
+
+def personal_spans(text):
+    def luhn(digits):
+        double = [int(d) * 2 for d in digits[-2::-2]]
+        return (sum(map(int, digits[-1::-2])) + sum(d // 10 + d % 10 for d in double)) % 10 == 0
+
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return out + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(digits(m[0])) <= 15]
+
+
+def field_odds(node, edges, strength):
+    """Log odds of each node by all labellings."""
+    n = len(node)
+    total = np.zeros((n, 2))
+    for k in range(1 << n):
+        label = [(k >> i) & 1 for i in range(n)]
+        weight = np.exp(sum(x for x, on in zip(node, label) if on) + sum(s for (a, b), s in zip(edges, strength) if label[a] == label[b]))
+        for i, on in enumerate(label):
+            total[i, on] += weight
+    return np.log(total[:, 1] / total[:, 0])

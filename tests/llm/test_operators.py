@@ -79,9 +79,61 @@ def test_secrets():
     assert cost("password") < cost("hunter2") < cost("qwerty2020x") < cost("x9$kQ2!vLp") and cost("aaaaaaaa") < 3 and cost("") == 0
 
 
+def test_mixing_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a b c d", "s")] * 40 + [(None, "e f g", "s")] * 30 + [(None, None, None)] * 3 + [(2, "h " * 500, "t")]
+    got = mixing.mix_sources(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got)
+    for source in ("s", "t"):
+        own = [r for r in got if (r["doc_id"] == 2) == (source == "t") and r["size"]]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= len(own)
+
+
+def test_lines_of_repeated_rows(spark):
+    rows = [(1, "same\nown", "s")] * 12 + [(None, "same", "s"), (None, None, "s"), (3, "x\n\n x ", "s")]
+    got = sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["kept"]) for r in lines.dedup_lines(frame(spark, rows)).collect())
+    assert got == sorted([("1", 2, 2, "")] * 12 + [("None", 1, 1, ""), ("None", 1, 0, ""), ("3", 3, 0, "x\n\n x ")])
+
+
+def _cheapest(s):
+    """Every segmentation of s, with every part that is known."""
+    n, low = len(s), s.lower()
+
+    def costs(a, b):
+        part = s[a:b]
+        out = [sum(np.log10(10 if c.isdigit() else 26 if c.islower() or c.isupper() else 33) for c in part)]
+        if (cost := secrets.word_cost(part)) is not None and b - a >= 3:
+            out.append(cost)
+        out += [cost for form, cost in secrets.DATES if form.fullmatch(part)]
+        out += [secrets.repeat_cost(u, len(part) // u) for u in range(1, 5) if len(part) >= 2 * u and len(part) % u == 0 and part == part[:u] * (len(part) // u)]
+        if b - a >= 3 and all(low[k + 1] in secrets._NEXT.get(low[k], ()) for k in range(a, b - 1)):
+            out.append(secrets.WALK + secrets.WALK_STEP * (b - a))
+        steps = {ord(low[k + 1]) - ord(low[k]) for k in range(a, b - 1)}
+        if b - a >= 3 and steps in ({1}, {-1}) and part.isalnum():
+            out.append(1 + np.log10(b - a))
+        return min(out)
+
+    best = [0.0] + [np.inf] * n
+    for b in range(1, n + 1):
+        best[b] = min(best[a] + (secrets.LINK if a else 0) + costs(a, b) for a in range(b))
+    return best[n]
+
+
+def test_guess_cost_is_the_least():
+    rng = random.Random(3)
+    pieces = ["password", "qwerty", "hello", "2019", "19990102", "aaa", "abab", "abcdef", "4321", "x9", "!", "P4ssw0rd", "zxcv", "Q", "lkj", "31121985"]
+    for _ in range(300):
+        s = "".join(rng.choices(pieces, k=rng.randint(1, 4)))
+        s = s[rng.randint(0, 2) : len(s) - rng.randint(0, 2)]
+        assert secrets.guess_cost(s) == pytest.approx(_cheapest(s)), s
+    assert secrets.guess_cost("qwertyhello") < 6
+    began = time.perf_counter()
+    secrets.guess_cost("ab" * 50_000 + "qwertyuiop" * 5_000)
+    assert time.perf_counter() - began < 30
+
+
 def test_secret_rows(spark, corpus):
-    rows = secrets.scan_secrets(frame(spark, [*corpus, (900, "secret = abcdefgh", "s")])).collect()
-    assert len(rows) == len(corpus) + 1
+    rows = secrets.scan_secrets(frame(spark, [*corpus, (900, "secret = abcdefgh", "s"), (900, "secret = abcdefgh", "s")])).collect()
+    assert len(rows) == len(corpus) + 2
     hit = next(r for r in rows if r["doc_id"] == 900)
     assert (hit["n_assign"], hit["spans"], hit["base_sha256"]) == (1, "assign:0:17", hashlib.sha256(b"assign:0:17").hexdigest())
     assert all(r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows if r["doc_id"] != 900)
@@ -96,6 +148,35 @@ def test_pii(spark):
     assert {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in rows} == {1: (3, 1, 1, 1), 2: (0, 0, 0, 0), 3: (0, 0, 0, 0)}
 
 
+@pytest.mark.parametrize("module, plain, pieces", [
+    (secrets, brute.secret_spans, ["password", "Secret", "api_key", "APIKEY", "token", "\"", "'", " ", "  ", ":", "=", "abc", "deadBEEF", "x/y+z==", "AKIA", "AKIAQ", "ABCDEFGHIJ12", "0123456789abcdef", "é", "\n", "ſecret", "pass word"]),
+    (pii, brute.personal_spans, ["a.b", "@", "x-y", ".", "..", "com", "1", "25", "255.", "256", "0001", " ", "-", "4111111111111111", "4111 1111", "378282246310005", "+", "(555)", "010", "%", "_", "é", "\n", "+1 (555) 010-9999"]),
+])
+def test_base_spans_are_the_patterns(spark, module, plain, pieces):
+    rng = random.Random(11)
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 14))) for _ in range(3000)]
+    for t in texts:
+        assert sorted(module.find(t)[0]) == sorted(plain(t)), t
+    scan = secrets.scan_secrets if module is secrets else pii.scan_pii
+    few = texts[:300]
+    got = {r["doc_id"]: r["base_sha256"] for r in scan(spark.createDataFrame(list(enumerate(few)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(few):
+        spans = sorted(plain(t), key=lambda x: (x[1], module.BASE.index(x[0])))
+        assert got[k] == hashlib.sha256(",".join(f"{n}:{a}:{b}" for n, a, b in spans).encode()).hexdigest(), t
+
+
+def test_messages_against_all_labellings():
+    rng = random.Random(5)
+    for loops in (0, 0, 0, 1, 2):
+        n = 7
+        edges = [(rng.randrange(i), i) for i in range(1, n)] + [tuple(rng.sample(range(n), 2)) for _ in range(loops)]
+        strength = np.array([rng.choice([pii.CHAIN, pii.SKIP_ALIKE]) for _ in edges])
+        node = np.array([rng.uniform(-2, 2) for _ in range(n)])
+        got = pii.pass_messages(node, np.array(edges), strength, np.ones(len(edges)))
+        want = brute.field_odds(node, edges, strength)
+        assert np.allclose(got, want, atol=0.1 if not loops else 0.4)
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 6, 12, 20, 200])
 def test_a_cue_reaches_every_mention(n):
     later = lambda i: "Novak went there again." if i % 3 == 2 else "we think that Novak saw it."
@@ -402,6 +483,7 @@ def test_repeats_of_documents_named_by_strings(spark):
 
 def test_empty_tables(spark):
     none = frame(spark, [])
+    assert toxicity.score_documents(none, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0 and ngram_join.one_of_each(none).count() == 0
     bench = spark.createDataFrame([], "item_id long, text string")
     for df in (secrets.scan_secrets(none), lines.dedup_lines(none), decontaminate.judge(none, bench), pii.scan_pii(none), ngram_join.components_report(none), repeats.remove_repeats(none), exact.dedup_report(none)):
         assert df.count() == 0

@@ -7,7 +7,8 @@ all new digests, so the exact join and the byte check see only true repeats and
 
 Defined results: a null text counts as empty; all empty or blank-only texts that normalise alike are equal; the row with
 the smallest doc_id of a group stays, a null doc_id after all others; of rows that repeat one doc_id and text exactly one
-stays; an empty table gives an empty result; other columns are returned untouched by dedup_documents.
+stays; a text of any length is compared whole; an empty table gives an empty result; other columns are returned untouched
+by dedup_documents.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ compression. Text moves once, to meet its bitmap.
 
 Defined results: a null or empty text is one empty line; lines that are empty after stripping are never dropped; a row
 counts as a document, so a repeated row counts again; a document that loses all lines keeps the empty text; an empty
-table gives an empty result; other columns are returned untouched.
+table gives an empty result; texts of any length are split whole; other columns are returned untouched, but for input
+columns that are named as the results are (n_lines, n_dropped, kept), whose place these take.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ has a skip edge to its previous mention only, as one cue before "The" would else
 one no node leans to `name` and the outcome is known.
 
 Defined results: a null text counts as empty and has no span; failing matches are dropped without another try inside
-them; a document of any length takes time in proportion to its tokens.
+them; a document of any length takes time in proportion to its tokens; spans that begin together go by kind, base kinds
+first; repeated rows each give theirs; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ keyboard walks, sequences and brute-force spans, found by dynamic programming ov
 credential context that costs GUESS_COST or more, and that no base span covers, is added as a `guess` span.
 
 Defined results: a null text counts as empty and has no span; failing matches are dropped without another try inside
-them; costs of values of any length take time in proportion to the length.
+them; costs of values of any length take time in proportion to the length; spans that begin together go by kind, base
+kinds first; repeated rows each give theirs; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -53,58 +54,81 @@ for _r, _row in enumerate(ROWS):
             if 0 <= _s < len(ROWS):
                 _near |= {ROWS[_s][j] for j in (_i - 1, _i, _i + 1) if 0 <= j < len(ROWS[_s])}
         _NEXT[_c] = _near
-DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d")
-REPEAT = re.compile(r"(.{1,4}?)\1+", re.S)
+#: Forms of dates, each with its log10 guesses: a year of some 120, or a day of one.
+DATES = tuple(
+    (re.compile(form), math.log10(n))
+    for form, n in (
+        (r"(?:19|20)\d\d", 120.0),
+        (r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])", 120.0 * 365),
+        (r"(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d", 120.0 * 365),
+        (r"(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?\d\d", 120.0 * 365),
+    )
+)
+#: Letters that a repeat's unit has at most, and repetitions up to which every number of them is offered.
+UNIT, REPEATS = 4, 16
+WALK, WALK_STEP, LINK = math.log10(47 * 3), 0.35, 0.3
+
+
+def word_cost(part: str) -> float | None:
+    """log10 guesses of a known word, more if letters are swapped for digits or cases are odd."""
+    low = part.lower()
+    plain = low.translate(LEET)
+    rank = RANK.get(low) or RANK.get(plain)
+    return None if rank is None else math.log10(rank + 1) + (low != plain) + (part not in (low, low.capitalize()))
 
 
-def _segments(s: str) -> list[tuple[int, int, float]]:
-    """(start, end, log10 guesses) of every known part of s."""
-    low = s.lower()
-    plain = low.translate(LEET)
-    out = []
-    for i in range(len(s)):
-        for j in range(i + 3, min(len(s), i + LONGEST) + 1):
-            rank = RANK.get(low[i:j])
-            if rank or (rank := RANK.get(plain[i:j])):
-                odd = (low[i:j] != plain[i:j]) + (s[i:j] not in (low[i:j], low[i:j].capitalize()))
-                out.append((i, j, math.log10(rank + 1) + odd))
-    for m in DATE.finditer(s):
-        out.append((m.start(), m.end(), math.log10(120.0 if m.end() - m.start() == 4 else 120.0 * 365)))
-    for m in REPEAT.finditer(s):
-        unit = len(m[1])
-        out.append((m.start(), m.end(), unit * 1.2 + math.log10((m.end() - m.start()) / unit)))
-    i = 0
-    while i < len(low) - 2:
-        walk = i + 1
-        while walk < len(low) and low[walk] in _NEXT.get(low[walk - 1], ()):
-            walk += 1
-        step = i + 1
-        way = ord(low[i + 1]) - ord(low[i])
-        if abs(way) == 1 and low[i].isalnum():
-            while step < len(low) and ord(low[step]) - ord(low[step - 1]) == way:
-                step += 1
-        if walk - i >= 3:
-            out.append((i, walk, math.log10(47 * 3) + 0.35 * (walk - i)))
-        if step - i >= 3:
-            out.append((i, step, 1.0 + math.log10(step - i)))
-        i = max(i + 1, walk - 1, step - 1)
-    return out
+def repeat_cost(unit: int, times: int) -> float:
+    return unit * 1.2 + math.log10(times)
+
+
+def _parts(s: str) -> list[list[tuple[int, float]]]:
+    """For each place the known parts that end there: where they begin, log10 guesses. All words, dates and sequences, and of
+    repeats all up to REPEATS times and the longest; walks are the caller's."""
+    n, low = len(s), s.lower()
+    ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+    for i in range(n):
+        for j in range(i + 3, min(n, i + LONGEST) + 1):
+            if (cost := word_cost(s[i:j])) is not None:
+                ending[j].append((i, cost))
+        if s[i].isdigit():
+            for form, cost in DATES:
+                if m := form.match(s, i):
+                    ending[m.end()].append((i, cost))
+    for unit in range(1, UNIT + 1):
+        same = 0  # how far back from here each letter equals the one a unit before it
+        for j in range(unit, n):
+            same = same + 1 if s[j] == s[j - unit] else 0
+            most = same // unit + 1
+            for times in [*range(2, min(most, REPEATS) + 1), *([most] if most > REPEATS else [])]:
+                ending[j + 1].append((j + 1 - unit * times, repeat_cost(unit, times)))
+    run = way = 0
+    for j in range(1, n):
+        step = ord(low[j]) - ord(low[j - 1])
+        known = abs(step) == 1 and low[j].isascii() and low[j - 1].isascii() and low[j].isalnum() and low[j - 1].isalnum()
+        run = (run + 1 if step == way else 1) if known else 0
+        way = step
+        for k in range(3, run + 2):  # 26 letters at most
+            ending[j + 1].append((j + 1 - k, 1.0 + math.log10(k)))
+    return ending
 
 
 def guess_cost(s: str) -> float:
     """log10 of the guesses that the cheapest segmentation of s takes; each further segment doubles the work."""
-    n = len(s)
-    ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for a, b, cost in _segments(s):
-        ending[b].append((a, cost))
+    n, low = len(s), s.lower()
+    ending = _parts(s)
     kinds = ((str.isdigit, 10), (str.islower, 26), (str.isupper, 26))
     best = [0.0] + [math.inf] * n
+    link = lambda a: best[a] + (LINK if a else 0.0)
     brute = [math.inf] * (n + 1)  # the cheapest way whose last segment is a brute-force span still open here
+    walk = [math.inf] * (n + 1)  # likewise a keyboard walk of three keys or more
+    near = 0
     for i in range(1, n + 1):
         wide = next((k for test, k in kinds if s[i - 1].isascii() and test(s[i - 1])), 33)
-        each = math.log10(wide)
-        brute[i] = min(brute[i - 1], best[i - 1] + (0.3 if i > 1 else 0.0)) + each
-        best[i] = min([brute[i], *(best[a] + cost + (0.3 if a else 0.0) for a, cost in ending[i])])
+        brute[i] = min(brute[i - 1], link(i - 1)) + math.log10(wide)
+        near = near + 1 if i > 1 and low[i - 1] in _NEXT.get(low[i - 2], ()) else 0
+        if near >= 2:
+            walk[i] = min(walk[i - 1] + WALK_STEP, link(i - 3) + WALK + 3 * WALK_STEP)
+        best[i] = min([brute[i], walk[i], *(link(a) + cost for a, cost in ending[i])])
     return best[n]
 
 

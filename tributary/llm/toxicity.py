@@ -15,7 +15,7 @@ everything else reads all rows and whole texts.
 Defined results: a null or empty text gets the score of a document without words; documents with equal texts get equal
 scores; without labels of both classes all scores are 0; null labels are left out, of contradicting labels of one
 document the toxic one holds; a null doc_id counts as the empty text in the hold-out rule; an empty table gives an
-empty result.
+empty result; other columns play no part, and clean_documents returns them as they are, toxicity_score included.
 """
 
 from __future__ import annotations

@@ -31,12 +31,31 @@ def test_workbook(spark, tmp_path):
     data = workbook.workbook_bytes(["id", "näme"], [["1", "A & <B>"], ["", ""], ["2", ""]])
     assert workbook.sheet_rows(data) == (["id", "näme"], [["1", "A & <B>"], ["2", ""]])
     (tmp_path / "x.xlsx").write_bytes(data)
-    spark.dataSource.register(workbook.WorkbookSource)
-    got = spark.read.format("workbook").option("path", f"file://{tmp_path}/x.xlsx").load().collect()
-    assert [(r["id"], r["row_idx"]) for r in got] == [("1", "0"), ("2", "1")]
+    (tmp_path / "y.xlsx").write_bytes(workbook.workbook_bytes(["more", "id"], [["m", "3"]]))
+    found = workbook.read_workbooks(spark, f"file://{tmp_path}/*.xlsx")
+    assert found.columns == ["id", "näme", "more", "file_name", "row_idx"]
+    got = sorted((r["id"], r["more"], r["file_name"][-6:], r["row_idx"]) for r in found.collect())
+    assert got == [("1", "", "x.xlsx", 0), ("2", "", "x.xlsx", 1), ("3", "m", "y.xlsx", 0)]
     up = delimited.read_upload(spark, "x.XLSX", base64_data=base64.b64encode(data).decode())
     assert up.count() == 2
     with pytest.raises(ValueError):
         delimited.read_upload(spark, "x.xlsx")
     with pytest.raises(ValueError):
         delimited.usable([up.limit(0)])
+
+
+def test_row_numbers_over_partitions(spark):
+    df = spark.range(1000, numPartitions=7).selectExpr("cast(id as string) as v")
+    assert all(int(r["v"]) == r["row_idx"] for r in delimited.with_row_numbers(df).collect())
+
+
+def test_samples(spark):
+    from tributary.plans import pipeline
+    from tributary.sources import samples
+
+    result = pipeline.run(samples.extracts(spark))
+    kinds = {r["kind"] for r in result.escalations.collect()}
+    assert {"duplicate_fuzzy", "value_ambiguous_date", "value_unknown_enum", "conflict_cross_file", "validation_failed"} <= kinds
+    rows = {r["employee_number"]: r for r in result.records.collect()}
+    assert set(rows) == {"201", "202", "203", "203B"} and rows["202"]["cells"]["ctcAnnual"]["value"] == "500000"
+    assert rows["202"]["cells"]["currency"]["value"] == "INR" and rows["201"]["cells"]["workLocation"]["value"] == "Pune Plant"

@@ -86,6 +86,7 @@ KIND_LABELS = {
 }
 
 
+# Thresholds of the mapping decision, years that a date may have, sizes of logs and samples.
 @dataclass(frozen=True)
 class Policy:
     auto_min: float = 0.82

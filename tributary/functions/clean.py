@@ -42,6 +42,7 @@ def clean_value(key: str, raw: Column, config: Config | None = None) -> Column:
     return F.when(is_blank(raw), _out(F.lit(None), 1.0, "empty")).otherwise(bind(js_trim(raw), lambda text: _clean_text(key, text, config)))
 
 
+# Fixed values within: what a transform is called, how sure its result is, and the codes of issues.
 def _clean_text(key: str, text: Column, config: Config) -> Column:
     spec = config.by_key.get(key)
     kind = spec.type if spec else "string"

@@ -53,8 +53,12 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(F.split(one_space(c), " "), word), " ")
 
 
+# Forms of address that are no part of a name.
+HONORIFICS = "dr|mr|mrs|ms|miss|prof|sir"
+
+
 def strip_honorific(c: Column) -> Column:
-    return js_trim(F.regexp_replace(c, rf"(?i)^{W}*(dr|mr|mrs|ms|miss|prof|sir)\.?{W}+", ""))
+    return js_trim(F.regexp_replace(c, rf"(?i)^{W}*({HONORIFICS})\.?{W}+", ""))
 
 
 def split_person_name(c: Column) -> Column:

@@ -1,6 +1,6 @@
 """Delimited extracts as frames of strings with row numbers.
 
-`read_csv` is Spark's reader, split over files, for well-formed input. `read_csv_exact` follows spreadsheet exporters to
+`read_csv` is Spark's reader for well-formed input; it splits files where no cell holds a line break. `read_csv_exact` follows spreadsheet exporters to
 the letter (a quote anywhere toggles, blank lines go before the header is chosen, of equal headers the last counts); each
 file is one partition's work, as its quoting can't be cut.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.functions.text import js_trim
@@ -58,22 +58,18 @@ def _fields(text: str) -> Iterator[list[str]]:
 
 
 def with_row_numbers(df: DataFrame, name: str = "row_idx") -> DataFrame:
-    """Rows numbered from 0 in reading order: a count for each partition, then numbers within each; nothing is sorted
-    or brought together."""
+    """Rows numbered from 0 in the order of partitions and of rows in them: a count for each partition, then numbers within
+    each; rows are neither sorted nor brought together. Of one file that is its reading order."""
     at = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    counts = {r[0]: r[1] for r in at.groupBy("_part").count().collect()}  # one row a partition
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    if not before:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    offsets = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
+    counts = at.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # one row a partition
+    before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
     within = F.col("_at").bitwiseAND((1 << 33) - 1)
-    return at.withColumn(name, F.element_at(offsets, F.col("_part")).cast("long") + within).drop("_part", "_at")
+    return at.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + within).drop("_part", "_at", "_before")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.options(header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False).csv(path)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """multi_line: cells may hold line breaks, so that a file is one task; without them Spark splits large files."""
+    raw = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False).csv(path)
     trimmed = raw.select(*[F.coalesce(js_trim(F.col(f"`{c}`")), F.lit("")).alias(c.strip()) for c in raw.columns])
     full = trimmed.filter(F.greatest(*[F.length(F.col(f"`{c}`")) for c in trimmed.columns], F.lit(0)) > 0)
     return with_row_numbers(full)

@@ -1,4 +1,4 @@
-"""Workbooks (xlsx): the first sheet's cells as text, as a Spark data source and as plain functions.
+"""Workbooks (xlsx): the first sheet's cells as text, by executors or by plain functions.
 
 Only the standard library is used. Cells come as they are stored, with date formats applied to serial days.
 """
@@ -13,9 +13,10 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StringType, StructField, StructType
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -102,42 +103,25 @@ def workbook_bytes(heads: list[str], rows: list[list[str]], sheet: str = "Direct
     return out.getvalue()
 
 
-class WorkbookPartition(InputPartition):
-    def __init__(self, path: str, data: bytes):
-        self.path, self.data = path, data
+def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheets of all workbooks under a path: a column for each header, in the order of files and their columns,
+    all strings, with file_name and row_idx. Executors open and parse; the driver sees the headers' names alone."""
+    books = spark.read.format("binaryFile").load(path).select("path", "content")
 
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(name, k, h) for name, data in zip(*(batch.column(c).to_pylist() for c in ("path", "content"))) for k, h in enumerate(sheet_rows(data)[0])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["path", "at", "head"])
 
-class WorkbookReader(DataSourceReader):
-    def __init__(self, schema: StructType, books: list[tuple[str, bytes]]):
-        self.names, self.books = schema.names, books
+    first = books.mapInArrow(heads, "path string, at int, head string").groupBy("head").agg(F.min(F.struct("path", "at")).alias("first"))
+    names = [r["head"] for r in first.orderBy("first").collect()]
 
-    def partitions(self) -> list[InputPartition]:
-        return [WorkbookPartition(p, d) for p, d in self.books]
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(*(batch.column(c).to_pylist() for c in ("path", "content"))):
+                own, table = sheet_rows(data)
+                at = {h: i for i, h in enumerate(own)}
+                cells = [pa.array([r[at[n]] if n in at else "" for r in table], pa.string()) for n in names]
+                yield pa.RecordBatch.from_arrays([*cells, pa.array([name] * len(table), pa.string()), pa.array(range(len(table)), pa.int64())], [*names, "file_name", "row_idx"])
 
-    def read(self, partition: WorkbookPartition) -> Iterator[tuple]:
-        heads, rows = sheet_rows(partition.data)
-        at = {h: i for i, h in enumerate(heads)}
-        for k, row in enumerate(rows):
-            yield tuple(str(k) if n == "row_idx" else partition.path if n == "file_name" else row[at[n]] if n in at else "" for n in self.names)
-
-
-class WorkbookSource(DataSource):
-    """format("workbook"): one partition a workbook; all columns are strings, with file_name and row_idx."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "workbook"
-
-    def _books(self) -> list[tuple[str, bytes]]:
-        spark = SparkSession.getActiveSession()
-        if spark is not None:  # workbooks are read through Spark, wherever they are
-            return [(r[0], bytes(r[1])) for r in spark.read.format("binaryFile").load(self.options["path"]).orderBy("path").select("path", "content").collect()]
-        with open(self.options["path"].removeprefix("file://"), "rb") as f:
-            return [(self.options["path"], f.read())]
-
-    def schema(self) -> StructType:
-        heads = list(dict.fromkeys(h for _, d in self._books() for h in sheet_rows(d)[0]))
-        return StructType([StructField(n, StringType()) for n in [*heads, "file_name", "row_idx"]])
-
-    def reader(self, schema: StructType) -> WorkbookReader:
-        return WorkbookReader(schema, self._books())
+    return books.mapInArrow(rows, StructType([*[StructField(n, StringType()) for n in [*names, "file_name"]], StructField("row_idx", LongType())]))

@@ -2,6 +2,12 @@
 
 A stage takes (spark, docs, sf_dir), docs having the columns of documents, and returns the rows it keeps with those
 columns; the last returns what the mix takes of each document. Stages are written as Parquet and read again.
+
+Defined results: null and empty texts are one text to exact dedup, of which one row stays, and no stage after it drops that;
+a document is its doc_id with its text, so two texts of one id are judged apart, and rows that repeat both are one document; a
+null doc_id is kept or dropped by its text like any other, but stays only where no copy has an id; texts of any length are
+read whole; extra columns pass through to the last stage, which returns its own; without labels nothing is toxic; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

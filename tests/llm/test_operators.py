@@ -493,7 +493,9 @@ def test_empty_tables(spark):
 def test_pipeline(spark, corpus, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     d = f"file://{tmp_path}"
-    docs = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in corpus], "doc_id long, text string, lang string, source string, n_chars long")
+    given = [(i, t, "en", s, 1, 0.5) for i, t, s in corpus]
+    given += [given[3], (None, "a text of no one, alone", "en", "s0", 1, None), (None, corpus[9][1], "en", "s0", 1, None)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long, toxicity_score double")
     docs.write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, corpus[7][1])], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
@@ -503,7 +505,12 @@ def test_pipeline(spark, corpus, tmp_path):
         assert after.columns == docs.columns
         now = spark.createDataFrame(after.collect(), docs.schema)
     mixed = corpus_pipeline.run(spark, d)
-    assert {r["doc_id"] for r in mixed.collect()} == {r["doc_id"] for r in now.collect()}
+    assert sorted(str(r["doc_id"]) for r in mixed.collect()) == sorted(str(r["doc_id"]) for r in now.collect())
+    texts = brute.components([(k, t) for k, (_, t, _) in enumerate(corpus)])
+    clean = {k for k, w in brute.contamination([(k, t) for k, (_, t, _) in enumerate(corpus)], [(1, corpus[7][1])]).items() if not w[4]}
+    left = {k for k in {c for _, c in texts.values()} if k in clean}
+    empty = {k for k, (_, t, _) in enumerate(corpus) if not (t or "").split()}
+    assert {r["doc_id"] for r in now.collect()} - {None} - empty == left - empty and now.filter("doc_id is null").count() == 1
     assert F.col("taken") is not None and mixed.filter("taken > 2 * size").isEmpty()
 
 

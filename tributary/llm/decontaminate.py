@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Table, ascii_set, bit_table, bits_for, bytes_of, columns, lower_bytes, mix64, range_hashes, runs, slices, text_of, without
+from tributary.llm.common import Table, ascii_set, bit_table, bits_for, bytes_of, columns, give_back, lower_bytes, mix64, range_hashes, runs, slices, text_of, without
 
 WINDOW = 13
 #: Bytes of benchmark text whose windows are broadcast at most.
@@ -144,6 +144,7 @@ def _scan_broadcast(docs: DataFrame, items: DataFrame, window: int) -> DataFrame
                     found[int(np.searchsorted(before[1:], i, "right"))].update(items)
                 out = [ids, ths, pa.array(np.diff(before), pa.int64()), pa.array(_spans(hit, before, len(ids)), SPANS), pa.array([sorted(x, key=str) for x in found], pa.list_(item_type))]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "th", "n_words", "spans", "items"])
+        give_back()
 
     name = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(find, f"doc_id {name}, th long, n_words long, spans array<struct<first:long,last:long>>, items array<{'long' if item_type == pa.int64() else 'string'}>")

@@ -195,6 +195,7 @@ def frequent_slots(packed: DataFrame, bits: int, part_bits: int, rare: int) -> b
                 count[values] += many.astype(np.uint32)
         if part is not None:
             yield done()
+        give_back()
 
     dealt = packed.select("part", "packed").repartition(min(1 << part_bits, MOST_TASKS), "part").sortWithinPartitions("part")
     marks = {r[0]: r[1] for r in dealt.mapInArrow(work, "part int, marks binary").collect()}
@@ -292,6 +293,7 @@ def second_scan(docs: DataFrame, words: int, percent: int, marks: bytes, bits: i
                     yield flush()
         if sum(len(x[0]) for x in held):
             yield flush()
+        give_back()
 
     return docs.mapInArrow(work, "part int, sigs binary, nodes binary, sizes binary, shares binary")
 
@@ -351,6 +353,7 @@ def pairs_of(packed: DataFrame, percent: int, part_bits: int) -> DataFrame:
                 rows.append(row)
         if rows:
             yield from groups(rows, part)
+        give_back()
 
     dealt = packed.repartition(min(1 << part_bits, MOST_TASKS), "part").sortWithinPartitions("part")
     return dealt.mapInArrow(work, "kind int, a long, b long, size long")
@@ -410,6 +413,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 common = int((hub[at] == other).sum())
                 keep[i] = 100 * common >= percent * (len(hub) + len(other) - common)
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep))
+        give_back()
 
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")).hint("merge"), "b")
     both = with_b.join(sets.filter("is_hub").select(F.col("node").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a")
@@ -523,6 +527,7 @@ def across(lists: DataFrame, labels: DataFrame, bits: DataFrame, failed: DataFra
                 held.append(batch.slice(i, j - i))
         if held:
             yield settled()
+        give_back()
 
     dealt = open_.withColumn("key", key).repartition("key").sortWithinPartitions("key")
     return dealt.drop("list", "blocks", "other").mapInArrow(work, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

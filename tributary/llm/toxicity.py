@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import IS_SPACE, bytes_of, columns, runs, slices
+from tributary.llm.common import IS_SPACE, bytes_of, columns, give_back, runs, slices
 
 #: Labelled documents that the classifier learns from at most: toxic, clean.
 SAMPLE = (1200, 4800)
@@ -44,7 +44,9 @@ SPAN, DECAY = 6, 0.7
 LENGTH = 26
 #: Shingle hashes of a labelled document that near copies are told by.
 SKETCH = 32
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Bytes of text whose words are held at once.
+SLICE = 1 << 20
 
 _GAPS = [(a, b, DECAY ** (b + 1)) for b in range(2, SPAN) for a in range(1, b)]
 _LEET = str.maketrans("013457@$", "oieastas")
@@ -133,8 +135,8 @@ class Model:
                     pieces.append(x)
                     owner.append(i)
         out = np.full(len(words), -2.0)
-        for k in range(0, len(pieces), 20_000):
-            np.maximum.at(out, owner[k : k + 20_000], folded_margin(coded(pieces[k : k + 20_000]), self.fold, self.bias))
+        for k in range(0, len(pieces), 8000):
+            np.maximum.at(out, owner[k : k + 8000], folded_margin(coded(pieces[k : k + 8000]), self.fold, self.bias))
         return out.tolist()
 
     @staticmethod
@@ -339,6 +341,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
             words = pa.array([" ".join(sorted(document_words(t, True))) for t in read], pa.string())
             least = pa.array([[h - (1 << 64) if h >> 63 else h for h in sketch(t)] for t in read], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, words, toxic, least], ["doc_id", "words", "is_toxic", "least"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = sorted(read.mapInArrow(bags, f"doc_id {kind}, words string, is_toxic boolean, least array<long>").collect(), key=lambda r: (r[0], r[1]))
@@ -384,7 +387,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         own = Model(*shared.value)
         cache: dict[str, float] = {}
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, most=SLICE):
                 (texts,) = columns(rows, "text")
                 data, starts = bytes_of(texts)
                 look = has_single_words(data, starts)
@@ -397,6 +400,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 best, mass = (np.array(x, float) for x in zip(*found))
                 names = [*rows.schema.names, "toxicity_score"]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(own.score(best, mass))], names)
+        cache.clear()
+        give_back()
 
     schema = docs.drop("toxicity_score").withColumn("toxicity_score", F.lit(0.0)).schema
     return docs.drop("toxicity_score").mapInArrow(work, schema)

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings"):
         duck.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = catalogue.queries()[name](spark, SF)
     names = sorted(df.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import decontaminate, exact, lines, mixing, ngram_join, pages, pii, repeats, secrets, toxicity
+from tributary.llm import codes, decontaminate, exact, infill, language, lines, mixing, ngram_join, pages, pii, repeats, secrets, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup_report(_read(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_read(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.report(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -67,6 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_remove_repeats": op9_remove_repeats,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_language_id": op12_language_id,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
@@ -78,4 +93,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_ngram_join": ngram_join.ORACLE,
         "op9_remove_repeats": repeats.ORACLE,
         "op10_exact_dedup": exact.ORACLE,
+        "op11_vector_codes": codes.ORACLE,
+        "op13_fill_in_middle": infill.ORACLE,
     }

@@ -66,3 +66,38 @@ def kept(df: DataFrame, path: str) -> DataFrame:
     if not files.exists(where):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Of the files in a folder; none if it isn't there."""
+    where, files = _files(spark, path)
+    if not files.exists(where):
+        return []
+    return [n for f in files.listStatus(where) if not (n := f.getPath().getName()).startswith(("_", "."))]
+
+
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a small file unless it is there; whether this call did. The file system decides between two that try."""
+    where, files = _files(spark, path)
+    files.mkdirs(where.getParent())
+    if files.exists(where):
+        return False
+    try:
+        out = files.create(where, False)
+    except Exception as e:  # raised by the JVM
+        if "already exists" in str(e) or "AlreadyExists" in str(e):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def text_of_file(spark: SparkSession, path: str) -> str:
+    """Of a small file."""
+    where, files = _files(spark, path)
+    opened = files.open(where)
+    try:
+        return bytes(opened.readAllBytes()).decode()
+    finally:
+        opened.close()

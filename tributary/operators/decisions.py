@@ -29,35 +29,60 @@ def _made(escalations: DataFrame, decisions: DataFrame) -> DataFrame:
     return met.select("escalation_id", "record_id", "field", "kind", F.when(F.col("reject"), "rejected").otherwise("resolved").alias("status"), F.when(F.col("reject"), out).otherwise(apply).alias("command"), "at")
 
 
-def resolve(escalations: DataFrame, decisions: DataFrame) -> DataFrame:
+def resolve(escalations: DataFrame, decisions: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """Decisions that count: escalation_id, record_id, field, kind, status, command, at, whole.
 
-    Of one record and field only rejections count until something else does, which closes the rest. A record that is
-    excluded, by its own decisions or by a merge into another one, closes altogether with the next decision on it that is no
-    rejection (whole). Which merges count may hang on other merges, so this repeats until they stay the same: merges in
-    chains take a round each, others one.
+    A fold over the decisions in their order that starts from records(record_id, excluded) as they are; without records
+    all that is named is there and in. Of one record and field only rejections count until something else does, which
+    closes the rest. A record goes out by a rejection, by an exclusion or by a merge into another record that is there,
+    whichever escalation asked for it; once it is out, the next decision on it that is no rejection closes it altogether
+    (whole). Records that aren't there never go out.
+
+    Within a record the fold is a window. What decisions on other escalations take out may hang on what is out before, so
+    this repeats until it stays the same. A decision hangs on earlier ones alone, so each round settles one more link of a
+    chain and the end is the sequential fold's.
     """
     made = cut(_made(escalations, decisions), "made")
     turn = F.struct("at", "escalation_id")
-    rejected, merge = F.col("status") == "rejected", F.col("command.type") == "merge_records"
+    rejected = F.col("status") == "rejected"
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    field = Window.partitionBy("record_id", "field").orderBy("at", "escalation_id")
-    record = Window.partitionBy("record_id")
+    # decisions on no record stand alone, so that they are no group
+    whose = F.coalesce("record_id", F.concat(F.lit("\0"), "escalation_id"))
+    field = Window.partitionBy(whose, "field").orderBy("at", "escalation_id")
+    record = Window.partitionBy(whose)
     closed = F.col("record_id").isNotNull() & (F.coalesce(F.sum(F.when(~rejected, 1)).over(before(field)), F.lit(0)) > 0)
-    own = rejected | (F.col("command.type") == "exclude_record") | merge & (F.col("command.drop_id") == F.col("record_id"))
-    local = made.withColumn("turn", turn).withColumn("closed", closed).filter(~F.col("closed")).withColumn("own", F.when(own, F.col("turn")))
-    outside, known = made.filter("false").select("record_id", turn.alias("gone")), None
+    made = _with_state(made.withColumn("turn", turn).withColumn("closed", closed).filter(~F.col("closed")).drop("closed"), records)
+    own = rejected | F.col("out_id").eqNullSafe(F.col("record_id"))
+    local = cut(made.withColumn("own", F.when(own, F.col("turn"))), "local")
+    outside, known = local.filter("false").select("record_id", F.col("turn").alias("gone")), None
     while True:
         met = local.join(outside.groupBy("record_id").agg(F.min("gone").alias("gone")), "record_id", "left")
         first = F.least(F.min("own").over(record), F.col("gone"))
-        met = met.withColumn("first", F.when(F.col("record_id").isNotNull(), first))
-        met = met.withColumn("end", F.min(F.when(~rejected & (F.col("turn") >= F.col("first")), F.col("turn"))).over(record))
-        counts = met.filter(F.col("record_id").isNull() | F.col("end").isNull() | (F.col("turn") <= F.col("end"))).withColumn("whole", F.coalesce(F.col("turn") == F.col("end"), F.lit(False)))
-        counts = cut(counts.drop("closed", "own", "gone", "first", "end"), "decided")
-        merges = counts.filter(merge & ~F.col("command.drop_id").eqNullSafe(F.col("record_id"))).select(F.col("command.drop_id").alias("record_id"), F.col("turn").alias("gone"))
-        if merges.isEmpty() or known is not None and merges.exceptAll(known).isEmpty() and known.exceptAll(merges).isEmpty():
-            return counts.drop("turn")
-        outside = known = merges
+        ends = ~rejected & (F.col("was_out") | (F.col("turn") >= first))
+        met = met.withColumn("ends", F.col("there") & F.coalesce(ends, F.lit(False))).withColumn("end", F.min(F.when(F.col("ends"), F.col("turn"))).over(record))
+        counts = met.filter(F.col("end").isNull() | (F.col("turn") <= F.col("end"))).withColumn("whole", F.coalesce(F.col("turn") == F.col("end"), F.lit(False)))
+        counts = cut(counts.drop("own", "gone", "ends", "end", "there", "was_out"), "decided")
+        outs = counts.filter(F.col("out_id").isNotNull() & ~F.col("out_id").eqNullSafe(F.col("record_id"))).select(F.col("out_id").alias("record_id"), F.col("turn").alias("gone"))
+        if outs.isEmpty() or known is not None and outs.exceptAll(known).isEmpty() and known.exceptAll(outs).isEmpty():
+            return counts.drop("turn", "out_id")
+        outside = known = outs
+
+
+def _with_state(made: DataFrame, records: DataFrame | None) -> DataFrame:
+    """made with there and was_out of its record, and out_id: the record that its command takes out, if that is there."""
+    kind, rejected = F.col("command.type"), F.col("status") == "rejected"
+    named = F.when(~rejected & (kind == "exclude_record"), F.col("command.record_id")).when(~rejected & (kind == "merge_records"), F.col("command.drop_id"))
+    keep = F.when(~rejected & (kind == "merge_records"), F.col("command.keep_id"))
+    if records is None:
+        return made.withColumn("there", F.col("record_id").isNotNull()).withColumn("was_out", F.lit(False)).withColumn("out_id", named)
+    out = F.col("excluded") if "excluded" in records.columns else F.lit(False)
+    state = records.select(F.col("record_id").alias("r_id"), out.alias("was_out"))
+    ids = state.select("r_id")
+    met = made.withColumn("named", named).withColumn("keep", keep).join(state, F.col("record_id") == F.col("r_id"), "left").withColumn("there", F.col("r_id").isNotNull()).drop("r_id")
+    met = met.join(ids.withColumn("has_named", F.lit(True)), F.col("named") == F.col("r_id"), "left").drop("r_id")
+    met = met.join(ids.withColumn("has_keep", F.lit(True)), F.col("keep") == F.col("r_id"), "left").drop("r_id")
+    out_id = F.when(F.col("has_named") & (F.col("keep").isNull() & (kind == "exclude_record") | F.col("has_keep")), F.col("named"))
+    return met.withColumn("out_id", out_id).withColumn("was_out", F.coalesce("was_out", F.lit(False))).drop("named", "keep", "has_named", "has_keep")
 
 
 def close(escalations: DataFrame, resolved: DataFrame) -> DataFrame:

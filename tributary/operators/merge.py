@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 
 from tributary.config import FULL_NAME, Config
 from tributary.functions.clean import CLEAN, canonical_id, clean_value
+from tributary.functions.cut import cut
 from tributary.functions.text import is_blank, split_person_name
+from tributary.operators.hot import LISTED, fold_hot, small
+
+#: Rows that one record's fold may bring together.
+MOST_ROWS = 100_000
 
 LINEAGE = "struct<file_name:string,column:string,row:int>"
 CELL = f"struct<raw:string,value:string,confidence:double,lineage:array<{LINEAGE}>,transform:string,conflicts:array<string>,flags:array<string>,n:int>"
@@ -113,32 +118,47 @@ def fold_rows(source: Source, config: Config | None = None) -> DataFrame:
         else:
             there = F.coalesce(*[F.col(f"r{k}") for k, (field, _, _) in enumerate(wanted) if field == key]).isNotNull()
             state = F.aggregate(F.filter(F.array(*items), lambda x: x["raw"].isNotNull()), empty_state(), step)
-        states.append(F.when(there, F.struct(F.lit(key).alias("field"), state.alias("state"))))
-    have = F.filter(F.array(*states), lambda x: x.isNotNull()) if states else F.expr(f"cast(array() as array<struct<field:string,state:{STATE}>>)")
+        states.append(F.when(there, F.struct(F.lit(key).alias("field"), state.alias("state"))).alias(f"t_{key}"))
+    kept = [c for c in cleaned.columns if c == "row_idx" or c[0] == "s" and c[1:].isdigit()]
+    cleaned = cleaned.select(*kept, *states)
+    fields = [c for c in cleaned.columns if c.startswith("t_")]
+    have = F.filter(F.array(*fields), lambda x: x.isNotNull()) if fields else F.expr(f"cast(array() as array<struct<field:string,state:{STATE}>>)")
     singles = [F.when(F.col(f"s{i}").isNotNull() & (F.col(f"s{i}.last") == ""), F.array(F.lit("lastName:missing_from_split"))).otherwise(none) for i in names]
     extra_n = sum((F.when(F.col(f"s{i}").isNotNull(), 1).otherwise(0) for i in names), F.lit(0)).cast("int")
     row_id = F.concat(F.lit(f"{source.file_name}:"), F.col("row_idx").cast("string"))
-    folded = cleaned.select(F.lit(source.file_ord).alias("file_ord"), "row_idx", row_id.alias("row_id"), have.alias("states"), (F.concat(*singles) if singles else none).alias("extra_flags"), extra_n.alias("extra_n"))
-    of = lambda key: F.get(F.filter("states", lambda s: s["field"] == key), F.lit(0))["state"]["value"]
+    of = lambda key: F.col(f"t_{key}.state.value") if f"t_{key}" in fields else F.lit(None).cast("string")
     number, mail = of("employeeNumber"), of("email")
     key = (
         F.when(number != "", F.concat(F.lit("emp:"), canonical_id(number, config.id_prefix)))
         .when(mail != "", F.concat(F.lit("email:"), F.lower(mail)))
         .otherwise(F.concat(F.lit(f"row:{source.file_ord}:"), F.col("row_idx").cast("string")))
     )
-    return folded.withColumn("key", key)
+    return cleaned.select(F.lit(source.file_ord).alias("file_ord"), "row_idx", row_id.alias("row_id"), have.alias("states"), (F.concat(*singles) if singles else none).alias("extra_flags"), extra_n.alias("extra_n"), key.alias("key"))
 
 
-def merge_sources(sources: list[Source], config: Config | None = None) -> DataFrame:
+def merge_sources(sources: list[Source], config: Config | None = None, most: int | None = MOST_ROWS, listed: int = LISTED) -> DataFrame:
     """One row a record: key, seq (file and row first seen), row_ids, cells, flags, n_transforms, employee_number.
 
-    The shuffle is on the key; a group holds one person's rows.
+    The shuffle is on the key; a group holds one person's rows. Keys of more than `most` rows are counted beforehand, from
+    the columns that make keys alone, and folded without being brought together (see hot.py); None: there are none.
     """
     config = config or Config()
     rows = None
     for s in sources:
         part = fold_rows(s, config)
         rows = part if rows is None else rows.unionByName(part)
+    if most is None:
+        return _recorded(fold_plain(rows, config), config)
+    many = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("key"), "many")
+    if many.isEmpty():
+        return _recorded(fold_plain(rows, config), config)
+    side = small(many)
+    plain = fold_plain(rows.join(side, "key", "left_anti"), config)
+    return _recorded(plain.unionByName(fold_hot(rows.join(side, "key", "left_semi"), config, listed)), config)
+
+
+def fold_plain(rows: DataFrame, config: Config) -> DataFrame:
+    """fold_rows' rows to key, seq, row_ids, states (a map by field), row_flags, row_n, each key's rows in one group."""
     met = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("file_ord", "row_idx", "row_id", "states", "extra_flags", "extra_n"))).alias("rows"))
     first = F.get("rows", F.lit(0))
     later = F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))
@@ -167,10 +187,14 @@ def merge_sources(sources: list[Source], config: Config | None = None) -> DataFr
         return F.struct(f.alias("key"), F.aggregate(F.filter("comes", lambda x: x["field"] == f), start, step).alias("value"))
 
     every = F.array(*[F.lit(f.key) for f in config.fields])
-    out = out.withColumn("states", F.map_from_entries(F.transform(every, final)))
+    return out.select("key", "seq", "row_ids", F.map_from_entries(F.transform(every, final)).alias("states"), "row_flags", F.col("row_n").cast("long").alias("row_n"))
+
+
+def _recorded(out: DataFrame, config: Config) -> DataFrame:
     n = F.col("row_n") + F.aggregate(F.map_values("states"), F.lit(0), lambda a, s: a + s["n"])
     flags = F.array_distinct(F.concat(F.flatten(F.transform(F.map_values("states"), lambda s: s["flags"])), F.col("row_flags")))
-    out = out.select("key", "seq", "row_ids", F.struct(*[F.col("states")[f.key].dropFields("clean").alias(f.key) for f in config.fields]).alias("cells"), flags.alias("flags"), n.alias("n_transforms"))
+    cell = lambda f: F.coalesce(F.try_element_at("states", F.lit(f.key)), empty_state()).dropFields("clean").alias(f.key)
+    out = out.select("key", "seq", "row_ids", F.struct(*[cell(f) for f in config.fields]).alias("cells"), flags.alias("flags"), n.alias("n_transforms"))
     return default_currency(out, config)
 
 

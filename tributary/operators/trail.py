@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tributary.config import Config
 from tributary.operators.merge import long_records
 
+AUDIT = "at long, actor string, action string, subject string, why string, before string, after string"
+EVENT = "at long, level string, step string, message string, detail string"
+
 
 def _audit(df: DataFrame, at: Column, actor: Column | str, action: Column | str, subject: Column, why: Column, before: Column | None = None, after: Column | None = None) -> DataFrame:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
@@ -62,3 +65,40 @@ def of_rollback(log: DataFrame, at: int, batch_id: str) -> tuple[DataFrame, Data
     """One audit row and one event for the batch."""
     n = log.filter("method = 'DELETE'").agg(F.count(F.lit(1)).alias("n"))
     return _audit(n, F.lit(at), "human", "batch.rollback", F.lit(batch_id), F.lit("a person took the batch back")), _event(n, F.lit(at), "warn", "rollback", F.concat(F.lit(f"Took batch {batch_id} back \u00b7 "), F.col("n").cast("string"), F.lit(" deletes")))
+
+
+def of_run(profiles: DataFrame, mappings: DataFrame, records: DataFrame, escalations: DataFrame, at: int, assisted: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(audit, events) of a run, step by step, a millisecond apart. Only counts, columns and files reach the driver.
+
+    assisted: how many columns a helper settled; None without one."""
+    spark = profiles.sparkSession
+    files = profiles.groupBy("file_ord", "file_name").agg(F.max("rows").alias("rows"), F.count(F.lit(1)).alias("columns")).orderBy("file_ord").collect()
+    columns = mappings.orderBy("file_ord", "col_ord").select("header", "target", "status", "reason").collect()
+    r = records.agg(F.count(F.lit(1)).alias("people"), F.coalesce(F.sum("n_transforms"), F.lit(0)).alias("transforms"), F.count_if(F.size("flags") == 0).alias("clean")).first()
+    kinds = {x["kind"]: x["n"] for x in escalations.filter("status = 'open'").groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy("kind").collect()}
+    rows, n_columns, open_ = sum(f["rows"] for f in files), sum(f["columns"] for f in files), sum(kinds.values())
+    auto, waiting = ([c for c in columns if c["status"] == s] for s in ("auto", "escalated"))
+    pairs, conflicts = kinds.get("duplicate_fuzzy", 0), kinds.get("conflict_cross_file", 0)
+    says: list[tuple[str, str, str, str | None]] = [
+        ("info", "ingest", f"{len(files)} files, {rows} rows", " \u00b7 ".join(f"{f['file_name']} ({f['rows']})" for f in files)),
+        ("info", "profile", f"{n_columns} columns profiled", None),
+        ("auto", "map", f"{len(auto)} columns mapped, {len(waiting)} wait for a person", None),
+        *(("escalate", "map", f"Waits: {c['header']}", c["reason"]) for c in waiting),
+        ("auto" if assisted else "info", "ai_assist", "no helper" if assisted is None else f"{assisted} more columns mapped", None),
+        ("auto", "transform", f"{r['transforms']} values cleaned, {r['people']} people", None),
+        ("auto", "reconcile", f"{rows} rows of {len(files)} files are {r['people']} people", f"{pairs} likely duplicates, {conflicts} conflicts"),
+        *(("escalate", "reconcile", f"{n} {what}", None) for n, what in ((pairs, "likely duplicates"), (conflicts, "conflicts")) if n),
+        ("escalate" if open_ else "auto", "validate", f"{r['clean']} clean records, {open_} escalations", None),
+        ("escalate" if open_ else "auto", "summarize", f"{open_} wait for a person" if open_ else "ready to push", " \u00b7 ".join(f"{n} {k}" for k, n in kinds.items()) or None),
+    ]
+    acts: list[tuple[str, str, str]] = [
+        ("ingest", f"{len(files)} files", "extracts were read without a map of their columns"),
+        ("profile", f"{n_columns} columns", "profiles decide the mapping's scores"),
+        *(("map.auto", f"{c['header']} \u2192 {c['target']}", c["reason"]) for c in auto),
+        *([("map.model", f"{assisted} columns", "a helper was sure enough")] if assisted else []),
+        ("transform", f"{r['transforms']} values", "cleaning that can be undone"),
+        ("reconcile", f"{r['people']} people", "equal numbers or addresses are one person"),
+        ("validate", f"{open_} escalations", "what must not be guessed waits"),
+    ]
+    audit = spark.createDataFrame([(at + i, "agent", action, subject, why, None, None) for i, (action, subject, why) in enumerate(acts)], AUDIT)
+    return audit, spark.createDataFrame([(at + i, *said) for i, said in enumerate(says)], EVENT)

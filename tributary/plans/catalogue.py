@@ -322,10 +322,9 @@ def resolve_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def close_related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is open, decided or closed along with others after all decisions."""
+    """What is open, decided or closed along with others after all decisions, each by its id."""
     e, d = _decided(spark, sf_dir)
-    after = decisions.close(e, decisions.resolve(e, d))
-    return after.groupBy("status", F.coalesce("field", F.lit("")).alias("field")).agg(F.count(F.lit(1)).alias("n"), F.min("escalation_id").alias("first_id"))
+    return decisions.close(e, decisions.resolve(e, d)).select("escalation_id", "status")
 
 
 PEOPLE = Config(fields=(Field("employeeNumber", "Id", required=True), Field("firstName", "First"), Field("email", "Mail", "email")))

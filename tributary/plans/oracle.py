@@ -57,16 +57,16 @@ _LABELS = """(VALUES (0, 'mapping_ambiguous', 'Ambiguous mapping'), (1, 'mapping
   (6, 'duplicate_fuzzy', 'Possible duplicate'), (7, 'validation_failed', 'Validation failed')) AS l(i, kind, label)"""
 
 _DECIDED = """
-esc AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS escalation_id, o_orderkey AS k, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS r,
+esc AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS escalation_id, o_orderkey AS k, o_custkey AS who, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS r,
     CASE o_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS f, CASE WHEN o_orderkey % 5 = 0 THEN 'resolved' ELSE 'open' END AS was,
     CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS "at" FROM orders),
-made AS (SELECT *, k % 10 = 4 AS no, CASE WHEN k % 10 = 4 THEN 'reject_record' WHEN k % 4 = 0 THEN 'accept_value' WHEN k % 7 = 0 THEN 'exclude_record' WHEN k % 11 = 0 THEN 'merge_records' ELSE 'set_field' END AS command
+made AS (SELECT *, printf('%012d', "at") || escalation_id AS turn, k % 10 = 4 AS no, CASE WHEN k % 10 = 4 THEN 'reject_record' WHEN k % 4 = 0 THEN 'accept_value' WHEN k % 7 = 0 THEN 'exclude_record' WHEN k % 11 = 0 THEN 'merge_records' ELSE 'set_field' END AS command
     FROM esc WHERE was = 'open' AND k % 2 = 0),
-behind AS (SELECT *, r IS NOT NULL AND coalesce(sum(CASE WHEN no THEN 0 ELSE 1 END) OVER (PARTITION BY r, f ORDER BY "at", escalation_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS closed FROM made),
-turns AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY "at", escalation_id) AS n FROM behind WHERE NOT closed),
-outs AS (SELECT *, min(CASE WHEN r IS NOT NULL AND (no OR command IN ('exclude_record', 'merge_records')) THEN n END) OVER (PARTITION BY r) AS fst FROM turns),
-ends AS (SELECT *, min(CASE WHEN NOT no AND n >= fst THEN n END) OVER (PARTITION BY r) AS en FROM outs),
-counts AS (SELECT escalation_id, r, coalesce(f, '') AS f, CASE WHEN no THEN 'rejected' ELSE 'resolved' END AS status, command, "at", r IS NOT NULL AND coalesce(n = en, false) AS whole FROM ends WHERE r IS NULL OR en IS NULL OR n <= en)
+gone AS (SELECT who AS r, min(turn) AS gone FROM made WHERE r IS NULL AND command IN ('exclude_record', 'merge_records') GROUP BY who),
+behind AS (SELECT *, r IS NOT NULL AND coalesce(sum(CASE WHEN no THEN 0 ELSE 1 END) OVER (PARTITION BY r, f ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS closed FROM made),
+outs AS (SELECT b.*, least(min(CASE WHEN b.r IS NOT NULL AND (no OR command IN ('exclude_record', 'merge_records')) THEN turn END) OVER (PARTITION BY b.r), gone) AS fst FROM behind b LEFT JOIN gone USING (r) WHERE NOT closed),
+ends AS (SELECT *, min(CASE WHEN NOT no AND turn >= fst THEN turn END) OVER (PARTITION BY r) AS en FROM outs),
+counts AS (SELECT escalation_id, r, coalesce(f, '') AS f, CASE WHEN no THEN 'rejected' ELSE 'resolved' END AS status, command, "at", r IS NOT NULL AND coalesce(turn = en, false) AS whole FROM ends WHERE r IS NULL OR en IS NULL OR turn <= en)
 """
 ORACLES: dict[str, str] = {
     "normalize_text": f"SELECT p_partkey, {_NORMAL.format("'  ' || replace(p_type, ' ', '_/') || '&R.D '")} AS normal FROM part",
@@ -168,7 +168,7 @@ WITH {_DECIDED},
 settled AS (SELECT r, f, bool_or(whole) AS whole FROM counts WHERE status <> 'rejected' AND r IS NOT NULL GROUP BY r, f),
 after AS (SELECT e.*, CASE WHEN c.status IS NOT NULL THEN c.status WHEN e.was = 'open' AND EXISTS (SELECT 1 FROM settled s WHERE s.r = e.r AND (s.f = coalesce(e.f, '') OR s.whole)) THEN 'resolved' ELSE e.was END AS now
   FROM esc e LEFT JOIN counts c USING (escalation_id))
-SELECT now AS status, coalesce(f, '') AS field, count(*) AS n, min(escalation_id) AS first_id FROM after GROUP BY ALL""",
+SELECT escalation_id, now AS status FROM after""",
     "merge_pairs": """
 WITH c AS (SELECT c_custkey AS k, c_custkey % 4 AS q, c_name, c_mktsegment FROM customer),
 two AS (SELECT k, CASE WHEN k % 8 = 2 THEN 'early' ELSE c_mktsegment END AS f FROM c WHERE q = 2),

@@ -6,6 +6,7 @@ columns the scan reads.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tributary.config import FULL_NAME, Config
 from tributary.functions.cut import cut, kept
-from tributary.operators import decisions, duplicates, escalations, mapping, merge, profile
+from tributary.operators import decisions, duplicates, escalations, mapping, merge, profile, trail
 from tributary.sources.delimited import usable
 
 STEPS = ("ingest", "profile", "map", "ai_assist", "transform", "reconcile", "validate", "summarize")
@@ -29,6 +30,8 @@ class Result:
     escalations: DataFrame
     rules: DataFrame
     config: Config
+    audit: DataFrame | None = None  # of the run's steps
+    events: DataFrame | None = None
 
     @property
     def status(self) -> str:
@@ -39,11 +42,12 @@ class Result:
         m = self.mappings.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("auto", "escalated", "ignored")]).first()
         r = self.records.agg(F.count(F.lit(1)).alias("people"), F.sum("n_transforms").alias("transforms"), F.count_if(F.size("flags") == 0).alias("clean")).first()
         e = self.escalations.agg(F.count_if(F.col("status") == "open").alias("open")).first()
-        return {**m.asDict(), **r.asDict(), **e.asDict()}
+        s = self.profiles.groupBy("file_ord").agg(F.max("rows").alias("rows")).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("source_rows")).first()
+        return {**s.asDict(), **m.asDict(), **r.asDict(), **e.asDict()}
 
     def decided(self, choices: DataFrame) -> Result:
         """After decisions(escalation_id, choice, reject, at)."""
-        return self.after(cut(decisions.resolve(self.escalations, choices), "decisions"))
+        return self.after(cut(decisions.resolve(self.escalations, choices, self.records), "decisions"))
 
     def after(self, done: DataFrame) -> Result:
         """After decisions that count."""
@@ -56,8 +60,9 @@ class Result:
         )
 
 
-def run(sources: list[tuple[str, DataFrame]], config: Config | None = None, helper: Callable[[DataFrame, DataFrame], DataFrame] | None = None, folder: str | None = None) -> Result:
-    """sources: (file name, frame of string columns with row_idx), in order; files without rows are left out.
+def run(sources: list[tuple[str, DataFrame]], config: Config | None = None, helper: Callable[[DataFrame, DataFrame], DataFrame] | None = None, folder: str | None = None, at: int | None = None) -> Result:
+    """sources: (file name, frame of string columns with row_idx), in order; files without rows are left out. at: the time
+    that the run's events and audit rows tell, in milliseconds; now if it is left out.
 
     With a folder every step's table stays there: a run that was stopped goes on behind its last whole step.
     """
@@ -70,8 +75,10 @@ def run(sources: list[tuple[str, DataFrame]], config: Config | None = None, help
         one = profile.long_cells(df, i, name)
         cells = one if cells is None else cells.unionByName(one)
     profiles = step(profile.profile_columns(cells, config.policy.samples), "profiles")
-    mappings = step(mapping.assist(mapping.propose(profiles, config), profiles, helper, config), "mappings")
+    proposed = mapping.propose(profiles, config)
+    mappings = step(mapping.assist(proposed, profiles, helper, config), "mappings")
     rows = mappings.collect()  # one row a source column
+    assisted = None if helper is None else sum(r["status"] == "auto" for r in rows) - proposed.filter("status = 'auto'").count()
     mappings = mappings.sparkSession.createDataFrame(rows, mappings.schema)
     records = step(merge_mapped(sources, rows, config), "records")
     pairs = step(duplicates.record_pairs(records), "pairs")
@@ -83,7 +90,8 @@ def run(sources: list[tuple[str, DataFrame]], config: Config | None = None, help
         escalations.of_mappings(mappings),
         escalations.required_without_source(mappings, config),
     ), "escalations")
-    return Result(profiles, mappings, records, pairs, found, step(escalations.delta_rules(cells, config), "rules"), config)
+    audit, events = trail.of_run(profiles, mappings, records, found, int(time.time() * 1000) if at is None else at, assisted)
+    return Result(profiles, mappings, records, pairs, found, step(escalations.delta_rules(cells, config), "rules"), config, audit, events)
 
 
 def merge_mapped(sources: list[tuple[str, DataFrame]], mappings: list, config: Config) -> DataFrame:

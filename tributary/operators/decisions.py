@@ -120,11 +120,11 @@ def apply(records: DataFrame, resolved: DataFrame, config: Config | None = None)
     left = cut(resolved.filter("command.type = 'merge_records'").select(F.col("command.keep_id").alias("keep_id"), F.col("command.drop_id").alias("drop_id"), turn), "merges")
     since = None
     while not left.isEmpty():
-        ends = left.select("turn", F.explode(F.array("keep_id", "drop_id")).alias("record_id"))
+        ends = left.select("turn", F.explode(F.array_distinct(F.array("keep_id", "drop_id"))).alias("record_id"))
         first = F.row_number().over(Window.partitionBy("record_id").orderBy("turn"))
         ready = ends.withColumn("rn", first).groupBy("turn").agg(F.max("rn").alias("rn")).filter("rn = 1").select("turn")
         now = cut(left.join(ready, "turn", "left_semi"), "ready")
-        until = now.select("turn", F.explode(F.array("keep_id", "drop_id")).alias("record_id")).select("record_id", F.col("turn").alias("until"))
+        until = now.select("turn", F.explode(F.array_distinct(F.array("keep_id", "drop_id"))).alias("record_id")).select("record_id", F.col("turn").alias("until"))
         due = single.join(until, "record_id").filter(F.col("turn") < F.col("until")).drop("until")
         records = cut(_merge_pairs(_apply_single(records, _later(due, since), config), now, config), "merged")
         done = until.select("record_id", F.col("until").alias("since"))

@@ -56,11 +56,12 @@ def parts(ids, links):
 def test_same_pairs_on_small_blocks(spark, seed):
     rows = people(seed, 120)
     got = found(duplicates.fuzzy_pairs(spark.createDataFrame(rows, PEOPLE)))
-    assert got == all_pairs(rows) and len(got) > 300
+    assert got == all_pairs(rows) and len(got) > 200
 
 
 def test_representatives_keep_every_linked_record(spark):
-    rows = people(3, 150)
+    rng = random.Random(7)
+    rows = [(o, i, rng.choice(["Ana", "Anabel", "Li", ""]), rng.choice(["Lee", "O", ""]), p, d, n) for o, i, _, _, p, d, n in people(3, 220)]
     want = all_pairs(rows)
     got = found(duplicates.fuzzy_pairs(spark.createDataFrame(rows, PEOPLE), most=2))
     assert set(got) <= set(want) and len(got) < len(want)

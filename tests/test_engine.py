@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tributary.config import Config
 from tributary.operators import decisions, duplicates, escalations, mapping, merge, sink, store
 from tributary.plans import pipeline
+from tributary.sources import target
 from tributary.sources.delimited import records
 
 HR = (
@@ -29,7 +30,7 @@ PAY = (
 
 @pytest.fixture(scope="module")
 def result(spark):
-    return pipeline.run([("hr.csv", records(spark, *HR)), ("pay.csv", records(spark, *PAY))])
+    return pipeline.run([("hr.csv", records(spark, *HR)), ("pay.csv", records(spark, *PAY))], at=-1000)
 
 
 def test_mappings(result):
@@ -159,22 +160,35 @@ def test_decisions_are_folded_in_order(spark):
 def test_job_life(spark, result, tmp_path):
     from tributary.plans.job import Job
 
-    job = Job.of("job_000042", result)
+    job = Job.of("job_000042", result, "Harbour Ltd", "Staff move", 3)
+    where = target.Target(spark, f"file://{tmp_path}/target")
+    n_run = job.events.count()
+    assert {r["step"] for r in job.events.collect()} == set(pipeline.STEPS) and job.audit.filter("actor = 'agent' and action = 'map.auto'").count() == job.counts()["auto"]
     with pytest.raises(ValueError):
         job.push(1)
     choices = result.escalations.select("escalation_id", F.when(F.col("field") == "email", "clear").alias("choice"), F.lit(False).alias("reject"), F.col("confidence").cast("long").alias("at"))
     job = job.decided(choices)
-    assert job.status == "ready_to_push" and job.audit.count() >= 4 and job.events.count() == result.escalations.count()
-    pushed = job.push(5)
+    assert job.status == "ready_to_push" and job.audit.count() >= 4 and job.events.count() == n_run + result.escalations.count()
+    pushed = job.push(5, to=where)
+    job.push(5, to=where)  # lost on the way and run again: the same attempt
+    assert where.attempts("batch_000042") == [1] and where.read(pushed.target.schema).count() == pushed.target.count()
     assert pushed.status == "partial_failure" and pushed.counts()["pushed"] + pushed.counts()["failed"] == 3
     log = {r["employee_number"]: r for r in pushed.log.collect()}
     assert all((r["status"] == 201) == r["ok"] == (r["error"] is None) for r in log.values()) and all(r["status"] in (201, 422) for r in log.values())
     assert pushed.target.count() == pushed.counts()["pushed"] and {r["batch_id"] for r in pushed.target.collect()} <= {"batch_000042"}
     assert pushed.audit.filter("actor = 'target'").count() == 3
-    pushed.save(f"file://{tmp_path}")
-    again = Job.load(spark, f"file://{tmp_path}", "job_000042").push(6, retry_failed=True)
+    saved = pushed.save(f"file://{tmp_path}")
+    assert saved.turn == 1
+    with pytest.raises(store.Stale):
+        pushed.save(f"file://{tmp_path}")  # a second writer that went on from the same state
+    assert [tuple(r) for r in Job.recent(spark, f"file://{tmp_path}").collect()] == [("job_000042", "Harbour Ltd", "partial_failure", 3)]
+    loaded = Job.load(spark, f"file://{tmp_path}", "job_000042")
+    assert (loaded.client, loaded.engagement, loaded.pushes, loaded.turn) == ("Harbour Ltd", "Staff move", 1, 1)
+    again = loaded.push(6, retry_failed=True, to=where)
+    assert where.attempts("batch_000042") == [1, 2]
     assert again.log.count() == 3 + pushed.counts()["failed"] and again.log.agg(F.max("attempt")).first()[0] == 2
-    back = again.rollback(7)
+    back = again.rollback(7, to=where)
+    assert where.read(pushed.target.schema).isEmpty()
     assert back.status == "rolled_back" and back.target.isEmpty() and back.counts()["pushed"] == 0
     assert back.audit.filter("action = 'batch.rollback'").count() == 1 and back.recent_events(1).first()["step"] == "rollback"
     assert Job.load(spark, f"file://{tmp_path}", "nothing") is None
@@ -201,11 +215,32 @@ def test_store(spark, tmp_path):
     jobs = store.JobStore(spark, f"file://{tmp_path}")
     assert jobs.get("a") is None
     make = lambda i, at, data: spark.createDataFrame([(i, "c", "running", at, at, data)], store.JOBS)
-    for i in range(15):
-        jobs.save(make(f"j{i}", i, '{"x": [1]}'))
+    for i in range(5):
+        some = make(f"j{i}", i, '{"x": [1]}')
+        for j in (i + 5, i + 10):
+            some = some.unionByName(make(f"j{j}", j, '{"x": [1]}'))
+        jobs.save(some)
     jobs.save(make("j3", 99, '{"x": {"y": 2}}'))
     assert jobs.get("j3") == {"x": {"y": 2}} and jobs.all().count() == 15
     assert [r["id"] for r in jobs.recent().collect()] == [f"j{i}" for i in range(14, 2, -1)]
+    assert jobs.compact() and jobs.all().count() == 15 and len(jobs._commits()) == 1
+    # two writers that read the same version: the second is refused, and nothing of it counts
+    one, two = (jobs.all().filter("id = 'j5'").withColumn("data", F.lit(d)) for d in ('{"by": 1}', '{"by": 2}'))
+    one, two = (spark.createDataFrame(x.collect(), x.schema) for x in (one, two))
+    jobs.save(one)
+    with pytest.raises(store.Stale):
+        jobs.save(two)
+    assert jobs.get("j5") == {"by": 1}
+    # two writers of different jobs that claim one number: the second goes behind the first
+    real, once = jobs._commit, []
+
+    def late(folder, base, number):
+        if not once:
+            once.append(store.JobStore(spark, jobs.path).save(make("other", 1, "{}")))
+        return real(folder, base, number)
+
+    jobs._commit = late
+    assert jobs.save(make("mine", 1, "{}")) == once[0] + 1 and {"mine", "other"} <= {r["id"] for r in jobs.all().collect()}
 
 
 def test_ready_state():

@@ -5,7 +5,8 @@ keyboard walks, sequences and brute-force spans, found by dynamic programming ov
 credential context that costs GUESS_COST or more, and that no base span covers, is added as a `guess` span.
 
 Defined results: a null text counts as empty and has no span; failing matches are dropped without another try inside
-them; costs of values of any length take time in proportion to the length; spans that begin together go by kind, base
+them; costs of values of any length take time in proportion to
+the length, and eight bytes a letter; spans that begin together go by kind, base
 kinds first; repeated rows each give theirs; an empty table gives an empty result; other columns play no part.
 """
 
@@ -13,7 +14,13 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterator
+from functools import cache
+from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -81,54 +88,96 @@ def repeat_cost(unit: int, times: int) -> float:
     return unit * 1.2 + math.log10(times)
 
 
-def _parts(s: str) -> list[list[tuple[int, float]]]:
-    """For each place the known parts that end there: where they begin, log10 guesses. All words, dates and sequences, and of
-    repeats all up to REPEATS times and the longest; walks are the caller's."""
+#: The cost of a repeat by unit and times, with its link.
+_REPEATS = [[LINK + repeat_cost(unit, max(times, 1)) for times in range(REPEATS + 1)] for unit in range(UNIT + 1)]
+
+
+@cache
+def _words() -> ahocorasick.Automaton:
+    made = ahocorasick.Automaton()
+    for w in WORDS:
+        made.add_word(w, len(w))
+    made.make_automaton()
+    return made
+
+
+def _parts(s: str) -> Iterator[list[tuple[int, float]]]:
+    """For each place but the first, the words, dates and sequences that end there: where they begin, log10 guesses. What is
+    held is what can still end: a few parts of a few letters."""
     n, low = len(s), s.lower()
-    ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            if (cost := word_cost(s[i:j])) is not None:
-                ending[j].append((i, cost))
-        if s[i].isdigit():
-            for form, cost in DATES:
-                if m := form.match(s, i):
-                    ending[m.end()].append((i, cost))
-    for unit in range(1, UNIT + 1):
-        same = 0  # how far back from here each letter equals the one a unit before it
-        for j in range(unit, n):
-            same = same + 1 if s[j] == s[j - unit] else 0
-            most = same // unit + 1
-            for times in [*range(2, min(most, REPEATS) + 1), *([most] if most > REPEATS else [])]:
-                ending[j + 1].append((j + 1 - unit * times, repeat_cost(unit, times)))
+    low = low if len(low) == n else "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
+    found = [_words().iter(low), _words().iter(low.translate(LEET))]
+    heads = [next(f, None) for f in found]
+    due: dict[int, list[tuple[int, float]]] = {}  # dates by their end
     run = way = 0
-    for j in range(1, n):
-        step = ord(low[j]) - ord(low[j - 1])
-        known = abs(step) == 1 and low[j].isascii() and low[j - 1].isascii() and low[j].isalnum() and low[j - 1].isalnum()
-        run = (run + 1 if step == way else 1) if known else 0
-        way = step
-        for k in range(3, run + 2):  # 26 letters at most
-            ending[j + 1].append((j + 1 - k, 1.0 + math.log10(k)))
-    return ending
+    for j in range(1, n + 1):
+        out = due.pop(j, [])
+        words = set()
+        for k in (0, 1):
+            while heads[k] is not None and heads[k][0] < j:
+                words.add(heads[k][1])
+                heads[k] = next(found[k], None)
+        for size in words:
+            if size >= 3 and (cost := word_cost(s[j - size : j])) is not None:
+                out.append((j - size, cost))
+        if j > 1:
+            step = ord(low[j - 1]) - ord(low[j - 2])
+            known = abs(step) == 1 and low[j - 1].isascii() and low[j - 2].isascii() and low[j - 1].isalnum() and low[j - 2].isalnum()
+            run = (run + 1 if step == way else 1) if known else 0
+            way = step
+            for k in range(3, run + 2):  # 26 letters at most
+                out.append((j - k, 1.0 + math.log10(k)))
+        yield out
+        if j < n and s[j].isdigit():  # dates that begin here end later
+            for form, cost in DATES:
+                if m := form.match(s, j):
+                    due.setdefault(m.end(), []).append((j, cost))
+        if j == 1 and s[0].isdigit():
+            for form, cost in DATES:
+                if m := form.match(s):
+                    due.setdefault(m.end(), []).append((0, cost))
 
 
 def guess_cost(s: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of s takes; each further segment doubles the work."""
+    """log10 of the guesses that the cheapest segmentation of s takes; each further segment doubles the work.
+
+    Of repeats all up to REPEATS times and the longest are offered; deep in a run of one letter the letter's own alone, as
+    longer units are dearer there."""
     n, low = len(s), s.lower()
-    ending = _parts(s)
+    same = [0] * (UNIT + 1)  # how far back from here each letter equals the one a unit before it
     kinds = ((str.isdigit, 10), (str.islower, 26), (str.isupper, 26))
-    best = [0.0] + [math.inf] * n
-    link = lambda a: best[a] + (LINK if a else 0.0)
-    brute = [math.inf] * (n + 1)  # the cheapest way whose last segment is a brute-force span still open here
-    walk = [math.inf] * (n + 1)  # likewise a keyboard walk of three keys or more
+    wide = {c: math.log10(next((k for test, k in kinds if c.isascii() and test(c)), 33)) for c in set(s)}
+    best = array("d", [0.0])
+    brute = walk = before = math.inf  # the cheapest way whose last segment is a brute-force span, or a walk, still open here
     near = 0
-    for i in range(1, n + 1):
-        wide = next((k for test, k in kinds if s[i - 1].isascii() and test(s[i - 1])), 33)
-        brute[i] = min(brute[i - 1], link(i - 1)) + math.log10(wide)
+    for i, ending in enumerate(_parts(s), 1):
+        brute = min(brute, best[i - 1] + (LINK if i > 1 else 0.0)) + wide[s[i - 1]]
         near = near + 1 if i > 1 and low[i - 1] in _NEXT.get(low[i - 2], ()) else 0
-        if near >= 2:
-            walk[i] = min(walk[i - 1] + WALK_STEP, link(i - 3) + WALK + 3 * WALK_STEP)
-        best[i] = min([brute[i], walk[i], *(link(a) + cost for a, cost in ending[i])])
+        walk = min(before + WALK_STEP, best[i - 3] + (LINK if i > 3 else 0.0) + WALK + 3 * WALK_STEP) if near >= 2 else math.inf
+        before = walk
+        least = min(brute, walk)
+        for a, cost in ending:
+            cost += best[a] + (LINK if a else 0.0)
+            if cost < least:
+                least = cost
+        for unit in range(1, min(UNIT, i - 1) + 1):
+            if s[i - 1] != s[i - 1 - unit]:
+                same[unit] = 0
+                continue
+            same[unit] += 1
+            most = same[unit] // unit + 1
+            if most < 2 or unit > 1 and same[1] > UNIT * REPEATS:
+                continue
+            costs = _REPEATS[unit]
+            for times in range(2, min(most, REPEATS) + 1):
+                a = i - unit * times
+                cost = best[a] + costs[times] if a else costs[times] - LINK
+                if cost < least:
+                    least = cost
+            if most > REPEATS:
+                a = i - unit * most
+                least = min(least, best[a] + (LINK if a else 0.0) + repeat_cost(unit, most))
+        best.append(least)
     return best[n]
 
 
@@ -137,13 +186,16 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     base = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     base += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     base += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    added = []
+    starts = sorted((x, y) for _, x, y in base)
+    reach = list(accumulate((y for _, y in starts), max))  # how far the spans up to each one reach
+    added: dict[Span, None] = {}
     for pattern in (CONTEXT, IN_ADDRESS):
         for m in pattern.finditer(text):
             a, b = m.span(1)
-            if not any(x < b and a < y for _, x, y in base) and ("guess", a, b) not in added and guess_cost(m[1]) >= GUESS_COST:
-                added.append(("guess", a, b))
-    return base, added
+            k = bisect_left(starts, (b, -1))
+            if not (k and reach[k - 1] > a) and ("guess", a, b) not in added and guess_cost(m[1]) >= GUESS_COST:
+                added["guess", a, b] = None
+    return base, list(added)
 
 
 def chosen(data: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -18,6 +18,7 @@ first; repeated rows each give theirs; an empty table gives an empty result; oth
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from functools import cache
 
@@ -84,6 +85,7 @@ def base_spans(text: str) -> list[Span]:
 # --- the field ---
 
 TOKEN = re.compile(r"[^\W\d_]+")
+OPENS = re.compile(r"[.!?\n]")
 # Words that announce a person.
 CUES = frozenset("name named contact mr mrs ms dr prof attn signed sincerely regards".split())
 CUE_NEEDLES = [w.encode() for w in sorted(CUES)]
@@ -156,18 +158,25 @@ def pass_messages(node: np.ndarray, edges: np.ndarray, strength: np.ndarray, sha
 
 
 def names(text: str, base: list[Span]) -> list[Span]:
-    found = [m for m in TOKEN.finditer(text)]
-    if not found:
+    words, opens, places = [], [], array("q")
+    same: dict[str, str] = {}  # a word that returns is held once
+    before = 0
+    for m in TOKEN.finditer(text):
+        a, b = m.span()
+        words.append(same.setdefault(m[0], m[0]))
+        opens.append(not before or OPENS.search(text, before, a) is not None)
+        places.extend((a, b))
+        before = b
+    if not words:
         return []
-    words = [m[0] for m in found]
-    at = np.array([m.start() for m in found])
-    end = np.array([m.end() for m in found])
-    opens = [i == 0 or any(c in ".!?\n" for c in text[found[i - 1].end() : found[i].start()]) for i in range(len(found))]
-    near, address, covered = np.zeros(len(found), bool), np.zeros(len(found), bool), np.zeros(len(found), bool)
+    at, end = np.array(places).reshape(-1, 2).T
+    near, address, covered = np.zeros(len(words), bool), np.zeros(len(words), bool), np.zeros(len(words), bool)
     parts: set[str] = set()
-    for kind, a, b in base:
-        covered |= (at < b) & (end > a)
-        k = int(np.searchsorted(at, a))
+    firsts = np.searchsorted(at, [a for _, a, _ in base]).tolist()
+    inside = np.searchsorted(end, [a for _, a, _ in base], "right").tolist()
+    behind = np.searchsorted(at, [b for _, _, b in base]).tolist()
+    for (kind, a, _), k, lo, hi in zip(base, firsts, inside, behind):
+        covered[lo:hi] = True
         near[max(0, k - 3) : k] = True
         if kind == "email":
             parts.update(p for p in re.split(r"[^a-z]+", text[a : text.index("@", a)].lower()) if len(p) > 2)

@@ -541,6 +541,42 @@ def test_pages_slots_without_names(spark):
         assert r["text"] == f"T {i}\n{words(i, 60)}\n{words(i + 1, 9)}\nc {i}" and r["n_chars"] == len(r["text"])
 
 
+def _words(i, n):
+    return " ".join(f"w{(i * 31 + k * k) % 997}" for k in range(n))
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        # the main text lies in two parts of one element
+        (lambda i: f"<div class='nav2'>Go</div><div id=content><div><p>{_words(i, 60)}</p></div><div><p>{_words(i + 1, 40)}</p></div></div><div>seen {i} times</div>", lambda i: [_words(i, 60), _words(i + 1, 40)]),
+        # the page's own headline and lead stand before the marked article
+        (lambda i: f"<div>Site</div><div id=content><h1>Head {i}</h1><div>{_words(i, 20)}</div><article><p>{_words(i + 1, 90)}</p></article></div><dl>no {i}</dl>", lambda i: [f"Head {i}", _words(i, 20), _words(i + 1, 90)]),
+        # three parts beside each other in the body, with a template's line between them
+        (lambda i: f"<div><p>a {i}</p></div><hr><p>Made by us</p><div><p>{_words(i, 30)}</p></div><section><p>c {i}</p></section>", lambda i: [f"a {i}", _words(i, 30), f"c {i}"]),
+    ],
+)
+def test_pages_lose_no_part_of_the_main_text(spark, body, want):
+    """Brute force is the pages' own parts, which are known; no mark or name tells them."""
+    rows = [(i, "http://a.b/", f"<html><body>{body(i)}</body></html>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join(want(i)) for i in range(12)}
+
+
+def test_pages_templates_decide():
+    """What templates change, counted: all pages of a host without marks, and lines within marked articles."""
+    plain = [f"<body><div>Site</div><section>ad {i}</section><div id=text><h1>T {i}</h1><p>{_words(i, 40)}</p><p>Thanks for reading us</p></div></body>" for i in range(12)]
+    marked = [re.sub("<div id=text><h1>(.*)</div>", r"<article><h1>\1</article>", p) for p in plain]
+    for sources in (plain, marked):
+        counts = {}
+        for i, source in enumerate(sources):
+            for t, n in pages.occurrences(source).items():
+                counts.setdefault(t, {})[i] = n
+        template = {t for t, v in counts.items() if len(v) == 12 and set(v.values()) == {1}}
+        assert all(pages.main_text(p, template) == f"T {i}\n{_words(i, 40)}" for i, p in enumerate(sources))
+        assert sum(pages.main_text(p, template) != pages.main_text(p, frozenset()) for p in sources) == 12
+
+
 def test_occurrence_vectors(spark):
     """Templates of a small host against classes by plain comparison."""
     rows = [(i, "h", f"<body><p>a</p><p>b</p>{'<p>c</p>' if i % 2 else ''}<p>t{i}</p>" + "<p>d</p>" * (1 + i % 3) + "</body>") for i in range(12)]

@@ -6,11 +6,12 @@ is shuffled. Tokens with equal vectors form an equivalence class. Classes of two
 pages of the host hold, once each, are valid; together they are the host's template, whose elements nest as pages nest
 them. What a page has between template tokens are its slots: blocks of text that are no template token.
 
-The main text fills the slots within the innermost template element that holds most of a page's slot text. A marked
-article or main element that holds as much takes its place; it alone decides where a host has too few pages for a
-template, and where there is neither, all slots count. Elements that by tag or name are menus, headers, footers, sidebars,
-notices, adverts, forms or comments give no text. A name is judged whole and never that of a body, main or article; names
-around all of a page's articles don't count where they would drop most of its text.
+The main text fills the slots within the smallest template element that holds all telling slots of a page: headings,
+paragraphs and blocks of some words. What else a page has outside it (a date, a count, a line of an advert) goes. A marked
+article or main element that holds all telling slots is taken as it is; where a host has too few pages for a template, marks
+decide alone, and where there is neither, all slots count. Elements that by tag or name are menus, headers, footers,
+sidebars, notices, adverts, forms or comments give no text. A name is judged whole and never that of a body, main or
+article; names around all of a page's articles don't count where they would drop most of its text.
 
 Templates are broadcast only if they are few (BROADCAST_TOKENS over all hosts); else pages meet them in a join on the
 host, which adaptive execution splits where a host is hot.
@@ -59,6 +60,9 @@ NOISE_NAMES = frozenset(
     "footer header masthead menu modal nav navbar navigation newsletter notice overlay pagination pager popup promo promotion related replies "
     "respond share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar topbar widget".split()
 )
+#: Elements whose text tells main text from what stands beside it, and words of a block that tell it wherever it stands.
+TELLING = frozenset("blockquote h1 h2 h3 h4 h5 h6 p pre".split())
+TELLING_WORDS = 10
 #: Words that leave a compound name what its other words make it: "site-footer" and "sidebar-left" are noise, "no-sidebar" isn't.
 PLACES = frozenset("bar block bottom box global left link links list main page primary right secondary section site slot top".split())
 ARTICLE_NAMES = frozenset("articlebody main".split())
@@ -267,24 +271,30 @@ def deduce_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_sha
 def main_text(source: str | None, template: frozenset[int] | set[int]) -> str:
     """The blocks that fill the template's slots, one to a line."""
     page = read_page(source or "")
-    holders, slots, built = page.holders, [], [False] * len(page.holders)
-    size = [0] * len(holders)
+    holders, built = page.holders, [False] * len(page.holders)
+    slots: list[tuple[int, str]] = []
+    telling, size = [0] * len(holders), [0] * len(holders)
+    within = ""  # the element that a block of text opens
     for kind, k, what in page.items:
         is_template = token_of(kind, holders[k].path, what) in template if template else False
         if kind == "tag":
             built[k] |= is_template and not what.startswith("/") and what == holders[k].name
+            within = "" if what.startswith("/") else what
         elif not page.noise[k] and not is_template:
             slots.append((k, what))
             size[k] += len(what)
-    whole = sum(size)
-    marked = sum(n for n, inside in zip(size, page.inside) if inside)
-    for k in range(len(holders) - 1, 0, -1):
-        size[holders[k].parent] += size[k]
-    # the innermost template element with most of the text: holders stand in page order, so the last such one is innermost
-    within = next((k for k in range(len(holders) - 1, 0, -1) if built[k] and 2 * size[k] > whole), 0)
-    if marked and (2 * marked > whole or not within):
+            telling[k] += within in TELLING or what.count(" ") + 1 >= TELLING_WORDS
+    if not any(telling):
+        telling = size
+    whole = sum(telling)
+    marked = sum(n for n, inside in zip(telling, page.inside) if inside)
+    if marked and (marked == whole or not template):
         return "\n".join(what for k, what in slots if page.inside[k])
-    held = [k == within for k in range(len(holders))]
+    for k in range(len(holders) - 1, 0, -1):
+        telling[holders[k].parent] += telling[k]
+    # holders stand in page order and those that hold all are nested, so the last one is innermost
+    holds = next((k for k in range(len(holders) - 1, 0, -1) if built[k] and telling[k] == whole), 0)
+    held = [k == holds for k in range(len(holders))]
     for k in range(1, len(holders)):
         held[k] |= held[holders[k].parent]
     return "\n".join(what for k, what in slots if held[k])

@@ -147,6 +147,11 @@ def merge_sources(sources: list[Source], config: Config | None = None, most: int
     for s in sources:
         part = fold_rows(s, config)
         rows = part if rows is None else rows.unionByName(part)
+    return fold(rows, config, most, listed)
+
+
+def fold(rows: DataFrame, config: Config, most: int | None = MOST_ROWS, listed: int = LISTED) -> DataFrame:
+    """Records of fold_rows' rows."""
     if most is None:
         return _recorded(fold_plain(rows, config), config)
     many = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("key"), "many")

@@ -5,6 +5,7 @@ Each applies the engine's own operators or Column functions to whole tables; the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 
 from tributary.config import KIND_LABELS, Config, Field
 from tributary.functions import clean, dates, text
-from tributary.functions.cut import cut
+from tributary.functions.cut import cut, shared_folder
 from tributary.operators import decisions, duplicates, escalations, mapping, merge, profile, sink, store, trail
 from tributary.plans.oracle import ORACLES
+from tributary.streaming.drop import Load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -185,11 +187,33 @@ def _sources(spark: SparkSession, sf_dir: str) -> list[merge.Source]:
 
 def merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two extracts of one people, with conflicts, containment and defaults."""
-    r = merge.merge_sources(_sources(spark, sf_dir), MERGE)
+    return _merged(merge.merge_sources(_sources(spark, sf_dir), MERGE))
+
+
+def _merged(r: DataFrame) -> DataFrame:
     v = lambda f: F.coalesce(F.col(f"cells.{f}.value"), F.lit("")).alias(f)
     return r.select(v("employeeNumber"), v("ctcAnnual"), v("workLocation"), v("currency"), F.array_join(F.array_sort("flags"), ",").alias("flags"), F.array_join("cells.ctcAnnual.conflicts", ",").alias("alternatives"), F.size("row_ids").cast("long").alias("n_rows"), F.col("n_transforms").cast("long").alias("n_transforms"))
 
 
+def incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1, F2 by loads: the two extracts one after the other, each making again only the records that it touches."""
+    load = Load(spark, f"{shared_folder(spark)}/tributary-load-{uuid.uuid4().hex}", MERGE)
+    for source in _sources(spark, sf_dir):
+        load.add(source)
+    return _merged(load.records())
+
+
+def profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1, C2 by loads: customers' profiles from two loads' kept sketches, and whether distinct counts are within 2 %."""
+    c = _read(spark, sf_dir, "customer").withColumn("row_idx", F.col("c_custkey"))
+    loads = [profile.long_cells(c.filter(F.col("c_custkey") % 3 == 0) if k else c.filter(F.col("c_custkey") % 3 != 0), k, "customer", columns=["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]) for k in (0, 1)]
+    kept = cut(profile.sketch_columns(loads[0]).unionByName(profile.sketch_columns(loads[1])), "sketches")
+    p = profile.profiles_of(profile.merged_sketches(kept))
+    exact = profile.profile_columns(loads[0].unionByName(loads[1]).withColumn("file_ord", F.lit(0))).select("header", F.col("unique_count").alias("exact"))
+    close = F.abs(F.col("unique_count") - F.col("exact")) <= 0.02 * F.col("exact")
+    return p.join(exact, "header").select("header", "rows", "present", F.round("null_rate", 9).alias("null_rate"), F.array_join("samples", "|").alias("samples"), "inferred", close.alias("close"))
+
+
 def conflict_escalations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conflicts of the merged records by kind and field."""
     e = escalations.conflicts(cut(merge.merge_sources(_sources(spark, sf_dir), MERGE), "records"), MERGE)
@@ -437,7 +461,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL: tuple[Query, ...] = (
     normalize_text, token_overlap, header_similarity_topk, title_case, name_split, blank_filter, number_parse, money_format, email_clean,
-    phone_clean, employee_id, date_parse_mixed, enum_map_unknown, profile_columns, map_columns, map_decision, merge_sources, conflict_escalations,
+    phone_clean, employee_id, date_parse_mixed, enum_map_unknown, profile_columns, profile_merged, map_columns, map_decision, merge_sources, incremental_merge, conflict_escalations,
     exact_dedupe, fuzzy_pairs, missing_required, date_order, required_without_source, skip_set_validation, escalation_summary, push_status,
     push_outcome, push_log, rollback_net, rollback_calls, resolve_decisions, close_related, merge_pairs, dispatched, value_issue_options, tail_views, upsert_latest, recent_topk, event_ring, currency_default, delta_rule_threshold, json_roundtrip, clean_records,
 )

@@ -126,6 +126,13 @@ SELECT col_ord, CASE WHEN rn > 1 AND score < CAST(0.8 AS DOUBLE) THEN '' ELSE co
        CASE WHEN rn > 1 AND score < CAST(0.8 AS DOUBLE) THEN 'ignored' WHEN rn > 1 THEN 'escalated' ELSE status END AS status,
        CASE WHEN rn > 1 AND score < CAST(0.8 AS DOUBLE) THEN 'weaker' WHEN rn > 1 THEN 'competing' ELSE reason END AS reason FROM r""",
     "merge_sources": f"WITH {_MERGED} SELECT * FROM merged",
+    "incremental_merge": f"WITH {_MERGED} SELECT * FROM merged",
+    "profile_merged": f"""
+WITH {_PROFILE}, totals AS (SELECT file_name, header, count(*) AS rows FROM cells GROUP BY ALL),
+first AS (SELECT header, string_agg(value, '|' ORDER BY row_idx) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY header ORDER BY row_idx) AS n FROM looked WHERE file_name = 'customer' AND row_idx % 3 <> 0) WHERE n <= 8 GROUP BY header)
+SELECT c.header, rows, present, round(1 - CAST(present AS DOUBLE) / rows, 9) AS null_rate, first.samples,
+       CASE WHEN phones > 0.7 * present THEN 'phone' WHEN numbers > 0.7 * present THEN 'number' WHEN unique_count <= 8 AND unique_count < 0.4 * present THEN 'enum' WHEN ids > 0.8 * present THEN 'id' ELSE 'string' END AS inferred, true AS close
+FROM counted c JOIN totals USING (file_name, header) JOIN first ON first.header = c.header WHERE file_name = 'customer'""",
     "conflict_escalations": f"""
 WITH {_MERGED}, f AS (SELECT 'ctcAnnual' AS field, 2 AS o FROM merged WHERE flags LIKE '%ctcAnnual:conflict%' UNION ALL SELECT 'workLocation', 1 FROM merged WHERE flags LIKE '%workLocation:conflict%')
 SELECT 'Cross-file conflict' AS label, field, count(*) AS n, CAST(sum(o) AS BIGINT) AS n_options, CAST(0.5 AS DOUBLE) AS confidence FROM f GROUP BY field""",

@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from tributary.functions import clean, dates, text
 from tributary.functions.cut import cut, shared_folder
 from tributary.operators import decisions, duplicates, escalations, mapping, merge, profile, sink, store, trail
 from tributary.plans.oracle import ORACLES
+from tributary.sources import delimited, files, workbook
+from tributary.sources.target import Target
 from tributary.streaming.drop import Load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,6 +217,51 @@ def profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(exact, "header").select("header", "rows", "present", F.round("null_rate", 9).alias("null_rate"), F.array_join("samples", "|").alias("samples"), "inferred", close.alias("close"))
 
 
+def delimited_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: customers written as delimited files, with quotes, commas and line breaks in cells, and read by the exact rules."""
+    folder = f"{shared_folder(spark)}/tributary-csv-{uuid.uuid4().hex}"
+    note = F.concat(F.lit('say "'), F.col("c_mktsegment"), F.lit('",\n'), F.col("c_custkey").cast("string"), F.lit(","))
+    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias(" id "), note.alias("note"))
+    c.repartition(2, F.col("` id `")).write.options(header=True, quote='"', escape='"', ignoreTrailingWhiteSpace=False, ignoreLeadingWhiteSpace=False).csv(folder)
+    out = None
+    for path, _ in files.listed(folder):
+        part = delimited.read_csv_exact(spark, path, chunk=1 << 16).select(F.col("id").cast("long").alias("c_custkey"), "note")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as workbooks of up to 500 rows by executors, and read as a data source."""
+    folder = f"{shared_folder(spark)}/tributary-books-{uuid.uuid4().hex}"
+
+    def book(rows: pd.DataFrame) -> pd.DataFrame:
+        system, own = files.resolved(folder)
+        system.create_dir(own, recursive=True)
+        name = f"{own}/{rows['book'].iloc[0]}.xlsx"
+        half = f"{own}/.{uuid.uuid4().hex}"
+        with system.open_output_stream(half) as f:
+            f.write(workbook.workbook_bytes(["id", "name", "segment"], rows[["c_custkey", "c_name", "c_mktsegment"]].astype(str).values.tolist()))
+        system.move(half, name)  # a task that is tried again writes the same book
+        return pd.DataFrame({"book": rows["book"].iloc[:1], "n": [len(rows)]})
+
+    c = _read(spark, sf_dir, "customer").withColumn("book", F.floor(F.col("c_custkey") / 500).cast("long"))
+    cut(c.groupBy("book").applyInPandas(book, "book long, n long"), "books")
+    return workbook.read_workbooks(spark, f"{folder}/*.xlsx").select(F.col("id").cast("long").alias("c_custkey"), "name", "segment")
+
+
+def target_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: what a target holds after two attempts of a batch, one of them written twice, and a batch that was taken back."""
+    where = Target(spark, f"{shared_folder(spark)}/tributary-target-{uuid.uuid4().hex}")
+    k = F.col("c_custkey")
+    c = _read(spark, sf_dir, "customer").select(k.cast("string").alias("employee_number"), F.lit("b").alias("batch_id"), F.col("c_mktsegment").alias("segment"), k)
+    where.write(c.filter(k % 2 == 0).drop("c_custkey"), "b", 1)
+    where.write(c.filter(k % 2 == 0).drop("c_custkey"), "b", 1)
+    where.write(c.filter(k % 4 == 0).drop("c_custkey").withColumn("segment", F.lower("segment")), "b", 2)
+    where.write(c.filter(k % 2 == 1).drop("c_custkey").withColumn("batch_id", F.lit("gone")), "gone", 1)
+    where.rollback("gone")
+    return where.read(c.drop("c_custkey").schema)
+
+
 def conflict_escalations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conflicts of the merged records by kind and field."""
     e = escalations.conflicts(cut(merge.merge_sources(_sources(spark, sf_dir), MERGE), "records"), MERGE)
@@ -461,7 +509,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL: tuple[Query, ...] = (
     normalize_text, token_overlap, header_similarity_topk, title_case, name_split, blank_filter, number_parse, money_format, email_clean,
-    phone_clean, employee_id, date_parse_mixed, enum_map_unknown, profile_columns, profile_merged, map_columns, map_decision, merge_sources, incremental_merge, conflict_escalations,
+    phone_clean, employee_id, date_parse_mixed, enum_map_unknown, profile_columns, profile_merged, map_columns, map_decision, merge_sources, incremental_merge, delimited_exact, workbook_rows, target_rows, conflict_escalations,
     exact_dedupe, fuzzy_pairs, missing_required, date_order, required_without_source, skip_set_validation, escalation_summary, push_status,
     push_outcome, push_log, rollback_net, rollback_calls, resolve_decisions, close_related, merge_pairs, dispatched, value_issue_options, tail_views, upsert_latest, recent_topk, event_ring, currency_default, delta_rule_threshold, json_roundtrip, clean_records,
 )

@@ -133,6 +133,9 @@ first AS (SELECT header, string_agg(value, '|' ORDER BY row_idx) AS samples FROM
 SELECT c.header, rows, present, round(1 - CAST(present AS DOUBLE) / rows, 9) AS null_rate, first.samples,
        CASE WHEN phones > 0.7 * present THEN 'phone' WHEN numbers > 0.7 * present THEN 'number' WHEN unique_count <= 8 AND unique_count < 0.4 * present THEN 'enum' WHEN ids > 0.8 * present THEN 'id' ELSE 'string' END AS inferred, true AS close
 FROM counted c JOIN totals USING (file_name, header) JOIN first ON first.header = c.header WHERE file_name = 'customer'""",
+    "delimited_exact": """SELECT c_custkey, 'say "' || c_mktsegment || '",' || chr(10) || c_custkey || ',' AS note FROM customer""",
+    "workbook_rows": "SELECT c_custkey, c_name AS name, c_mktsegment AS segment FROM customer",
+    "target_rows": "SELECT CAST(c_custkey AS VARCHAR) AS employee_number, 'b' AS batch_id, CASE WHEN c_custkey % 4 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 2 = 0",
     "conflict_escalations": f"""
 WITH {_MERGED}, f AS (SELECT 'ctcAnnual' AS field, 2 AS o FROM merged WHERE flags LIKE '%ctcAnnual:conflict%' UNION ALL SELECT 'workLocation', 1 FROM merged WHERE flags LIKE '%workLocation:conflict%')
 SELECT 'Cross-file conflict' AS label, field, count(*) AS n, CAST(sum(o) AS BIGINT) AS n_options, CAST(0.5 AS DOUBLE) AS confidence FROM f GROUP BY field""",

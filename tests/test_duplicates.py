@@ -52,10 +52,11 @@ def parts(ids, links):
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_same_pairs_on_small_blocks(spark, seed):
+@pytest.mark.parametrize("seed, block", [(1, None), (1, 0), (2, 30)])
+def test_same_pairs_on_small_blocks(spark, seed, block):
+    """Through blocks, through classes of names, and through both."""
     rows = people(seed, 120)
-    got = found(duplicates.fuzzy_pairs(spark.createDataFrame(rows, PEOPLE)))
+    got = found(duplicates.fuzzy_pairs(spark.createDataFrame(rows, PEOPLE), block=block))
     assert got == all_pairs(rows) and len(got) > 200
 
 

@@ -1,13 +1,14 @@
 """Likely duplicates: pairs of records alike in name that share a phone number or a day of birth.
 
-Sharing a number is no block of its own, as a switchboard's is shared by a hundred thousand people. Records meet by number
-*and* name: those of one number with one compact name, those with one initial and last name, and those of which one compact
-name lies within the other. The last are found through the rarest gram of the shorter name. Names meet as classes (one row
-a number and name), and only classes that meet are expanded to their records.
+Up to some hundred records of one number meet each other. A switchboard's number is shared by a hundred thousand people, so
+beyond that records meet by number *and* name: those of one number with one compact name, those with one initial and last
+name, and those of which one compact name lies within the other. The last are found through the rarest gram of the shorter
+name. Names meet as classes (one row a number and name), and only classes that meet are expanded to their records.
 
 Where two classes hold more than `most` * `most` pairs, not all pairs come out: each record then meets up to six records of
 the other class (the first, the last, the first with a long name, and one of each with another employee number), so that
-every record with a link keeps at least one, to a representative. `groups` says how large such classes are. Up to that bound, pairs are all there are.
+every record with a link keeps at least one, to a representative. `groups` says how large such classes are. Up to that
+bound, pairs are all there are.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.functions.cut import cut
+from tributary.operators.hot import small
+
 GRAM = 4
 #: Classes of at most so many records each give all their pairs.
 MOST = 200
@@ -65,9 +69,34 @@ def linked(a: str, b: str) -> Column:
     return (F.col(f"{a}.ord") < F.col(f"{b}.ord")) & F.col(f"{a}.long") & ((F.col("by") == "phone") | ~F.col(f"{a}.number").eqNullSafe(F.col(f"{b}.number")))
 
 
-def fuzzy_pairs(people: DataFrame, most: int = MOST) -> DataFrame:
-    """people(ord, id, first, last, phone, dob, number) to keep_id, drop_id, by_phone, by_dob; the earlier record first."""
+def fuzzy_pairs(people: DataFrame, most: int = MOST, block: int | None = None) -> DataFrame:
+    """people(ord, id, first, last, phone, dob, number) to keep_id, drop_id, by_phone, by_dob; the earlier record first.
+
+    Numbers and days that at most `block` (or `most`) records share give all their pairs; of the others names decide who meets.
+    """
     rows = members(people)
+    large = cut(rows.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > (most if block is None else block)).select(*BLOCK), "shared")
+    if large.isEmpty():
+        return _told(within_blocks(rows))
+    side = small(large)
+    return _told(within_blocks(rows.join(side, BLOCK, "left_anti")).unionByName(across_classes(rows.join(side, BLOCK, "left_semi"), most)))
+
+
+def within_blocks(rows: DataFrame) -> DataFrame:
+    """by, a, b: all pairs of each number or day."""
+    x, y = rows.alias("a"), rows.select(*[F.col(c).alias(c if c in BLOCK else f"b_{c}") for c in rows.columns])
+    met = x.join(y, BLOCK).filter(F.col("ord") < F.col("b_ord"))
+    alike = (F.col("compact") == F.col("b_compact")) | F.contains("compact", "b_compact") | F.contains("b_compact", "compact") | (F.col("initial") == F.col("b_initial"))
+    met = met.filter(F.col("long") & alike & ((F.col("by") == "phone") | ~F.col("number").eqNullSafe(F.col("b_number"))))
+    return met.select("by", F.col("id").alias("keep_id"), F.col("b_id").alias("drop_id"))
+
+
+def _told(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("keep_id", "drop_id").agg(F.bool_or(F.col("by") == "phone").alias("by_phone"), F.bool_or(F.col("by") == "dob").alias("by_dob"))
+
+
+def across_classes(rows: DataFrame, most: int) -> DataFrame:
+    """by, keep_id, drop_id, through classes of names."""
     all_ = classes(rows)
     size = all_.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n"))
     own = size.filter("n > 1").select(*CLASS, F.col("kind").alias("kind2"), F.col("name").alias("name2"), "n", F.col("n").alias("n2"))
@@ -87,8 +116,7 @@ def fuzzy_pairs(people: DataFrame, most: int = MOST) -> DataFrame:
     met = every.unionByName(star)
     first = F.when(F.col("x.ord") < F.col("y.ord"), F.struct(F.col("x").alias("a"), F.col("y").alias("b"))).otherwise(F.struct(F.col("y").alias("a"), F.col("x").alias("b")))
     met = met.select("by", first.alias("p")).select("by", "p.a", "p.b").filter(linked("a", "b"))
-    pairs = met.groupBy(F.col("a.id").alias("keep_id"), F.col("b.id").alias("drop_id"))
-    return pairs.agg(F.bool_or(F.col("by") == "phone").alias("by_phone"), F.bool_or(F.col("by") == "dob").alias("by_dob"))
+    return met.select("by", F.col("a.id").alias("keep_id"), F.col("b.id").alias("drop_id"))
 
 
 def representatives(one: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -161,14 +161,51 @@ def map_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("file_name", "header", F.coalesce("target", F.lit("")).alias("target"), F.round("confidence", 9).alias("confidence"), F.round("margin", 9).alias("margin"), "status", "reason", F.array_join(F.transform("candidates", lambda c: c["field"]), ",").alias("candidates"))
 
 
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as columns of fifty files, which claim their segments as fields by made-up scores and leads."""
+    c, k = _read(spark, sf_dir, "customer"), F.col("c_custkey")
+    score, margin = (k * 37 % 100) / 100, (k * 11 % 40) / 100
+    status, target, reason = mapping.decide(score, margin, F.col("c_mktsegment"), Config())
+    kind = "array<struct<field:string,score:double>>"
+    candidates = F.array(F.struct(F.col("c_mktsegment").alias("field"), score.alias("score")), F.struct(F.lit("other").alias("field"), (score / 2).alias("score"))).cast(kind)
+    m = c.select(F.lit(0).alias("file_ord"), F.concat(F.lit("f"), (k % 50).cast("string")).alias("file_name"), k.cast("int").alias("col_ord"), F.col("c_name").alias("header"), target.alias("target"), score.alias("confidence"), margin.alias("margin"), status.alias("status"), reason.alias("reason"), candidates.alias("candidates"))
+    return mapping.compete(m)
+
+
 def map_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions by score and lead, and columns that claim one field."""
-    c = _read(spark, sf_dir, "customer")
-    score = (F.col("c_custkey") * 37 % 100) / 100
-    margin = (F.col("c_custkey") * 11 % 40) / 100
-    status, target, reason = mapping.decide(score, margin, F.col("c_mktsegment"), Config())
-    m = c.select(F.lit(0).alias("file_ord"), F.concat(F.lit("f"), (F.col("c_custkey") % 50).cast("string")).alias("file_name"), F.col("c_custkey").cast("int").alias("col_ord"), F.col("c_name").alias("header"), target.alias("target"), score.alias("confidence"), margin.alias("margin"), status.alias("status"), reason.alias("reason"), F.expr("cast(array() as array<struct<field:string,score:double>>)").alias("candidates"))
-    return mapping.compete(m).select("col_ord", F.coalesce("target", F.lit("")).alias("target"), "status", "reason")
+    return _mapped(spark, sf_dir).select("col_ord", F.coalesce("target", F.lit("")).alias("target"), "status", "reason")
+
+
+def mapping_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that a reviewer sees."""
+    return mapping.board(_mapped(spark, sf_dir)).select("col_ord", "status")
+
+
+def uncertain_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first columns that a helper is asked about; the limit is the feature."""
+    return mapping.uncertain(_mapped(spark, sf_dir)).select("col_ord", "status", "confidence")
+
+
+def mapping_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A helper's answers for every fifth column, half of them for a field that isn't there."""
+    k = F.col("c_custkey")
+    up = _read(spark, sf_dir, "customer").filter(k % 5 == 0).select(F.lit(0).alias("file_ord"), k.cast("int").alias("col_ord"), F.when(k % 10 == 0, "phone").otherwise("nonsense").alias("target"), ((k * 13 % 100) / 100).alias("confidence"))
+    m = mapping.apply_updates(_mapped(spark, sf_dir), up)
+    return m.select("col_ord", F.coalesce("target", F.lit("")).alias("target"), "confidence", "status", "reason")
+
+
+def mapping_escalations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I8: what escalated columns ask."""
+    e = escalations.of_mappings(_mapped(spark, sf_dir))
+    return e.select("kind", "mapping_id", "title", "confidence", F.size("options").cast("long").alias("n_options"), F.get("options", F.lit(0))["label"].alias("first"), F.get("evidence", F.lit(1)).alias("second"))
+
+
+def first_escalations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of orders that ask the same of the same customer, the first by day."""
+    o, k = _read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    e = o.select(k.alias("escalation_id"), F.col("o_orderstatus").alias("kind"), F.when(k % 13 != 0, F.col("o_custkey").cast("string")).alias("record_id"), F.when(k % 7 == 0, F.lit("m")).alias("mapping_id"), F.when(k % 3 == 0, "a").when(k % 3 == 1, "b").alias("field"), F.concat(F.lit("t"), (k % 2).cast("string")).alias("title"), F.struct("o_orderdate", k).alias("ord"))
+    return escalations.first_of_each(e).select("escalation_id")
 
 
 MERGE = Config(
@@ -509,7 +546,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL: tuple[Query, ...] = (
     normalize_text, token_overlap, header_similarity_topk, title_case, name_split, blank_filter, number_parse, money_format, email_clean,
-    phone_clean, employee_id, date_parse_mixed, enum_map_unknown, profile_columns, profile_merged, map_columns, map_decision, merge_sources, incremental_merge, delimited_exact, workbook_rows, target_rows, conflict_escalations,
+    phone_clean, employee_id, date_parse_mixed, enum_map_unknown, profile_columns, profile_merged, map_columns, map_decision, mapping_board, uncertain_columns, mapping_updates, mapping_escalations, first_escalations, merge_sources, incremental_merge, delimited_exact, workbook_rows, target_rows, conflict_escalations,
     exact_dedupe, fuzzy_pairs, missing_required, date_order, required_without_source, skip_set_validation, escalation_summary, push_status,
     push_outcome, push_log, rollback_net, rollback_calls, resolve_decisions, close_related, merge_pairs, dispatched, value_issue_options, tail_views, upsert_latest, recent_topk, event_ring, currency_default, delta_rule_threshold, json_roundtrip, clean_records,
 )

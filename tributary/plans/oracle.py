@@ -56,6 +56,16 @@ _LABELS = """(VALUES (0, 'mapping_ambiguous', 'Ambiguous mapping'), (1, 'mapping
   (3, 'value_ambiguous_date', 'Ambiguous date'), (4, 'value_unknown_enum', 'Unknown enum value'), (5, 'conflict_cross_file', 'Cross-file conflict'),
   (6, 'duplicate_fuzzy', 'Possible duplicate'), (7, 'validation_failed', 'Validation failed')) AS l(i, kind, label)"""
 
+_MAPPED = """
+s AS (SELECT CAST(c_custkey AS INTEGER) AS col_ord, c_custkey % 50 AS f, c_mktsegment AS top, CAST(c_custkey * 37 % 100 AS DOUBLE) / 100 AS score, CAST(c_custkey * 11 % 40 AS DOUBLE) / 100 AS margin FROM customer),
+d AS (SELECT *, score >= CAST(0.92 AS DOUBLE) OR (score >= CAST(0.82 AS DOUBLE) AND margin >= CAST(0.18 AS DOUBLE)) AS auto, score >= CAST(0.45 AS DOUBLE) AS likely, margin < CAST(0.18 AS DOUBLE) AS close FROM s),
+t AS (SELECT *, CASE WHEN auto OR (likely AND NOT close) THEN top END AS target, CASE WHEN auto THEN 'auto' WHEN likely THEN 'escalated' ELSE 'ignored' END AS status,
+             CASE WHEN auto THEN 'match' WHEN likely AND close THEN 'ambiguous' WHEN likely THEN 'weak' ELSE 'leftover' END AS reason FROM d),
+r AS (SELECT *, CASE WHEN target IS NOT NULL THEN row_number() OVER (PARTITION BY f, target ORDER BY score DESC, col_ord) END AS rn FROM t),
+m AS (SELECT col_ord, f, top, score, CASE WHEN rn > 1 AND score < CAST(0.8 AS DOUBLE) THEN NULL ELSE target END AS target,
+       CASE WHEN rn > 1 AND score < CAST(0.8 AS DOUBLE) THEN 'ignored' WHEN rn > 1 THEN 'escalated' ELSE status END AS status,
+       CASE WHEN rn > 1 AND score < CAST(0.8 AS DOUBLE) THEN 'weaker' WHEN rn > 1 THEN 'competing' ELSE reason END AS reason FROM r)
+"""
 _DECIDED = """
 esc AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS escalation_id, o_orderkey AS k, o_custkey AS who, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS r,
     CASE o_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS f, CASE WHEN o_orderkey % 5 = 0 THEN 'resolved' ELSE 'open' END AS was,
@@ -116,15 +126,23 @@ WITH {_PROFILE}, totals AS (SELECT file_name, header, count(*) AS rows FROM cell
 SELECT file_name, header, rows, present, round(1 - CAST(present AS DOUBLE) / rows, 9) AS null_rate, unique_count, samples,
        CASE WHEN phones > 0.7 * present THEN 'phone' WHEN numbers > 0.7 * present THEN 'number' WHEN unique_count <= 8 AND unique_count < 0.4 * present THEN 'enum' WHEN ids > 0.8 * present THEN 'id' ELSE 'string' END AS inferred
 FROM counted JOIN totals USING (file_name, header)""",
-    "map_decision": """
-WITH s AS (SELECT CAST(c_custkey AS INTEGER) AS col_ord, c_custkey % 50 AS f, c_mktsegment AS top, CAST(c_custkey * 37 % 100 AS DOUBLE) / 100 AS score, CAST(c_custkey * 11 % 40 AS DOUBLE) / 100 AS margin FROM customer),
-d AS (SELECT *, score >= CAST(0.92 AS DOUBLE) OR (score >= CAST(0.82 AS DOUBLE) AND margin >= CAST(0.18 AS DOUBLE)) AS auto, score >= CAST(0.45 AS DOUBLE) AS likely, margin < CAST(0.18 AS DOUBLE) AS close FROM s),
-t AS (SELECT *, CASE WHEN auto OR (likely AND NOT close) THEN top END AS target, CASE WHEN auto THEN 'auto' WHEN likely THEN 'escalated' ELSE 'ignored' END AS status,
-             CASE WHEN auto THEN 'match' WHEN likely AND close THEN 'ambiguous' WHEN likely THEN 'weak' ELSE 'leftover' END AS reason FROM d),
-r AS (SELECT *, CASE WHEN target IS NOT NULL THEN row_number() OVER (PARTITION BY f, target ORDER BY score DESC, col_ord) END AS rn FROM t)
-SELECT col_ord, CASE WHEN rn > 1 AND score < CAST(0.8 AS DOUBLE) THEN '' ELSE coalesce(target, '') END AS target,
-       CASE WHEN rn > 1 AND score < CAST(0.8 AS DOUBLE) THEN 'ignored' WHEN rn > 1 THEN 'escalated' ELSE status END AS status,
-       CASE WHEN rn > 1 AND score < CAST(0.8 AS DOUBLE) THEN 'weaker' WHEN rn > 1 THEN 'competing' ELSE reason END AS reason FROM r""",
+    "map_decision": f"WITH {_MAPPED} SELECT col_ord, coalesce(target, '') AS target, status, reason FROM m",
+    "mapping_board": f"WITH {_MAPPED} SELECT col_ord, status FROM m WHERE status <> 'ignored' OR score >= CAST(0.4 AS DOUBLE)",
+    "uncertain_columns": f"WITH {_MAPPED} SELECT col_ord, status, score AS confidence FROM m WHERE status = 'escalated' OR (status = 'ignored' AND score >= CAST(0.3 AS DOUBLE)) ORDER BY col_ord LIMIT 12",
+    "mapping_updates": f"""
+WITH {_MAPPED}, u AS (SELECT *, col_ord % 10 = 0 AND status <> 'auto' AS may, CAST(CAST(col_ord AS BIGINT) * 13 % 100 AS DOUBLE) / 100 AS c FROM m),
+v AS (SELECT *, may AND c >= CAST(0.82 AS DOUBLE) AS sure, may AND c >= CAST(0.45 AS DOUBLE) AS likely FROM u)
+SELECT col_ord, CASE WHEN sure THEN 'phone' ELSE coalesce(target, '') END AS target, CASE WHEN sure THEN c ELSE score END AS confidence,
+       CASE WHEN sure THEN 'auto' ELSE status END AS status, CASE WHEN likely THEN 'assisted' ELSE reason END AS reason FROM v""",
+    "mapping_escalations": f"""
+WITH {_MAPPED} SELECT CASE WHEN reason = 'competing' THEN 'mapping_competing' ELSE 'mapping_ambiguous' END AS kind, 'f' || f || ':' || c_name AS mapping_id,
+       'Where does it belong: ' || c_name AS title, score AS confidence, CAST(3 AS BIGINT) AS n_options,
+       'Map to ' || top || ' (' || CAST(round(score * 100) AS INTEGER) || '%)' AS "first", 'other · ' || CAST(round(score / 2 * 100) AS INTEGER) || '%' AS "second"
+FROM m JOIN customer ON c_custkey = col_ord WHERE status = 'escalated'""",
+    "first_escalations": """
+SELECT o_orderkey AS escalation_id FROM (
+  SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END, CASE WHEN o_orderkey % 7 = 0 THEN 'm' END,
+    CASE o_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 't' || (o_orderkey % 2) END ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1""",
     "merge_sources": f"WITH {_MERGED} SELECT * FROM merged",
     "incremental_merge": f"WITH {_MERGED} SELECT * FROM merged",
     "profile_merged": f"""

@@ -235,6 +235,24 @@ def _merged(r: DataFrame) -> DataFrame:
     return r.select(v("employeeNumber"), v("ctcAnnual"), v("workLocation"), v("currency"), F.array_join(F.array_sort("flags"), ",").alias("flags"), F.array_join("cells.ctcAnnual.conflicts", ",").alias("alternatives"), F.size("row_ids").cast("long").alias("n_rows"), F.col("n_transforms").cast("long").alias("n_transforms"))
 
 
+STAFF = Config(
+    fields=(Field("employeeNumber", "Id", required=True), Field("firstName", "First"), Field("lastName", "Last"), Field("department", "Department"), Field("status", "Status", "enum", values=("active", "inactive"))),
+    enum_synonyms={"status": {"a": "active"}},
+)
+
+
+def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B3, F2', G8, I11: the target's payload of merged records with whole names, two columns for one field, and a value
+    that a second file gives with more confidence."""
+    c, k = _read(spark, sf_dir, "customer"), F.col("c_custkey")
+    a = c.select(k.cast("string").alias("id"), F.when(k % 3 == 0, "ANN  lee").otherwise("cher").alias("who"), F.when(k % 4 == 0, "sales").alias("team"), F.when(k % 2 == 0, "sales north").alias("unit"), F.lit("A").alias("st"), k.alias("row_idx"))
+    b = c.filter(k % 2 == 0).select(k.cast("string").alias("no"), F.lit("ACTIVE").alias("state"), k.alias("row_idx"))
+    r = cut(merge.merge_sources([merge.Source(a, 0, "a", (("id", "employeeNumber"), ("who", "fullName"), ("team", "department"), ("unit", "department"), ("st", "status"))), merge.Source(b, 1, "b", (("no", "employeeNumber"), ("state", "status")))], STAFF), "records")
+    told = r.select("record_id", F.col("cells.status.confidence").alias("sure"), F.coalesce("cells.department.transform", F.lit("")).alias("how"), F.array_join("flags", ",").alias("flags"))
+    wide = merge.wide_records(r, STAFF).join(told, "record_id")
+    return wide.select(*[F.coalesce(f.key, F.lit("")).alias(f.key) for f in STAFF.fields], "sure", "how", "flags")
+
+
 def incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1, F2 by loads: the two extracts one after the other, each making again only the records that it touches."""
     load = Load(spark, f"{shared_folder(spark)}/tributary-load-{uuid.uuid4().hex}", MERGE)
@@ -546,7 +564,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL: tuple[Query, ...] = (
     normalize_text, token_overlap, header_similarity_topk, title_case, name_split, blank_filter, number_parse, money_format, email_clean,
-    phone_clean, employee_id, date_parse_mixed, enum_map_unknown, profile_columns, profile_merged, map_columns, map_decision, mapping_board, uncertain_columns, mapping_updates, mapping_escalations, first_escalations, merge_sources, incremental_merge, delimited_exact, workbook_rows, target_rows, conflict_escalations,
+    phone_clean, employee_id, date_parse_mixed, enum_map_unknown, profile_columns, profile_merged, map_columns, map_decision, mapping_board, uncertain_columns, mapping_updates, mapping_escalations, first_escalations, payload_rows, merge_sources, incremental_merge, delimited_exact, workbook_rows, target_rows, conflict_escalations,
     exact_dedupe, fuzzy_pairs, missing_required, date_order, required_without_source, skip_set_validation, escalation_summary, push_status,
     push_outcome, push_log, rollback_net, rollback_calls, resolve_decisions, close_related, merge_pairs, dispatched, value_issue_options, tail_views, upsert_latest, recent_topk, event_ring, currency_default, delta_rule_threshold, json_roundtrip, clean_records,
 )

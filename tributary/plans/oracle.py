@@ -144,6 +144,12 @@ SELECT o_orderkey AS escalation_id FROM (
   SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END, CASE WHEN o_orderkey % 7 = 0 THEN 'm' END,
     CASE o_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 't' || (o_orderkey % 2) END ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1""",
     "merge_sources": f"WITH {_MERGED} SELECT * FROM merged",
+    "payload_rows": """
+SELECT CAST(c_custkey AS VARCHAR) AS "employeeNumber", CASE WHEN c_custkey % 3 = 0 THEN 'Ann' ELSE 'Cher' END AS "firstName", CASE WHEN c_custkey % 3 = 0 THEN 'Lee' ELSE '' END AS "lastName",
+       CASE WHEN c_custkey % 2 = 0 THEN 'Sales North' ELSE '' END AS department, 'active' AS status, CAST(CASE WHEN c_custkey % 2 = 0 THEN 0.99 ELSE 0.94 END AS DOUBLE) AS sure,
+       CASE WHEN c_custkey % 4 = 0 THEN 'kept longer form' WHEN c_custkey % 2 = 0 THEN 'title case' ELSE '' END AS how,
+       CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'lastName:missing_from_split' END AS flags
+FROM customer""",
     "incremental_merge": f"WITH {_MERGED} SELECT * FROM merged",
     "profile_merged": f"""
 WITH {_PROFILE}, totals AS (SELECT file_name, header, count(*) AS rows FROM cells GROUP BY ALL),

@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import _TABLE, Table, _power, bit_table, bytes_of, columns, give_back, mix64, power, slices, text_of
+from tributary.llm.common import _TABLE, Table, _power, bit_table, bits_for, bytes_of, columns, give_back, is_marked, mix64, power, slices, text_of
 from tributary.llm.ngram_join import cut, expand, squeeze
 
 WINDOW = 50
@@ -383,9 +383,28 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, with_text: bool = F
             yield pa.RecordBatch.from_arrays([ids, *got[: 5 if with_text else 4]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if with_text else 5])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    d = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).alias("d")
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    touched = _is_touched(cuts.select("doc_id", "th"))
+    # most texts lose nothing: they are hashed where they are read, and only the others move to their cuts
+    text, none = F.col("text"), F.lit(0).cast("long")
+    whole = d.filter(F.col("doc_id").isNull() | ~touched).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), *([text.cast("binary").alias("kept")] if with_text else []))
+    d = d.filter(F.col("doc_id").isNotNull() & touched).alias("d")
     met = d.join(cuts.hint("merge"), (F.col("d.doc_id").cast("long") == F.col("c.doc_id")) & (F.col("d.th") == F.col("c.th")), "left").select("d.doc_id", "d.text", "c.at", "c.mask", "c.copy")
-    return met.mapInArrow(apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
+    return whole.unionByName(met.mapInArrow(apply, schema))
+
+
+def _is_touched(keys: DataFrame) -> Column:
+    """Whether a row's (doc_id, th) is among keys, as a table of bits tells: all that are, and a few others."""
+    slots = keys.select(F.xxhash64("doc_id", "th").alias("key"))
+    bits = bits_for(slots.count())
+    shared = keys.sparkSession.sparkContext.broadcast(bit_table(slots, bits))
+
+    @F.arrow_udf("boolean")
+    def marked(slot: pa.Array) -> pa.Array:
+        return pa.array(is_marked(np.frombuffer(shared.value, np.uint8), slot))
+
+    return marked(F.pmod(F.xxhash64(F.xxhash64(F.col("doc_id").cast("long"), F.col("th"))), F.lit(1 << bits)))
 
 
 def _by_rank(docs: DataFrame, window: int, with_text: bool) -> DataFrame:

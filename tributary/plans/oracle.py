@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tributary.config import FULL_NAME, Config
+
 _NORMAL = r"trim(regexp_replace(regexp_replace(replace(lower(trim({0})), '&', ' and '), '[/_.;:()\[\]-]+', ' ', 'g'), '\s+', ' ', 'g'))"
 _TITLE = "array_to_string(list_transform(string_split({0}, ' '), lambda w: CASE WHEN regexp_matches(w, '^([A-Za-z]\\.)+$') THEN upper(w) WHEN lower(w) IN ('da','de','del','van','von','bin','binti') THEN lower(w) ELSE upper(substr(w, 1, 1)) || lower(substr(w, 2)) END), ' ')"
 _MAIL = "CASE c_custkey % 4 WHEN 0 THEN ' User' || c_custkey || '@GMAIL.com ' WHEN 1 THEN ' User' || c_custkey || '@corp.example' WHEN 2 THEN ' User' || c_custkey ELSE ' User' || c_custkey || '@Yahoo.com' END"
@@ -78,7 +80,49 @@ outs AS (SELECT b.*, least(min(CASE WHEN b.r IS NOT NULL AND (no OR command IN (
 ends AS (SELECT *, min(CASE WHEN NOT no AND turn >= fst THEN turn END) OVER (PARTITION BY r) AS en FROM outs),
 counts AS (SELECT escalation_id, r, coalesce(f, '') AS f, CASE WHEN no THEN 'rejected' ELSE 'resolved' END AS status, command, "at", r IS NOT NULL AND coalesce(turn = en, false) AS whole FROM ends WHERE r IS NULL OR en IS NULL OR turn <= en)
 """
+
+
+def _values(*rows: tuple) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + ")"
+
+
+_CONFIG = Config()
+_LIKE = "CASE WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN {a} = {b} THEN 1.0 ELSE CAST(1 AS DOUBLE) - CAST(levenshtein({a}, {b}) AS DOUBLE) / greatest(length({a}), length({b})) END"
+_TOKENS = "list_distinct(list_filter(string_split({0}, ' '), lambda x: x <> ''))"
+_SHARE = "CAST(len(list_filter(samples, lambda v: {0})) AS DOUBLE) / len(samples)"
+_MAIL_LIKE = r"regexp_matches(v, '^[^\s@]+@[^\s@]+\.[^\s@]+$')"
+#: Every column against every field, scored; then decided and competing as in _MAPPED.
+_SCORED = f"""
+{_PROFILE},
+fields AS (SELECT * FROM {_values(*((f.key, i, f.type, f.required) for i, f in enumerate(_CONFIG.fields)))} AS t(field, ord, type, required)),
+ways AS (SELECT * FROM {_values(*((k, w) for k, ws in _CONFIG.synonyms.items() if k != FULL_NAME for w in ws))} AS t(field, way)),
+cols AS (SELECT file_name, header, CASE header WHEN 'c_name' THEN 1 WHEN 'c_nationkey' THEN 2 WHEN 'c_mktsegment' THEN 3 WHEN 's_name' THEN 1 WHEN 's_nationkey' THEN 2 ELSE 0 END AS col_ord,
+    {_NORMAL.format('header')} AS normal, list(value ORDER BY row_idx) FILTER (rn <= 8) AS samples FROM looked GROUP BY ALL),
+named AS (SELECT c.*, f.*, {_LIKE.format(a='normal', b=_NORMAL.format('field'))} AS own,
+    (SELECT max(CASE WHEN normal = way THEN 0.96 WHEN contains(normal, way) OR contains(way, normal) THEN 0.88 ELSE {_LIKE.format(a='normal', b=_NORMAL.format('way'))} END) FROM ways w WHERE w.field = f.field) AS by_way,
+    (SELECT {_TOKENS.format("string_agg(" + _NORMAL.format('way') + ", ' ')")} FROM ways w WHERE w.field = f.field) AS words, {_TOKENS.format('normal')} AS head FROM cols c, fields f),
+bests AS (SELECT *, greatest(own, by_way, CASE WHEN len(list_intersect(head, words)) > 0 THEN CAST(len(list_intersect(head, words)) AS DOUBLE) / greatest(len(head), 1) * 0.8 ELSE 0 END) AS best,
+    CASE WHEN type = 'email' THEN {_SHARE.format(_MAIL_LIKE)} * 0.14
+      WHEN type = 'phone' THEN {_SHARE.format("length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 10 AND 13")} * 0.1
+      WHEN type = 'date' THEN {_SHARE.format("regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR regexp_matches(v, '[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}') OR regexp_matches(v, '(?i)[0-9]{{1,2}}-[a-z]{{3}}-[0-9]{{2,4}}')")} * 0.12
+      WHEN type = 'number' THEN {_SHARE.format("regexp_matches(v, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$')")} * 0.08
+      WHEN field = 'employeeNumber' THEN {_SHARE.format("regexp_matches(v, '(?i)[a-z]*-?[0-9]{{3,}}')")} * 0.06 ELSE 0 END AS bonus,
+    CASE WHEN type = 'date' AND len(list_filter(samples, lambda v: NOT ({_MAIL_LIKE} OR (regexp_matches(v, '(?i)[a-z]{{4,}}') AND NOT regexp_matches(v, '[0-9]'))))) = 0 THEN 0.4
+      WHEN type = 'email' AND len(list_filter(samples, lambda v: contains(v, '@'))) = 0 THEN 0.45
+      WHEN field = 'ctcAnnual' AND len(list_filter(samples, lambda v: NOT {_MAIL_LIKE})) = 0 THEN 0.5 ELSE 0 END AS penalty FROM named),
+scored AS (SELECT *, CAST(greatest(0, least(0.99, best + bonus - penalty)) AS DOUBLE) AS score FROM bests),
+ranked AS (SELECT *, row_number() OVER w AS rn, score - coalesce(lead(score) OVER w, 0) AS ahead FROM scored WINDOW w AS (PARTITION BY file_name, header ORDER BY score DESC, ord)),
+s AS (SELECT file_name AS f, header, col_ord, max(CASE WHEN rn = 1 THEN field END) AS top, max(CASE WHEN rn = 1 THEN score END) AS score, max(CASE WHEN rn = 1 THEN ahead END) AS margin, string_agg(field, ',' ORDER BY rn) FILTER (rn <= 3) AS candidates FROM ranked GROUP BY ALL),
+{{_MAPPED}}
+"""
+_TAIL = _MAPPED[_MAPPED.index("d AS (") : _MAPPED.index("m AS (")]
+_SCORED = _SCORED.replace("{_MAPPED}", _TAIL + _MAPPED[_MAPPED.index("m AS (") :].replace("SELECT col_ord, f, top, score,", "SELECT col_ord, f, header, candidates, margin, score,"))
 ORACLES: dict[str, str] = {
+    "map_columns": f"""
+WITH {_SCORED} SELECT f AS file_name, header, coalesce(target, '') AS target, round(score, 9) AS confidence, round(margin, 9) AS margin, status, reason, candidates FROM m""",
+    "required_without_source": f"""
+WITH {_SCORED} SELECT 'mapping_missing_required' AS kind, field, CAST(0.2 AS DOUBLE) AS confidence, CAST(7 AS BIGINT) AS n_options
+FROM fields WHERE required AND field NOT IN (SELECT target FROM m WHERE target IS NOT NULL AND status <> 'ignored')""",
     "normalize_text": f"SELECT p_partkey, {_NORMAL.format("'  ' || replace(p_type, ' ', '_/') || '&R.D '")} AS normal FROM part",
     "token_overlap": f"""
 WITH t AS (SELECT p_partkey, list_distinct(list_filter(string_split({_NORMAL.format('p_name')}, ' '), lambda x: x <> '')) AS a,

@@ -100,6 +100,8 @@ class Policy:
     last_year: int = 2035
     event_log: int = 80
     samples: int = 8
+    #: Of a vocabulary of more synonyms, the best fields are found through grams; they are the same.
+    compared_synonyms: int = 2000
 
 
 @dataclass(frozen=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,9 +12,14 @@ from pyspark.sql import functions as F
 from tributary.config import FULL_NAME, Config
 from tributary.functions.cut import cut
 from tributary.functions.text import is_blank, looks_email, looks_phone, normalize_header, parse_number, similarity_normal, tokens
+from tributary.operators import vocabulary
 from tributary.operators.profile import date_like
 
 COLUMN = ["file_ord", "file_name", "col_ord", "header"]
+#: The one field that leftover headers may feed.
+LEFTOVER_FIELD = "workLocation"
+#: Of the search of a large vocabulary: sizes of grams and floors.
+ROUNDS = ((3, 0.7), (2, 0.5))
 
 
 def _ratio(samples: Column, test: Callable[[Column], Column]) -> Column:
@@ -43,15 +49,19 @@ def type_penalty(samples: Column, field: Column, kind: Column) -> Column:
     )
 
 
-def score_columns(profiles: DataFrame, config: Config) -> DataFrame:
-    """COLUMN, field, ord, score, for each column and field: a broadcast of the small field and synonym tables."""
-    spark = profiles.sparkSession
-    ways = config.synonyms_frame(spark)
-    fields = config.fields_frame(spark).select("field", F.col("ord").alias("ord"), "type")
+def field_table(fields: DataFrame, ways: DataFrame) -> DataFrame:
+    """field, ord, type, synonyms, field_tokens: one row a field. fields(field, ord, type), ways(field, synonym)."""
     known = ways.groupBy("field").agg(F.array_distinct(F.flatten(F.collect_list(tokens(F.col("synonym"))))).alias("field_tokens"), F.collect_list("synonym").alias("synonyms"))
-    fields = fields.join(known, "field", "left").withColumn("synonyms", F.coalesce("synonyms", F.array("field"))).withColumn("field_tokens", F.coalesce("field_tokens", tokens(F.col("field"))))
-    cols = profiles.select(*COLUMN, normalize_header(F.col("header")).alias("normal"), F.filter("samples", lambda s: ~is_blank(s)).alias("samples"))
-    met = cols.join(F.broadcast(fields), F.lit(True))  # the field table has one row a target field
+    made = fields.select("field", "ord", "type").join(known, "field", "left")
+    return made.withColumn("synonyms", F.coalesce("synonyms", F.array("field"))).withColumn("field_tokens", F.coalesce("field_tokens", tokens(F.col("field"))))
+
+
+def _prepared(profiles: DataFrame) -> DataFrame:
+    return profiles.select(*COLUMN, normalize_header(F.col("header")).alias("normal"), F.filter("samples", lambda s: ~is_blank(s)).alias("samples"))
+
+
+def score_pairs(met: DataFrame, leftovers: tuple[str, ...]) -> DataFrame:
+    """COLUMN, field, ord, score, of columns that meet rows of the field table."""
     head = F.array_distinct(tokens(F.col("header")))
 
     def one(best: Column, way: Column) -> Column:
@@ -64,12 +74,56 @@ def score_columns(profiles: DataFrame, config: Config) -> DataFrame:
 
     by_name = F.aggregate("synonyms", similarity_normal(F.col("normal"), normalize_header(F.col("field"))), one)
     shared = F.size(F.array_intersect(head, F.col("field_tokens")))
-    best = F.when(shared > 0, F.greatest(by_name, shared / F.greatest(F.size(head), F.lit(1)) * 0.8)).otherwise(by_name)
+    best = F.when(shared > 0, F.greatest(by_name, shared / F.greatest(F.size(head), F.lit(1)) * vocabulary.WORDS)).otherwise(by_name)
     total = best + type_bonus(F.col("samples"), F.col("field"), F.col("type")) - type_penalty(F.col("samples"), F.col("field"), F.col("type"))
-    score = F.when(F.col("normal").isin(*config.leftovers) & (F.col("field") != "workLocation"), F.lit(0.05)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.99), total)))
+    score = F.when(F.col("normal").isin(*leftovers) & (F.col("field") != LEFTOVER_FIELD), F.lit(0.05)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.99), total)))
     return met.select(*COLUMN, "field", "ord", score.alias("score"))
 
 
+def score_columns(profiles: DataFrame, config: Config) -> DataFrame:
+    """COLUMN, field, ord, score, for each column and field: a broadcast of the small field and synonym tables."""
+    spark = profiles.sparkSession
+    fields = field_table(config.fields_frame(spark), config.synonyms_frame(spark))
+    return score_pairs(_prepared(profiles).join(F.broadcast(fields), F.lit(True)), config.leftovers)  # the field table has one row a target field
+
+
+def nearest_fields(profiles: DataFrame, fields: DataFrame, ways: DataFrame, leftovers: tuple[str, ...] = (), most: int = 3, rounds: tuple[tuple[int, float], ...] = ROUNDS) -> DataFrame:
+    """COLUMN, field, ord, score, round: the `most` best fields of each column, as by scoring it against all of them.
+
+    Each round scores what can reach its floor by name. A column's best are certain when the last of them beats the floor by
+    more than types could add to any other field; other columns go on to a lower floor, and at last (round -1) meet all fields.
+    """
+    columns = cut(_prepared(profiles), "columns")
+    table = cut(field_table(fields, ways), "fields")
+    own = table.select("field", normalize_header(F.col("field")).alias("text"))
+    each = table.select("field", F.explode("synonyms").alias("way"))
+    texts = own.unionByName(each.select("field", "way").toDF("field", "text")).unionByName(each.select("field", normalize_header(F.col("way")).alias("text"))).filter("text is not null").distinct()
+    words = table.select("field", F.explode("field_tokens").alias("word"))
+    spared = table.select("field", "ord").orderBy("ord", "field").limit(most + 1).select("field").unionByName(table.filter(F.col("field") == LEFTOVER_FIELD).select("field")).distinct()
+    left = F.col("normal").isin(*leftovers)
+    kinds = [type_bonus(F.col("samples"), F.lit(""), F.lit(k)) for k in ("email", "phone", "date", "number")]
+    added = F.greatest(*kinds, type_bonus(F.col("samples"), F.lit("employeeNumber"), F.lit("string")))
+    by = Window.partitionBy(*COLUMN).orderBy(F.col("score").desc(), "ord")
+    best = lambda scored: scored.withColumn("rn", F.row_number().over(by)).filter(F.col("rn") <= most)
+    out = []
+    for turn, (q, floor) in enumerate(rounds):
+        heads = columns.filter(~left).select(F.col("normal").alias("text")).distinct().withColumn("words", F.array_distinct(tokens(F.col("text"))))
+        found = vocabulary.candidates(heads, texts, words, q, floor).withColumnRenamed("head", "normal")
+        # leftovers score alike for all fields but one, so that the first few stand for the rest
+        found = found.unionByName(columns.filter(left).select("normal").distinct().join(spared, F.lit(True)))
+        ranked = best(score_pairs(columns.join(found, "normal").join(table, "field"), leftovers)).join(columns.select(*COLUMN, (F.lit(floor) + added).alias("bar"), left.alias("left")), COLUMN)
+        sure = F.col("left") | (F.max(F.when(F.col("rn") == most, F.col("score"))).over(Window.partitionBy(*COLUMN)) > F.col("bar"))
+        ranked = cut(ranked.withColumn("sure", F.coalesce(sure, F.lit(False))).filter("sure"), "nearest")
+        out.append(ranked.select(*COLUMN, "field", "ord", "score", F.lit(turn).alias("round")))
+        columns = cut(columns.join(ranked.select(*COLUMN).distinct(), COLUMN, "left_anti"), "columns")
+        if columns.isEmpty():
+            break
+    else:
+        rest = best(score_pairs(columns.join(table, F.lit(True)), leftovers))
+        out.append(rest.select(*COLUMN, "field", "ord", "score", F.lit(-1).alias("round")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def full_names(profiles: DataFrame, config: Config) -> DataFrame:
     """Columns that hold whole names."""
     ways = F.array(*[F.lit(w) for w in config.synonyms.get(FULL_NAME, ())] or [F.lit(None).cast("string")])
@@ -96,7 +150,12 @@ def propose(profiles: DataFrame, config: Config | None = None) -> DataFrame:
     """
     config = config or Config()
     named = full_names(profiles, config).select(*COLUMN)
-    scored = score_columns(profiles.join(F.broadcast(named), COLUMN, "left_anti"), config)
+    asked = profiles.join(F.broadcast(named), COLUMN, "left_anti")
+    if sum(map(len, config.synonyms.values())) > config.policy.compared_synonyms:
+        spark = profiles.sparkSession
+        scored = nearest_fields(asked, config.fields_frame(spark), config.synonyms_frame(spark), config.leftovers)
+    else:
+        scored = score_columns(asked, config)
     by = Window.partitionBy(*COLUMN).orderBy(F.col("score").desc(), "ord")
     ranked = scored.withColumn("rn", F.row_number().over(by)).withColumn("next", F.lead("score").over(by))
     best = ranked.filter("rn <= 3").groupBy(*COLUMN).agg(

@@ -161,6 +161,20 @@ def map_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("file_name", "header", F.coalesce("target", F.lit("")).alias("target"), F.round("confidence", 9).alias("confidence"), F.round("margin", 9).alias("margin"), "status", "reason", F.array_join(F.transform("candidates", lambda c: c["field"]), ",").alias("candidates"))
 
 
+def vocabulary_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3, C4, C8 of a large vocabulary: part types as fields, written as their parts' names; parts as columns, whose headers are
+    their names with a letter more, a word less, or another word for one. Nothing meets every field that needn't."""
+    p = _read(spark, sf_dir, "part")
+    key, name = F.col("p_partkey"), F.col("p_name")
+    header = F.when(key % 4 == 0, F.concat(name, F.lit("_X"))).when(key % 4 == 1, F.regexp_replace(name, "^[^ ]+ ", "")).when(key % 4 == 2, F.concat(name, F.lit(" "), "p_brand")).otherwise(F.regexp_replace(name, "e", "a"))
+    sample = F.when(key % 3 == 0, F.col("p_size").cast("string")).otherwise(F.col("p_brand"))
+    columns = p.select(F.lit(0).alias("file_ord"), F.lit("parts").alias("file_name"), key.cast("int").alias("col_ord"), header.alias("header"), F.array(sample, F.col("p_brand")).alias("samples"))
+    fields = p.groupBy(F.col("p_type").alias("field")).agg(F.min("p_partkey").cast("int").alias("ord")).withColumn("type", F.when(F.col("ord") % 3 == 0, "number").otherwise("string"))
+    ways = p.select(F.col("p_type").alias("field"), name.alias("synonym")).distinct()
+    best = mapping.nearest_fields(columns, fields, ways)
+    return best.groupBy("col_ord").agg(F.max(F.round("score", 9)).alias("best"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "ord", "field"))), lambda x: x["field"]), ",").alias("fields"))
+
+
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as columns of fifty files, which claim their segments as fields by made-up scores and leads."""
     c, k = _read(spark, sf_dir, "customer"), F.col("c_custkey")
@@ -564,7 +578,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL: tuple[Query, ...] = (
     normalize_text, token_overlap, header_similarity_topk, title_case, name_split, blank_filter, number_parse, money_format, email_clean,
-    phone_clean, employee_id, date_parse_mixed, enum_map_unknown, profile_columns, profile_merged, map_columns, map_decision, mapping_board, uncertain_columns, mapping_updates, mapping_escalations, first_escalations, payload_rows, merge_sources, incremental_merge, delimited_exact, workbook_rows, target_rows, conflict_escalations,
+    phone_clean, employee_id, date_parse_mixed, enum_map_unknown, profile_columns, profile_merged, map_columns, vocabulary_top3, map_decision, mapping_board, uncertain_columns, mapping_updates, mapping_escalations, first_escalations, payload_rows, merge_sources, incremental_merge, delimited_exact, workbook_rows, target_rows, conflict_escalations,
     exact_dedupe, fuzzy_pairs, missing_required, date_order, required_without_source, skip_set_validation, escalation_summary, push_status,
     push_outcome, push_log, rollback_net, rollback_calls, resolve_decisions, close_related, merge_pairs, dispatched, value_issue_options, tail_views, upsert_latest, recent_topk, event_ring, currency_default, delta_rule_threshold, json_roundtrip, clean_records,
 )

@@ -120,6 +120,15 @@ _SCORED = _SCORED.replace("{_MAPPED}", _TAIL + _MAPPED[_MAPPED.index("m AS (") :
 ORACLES: dict[str, str] = {
     "map_columns": f"""
 WITH {_SCORED} SELECT f AS file_name, header, coalesce(target, '') AS target, round(score, 9) AS confidence, round(margin, 9) AS margin, status, reason, candidates FROM m""",
+    "vocabulary_top3": f"""
+WITH c AS (SELECT p_partkey, p_size, {_NORMAL.format("(CASE p_partkey % 4 WHEN 0 THEN p_name || '_X' WHEN 1 THEN regexp_replace(p_name, '^[^ ]+ ', '') WHEN 2 THEN p_name || ' ' || p_brand ELSE replace(p_name, 'e', 'a') END)")} AS normal FROM part),
+f AS (SELECT p_type AS field, {_NORMAL.format('p_type')} AS own, min(p_partkey) AS ord, {_TOKENS.format("string_agg(" + _NORMAL.format('p_name') + ", ' ')")} AS words FROM part GROUP BY p_type),
+w AS (SELECT DISTINCT p_type AS field, p_name AS way, {_NORMAL.format('p_name')} AS plain FROM part),
+m AS (SELECT p_partkey, field, max(CASE WHEN normal = way THEN 0.96 WHEN contains(normal, way) OR contains(way, normal) THEN 0.88 ELSE {_LIKE.format(a='normal', b='plain')} END) AS by_way FROM c, w GROUP BY ALL),
+b AS (SELECT p_partkey, field, ord, greatest(by_way, {_LIKE.format(a='normal', b='own')}, len(list_intersect({_TOKENS.format('normal')}, words))::DOUBLE / len({_TOKENS.format('normal')}) * 0.8)
+    + CASE WHEN ord % 3 = 0 AND p_partkey % 3 = 0 THEN 0.04 ELSE 0 END AS total FROM m JOIN f USING (field) JOIN c USING (p_partkey)),
+r AS (SELECT *, least(0.99, total) AS score, row_number() OVER (PARTITION BY p_partkey ORDER BY least(0.99, total) DESC, ord) AS rn FROM b)
+SELECT p_partkey AS col_ord, CAST(max(round(score, 9)) AS DOUBLE) AS best, string_agg(field, ',' ORDER BY rn) AS fields FROM r WHERE rn <= 3 GROUP BY p_partkey""",
     "required_without_source": f"""
 WITH {_SCORED} SELECT 'mapping_missing_required' AS kind, field, CAST(0.2 AS DOUBLE) AS confidence, CAST(7 AS BIGINT) AS n_options
 FROM fields WHERE required AND field NOT IN (SELECT target FROM m WHERE target IS NOT NULL AND status <> 'ignored')""",

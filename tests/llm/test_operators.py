@@ -222,6 +222,18 @@ def test_decontaminate_keeps_repeated_rows(spark, corpus, piece):
     assert sorted(str(r["doc_id"]) for r in got) == ["0", "0", "9", "None", "None"] and len({r["n_hit"] for r in got if r["doc_id"] != 9}) == 1
 
 
+def test_decontaminate_many_separate_and_overlapping_spans(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(20)) for c in "ab")
+    last13 = " ".join(b.split()[-13:])
+    part = f"{a} {last13} x {last13} y y {a} {b} w "
+    rows = [(1, part * 1500, "s"), (2, "z " * 1000, "s"), (3, a, "s"), (4, None, "s")]
+    bench = spark.createDataFrame([(1, a), (2, b), (3, b)], "item_id long, text string")
+    got = [{r["doc_id"]: (r["spans"], sorted(r["items"])) for r in decontaminate.scan(frame(spark, rows), bench, piece=piece).collect()} for piece in (1 << 20, 1)]
+    assert got[0] == got[1] and len(got[0][1][0]) == 4500
+    spans = [(x["first"], x["last"]) for x in got[0][1][0][:3]]
+    assert spans == [(0, 33), (34, 47), (49, 89)] and got[0][2] == ([], []) and got[0][3] == ([(0, 20)], [1]) and got[0][4] == ([], [])
+
+
 def test_pages(spark):
     body = lambda i: f"<html><head><title>t</title></head><body><header>Site</header><div class='menu'>Home</div><div class='box'><p>Made by us</p><p>text {i} &amp; more<br>x</p></div><div id='comments'><p>no</p></div><script>var a='</p>'</script><footer>f</footer>"
     rows = [(i, f"http://a.b/{i}", body(i)) for i in range(10)] + [(20, None, None), (21, "http://c.d/", "<p>One  two<p>three<form>x</form>"), (22, "http://c.d/", "<nav>n</nav><article><h1>T</h1><p>a&nbsp;b</p><aside>s</aside></article><p>out")]

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.common import Table, ascii_set, bit_table, bits_for, bytes_of, columns, give_back, lower_bytes, mix64, range_hashes, runs, slices, text_of, without
@@ -201,10 +201,11 @@ def _scan_joined(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "th", "text").mapInArrow(screen, f"uid long, doc_id {name}, th long, n_words long, found array<struct<first:long,n:int,words:string>>")
     rows = Table(rows, "screened").df  # written, as uids must not change
     hits = rows.select("uid", F.explode("found").alias("w")).select("uid", "w.first", "w.n", "w.words").join(ways.select("n", "words", "items"), ["n", "words"])
-    hits = hits.select("uid", F.struct("first", (F.col("first") + F.col("n")).alias("last")).alias("span"), "items")
-    hits = hits.groupBy("uid").agg(F.array_sort(F.collect_list("span")).alias("all"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    met = rows.drop("found").join(hits.select("uid", _joined("all").alias("spans"), "items"), "uid", "left")
-    empty = lambda c: F.coalesce(c, F.expr(f"cast(array() as {hits.schema['items'].dataType.simpleString() if c == 'items' else 'array<struct<first:bigint,last:bigint>>'})"))
+    hits = Table(hits.select("uid", "first", (F.col("first") + F.col("n")).alias("last"), "items"), "hits").df
+    spans = joined(hits).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    items = hits.select("uid", F.explode("items").alias("item")).groupBy("uid").agg(F.collect_set("item").alias("items"))
+    met = rows.drop("found").join(spans, "uid", "left").join(items, "uid", "left")
+    empty = lambda c: F.coalesce(c, F.expr(f"cast(array() as {items.schema['items'].dataType.simpleString() if c == 'items' else 'array<struct<first:bigint,last:bigint>>'})"))
     return met.select("doc_id", "th", "n_words", empty("spans").alias("spans"), empty("items").alias("items"))
 
 
@@ -215,17 +216,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, piece:
     return (_scan_broadcast if size <= piece else _scan_joined)(_read(docs), items, window)
 
 
-def _joined(name: str):
-    """Sorted spans with those that touch or overlap made one."""
-    none = F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)")
-
-    def add(done, x):
-        end = F.element_at(done, -1)
-        apart = (F.size(done) == 0) | (F.try_element_at(done, F.lit(-1))["last"] < x["first"])
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(end["first"].alias("first"), F.greatest(end["last"], x["last"]).alias("last"))))
-        return F.when(apart, F.concat(done, F.array(F.struct(x["first"].alias("first"), x["last"].alias("last"))))).otherwise(grown)
-
-    return F.aggregate(name, none, add)
+def joined(hits: DataFrame) -> DataFrame:
+    """uid, first, last: the spans of each document, those that touch or overlap made one. They are read in order, none held
+    with the others of its document."""
+    by = Window.partitionBy("uid").orderBy("first", "last")
+    apart = F.col("first") > F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    told = hits.select("uid", "first", "last").distinct().withColumn("new", F.coalesce(apart, F.lit(True)).cast("long"))
+    return told.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("uid", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, piece: int = PIECE_BYTES) -> DataFrame:

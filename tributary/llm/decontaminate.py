@@ -26,6 +26,8 @@ from tributary.llm.common import Table, ascii_set, bit_table, bits_for, bytes_of
 WINDOW = 13
 #: Bytes of benchmark text whose windows are broadcast at most.
 PIECE_BYTES = 2 << 20
+#: Bytes of text whose words are held at once: some forty bytes of arrays stand for each.
+SLICE = 1 << 20
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[:128] = ascii_set("0123456789abcdefghijklmnopqrstuvwxyz")[:128]
@@ -131,7 +133,7 @@ def _scan_broadcast(docs: DataFrame, items: DataFrame, window: int) -> DataFrame
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ways = shared.value
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, most=SLICE):
                 ids, ths, texts = columns(rows, "doc_id", "th", "text")
                 data, starts = bytes_of(texts)
                 data = lower_bytes(data)
@@ -155,7 +157,7 @@ def _item_windows(items: DataFrame, window: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, most=SLICE):
                 ids, texts = columns(rows, "item_id", "text")
                 data, starts = bytes_of(texts)
                 data = lower_bytes(data)
@@ -180,7 +182,7 @@ def _scan_joined(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, most=SLICE):
                 uids, ids, ths, texts = columns(rows, "uid", "doc_id", "th", "text")
                 data, starts = bytes_of(texts)
                 data = lower_bytes(data)

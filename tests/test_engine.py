@@ -254,3 +254,13 @@ def test_validation_skips(spark):
     titles = sorted(x["title"] for x in escalations.validate(r).collect())
     assert titles == ["DOB after joining · 1", "Missing required · 1"]
     assert escalations.validate(r, r.select("record_id")).isEmpty()
+
+
+def test_mappings_do_not_reach_into_cells(spark, tmp_path):
+    from tributary.operators import profile
+
+    spark.range(20).selectExpr("id as row_idx", "concat('APX-', id) as empcode").write.parquet(f"{tmp_path}/cells")
+    profiles = profile.profile_columns(profile.long_cells(spark.read.parquet(f"{tmp_path}/cells"), 0, "a.csv"))
+    found = mapping.propose(profiles)
+    assert [r["target"] for r in found.collect()] == ["employeeNumber"]
+    assert found.inputFiles() and not any(f"{tmp_path}/cells" in f for f in found.inputFiles())  # headers are tested a column, not a cell

@@ -149,6 +149,7 @@ def propose(profiles: DataFrame, config: Config | None = None) -> DataFrame:
     Columns of one file that claim one field compete: the best keeps it, others are escalated if strong, else ignored.
     """
     config = config or Config()
+    profiles = cut(profiles, "profiles")  # else tests of headers are pushed below the profiles' aggregate, to each cell
     named = full_names(profiles, config).select(*COLUMN)
     asked = profiles.join(F.broadcast(named), COLUMN, "left_anti")
     if sum(map(len, config.synonyms.values())) > config.policy.compared_synonyms:

@@ -92,3 +92,20 @@ def test_no_columns_and_no_fields(tables):
     columns, fields, ways = tables
     assert mapping.nearest_fields(columns.limit(0), fields, ways).isEmpty()
     assert mapping.nearest_fields(columns, fields.limit(0), ways).isEmpty()
+
+
+def test_columns_that_are_alike_are_ranked_once(spark, monkeypatch):
+    fields, ways, columns = invented(3, 30)
+    columns = columns[:40]
+    again = columns + [(o, f, i + 1000, h.upper(), s) for o, f, i, h, s in columns]
+    ranked, cut = [], mapping.cut
+
+    def seen(df, name):
+        made = cut(df, name)
+        ranked.extend([made.count()] if name == "nearest" else [])
+        return made
+
+    monkeypatch.setattr(mapping, "cut", seen)
+    got = top(mapping.nearest_fields(spark.createDataFrame(again, COLUMNS), spark.createDataFrame(fields, "field string, ord int, type string"), spark.createDataFrame(ways, "field string, synonym string")))
+    assert [x for x in got if x[0] >= 1000] == [(i + 1000, f, s) for i, f, s in got if i < 1000] and len(got) == 6 * len(columns)
+    assert ranked[0] <= 3 * len(columns)

@@ -60,24 +60,46 @@ def _prepared(profiles: DataFrame) -> DataFrame:
     return profiles.select(*COLUMN, normalize_header(F.col("header")).alias("normal"), F.filter("samples", lambda s: ~is_blank(s)).alias("samples"))
 
 
+def way_score(normal: Column, way: Column, plain: Column) -> Column:
+    """How like a normalised header is a way of writing a field. plain: the way, normalised."""
+    return (
+        F.when(normal == way, F.lit(0.96))
+        .when(F.contains(normal, way) | F.contains(way, normal), F.lit(0.88))
+        .otherwise(similarity_normal(normal, plain))
+    )
+
+
+def _scored(by_name: Column, head: Column, bonus: Column, penalty: Column, leftovers: tuple[str, ...]) -> Column:
+    """A column's score for a field, of the name's likeness, the header's words, and what types add and take."""
+    shared = F.size(F.array_intersect(head, F.col("field_tokens")))
+    best = F.when(shared > 0, F.greatest(by_name, shared / F.greatest(F.size(head), F.lit(1)) * vocabulary.WORDS)).otherwise(by_name)
+    total = best + bonus - penalty
+    return F.when(F.col("normal").isin(*leftovers) & (F.col("field") != LEFTOVER_FIELD), F.lit(0.05)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.99), total)))
+
+
 def score_pairs(met: DataFrame, leftovers: tuple[str, ...]) -> DataFrame:
     """COLUMN, field, ord, score, of columns that meet rows of the field table."""
     head = F.array_distinct(tokens(F.col("header")))
+    own = similarity_normal(F.col("normal"), normalize_header(F.col("field")))
+    by_name = F.aggregate("synonyms", own, lambda best, way: F.greatest(best, way_score(F.col("normal"), way, normalize_header(way))))
+    bonus, penalty = (f(F.col("samples"), F.col("field"), F.col("type")) for f in (type_bonus, type_penalty))
+    return met.select(*COLUMN, "field", "ord", _scored(by_name, head, bonus, penalty, leftovers).alias("score"))
 
-    def one(best: Column, way: Column) -> Column:
-        got = (
-            F.when(F.col("normal") == way, F.lit(0.96))
-            .when(F.contains(F.col("normal"), way) | F.contains(way, F.col("normal")), F.lit(0.88))
-            .otherwise(similarity_normal(F.col("normal"), normalize_header(way)))
-        )
-        return F.greatest(best, got)
 
-    by_name = F.aggregate("synonyms", similarity_normal(F.col("normal"), normalize_header(F.col("field"))), one)
-    shared = F.size(F.array_intersect(head, F.col("field_tokens")))
-    best = F.when(shared > 0, F.greatest(by_name, shared / F.greatest(F.size(head), F.lit(1)) * vocabulary.WORDS)).otherwise(by_name)
-    total = best + type_bonus(F.col("samples"), F.col("field"), F.col("type")) - type_penalty(F.col("samples"), F.col("field"), F.col("type"))
-    score = F.when(F.col("normal").isin(*leftovers) & (F.col("field") != LEFTOVER_FIELD), F.lit(0.05)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.99), total)))
-    return met.select(*COLUMN, "field", "ord", score.alias("score"))
+def _types(samples: Column) -> Column:
+    """All that types can add to or take from a column's score for any field."""
+    none, plain = F.lit(""), F.lit("string")
+    added = [type_bonus(samples, none, F.lit(k)) for k in ("email", "phone", "date", "number")]
+    taken = [type_penalty(samples, none, F.lit(k)) for k in ("date", "email")]
+    return F.array(*added, type_bonus(samples, F.lit("employeeNumber"), plain), *taken, type_penalty(samples, F.lit("ctcAnnual"), plain))
+
+
+def _of_types(types: Column, field: Column, kind: Column) -> tuple[Column, Column]:
+    """type_bonus and type_penalty, read from _types."""
+    at = lambda i: F.get(types, F.lit(i))
+    bonus = F.when(kind == "email", at(0)).when(kind == "phone", at(1)).when(kind == "date", at(2)).when(kind == "number", at(3)).when(field == "employeeNumber", at(4)).otherwise(F.lit(0.0))
+    by_kind = F.when(kind == "date", at(5)).when(kind == "email", at(6)).otherwise(F.lit(0.0))
+    return bonus, F.when(by_kind > 0, by_kind).when(field == "ctcAnnual", at(7)).otherwise(F.lit(0.0))
 
 
 def score_columns(profiles: DataFrame, config: Config) -> DataFrame:
@@ -87,41 +109,65 @@ def score_columns(profiles: DataFrame, config: Config) -> DataFrame:
     return score_pairs(_prepared(profiles).join(F.broadcast(fields), F.lit(True)), config.leftovers)  # the field table has one row a target field
 
 
+def _vocabulary(fields: DataFrame, ways: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(field, ord, type, field_tokens), (field, way, plain) and (field, word), of fields and all their ways; `plain` is the
+    way, normalised, or the field's own name, which has no `way`. A field's ways are never brought together."""
+    fields = cut(fields.select("field", "ord", "type"), "fields")
+    known = cut(ways.select("field", F.col("synonym").alias("way")).distinct().join(fields.select("field"), "field"), "ways")
+    known = known.unionByName(fields.join(known.select("field").distinct(), "field", "left_anti").select("field", F.col("field").alias("way"))).filter("way is not null")
+    own = fields.select("field", F.lit(None).cast("string").alias("way"), normalize_header(F.col("field")).alias("plain"))
+    spelled = cut(known.select("field", "way", normalize_header(F.col("way")).alias("plain")).unionByName(own), "spelled")
+    words = cut(spelled.filter("way is not null").select("field", F.explode(tokens(F.col("way"))).alias("word")).distinct(), "words")
+    table = fields.join(words.groupBy("field").agg(F.collect_list("word").alias("field_tokens")), "field", "left")  # different words
+    return cut(table.withColumn("field_tokens", F.coalesce("field_tokens", F.expr("cast(array() as array<string>)"))), "table"), spelled, words
+
+
 def nearest_fields(profiles: DataFrame, fields: DataFrame, ways: DataFrame, leftovers: tuple[str, ...] = (), most: int = 3, rounds: tuple[tuple[int, float], ...] = ROUNDS) -> DataFrame:
     """COLUMN, field, ord, score, round: the `most` best fields of each column, as by scoring it against all of them.
 
-    Each round scores what can reach its floor by name. A column's best are certain when the last of them beats the floor by
-    more than types could add to any other field; other columns go on to a lower floor, and at last (round -1) meet all fields.
+    Columns of one normalised header to which types could add the same are alike and are ranked once; a header's likeness to a
+    field is that of the ways that it resembles, each found by a join. Each round ranks what can reach its floor by name. The
+    best are certain when the last of them beats the floor by more than types could add to any other field; others go on to a
+    lower floor, and at last (round -1) their headers meet all ways.
     """
-    columns = cut(_prepared(profiles), "columns")
-    table = cut(field_table(fields, ways), "fields")
-    own = table.select("field", normalize_header(F.col("field")).alias("text"))
-    each = table.select("field", F.explode("synonyms").alias("way"))
-    texts = own.unionByName(each.select("field", "way").toDF("field", "text")).unionByName(each.select("field", normalize_header(F.col("way")).alias("text"))).filter("text is not null").distinct()
-    words = table.select("field", F.explode("field_tokens").alias("word"))
+    columns = cut(_prepared(profiles).select(*COLUMN, "normal", _types(F.col("samples")).alias("types")), "columns")
+    table, spelled, words = _vocabulary(fields, ways)
+    texts = cut(spelled.select("*", F.explode(F.array_distinct(F.array("way", "plain"))).alias("text")).filter("text is not null"), "texts")
     spared = table.select("field", "ord").orderBy("ord", "field").limit(most + 1).select("field").unionByName(table.filter(F.col("field") == LEFTOVER_FIELD).select("field")).distinct()
     left = F.col("normal").isin(*leftovers)
-    kinds = [type_bonus(F.col("samples"), F.lit(""), F.lit(k)) for k in ("email", "phone", "date", "number")]
-    added = F.greatest(*kinds, type_bonus(F.col("samples"), F.lit("employeeNumber"), F.lit("string")))
-    by = Window.partitionBy(*COLUMN).orderBy(F.col("score").desc(), "ord")
-    best = lambda scored: scored.withColumn("rn", F.row_number().over(by)).filter(F.col("rn") <= most)
-    out = []
+    likeness = F.max(way_score(F.col("head"), F.col("way"), F.col("plain"))).alias("by_name")
+    by = Window.partitionBy("normal", "types").orderBy(F.col("score").desc(), "ord")
+    same = lambda a, b: a["normal"].eqNullSafe(b["normal"]) & (a["types"] == b["types"])
+
+    def best(named: DataFrame) -> DataFrame:
+        """normal, types, field, ord, score, rn: of open columns by named(head, field, by_name)."""
+        met = alike.join(named.join(table, "field"), F.col("normal").eqNullSafe(F.col("head")))
+        score = _scored(F.col("by_name"), F.array_distinct(tokens(F.col("normal"))), *_of_types(F.col("types"), F.col("field"), F.col("type")), leftovers)
+        scored = met.select("normal", "types", "field", "ord", score.alias("score"))
+        return scored.withColumn("rn", F.row_number().over(by)).filter(F.col("rn") <= most)
+
+    alike, out = cut(columns.select("normal", "types").distinct(), "alike"), []
     for turn, (q, floor) in enumerate(rounds):
-        heads = columns.filter(~left).select(F.col("normal").alias("text")).distinct().withColumn("words", F.array_distinct(tokens(F.col("text"))))
-        found = vocabulary.candidates(heads, texts, words, q, floor).withColumnRenamed("head", "normal")
+        heads = cut(alike.filter(~left).select(F.col("normal").alias("text")).distinct().withColumn("words", F.array_distinct(tokens(F.col("text")))), "heads")
+        near = vocabulary.near_texts(heads.select("text"), texts.select("text").distinct(), q, floor).join(texts.withColumnRenamed("text", "near"), "near")
         # leftovers score alike for all fields but one, so that the first few stand for the rest
-        found = found.unionByName(columns.filter(left).select("normal").distinct().join(spared, F.lit(True)))
-        ranked = best(score_pairs(columns.join(found, "normal").join(table, "field"), leftovers)).join(columns.select(*COLUMN, (F.lit(floor) + added).alias("bar"), left.alias("left")), COLUMN)
-        sure = F.col("left") | (F.max(F.when(F.col("rn") == most, F.col("score"))).over(Window.partitionBy(*COLUMN)) > F.col("bar"))
-        ranked = cut(ranked.withColumn("sure", F.coalesce(sure, F.lit(False))).filter("sure"), "nearest")
-        out.append(ranked.select(*COLUMN, "field", "ord", "score", F.lit(turn).alias("round")))
-        columns = cut(columns.join(ranked.select(*COLUMN).distinct(), COLUMN, "left_anti"), "columns")
-        if columns.isEmpty():
+        few = alike.filter(left).select(F.col("normal").alias("head")).distinct().join(spelled.join(spared, "field"), F.lit(True))
+        named = near.select("head", "field", "way", "plain").unionByName(few.select("head", "field", "way", "plain")).groupBy("head", "field").agg(likeness)
+        # fields found by words alone are less like the header than the floor; their words are counted
+        named = named.unionByName(vocabulary.sharing_words(heads, words, floor).select("head", "field", F.lit(0.0).alias("by_name"))).groupBy("head", "field").agg(F.max("by_name").alias("by_name"))
+        bar = F.lit(floor) + F.array_max(F.slice("types", 1, 5))
+        sure = left | (F.max(F.when(F.col("rn") == most, F.col("score"))).over(Window.partitionBy("normal", "types")) > bar)
+        ranked = cut(best(named).withColumn("sure", F.coalesce(sure, F.lit(False))).filter("sure").drop("sure"), "nearest")
+        out.append(ranked.withColumn("round", F.lit(turn)))
+        settled = ranked.select("normal", "types").distinct()
+        alike = cut(alike.join(settled, same(alike, settled), "left_anti"), "alike")
+        if alike.isEmpty():
             break
     else:
-        rest = best(score_pairs(columns.join(table, F.lit(True)), leftovers))
-        out.append(rest.select(*COLUMN, "field", "ord", "score", F.lit(-1).alias("round")))
-    return reduce(DataFrame.unionByName, out)
+        heads = cut(alike.select(F.col("normal").alias("head")).distinct(), "heads")
+        out.append(best(heads.join(spelled, F.lit(True)).groupBy("head", "field").agg(likeness)).withColumn("round", F.lit(-1)))
+    found = cut(reduce(DataFrame.unionByName, out).drop("rn"), "found")
+    return columns.join(found, same(columns, found)).select(*COLUMN, "field", "ord", "score", "round")
 
 
 def full_names(profiles: DataFrame, config: Config) -> DataFrame:

@@ -10,7 +10,7 @@ one lies within the other, or when they share enough words. Each has an equi-joi
   the empty one included, are their own gram.
 - Shared words are found by the rarest words of the header, as many as can't all be missing.
 
-What is found holds every pair that reaches the floor, and by words some that don't: scoring follows.
+What is found holds every pair that reaches the floor, and some that don't: scoring follows.
 """
 
 from __future__ import annotations
@@ -82,13 +82,10 @@ def sharing_words(heads: DataFrame, words: DataFrame, floor: float) -> DataFrame
     return rare.select("head", F.col("x.word").alias("word")).join(words, "word").select("head", "field")
 
 
-def candidates(heads: DataFrame, texts: DataFrame, words: DataFrame, q: int, floor: float) -> DataFrame:
-    """head, field: all that can reach the floor. heads(text, words), texts(field, text), words(field, word)."""
+def near_texts(heads: DataFrame, ways: DataFrame, q: int, floor: float) -> DataFrame:
+    """head, near: all texts (column text, distinct) whose similarity reaches the floor or of which one lies within the other."""
     if not 0 < floor < 1:
         raise ValueError("a floor lies between 0 and 1")
-    only, ways = heads.select("text"), texts.select("text").distinct()
-    pairs = similar(only, ways, q, floor)
-    pairs = pairs.unionByName(within(only, ways).select(F.col("inner").alias("head"), F.col("outer").alias("way")))
-    pairs = pairs.unionByName(within(ways, only).select(F.col("outer").alias("head"), F.col("inner").alias("way")))
-    by_text = pairs.join(texts.select(F.col("text").alias("way"), "field"), "way").select("head", "field")
-    return by_text.unionByName(sharing_words(heads, words, floor)).distinct()
+    pairs = similar(heads, ways, q, floor).toDF("head", "near")
+    pairs = pairs.unionByName(within(heads, ways).toDF("head", "near"))
+    return pairs.unionByName(within(ways, heads).select(F.col("outer").alias("head"), F.col("inner").alias("near"))).distinct()

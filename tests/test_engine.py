@@ -264,3 +264,10 @@ def test_mappings_do_not_reach_into_cells(spark, tmp_path):
     found = mapping.propose(profiles)
     assert [r["target"] for r in found.collect()] == ["employeeNumber"]
     assert found.inputFiles() and not any(f"{tmp_path}/cells" in f for f in found.inputFiles())  # headers are tested a column, not a cell
+
+
+def test_rows_of_one_scan_task_are_cleaned_in_all(spark):
+    df = spark.range(1000).selectExpr("id as row_idx", "cast(id as string) as no").coalesce(1)
+    rows = merge.fold_rows(merge.Source(df, 0, "a", (("no", "employeeNumber"),)))
+    shares = [n for n in rows.rdd.glom().map(len).collect() if n]
+    assert len(shares) >= 4 and sum(shares) == 1000 and max(shares) < 500

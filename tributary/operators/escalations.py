@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tributary.config import FULL_NAME, KIND_LABELS, Config
 from tributary.functions.dates import year_of
 from tributary.functions.text import labelled
-from tributary.operators.merge import long_records
 
 COMMAND = "struct<type:string,record_id:string,mapping_id:string,field:string,value:string,keep_id:string,drop_id:string>"
 OPTION = f"struct<id:string,label:string,apply:{COMMAND}>"
@@ -54,11 +53,16 @@ def flagged(records: DataFrame, config: Config) -> DataFrame:
     """One row a flag with its cell: record_id, who, field, issue, raw, value, conflicts, lineage, label, type, values."""
     names = [F.col(f"cells.{k}.value") for k in ("firstName", "lastName") if k in config.by_key]
     who = F.coalesce(F.col("employee_number"), F.btrim(F.concat_ws(" ", *names, F.lit(""))))
-    flags = records.select("record_id", who.alias("who"), F.explode("flags").alias("flag"))
-    flags = flags.select("record_id", "who", F.split("flag", ":")[0].alias("field"), F.split("flag", ":")[1].alias("issue"))
-    cells = long_records(records, config)
+    cells = F.array(*[F.struct(F.lit(f.key).alias("field"), F.col(f"cells.{f.key}").alias("s")) for f in config.fields])
+
+    def one(flag: Column) -> Column:  # the cell is in the same row, so that no cells move
+        field = F.split(flag, ":")[0]
+        return F.struct(field.alias("field"), F.split(flag, ":")[1].alias("issue"), F.get(F.filter("each", lambda x: x["field"] == field), F.lit(0))["s"].alias("s"))
+
+    flags = records.select("record_id", who.alias("who"), "flags", cells.alias("each")).select("record_id", "who", F.explode(F.transform("flags", one)).alias("x"))
+    flags = flags.select("record_id", "who", "x.field", "x.issue", *[F.col(f"x.s.{c}").alias(c) for c in ("raw", "value", "confidence", "transform", "conflicts", "lineage")])
     specs = config.fields_frame(records.sparkSession).select("field", "label", "type", "values")
-    return flags.join(cells, ["record_id", "field"]).join(F.broadcast(specs), "field")  # the field table has one row a target field
+    return flags.join(F.broadcast(specs), "field")  # the field table has one row a target field
 
 
 def conflicts(records: DataFrame, config: Config | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each corpus operator against brute force, with nulls, empty and repeated rows, clashing columns and empty tables."""
 
 import hashlib
+import pathlib
 import random
 import re
 import time
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from tributary.functions.cut import shared_folder
 from tributary.llm import decontaminate, exact, lines, mixing, ngram_join, pages, pii, repeats, secrets, toxicity
 from tributary.llm.components import components
 
@@ -294,6 +296,37 @@ def test_ngram_join_hot_groups(spark, hot, monkeypatch):
         assert got == sorted((str(rows[k][0]), n, str(ids.get(c, None) if n else rows[k][0])) for k, (n, c) in want.items())
 
 
+def test_only_lists_with_pairs_left_out_come_again(spark, monkeypatch):
+    """And a large component's members are dealt once, however many blocks they fill."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    n = 40
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, n).astype(np.uint64)
+    near = [np.unique(np.append(base[1:], rng.integers(0, 2**63, 1).astype(np.uint64))) for _ in range(60)]
+    apart = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for _ in range(60)]
+    sets = near + apart
+    raw = ngram_join.parities(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])).to_pylist()
+    bits = spark.createDataFrame([(k, len(s), bytearray(b)) for k, (s, b) in enumerate(zip(sets, raw))], "node long, n long, parity binary")
+    # list 1: all linkable, each its own component; list 2: none linkable; list 3: fifty of one component, four others that can link
+    lists = spark.createDataFrame([(1, k) for k in range(60)] + [(2, k) for k in range(60, 120)] + [(3, k) for k in range(54)], "list long, node long")
+    labels = spark.createDataFrame([], "node long, label long")
+    failed = spark.createDataFrame([], "a long, b long")
+    got = ngram_join.across(lists.filter("list < 3"), labels, bits, failed, 80, 1).collect()
+    assert {r["list"] for r in got if r["list"] is not None} == {1}
+    pairs = {(r["a"], r["b"]) for r in got if r["list"] is None}
+    assert pairs and all(a < b < 60 for a, b in pairs)
+    labels = spark.createDataFrame([(k, 0) for k in range(50)], "node long, label long")
+    got = ngram_join.across(lists.filter("list = 3"), labels, bits, failed, 80, 1000).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(a, b) for a in range(54) for b in range(50, 54) if a < b} and all(r["list"] is None for r in got)
+
+
+def test_slots_do_not_stay(spark, corpus):
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    ngram_join.join_documents(frame(spark, corpus))
+    scans = max(folder.glob("tributary-scan-*"), key=lambda p: p.stat().st_mtime)
+    assert [p.name for p in scans.glob("kind=*")] == ["kind=0"]
+
+
 def test_one_of_each_judges_texts_not_ids(spark):
     text = "one two three four five six seven"
     rows = [(1, text), (2, text), (2, "nothing of the kind at all here"), (None, text), (3, None), (3, None)]
@@ -321,6 +354,7 @@ def test_parities_bound_what_differs():
     pairs = [(i, j) for i in range(8) for j in range(8)]
     far = ngram_join.differing([bits[i] for i, _ in pairs], [bits[j] for _, j in pairs])
     assert all(d <= len(np.setxor1d(sets[i], sets[j])) and (i != j or d == 0) for (i, j), d in zip(pairs, far))
+    assert all(8 * len(b) <= max(512, 4 * len(s)) for b, s in zip(bits, sets))
 
 
 def test_hub_after_its_copy(spark):
@@ -331,6 +365,12 @@ def test_hub_after_its_copy(spark):
     assert [r["is_hub"] for r in sets] == [False, True] and len({r["node"] for r in sets}) == 1
 
 
+def test_few_sets_share_only_a_bit(spark):
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d "), F.col("id").cast("string")).alias("text"))
+    wanted = docs.filter("doc_id % 10 = 0").select("doc_id", F.lit(False).alias("is_hub"))
+    assert 4_000 <= ngram_join.read_sets(docs, wanted, 5).count() < 4_600
+
+
 def test_toxicity():
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("aeinrst", k=rng.randint(3, 7)))

@@ -19,19 +19,20 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 class Table:
-    """A table written to the shared folder: it cuts lineage and survives the loss of any executor."""
+    """A table written to the shared folder: it cuts lineage and survives the loss of any executor. By a column's values it
+    lies in a folder each, `column=value`, that can be dropped alone."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, by: str | None = None):
         self.spark, self.schema = df.sparkSession, df.schema
-        self.path = written(df, name)
+        self.path = written(df, name, by)
 
     @property
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
-    def drop(self) -> None:
-        """Only when no frame that reads it will run again."""
-        delete(self.spark, self.path)
+    def drop(self, part: str | None = None) -> None:
+        """Only when no frame that reads it will run again; frames of what stays are to be read anew."""
+        delete(self.spark, f"{self.path}/{part}" if part else self.path)
 
 
 def text_of(docs: DataFrame, name: str = "text") -> Column:

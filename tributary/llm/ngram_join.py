@@ -16,7 +16,8 @@ Sets that are equal are one node. Signatures travel packed, sorted and cut into
 groups of up to SMALL nodes give all pairs, larger ones give two stars and keep their member list. Pairs are ruled out by
 size and by parity bits, verified on whole sets, and links joined to components. Nodes of a member list that lie in
 several components are then compared by their bits, block by block; of what may still link a spanning forest is verified,
-and so on in rounds until no untested pair of a list can link. So the result is exact without all pairs of any group.
+and a quota of further pairs. Only lists that left pairs out by that quota come up in another round. So the result is exact
+without all pairs of any group.
 
 Defined results: a null text or one without words has size 0 and links with nothing; fewer than `words` words form one
 shingle; repeated rows are equal documents; a null doc_id keeps its size and a null component unless it links; an empty
@@ -44,13 +45,15 @@ RARE = 24
 SMALL = 6
 MOST_BITS = 30
 MOST_PART_BITS = 20
+#: Leading bits of a signature that travel. Signatures that share them by chance only make a candidate more.
+SIGNATURE_BITS = 48
 #: Tasks that parts are dealt to, at most; a task takes its parts one by one.
 MOST_TASKS = 1 << 15
 PART_BYTES = 16 << 20
 FLUSH = 2_000_000
 #: Bytes of text that are worked on at once.
 SLICE = 2 << 20
-#: Members of a list that are compared in one task with as many others.
+#: Members of a list that are compared at once with as many others.
 BLOCK = 1000
 #: Pairs of a node that one round tests besides those that tie it to others; eight times as many in each later round.
 QUOTA = 8
@@ -90,10 +93,10 @@ def node_names(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def parities(tokens: np.ndarray, at: np.ndarray) -> pa.Array:
-    """Bits of each set: the parity of its tokens in each of 4 to 8 buckets a token. Of two sets no more bits differ than
+    """Bits of each set: the parity of its tokens in each of 2 to 4 buckets a token. Of two sets no more bits differ than
     tokens do, once the wider one's bits are folded to the other's number."""
     n = np.diff(at)
-    wide = np.array([max(512, 4 << power(int(k))) for k in n], np.int64)
+    wide = np.array([max(512, 2 << power(int(k))) for k in n], np.int64)
     base = np.concatenate([[0], np.cumsum(wide)])
     of = np.repeat(np.arange(len(n)), n)
     odd = np.bincount(base[of] + (mix64(tokens) & (wide[of] - 1).astype(U)).astype(np.int64), minlength=base[-1]) & 1
@@ -270,12 +273,12 @@ def second_scan(docs: DataFrame, words: int, percent: int, marks: bytes, bits: i
             new = np.ones(len(sig), bool)
             new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
             sig, node, size, share = sig[new], node[new], size[new], share[new]
-            edge = cut(sig, part_bits, 64)
+            edge = cut(sig, part_bits, SIGNATURE_BITS)
             parts = [p for p in range(1 << part_bits) if edge[p + 1] > edge[p]]
             rows = []
             for p in parts:
                 s = slice(edge[p], edge[p + 1])
-                rows.append((p, squeeze(np.diff(sig[s], prepend=U(p) << U(64 - part_bits))), node[s].tobytes(), squeeze(size[s]), squeeze(share[s])))
+                rows.append((p, squeeze(np.diff(sig[s], prepend=U(p) << U(SIGNATURE_BITS - part_bits))), node[s].tobytes(), squeeze(size[s]), squeeze(share[s])))
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "sigs", "nodes", "sizes", "shares"])
 
@@ -288,7 +291,7 @@ def second_scan(docs: DataFrame, words: int, percent: int, marks: bytes, bits: i
                 sig, whose, rare = signatures(tokens, at, table, bits, percent)
                 n = np.diff(at)
                 node = node_names(tokens, at)
-                held.append((sig, node[whose], n[whose].astype(np.uint32), (rare * 255 // np.maximum(n, 1)).astype(np.uint8)[whose]))
+                held.append((sig >> U(64 - SIGNATURE_BITS), node[whose], n[whose].astype(np.uint32), (rare * 255 // np.maximum(n, 1)).astype(np.uint8)[whose]))
                 if sum(len(x[0]) for x in held) >= FLUSH // 2:
                     yield flush()
         if sum(len(x[0]) for x in held):
@@ -302,7 +305,7 @@ def pairs_of(packed: DataFrame, percent: int, part_bits: int) -> DataFrame:
     """kind 0: a, b (the hub first); kind 1: a: a member list's name, b: a member, size."""
 
     def groups(rows: list[tuple], part: int) -> Iterator[pa.RecordBatch]:
-        sig = np.concatenate([np.cumsum(expand(r[0], U), dtype=U) + (U(part) << U(64 - part_bits)) for r in rows])
+        sig = np.concatenate([np.cumsum(expand(r[0], U), dtype=U) + (U(part) << U(SIGNATURE_BITS - part_bits)) for r in rows])
         node = np.concatenate([np.frombuffer(r[1], np.int64) for r in rows])
         size = np.concatenate([expand(r[2], np.uint32) for r in rows]).astype(np.int64)
         share = np.concatenate([expand(r[3], np.uint8) for r in rows])
@@ -366,9 +369,10 @@ def read_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node, tokens (sorted), is_hub of wanted(doc_id, is_hub), and of a few more that share their bits.
 
     The bit tables choose the documents while they are read, so no text moves; a set says itself which node it is. A node
-    that a copy brought in without the hub's bit comes again when a document with that bit turns up.
+    that a copy brought in without the hub's bit comes again when a document with that bit turns up. Sets weigh far more than
+    bits, so the tables are as wide as leaves few of those that only share a bit: one in a hundred of all documents.
     """
-    bits = bits_for(wanted.count())
+    bits = bits_for(8 * wanted.count())
     tables = [bit_table(wanted.select("doc_id"), bits), bit_table(wanted.filter("is_hub").select("doc_id"), bits)]
     shared = docs.sparkSession.sparkContext.broadcast(tables)
 
@@ -434,10 +438,11 @@ def likely(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "xn", "yn", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def _open_pairs(rows: pa.Table, percent: int, quota: int, done: set[tuple[int, int]]) -> list[tuple[int, int]]:
+def _open_pairs(rows: pa.Table, percent: int, quota: int, done: set[tuple[int, int]]) -> tuple[list[tuple[int, int]], bool]:
     """Of one block of a list: pairs of minor nodes with nodes of other components that can link and weren't tested.
 
-    Of what hangs together by such pairs a spanning forest comes out, and `quota` more pairs a node.
+    Of what hangs together by such pairs a spanning forest comes out, and `quota` more pairs a node; and whether any others
+    were left out.
     """
     node, n, label = (rows.column(c).to_numpy() for c in ("node", "n", "label"))
     minor, block = rows.column("minor").to_numpy(zero_copy_only=False), rows.column("block").to_numpy()
@@ -465,7 +470,7 @@ def _open_pairs(rows: pa.Table, percent: int, quota: int, done: set[tuple[int, i
             v = up[v]
         return v
 
-    out = []
+    out, left_out = [], False
     for x in order.tolist():
         y = np.flatnonzero((label != label[x]) & (turn > turn[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
         if apart:
@@ -482,27 +487,38 @@ def _open_pairs(rows: pa.Table, percent: int, quota: int, done: set[tuple[int, i
                 continue
             u, v = root(int(label[x])), root(int(label[j]))
             if u == v and more <= 0:
+                left_out = True
                 continue
             more -= u == v
             up[u] = v
             done.add(pair)
             out.append(pair)
-    return out
+    return out, left_out
 
 
 def across(lists: DataFrame, labels: DataFrame, bits: DataFrame, failed: DataFrame, percent: int, quota: int) -> DataFrame:
-    """Pairs of one member list in different components that can link by size and parity and weren't tested: none if all
-    such pairs were. Lists of more than BLOCK members are compared block by block, in as many tasks."""
+    """a, b: pairs of one member list in different components that can link by size and parity and weren't tested; list:
+    one that left such pairs out. Components only grow, so any other list is settled once the pairs are tested. Lists of
+    more than two BLOCKs are compared block by block, in as many tasks: nodes outside a list's largest component with each
+    other and with those inside, which aren't compared among themselves, so that a large component's rows don't multiply."""
     member = lists.join(labels, "node", "left").select("list", "node", F.coalesce("label", "node").alias("label"))
     member = Table(member, "members").df
     shares = member.groupBy("list", "label").agg(F.count(F.lit(1)).alias("k"))
     mixed = shares.groupBy("list").agg(F.count(F.lit(1)).alias("labels"), F.sum("k").alias("many"), F.max(F.struct("k", "label")).alias("m")).filter("labels > 1")
-    mixed = Table(mixed.select("list", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"), F.col("m.label").alias("major")), "mixed").df
+    blocks = lambda many: F.when(F.col("many") > 2 * BLOCK, F.ceil(many / BLOCK).cast("int")).otherwise(0)
+    mixed = mixed.select("list", F.col("m.label").alias("major"), blocks(F.col("many") - F.col("m.k")).alias("minors"), blocks(F.col("m.k")).alias("majors"))
+    mixed = Table(mixed, "mixed").df
     tried = failed.groupBy(F.col("b").alias("node")).agg(F.collect_list("a").alias("failed"))
-    told = Table(bits.join(tried, "node", "left"), "told").df
-    open_ = member.join(mixed, "list").join(told, "node")
-    open_ = open_.select("list", "node", "n", "label", (F.col("label") != F.col("major")).alias("minor"), "parity", "failed", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = Table(member.join(mixed, "list"), "open").df
+    nodes = open_.select("node").distinct()
+    size = bits_for(nodes.count())
+    told = only_marked(bits, "node", bit_table(nodes, size), size)
+    open_ = open_.join(told, "node").join(tried, "node", "left")
+    minor, turn = F.col("label") != F.col("major"), F.xxhash64("node")
+    block = F.when(F.col("minors") == 0, 0).when(minor, F.pmod(turn, "minors")).otherwise(F.col("minors") + F.pmod(turn, "majors")).cast("int")
+    last = F.when(F.col("minors") == 0, 0).when(minor, F.col("minors") + F.col("majors") - 1).otherwise(F.col("minors") - 1)
+    open_ = open_.select("list", "node", "n", "label", minor.alias("minor"), "parity", "failed", block.alias("block"), last.alias("last"))
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     key = F.xxhash64("list", F.least("block", "other"), F.greatest("block", "other"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -510,10 +526,11 @@ def across(lists: DataFrame, labels: DataFrame, bits: DataFrame, failed: DataFra
         last = None
         done: set[tuple[int, int]] = set()
 
-        def settled() -> pa.RecordBatch:
-            found = _open_pairs(pa.Table.from_batches(held), percent, quota, done)
+        def compared() -> pa.RecordBatch:
+            found, left_out = _open_pairs(pa.Table.from_batches(held), percent, quota, done)
+            rows = [(None, min(x), max(x)) for x in found] + [(held[0].column("list")[0].as_py(), None, None)] * left_out
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["list", "a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -522,15 +539,15 @@ def across(lists: DataFrame, labels: DataFrame, bits: DataFrame, failed: DataFra
             edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
             for i, j in zip(edges, edges[1:]):
                 if held and keys[i] != last:
-                    yield settled()
+                    yield compared()
                 last = keys[i]
                 held.append(batch.slice(i, j - i))
         if held:
-            yield settled()
+            yield compared()
         give_back()
 
     dealt = open_.withColumn("key", key).repartition("key").sortWithinPartitions("key")
-    return dealt.drop("list", "blocks", "other").mapInArrow(work, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.drop("last", "other").mapInArrow(work, "list long, a long, b long").distinct()
 
 
 def join_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
@@ -540,30 +557,36 @@ def join_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCEN
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(20, power(total // 6 + 1)))
     part_bits = min(MOST_PART_BITS, bits - 4, max(6, power(total // PART_BYTES + 1)))
-    first = Table(first_scan(docs, words, bits, part_bits), "scan").df
-    rows = first.filter("kind = 0").select("doc_id", "th", "n", "node")
-    marks = frequent_slots(first.filter("kind = 1"), bits, part_bits, rare)
+    scan = Table(first_scan(docs, words, bits, part_bits), "scan", by="kind")
+    marks = frequent_slots(scan.df.filter("kind = 1"), bits, part_bits, rare)
+    scan.drop("kind=1")
+    first = scan.df.filter("kind = 0")
+    rows = first.select("doc_id", "th", "n", "node")
     found = Table(pairs_of(second_scan(docs, words, percent, marks, bits, part_bits), percent, part_bits), "pairs").df
     tested = Table(found.filter("kind = 0").select("a", "b").distinct(), "tested").df
     lists = Table(found.filter("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node")).distinct(), "lists").df
     names = Table(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "names").df
     nodes = Table(tested.select(F.col("a").alias("node")).unionByName(tested.select(F.col("b").alias("node"))).unionByName(lists.select("node")).distinct(), "nodes").df
     size = bits_for(nodes.count())
-    told = only_marked(first.filter("kind = 0").select("node", "n", "parity"), "node", bit_table(nodes, size), size)
+    told = only_marked(first.select("node", "n", "parity"), "node", bit_table(nodes, size), size)
     parity = Table(told.groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity")), "parity").df
     pairs = Table(likely(tested, parity, percent), "likely").df
     links = _linked(docs, pairs, names, words, percent)
     failed = Table(pairs.join(links, ["a", "b"], "left_anti"), "failed").df
     labels, quota = components(links), QUOTA
     while True:
-        pairs = Table(across(lists, labels, parity, failed, percent, quota), "rest").df
+        rest = Table(across(lists, labels, parity, failed, percent, quota), "rest").df
+        pairs, left_out = rest.filter("list IS NULL").select("a", "b"), rest.filter("list IS NOT NULL").select("list")
         if pairs.isEmpty():
             return rows, labels
         new = _linked(docs, pairs, names, words, percent)
-        failed = Table(failed.unionByName(pairs.join(new, ["a", "b"], "left_anti")), "failed").df
         if not new.isEmpty():
             links = links.unionByName(new)
             labels = components(links)
+        if left_out.isEmpty():
+            return rows, labels
+        failed = Table(failed.unionByName(pairs.join(new, ["a", "b"], "left_anti")), "failed").df
+        lists = Table(lists.join(left_out, "list", "left_semi"), "lists").df
         quota *= 8
 
 

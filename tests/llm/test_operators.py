@@ -5,6 +5,7 @@ import pathlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -483,6 +484,39 @@ def test_anchors_cover_every_window():
             assert any(starts[i] + s + j in at for j in range(27))
 
 
+def test_anchors_fill_parts_evenly():
+    data = np.random.default_rng(3).integers(97, 123, 400_000).astype(np.uint8)
+    at, h, _ = repeats.anchors(data, np.array([0, len(data)]))
+    in_part = np.bincount((h >> np.uint64(repeats.HASH_BITS - 6)).astype(np.int64), minlength=64)
+    assert len(at) > 20_000 and in_part.max() < 1.5 * in_part.mean()
+
+
+def test_a_large_group_of_cuts_takes_little_memory():
+    n, window, back = 30_000, repeats.WINDOW, repeats.WINDOW - repeats.ANCHOR
+    rng = np.random.default_rng(4)
+    cuts = rng.integers(97, 99, (n, back + window)).astype(np.uint8)
+    cuts[:, 12 : back + repeats.ANCHOR + 14] = 120  # an anchor with 14 equal bytes on both sides
+    left, right = rng.integers(0, back + 1, n).astype(np.uint8), rng.integers(repeats.ANCHOR, window + 1, n).astype(np.uint8)
+    place = np.arange(back + window)
+    cuts[(place < back - left[:, None]) | (place >= back + right[:, None].astype(np.int64))] = 0
+    doc, th, at = rng.permutation(n) // 2, np.arange(n), np.arange(n) + 100
+    first, want = {}, {}
+    whole = [(k, i, cuts[k, back - i : back - i + window].tobytes()) for k in range(n) for i in range(max(0, window - int(right[k])), int(left[k]) + 1)]
+    for k, i, w in whole:
+        first[i, w] = min(first.get((i, w), n), int(doc[k]))
+    for k, i, w in whole:
+        if first[i, w] < doc[k]:
+            want[k] = want.get(k, 0) | 1 << i
+    h = np.full(n, 5, np.uint64)
+    packed = [b"".join(len(x).to_bytes(4, "little") + x for x in (*map(repeats.squeeze, (np.diff(h[s], prepend=np.uint64(0)), doc[s], th[s], at[s], left[s], right[s])), repeats._deflate(cuts[s].tobytes()))) for s in (slice(0, 9000), slice(9000, n))]
+    tracemalloc.start()
+    got = repeats._settled(packed, 0, 6, window)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dict(zip(got.column("th").to_pylist(), got.column("mask").to_pylist())) == want and len(want) > 1000
+    assert peak < 600 * n
+
+
 def test_fuse():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 1000, 50_000):

@@ -91,7 +91,8 @@ def anchors(data: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tuple
     if not places:
         return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64)
     at = np.concatenate(places)
-    return at, np.concatenate(hashes) >> U(64 - HASH_BITS), np.searchsorted(starts, at, "right") - 1
+    # the least of many hashes are small: mixed again they fill all parts and slots evenly
+    return at, mix64(np.concatenate(hashes)) >> U(64 - HASH_BITS), np.searchsorted(starts, at, "right") - 1
 
 
 def repeated_anchors(docs: DataFrame, wanted: bytes, bits: int, part_bits: int, window: int) -> bytes:
@@ -277,38 +278,50 @@ def _settled(held: list[bytes], part: int, part_bits: int, window: int) -> pa.Re
     back = window - ANCHOR
     width = back + window
     found = []
-    for raw in held:
+    while held:
+        raw = held.pop()
         pieces, k = [], 0
         while k < len(raw):
             n = int.from_bytes(raw[k : k + 4], "little")
             pieces.append(raw[k + 4 : k + 4 + n])
             k += 4 + n
         found.append((np.cumsum(expand(pieces[0], U), dtype=U) + (U(part) << U(HASH_BITS - part_bits)), expand(pieces[1], np.int64), expand(pieces[2], np.int64), expand(pieces[3], np.int64), expand(pieces[4], np.uint8), expand(pieces[5], np.uint8), np.frombuffer(_inflate(pieces[6]), np.uint8).reshape(-1, width)))
-    h, doc, th, at, left, right, cuts = (np.concatenate(x) for x in zip(*found))
+    h = np.concatenate([x[0] for x in found])
     order = np.argsort(h, kind="stable")
     h = h[order]
     new = np.concatenate([[True], h[1:] != h[:-1]])
     many = np.diff(np.append(np.flatnonzero(new), len(h)))
-    order = order[np.repeat(many > 1, many)]  # what stands alone shares nothing
-    doc, th, at, left, right, cuts = (x[order] for x in (doc, th, at, left, right, cuts))
+    go = np.repeat(many > 1, many)  # what stands alone shares nothing
+    h, order = h[go], order[go]
+    doc, th, at, left, right, cuts = (np.concatenate(x)[order] for x in list(zip(*found))[1:])
+    found.clear()
     mask = np.zeros(len(doc), np.int64)
-    for s in _chunks(h[np.repeat(many > 1, many)]):
+    weight = _power(width)
+    for s in _chunks(h):
         d, c = doc[s], cuts[s]
-        total = np.zeros((len(d), width + 1), U)
-        np.cumsum(_TABLE[c] * _power(width), axis=1, out=total[:, 1:])
-        for i in range(back + 1):
+        by_place = np.ascontiguousarray(c.T)
+        word = lambda j: _TABLE[by_place[j]] * weight[j]
+        names = np.zeros(len(d), U)  # of the windows at one offset: the next one's follow from them, so a large group needs one word a cut
+        for j in range(window):
+            names += word(j)
+        for a in range(back + 1):
+            if a:
+                names += word(a + window - 1) - word(a - 1)
+            i = back - a
             ok = np.flatnonzero((left[s] >= i) & (right[s] >= window - i))
             if len(ok) < 2:
                 continue
-            name = (total[ok, width - i] - total[ok, back - i]) * _power(width, inverse=True)[back - i]
+            name = names[ok]
             by = np.lexsort((d[ok], name))
             ok, name = ok[by], name[by]
             lead = np.concatenate([[True], name[1:] != name[:-1]])
             first = ok[np.maximum.accumulate(np.where(lead, np.arange(len(ok)), 0))]
             later = d[ok] > d[first]
-            a, b = ok[later], first[later]
-            same = (c[a, back - i : width - i] == c[b, back - i : width - i]).all(1)
-            mask[s][a[same]] |= np.int64(1) << i
+            ok, first = ok[later], first[later]
+            for k in range(0, len(ok), CUTS):
+                x, y = ok[k : k + CUTS], first[k : k + CUTS]
+                same = (c[x, a : a + window] == c[y, a : a + window]).all(1)
+                mask[s][x[same]] |= np.int64(1) << i
     on = mask != 0
     return pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (doc, th, at, mask)], ["doc_id", "th", "at", "mask"])
 

@@ -484,6 +484,26 @@ def test_anchors_cover_every_window():
             assert any(starts[i] + s + j in at for j in range(27))
 
 
+def test_repeats_around_hot_anchors(spark, corpus):
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    phrase, passage = some(40), some(70)  # one is too short to be removed, one is long enough
+    rows = [*corpus, *((500 + i, some(rng.randint(0, 60)) + (passage if i % 3 else phrase) + some(rng.randint(0, 60)), "s") for i in range(120))]
+    want = brute.repeats([(d, t) for d, t, _ in rows])
+    for hot in (5, 10_000):
+        got = {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in repeats.remove_repeats(frame(spark, rows), hot=hot).collect()}
+        assert got == want
+
+
+def test_windows_around_a_hot_anchor_are_grouped_apart():
+    n, window, back = 2000, repeats.WINDOW, repeats.WINDOW - repeats.ANCHOR
+    cuts = np.random.default_rng(6).integers(97, 123, (n, back + window)).astype(np.uint8)
+    cuts[:, back - 5 : back + repeats.ANCHOR + 6] = 120
+    full = lambda v: np.full(n, v, np.uint8)
+    apart = list(repeats._windows_apart((np.zeros(n, np.uint64), np.arange(n), np.arange(n), np.arange(n), full(back), full(window), cuts), window))
+    assert len(apart) == back + 1 and all(len(np.unique(x[0])) == n for x in apart)
+
+
 def test_anchors_fill_parts_evenly():
     data = np.random.default_rng(3).integers(97, 123, 400_000).astype(np.uint8)
     at, h, _ = repeats.anchors(data, np.array([0, len(data)]))

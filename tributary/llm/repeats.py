@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ ANCHOR = 24
 BLOCK = 300_000
 FLUSH = 1_500_000
 CUTS = 8_000
+HOT = 100_000
 PART_BYTES = 4 << 20
 MOST_BITS = 30
 HASH_BITS = 48
@@ -95,8 +97,9 @@ def anchors(data: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tuple
     return at, mix64(np.concatenate(hashes)) >> U(64 - HASH_BITS), np.searchsorted(starts, at, "right") - 1
 
 
-def repeated_anchors(docs: DataFrame, wanted: bytes, bits: int, part_bits: int, window: int) -> bytes:
-    """One bit for each value of an anchor hash's leading bits: set where two documents have an anchor. 2**bits / 8 bytes."""
+def repeated_anchors(docs: DataFrame, wanted: bytes, bits: int, part_bits: int, window: int, most: int = HOT) -> tuple[bytes, bytes]:
+    """One bit for each value of an anchor hash's leading bits: set where two documents have an anchor. 2**bits / 8 bytes.
+    And the hashes, in order, that over `most` documents have: a word for each, one of `most` anchors at most."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +133,10 @@ def repeated_anchors(docs: DataFrame, wanted: bytes, bits: int, part_bits: int,
         def done() -> pa.RecordBatch:
             h = np.sort(np.concatenate(held))
             twice = h[1:][h[1:] == h[:-1]]
+            many = np.unique(h[most:][h[most:] == h[: max(0, len(h) - most)]])
             mark = np.zeros(room, bool)
             mark[((twice >> U(HASH_BITS - bits)) & U(room - 1)).astype(np.int64)] = True
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(mark, bitorder="little").tobytes()], pa.binary())], ["part", "marks"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(mark, bitorder="little").tobytes()], pa.binary()), pa.array([many.tobytes()], pa.binary())], ["part", "marks", "hot"])
 
         for batch in batches:
             for p, raw in zip(*(c.to_pylist() for c in columns(batch, "part", "packed"))):
@@ -145,8 +149,8 @@ def repeated_anchors(docs: DataFrame, wanted: bytes, bits: int, part_bits: int,
             yield done()
 
     packed = docs.mapInArrow(gather, "part int, packed binary").repartition(1 << part_bits, "part").sortWithinPartitions("part")
-    marks = {r[0]: r[1] for r in packed.mapInArrow(count, "part int, marks binary").collect()}
-    return b"".join(marks.get(p, bytes(room // 8)) for p in range(1 << part_bits))
+    found = {r[0]: r[1:] for r in packed.mapInArrow(count, "part int, marks binary, hot binary").collect()}
+    return b"".join(found[p][0] if p in found else bytes(room // 8) for p in range(1 << part_bits)), b"".join(found[p][1] for p in sorted(found))
 
 
 def _texts(batches: Iterator[pa.RecordBatch], wanted: bytes) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -163,14 +167,15 @@ def _texts(batches: Iterator[pa.RecordBatch], wanted: bytes) -> Iterator[tuple[p
         give_back()
 
 
-def covered_windows(docs: DataFrame, wanted: bytes, marks: bytes, bits: int, part_bits: int, window: int) -> DataFrame:
-    """doc_id, th, at (anchor's place), mask (bit i: the window that begins i bytes before it is an earlier document's)."""
-    shared = docs.sparkSession.sparkContext.broadcast((wanted, marks))
+def covered_windows(docs: DataFrame, wanted: bytes, marks: bytes, hot: bytes, bits: int, part_bits: int, window: int) -> DataFrame:
+    """doc_id, th, at (anchor's place), mask (bit i: the window that begins i bytes before it is an earlier document's).
+    Around hot anchors each window is a cut of its own, grouped by its bytes: no group holds all of an anchor's documents."""
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, marks, hot))
     back = window - ANCHOR
     width = back + window
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows_marked, table = shared.value[0], np.frombuffer(shared.value[1], np.uint8)
+        rows_marked, table, hot_hashes = shared.value[0], np.frombuffer(shared.value[1], np.uint8), np.frombuffer(shared.value[2], U)
         held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -219,9 +224,12 @@ def covered_windows(docs: DataFrame, wanted: bytes, marks: bytes, bits: int, par
                 cuts = np.lib.stride_tricks.sliding_window_view(padded, width)[at[e]]
                 j = np.arange(width)
                 cuts = np.where((j >= back - left[e][:, None]) & (j < back + right[e][:, None].astype(np.int64)), cuts, np.uint8(0))
-                held.append((h[e], ids[of[e]], ths[of[e]], place[e].astype(np.int64), left[e], right[e], cuts))
-                if sum(len(x[0]) for x in held) >= 6 * CUTS:
-                    yield from flush()
+                whole = (h[e], ids[of[e]], ths[of[e]], place[e].astype(np.int64), left[e], right[e], cuts)
+                is_hot = np.isin(h[e], hot_hashes)
+                for some in chain([tuple(x[~is_hot] for x in whole)], _windows_apart(tuple(x[is_hot] for x in whole), window)) if is_hot.any() else [whole]:
+                    held.append(some)
+                    if sum(len(x[0]) for x in held) >= 6 * CUTS:
+                        yield from flush()
         if held:
             yield from flush()
 
@@ -260,6 +268,20 @@ def _inflate(raw: bytes) -> bytes:
     return zlib.decompress(raw)
 
 
+def _windows_apart(whole: tuple, window: int) -> Iterator[tuple]:
+    """For each offset, the cuts that hold its window, as cuts of that window alone with a hash of their own."""
+    _, doc, th, at, left, right, cuts = whole
+    back = window - ANCHOR
+    for i in range(back + 1):
+        ok = (left >= i) & (right >= window - i)
+        if not ok.any():
+            continue
+        one = np.zeros((int(ok.sum()), cuts.shape[1]), np.uint8)
+        one[:, back - i : back - i + window] = cuts[ok, back - i : back - i + window]
+        low, high = np.full(len(one), i, np.uint8), np.full(len(one), window - i, np.uint8)
+        yield _cut_names(one, low, high) >> U(64 - HASH_BITS), doc[ok], th[ok], at[ok], low, high, one
+
+
 def _cut_names(cuts: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     total = np.zeros(len(cuts), U)
     for j, weight in enumerate(_power(cuts.shape[1])):  # a column at a time, as a table of words for all bytes is large
@@ -348,12 +370,13 @@ def removed_runs(at: np.ndarray, mask: np.ndarray, window: int) -> list[tuple[in
     return [(int(a), int(b)) for a, b in zip(first, last)]
 
 
-def remove_repeats(docs: DataFrame, *, window: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, if with_text)."""
+def remove_repeats(docs: DataFrame, *, window: int = WINDOW, with_text: bool = False, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, if with_text). Anchors that over
+    `hot` documents have are settled window by window."""
     if not ANCHOR < window <= ANCHOR + 61:
         raise ValueError(f"window must be from {ANCHOR + 1} to {ANCHOR + 61} bytes")
     if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
-        return _by_rank(docs, window, with_text)
+        return _by_rank(docs, window, with_text, hot)
     text = text_of(docs)
     docs = docs.select("doc_id", text.alias("text"))
     rows = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.xxhash64("text").alias("th"), F.octet_length("text").cast("long").alias("n"))
@@ -368,8 +391,8 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, with_text: bool = F
     wanted = bit_table(first.select("doc_id"), 24)
     slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 24)).alias("slot")
     read = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), slot, "text")
-    marks = repeated_anchors(read, wanted, bits, part_bits, window)
-    masks = Table(covered_windows(read, wanted, marks, bits, part_bits, window), "masks").df
+    marks, common = repeated_anchors(read, wanted, bits, part_bits, window, hot)
+    masks = Table(covered_windows(read, wanted, marks, common, bits, part_bits, window), "masks").df
     per_row = masks.groupBy("doc_id", "th").agg(F.collect_list("at").alias("at"), F.collect_list("mask").alias("mask"))
     gone = copies.select(F.col("doc_id").cast("long").alias("doc_id"), "th", F.lit(True).alias("copy"))
     cuts = Table(per_row.join(gone, ["doc_id", "th"], "full").select("doc_id", "th", "at", "mask", F.coalesce("copy", F.lit(False)).alias("copy")), "cuts").df.alias("c")
@@ -420,12 +443,12 @@ def _is_touched(keys: DataFrame) -> Column:
     return marked(F.pmod(F.xxhash64(F.xxhash64(F.col("doc_id").cast("long"), F.col("th"))), F.lit(1 << bits)))
 
 
-def _by_rank(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
+def _by_rank(docs: DataFrame, window: int, with_text: bool, hot: int) -> DataFrame:
     """For ids that are no integers: each gets a number that sorts as it does."""
     ids = docs.select("doc_id").filter("doc_id is not null").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ranks = Table(ids.select(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("rank")), "ranks").df
     ranked = docs.select(F.col("doc_id").alias("id"), text_of(docs).alias("text")).join(ranks, "id", "left").select(F.col("rank").alias("doc_id"), "text")
-    found = remove_repeats(Table(ranked, "ranked").df, window=window, with_text=with_text)
+    found = remove_repeats(Table(ranked, "ranked").df, window=window, with_text=with_text, hot=hot)
     names = [c for c in found.columns if c != "doc_id"]
     return found.withColumnRenamed("doc_id", "rank").join(ranks, "rank", "left").select(F.col("id").alias("doc_id"), *names)
 
